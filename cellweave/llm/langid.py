@@ -1,7 +1,8 @@
 """Language identification by compression: the zstandard dictionary that makes a text smallest names its language.
 
-Each language's dictionary is raw content: whole labelled texts of a bounded sample. A text is rejected where the
-two smallest encodings are nearly of one size.
+Each language has a few dictionaries of raw content, of whole labelled texts of a bounded sample. A text's size under
+a language is the median over its dictionaries, so that a copy with a wrong label in one of them has no say. A text
+is rejected where the two smallest sizes are nearly equal.
 """
 
 from __future__ import annotations
@@ -19,26 +20,32 @@ from pyspark.sql.window import Window
 from .common import as_text, slices
 
 LETTERS = re.compile(r"[^\W\d_]")
+SIGNS = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    dictionaries: tuple[tuple[str, bytes], ...]
-    level: int = 1
+    dictionaries: tuple[tuple[str, tuple[bytes, ...]], ...]
+    level: int = 3
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = 96, longest: int = 8192, size: int = 65536, languages: int = 500) -> CompressionModel:
-    """Dictionaries of `size` bytes from at most `texts` labelled texts per language, of at most `longest` characters.
+def normalize(text: str) -> bytes:
+    """Lower case, with single blanks for all that isn't a letter."""
+    return SIGNS.sub(" ", text.lower()).encode()
+
+
+def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = 384, longest: int = 8192, size: int = 131072, parts: int = 3, languages: int = 200) -> CompressionModel:
+    """`parts` dictionaries of `size` bytes each from at most `texts` labelled texts per language, of at most `longest` characters.
 
     These are the bounds of the sample: texts with the least hashes are taken, so the choice depends on the texts
-    alone. The counts of each language are taken over all rows. Null texts and labels are left out; more than
-    `languages` labels are an error.
+    alone, and equal texts count once. The counts of each language are taken over all rows. Null texts and labels
+    are left out; more than `languages` labels are an error.
     """
-    rows = df.select(F.lower(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang")).where(f"lang is not null and length(text) between 1 and {longest}")
+    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(f"lang is not null and length(text) between 1 and {longest}")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(languages + 1).collect()}
     if len(counts) > languages:
         raise ValueError(f"more than {languages} languages")
@@ -46,22 +53,27 @@ def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         return CompressionModel(())
     # A hash threshold leaves a few times the texts that are needed, whatever a language's share of the rows.
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 4 * texts / n)))), F.col("lang"))
-    draw = rows.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share)
+    draw = rows.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share).distinct()
     first = draw.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= texts)
-    content: dict[str, bytearray] = {k: bytearray() for k in counts}
+    content: dict[str, list[bytearray]] = {k: [bytearray() for _ in range(parts)] for k in counts}
     for r in first.orderBy("lang", "r").select("lang", "text").collect():
-        content[r["lang"]] += r["text"].encode() + b"\n"
-    return CompressionModel(tuple((k, bytes(v[-size:]).decode(errors="ignore").encode()) for k, v in sorted(content.items()) if v))
+        least = min(content[r["lang"]], key=len)
+        if len(least) < size:
+            least += normalize(r["text"])
+    return CompressionModel(tuple((k, tuple(bytes(x[:size]) for x in v if x)) for k, v in sorted(content.items()) if any(v)))
 
 
 def compressed_sizes(model: CompressionModel):
-    """A function that gives a text's compressed size under each dictionary."""
+    """A function that gives a text's compressed size under each language."""
     compressors = []
-    for _, content in model.dictionaries:
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=model.level)
-        compressors.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return lambda data: [len(c.compress(data)) for c in compressors]
+    for _, contents in model.dictionaries:
+        own = []
+        for content in contents:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=model.level)
+            own.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        compressors.append(own)
+    return lambda data: [sorted(len(c.compress(data)) for c in own)[len(own) // 2] for own in compressors]
 
 
 def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0) -> DataFrame:
@@ -82,7 +94,7 @@ def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc
                     best.append("und")
                     margin.append(0.0)
                     continue
-                size = sizes(text.lower().encode())
+                size = sizes(normalize(text))
                 low = min(range(len(size)), key=size.__getitem__)
                 rest = size[:low] + size[low + 1 :]
                 best.append(names[low])
@@ -102,7 +114,7 @@ def keep_identified(df: DataFrame, model: CompressionModel, text_col: str = "tex
         for batch in slices(batches, text_col):
             keep = []
             for text in as_text(batch.column(text_col)):
-                size = sorted(sizes(text.lower().encode())) if model.dictionaries and LETTERS.search(text) else []
+                size = sorted(sizes(normalize(text))) if model.dictionaries and LETTERS.search(text) else []
                 keep.append(bool(size) and (len(size) == 1 or (size[1] - size[0]) / size[1] > min_margin))
             yield batch.filter(pa.array(keep, pa.bool_()))
 

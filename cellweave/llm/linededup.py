@@ -105,13 +105,13 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lines, told.join(spread, "template").select("line", F.col("a").alias("first_doc"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, similarity: float = 0.85, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, similarity: float = 0.85, drop_empty: bool = False, leaf_lines: int = 4096) -> DataFrame:
     """df with recurring lines taken out of the texts, and n_lines and n_dropped (lines with a token) as columns.
 
     Columns of these two names are replaced. Repeated rows of one id count as one document; rows with a null id or
     text stay as they are. drop_empty leaves out rows that lost all their lines.
     """
-    lines, drops = recurring_lines(df, id_col, text_col, depth, similarity)
+    lines, drops = recurring_lines(df, id_col, text_col, depth, similarity, leaf_lines)
     hit = lines.select("doc", "line").join(drops, "line").where("doc <> first_doc").groupBy("doc").agg(F.collect_set("line").alias("__drop"))
     rows = df.drop("n_lines", "n_dropped").join(hit.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     names = [c for c in rows.columns if c != "__drop"]

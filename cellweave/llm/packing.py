@@ -52,13 +52,13 @@ def best_configuration(weights: np.ndarray, capacity: int) -> list[int]:
 def configuration_program(histogram: np.ndarray, capacity: int, rounds: int = 1000, step: float = 0.5) -> dict[tuple[int, ...], float]:
     """A fractional cover of the histogram by configurations, near the least number of them.
 
-    Multiplicative weights: a length's price is its size times exp(-covered share). Each round buys the
+    Multiplicative weights: a length's price starts a little above its size and falls as exp(-covered share). Each round buys the
     configuration of the largest price, a `step` of what the scarcest of its lengths needs, which lowers the
     prices of what it covers. Lengths that are covered are no longer offered, so none is covered twice.
     """
     need = histogram.astype(float)
     covered, mixture = np.zeros(len(need)), {}
-    size = np.arange(len(need)) / capacity
+    size = (np.arange(len(need)) / capacity) ** 1.2  # convex: long items first, short ones fill up
     for _ in range(rounds):
         spare = need - covered
         share = np.divide(covered, need, out=np.ones(len(need)), where=need > 0)
@@ -73,45 +73,52 @@ def configuration_program(histogram: np.ndarray, capacity: int, rounds: int = 10
     return mixture
 
 
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over counts: (contents, bins) entries that hold each item once. Bins of equal contents are one entry."""
+    open_: dict[int, list[list]] = {}  # by room: entries of contents and bins
+    rooms = np.zeros(capacity + 1, np.int64)  # bins by room
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        while n:
+            fits = np.flatnonzero(rooms[length:])
+            room = int(fits[0]) + length if len(fits) else capacity
+            if len(fits):
+                contents, bins = open_[room].pop()
+                rooms[room] -= bins
+            else:
+                contents, bins = (), -(-n // (capacity // length))
+            # Each of the bins takes as many as fit, but for what would be more than there is.
+            each = min(room // length, -(-n // bins))
+            full = min(bins, n // each)
+            rest = n - full * each if full < bins else 0
+            groups = [(each, full), (min(rest, each), 1 if rest else 0), (0, bins - full - (1 if rest else 0))]
+            for times, amount in groups:
+                if amount > 0:
+                    left = room - times * length
+                    if contents or times:
+                        open_.setdefault(left, []).append([(*contents, *[length] * times), amount])
+                        rooms[left] += amount
+                    n -= times * amount
+    return [(tuple(c), b) for entries in open_.values() for c, b in entries]
+
+
 def round_program(histogram: np.ndarray, mixture: dict[tuple[int, ...], float], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with whole numbers of copies that hold each item exactly once.
 
-    Whole copies of the mixture come first, the fullest of them; what is left is packed by best fit, longest first,
-    over counts: bins of equal contents are one entry.
+    Whole copies of the mixture come first, the fullest of them, and best fit takes the rest; the share of the
+    mixture that is fixed before best fit is the one, of a few, that needs the fewest sequences.
     """
-    left, plan = histogram.astype(np.int64).copy(), []
-    for config, amount in sorted(mixture.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
-        lengths, times = np.unique(config, return_counts=True)
-        copies = min(int(amount), int((left[lengths] // times).min()))
-        if copies > 0:
-            plan.append((config, copies))
-            left[lengths] -= copies * times
-    while left.any():
-        config = _fill(left.copy(), capacity)
-        lengths, times = np.unique(config, return_counts=True)
-        copies = int((left[lengths] // times).min())
-        plan.append((tuple(sorted(config, reverse=True)), copies))
-        left[lengths] -= copies * times
-    return plan
-
-
-def _fill(have: np.ndarray, room: int) -> list[int]:
-    """The longest length at hand, then the lengths that fill the rest best: one or two exact fits if there are any, else the longest."""
-    out = []
-    while room > 0:
-        fits = np.flatnonzero(have[: room + 1])
-        if not len(fits):
-            break
-        pick = int(fits[-1])
-        if out and pick != room:
-            mate = room - fits
-            pair = fits[(mate > 0) & (have[np.clip(mate, 0, None)] > (mate == fits))]
-            if len(pair):
-                pick = int(pair[-1])
-        out.append(pick)
-        have[pick] -= 1
-        room -= pick
-    return out
+    plans = []
+    for share in (1.0, 0.9, 0.5, 0.0):
+        left, plan = histogram.astype(np.int64).copy(), []
+        for config, amount in sorted(mixture.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
+            lengths, times = np.unique(config, return_counts=True)
+            copies = min(int(amount * share), int((left[lengths] // times).min()))
+            if copies > 0 and sum(config) == capacity:
+                plan.append((config, copies))
+                left[lengths] -= copies * times
+        plans.append(plan + best_fit(left, capacity))
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def pack(df: DataFrame, capacity: int, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), group_rows: int = 20000) -> DataFrame:

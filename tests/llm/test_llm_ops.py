@@ -198,7 +198,7 @@ def test_line_dedup(spark, docs):
         parse = [(x, *linededup.parse_line(x.encode())) for x in t.split("\n")]
         assert out[d] == "\n".join(x for x, h, tokens in parse if not tokens or first[h] == d)
     assert linededup.dedup_lines(empty(spark)).count() == 0
-    deep = linededup.dedup_lines(spark.createDataFrame([(k, f"same four words here then x{k % 50} b c d e f g h i j k l m n") for k in range(100)], "doc_id long, text string"), similarity=0.99, leaf_lines=8)
+    deep = linededup.dedup_lines(spark.createDataFrame([(k, f"same four words here then x{chr(97 + k % 25)}{chr(97 + k % 50 // 25)} b c d e f g h i j k l m n") for k in range(100)], "doc_id long, text string"), similarity=0.99, leaf_lines=8)
     assert deep.where("n_dropped = 1").count() == 50
 
 
