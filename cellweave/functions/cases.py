@@ -69,8 +69,6 @@ def _local() -> None:
     L("BAYES", "pqc", "CASE WHEN cv <> 0 THEN pv * qv / cv END")
     L("PCORBINARY", "p", "pv * 0.3 / 0.6 / (pv * 0.3 / 0.6 + (1 - pv) * 0.7 / 0.4)", prior_proportion=0.3, sample_prevalence=0.6)
     low, high = "LEAST(pv, qv)", "GREATEST(pv, qv)"
-    k = f"(1 - 2 * {low} / 2 * (1 - {high}))"
-    # two sources: (low/2, high) and (low/2, high)
     norm = f"(1 - 2 * ({low}) * (1 - ({high})))"
 
     def belief(spark, sf_dir):
@@ -83,7 +81,6 @@ def _local() -> None:
     pl = f"({high} * {high} / {norm})"
     ok = f"CASE WHEN {norm} > 0 THEN {{}} END"
     add("belief", belief, with_grids("pq", f", x AS (SELECT row, col, p.v AS pv, q.v AS qv FROM p JOIN q USING (row, col)) SELECT row, col, {R(ok.format(b))}, {R(ok.format(pl), 'plausibility')}, {R(ok.format(f'{pl} - {b}'), 'interval')} FROM x"))
-    del k
     L("BELCALC", "pq", "1 - (1 - pv) * (1 - qv)", as_list=True)
     L("MCE", "pqs", "(pv * 0.7 + qv * 0.3) * sv", "wlc", as_list=True, weights=(0.7, 0.3), constraints=1)
     L("MCE", "pqs", "pv * qv * sv", "boolean", as_list=True, constraints=1, method="Boolean")
@@ -397,8 +394,6 @@ def _iterate() -> None:
     case("hinterland", "HINTERLAND", "s", None)
     case("spdist", "SPDIST", "f", None, dest_row=30, dest_col=40)
     case("disperse", "DISPERSE", "sf", None, num_steps=4)
-    comp = f", RECURSIVE_"
-    del comp
     case("group_4", "GROUP", "s", None)
     case("group_8", "GROUP", "s", None, connectivity="8-connected")
     case("areafilter", "AREAFILTER", "c", None, threshold=4)
@@ -412,6 +407,23 @@ def _iterate() -> None:
     case("cellular_automata", "CELLULAR_AUTOMATA", "cpq", None, lambda f, own: f(own[0], {1: own[1], 2: own[2]}), matrix=((1, 1, 1.0), (2, 2, 0.9), (2, 1, 0.1), (3, 3, 0.8), (3, 1, 0.2), (4, 2, 0.3), (4, 4, 0.7), (5, 5, 1.0)), iterations=2)
     case("mola", "MOLA", "pq", None, lambda f, own: f(own), areas=(200, 300))
     case("geomod", "GEOMOD", "cd", None, quantity=50)
+    case("varcost", "VARCOST", "sfa", None)
+    case("viewshed", "VIEWSHED", "a", None, observer_x=1200.0, observer_y=4800.0)
+    case("pathway", "PATHWAY", "a", None, lambda f, own: f(own[0], iterate.flow_direction(own[0]), row=20, col=20))
+    case("fractal", "FRACTAL", "a", None)
+    case("pclass", "PCLASS", "ac", None, threshold=650.0)
+    case("kendall", "KENDALL", "pq", f", j AS (SELECT p.v AS x, q.v AS y FROM p JOIN q USING (row, col)), t AS (SELECT SUM(SIGN(a.x - b.x) * SIGN(a.y - b.y)) / SQRT(SUM(ABS(SIGN(a.x - b.x))) * SUM(ABS(SIGN(a.y - b.y)))) AS tau FROM j a, j b), n AS (SELECT COUNT(*) AS n FROM j) SELECT n, {R('tau', 'tau')}, {R('tau / SQRT(2 * (2 * n + 5) / (9.0 * n * (n - 1)))', 'z')} FROM t, n", lambda f, own: f(*own).drop("p"))
+    case("pollination", "POLLINATION", "c", None, nesting=((1, 0.5), (2, 0.9)), floral=((1, 0.3), (3, 0.8)), foraging_distance=3.0)
+    case("segment", "SEGMENT", "a", None, lambda f, own: f(learn.pixels(own[:1]), cols=SIZE, similarity_threshold=30.0))
+    case("segmentation", "SEGMENTATION", "a", None, lambda f, own: f(learn.pixels(own[:1]), cols=SIZE, spatial_bandwidth=2.0, spectral_bandwidth=60.0))
+    pairs = ", s AS (SELECT MIN(v) AS lo, MAX(v) AS hi FROM a), k AS (SELECT row, col, LEAST(15, FLOOR((v - lo) / (hi - lo) * 16)) AS k FROM a, s), w AS (SELECT x.row + dr AS row, x.col + dc AS col, x.k AS i, y.k AS j FROM k x JOIN k y ON y.row = x.row AND y.col = x.col + 1, range(-3, 4) t(dr), range(-3, 4) u(dc))"
+    for n, e in (("Contrast", "AVG((i - j) * (i - j))"), ("Dissimilarity", "AVG(ABS(i - j))"), ("Homogeneity", "AVG(1 / (1 + (i - j) * (i - j)))")):
+        case(f"texture_glcm_{n.lower()}", "TEXTURE_GLCM", "a", pairs + f", m AS (SELECT row, col, {e} AS x FROM w GROUP BY 1, 2) SELECT row, col, {R('COALESCE(x, 0)')} FROM a LEFT JOIN m USING (row, col)", measure=n)
+    case("texture_glcm_energy", "TEXTURE_GLCM", "a", pairs + f", z AS (SELECT row, col, i, j, COUNT(*) AS n FROM (SELECT row, col, i, j FROM w UNION ALL SELECT row, col, j, i FROM w) GROUP BY 1, 2, 3, 4), m AS (SELECT row, col, SUM(n * n) / POWER(SUM(n), 2) AS x FROM z GROUP BY 1, 2) SELECT row, col, {R('COALESCE(x, 0)')} FROM a LEFT JOIN m USING (row, col)", measure="Energy")
+    add("tin", lambda s, d: create("TIN")(_points(s, d).where("id <= 150")))
+    add("tinsurf", lambda s, d: create("TINSURF")(create("TIN")(_points(s, d).where("id <= 150")), grid(s, d, "a")))
+    add("project", lambda s, d: create("PROJECT")(grid(s, d, "a")))
+    case("rastervector_round_trip", "RASTERVECTOR", "s", f" SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(CASE WHEN v <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range({SIZE}) t(r) CROSS JOIN range({SIZE}) u(c) LEFT JOIN s ON s.row = r AND s.col = c", lambda f, own: create("VECTORRASTER")(f(own[0]).where("value <> 0"), own[0]))
     case("durbinwatson", "DURBINWATSON", "b", f", l AS (SELECT v, LAG(v) OVER (ORDER BY row, col) AS w FROM b WHERE v IS NOT NULL) SELECT {R('SUM((v - w) * (v - w)) / SUM(v * v)', 'dw')}, {R('1 - SUM((v - w) * (v - w)) / SUM(v * v) / 2', 'rho')}, COUNT(*) AS n FROM l")
     case("cochranorcutt", "COCHRANORCUTT", "ab", None)
     add("generalize", lambda s, d: create("GENERALIZE")(_points(s, d), min_distance=40.0))
@@ -437,7 +449,7 @@ def _learn() -> None:
     add("piped", lambda s, d: create("PIPED")(px(s, d), [(1, [500, 0.0, 0.0], [700, 0.5, 1.0]), (2, [650, 0.4, 0.0], [900, 1.0, 1.0])]), with_grids("apq", P + ", y AS (SELECT *, av BETWEEN 500 AND 700 AND pv <= 0.5 AS h, av BETWEEN 650 AND 900 AND pv BETWEEN 0.4 AND 1 AS i FROM x) SELECT row, col, CAST(CASE WHEN h AND i THEN 0 WHEN h THEN 1 WHEN i THEN 2 ELSE 0 END AS DOUBLE) AS v FROM y"))
     for n in ("PCA", "MNF", "CLUSTER", "KMEANS", "ISODATA", "ISOCLUST", "CHAINCLUSTER"):
         add(n.lower(), lambda s, d, n=n: create(n)(px(s, d)))
-    for n in ("CANCOMP", "KNN", "CTA", "DECISIONFOREST", "SVM", "MULTILOGISTICREG", "MLP", "RBFNN", "SOM", "FUZZYARTMAP", "FUZZY_ARTMAP2", "PURIFY"):
+    for n in ("CANCOMP", "KNN", "CTA", "DECISIONFOREST", "SVM", "MULTILOGISTICREG", "MLP", "RBFNN", "SOM", "FUZZYARTMAP", "FUZZY_ARTMAP2", "PURIFY", "FUZSIG"):
         add(n.lower(), lambda s, d, n=n: create(n)(px(s, d), labels(s, d)))
     for n in ("MAHALCLASS", "MAXLIKE", "BAYCLASS", "BELCLASS", "FUZCLASS", "FISHER"):
         add(n.lower(), lambda s, d, n=n: create(n)(px(s, d), sig(s, d)))

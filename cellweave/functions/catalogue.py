@@ -28,7 +28,7 @@ VALUES = {
     "q": "(SUM(l_suppkey) % 101) / 100.0",
     "s": "CAST(CASE WHEN SUM(l_suppkey) % 37 = 0 THEN 1 + SUM(l_linenumber) % 3 ELSE 0 END AS DOUBLE)",
 }
-GRID_SQL = {k: f"SELECT {CELL.replace('AS row', 'AS row').replace('AS col', 'AS col')}, CAST({v} AS DOUBLE) AS v FROM lineitem GROUP BY l_orderkey % {SIZE}, l_partkey % {SIZE}" for k, v in VALUES.items()}
+GRID_SQL = {k: f"SELECT {CELL}, CAST({v} AS DOUBLE) AS v FROM lineitem GROUP BY l_orderkey % {SIZE}, l_partkey % {SIZE}" for k, v in VALUES.items()}
 TRANSFORM = (1000.0, 5000.0, 10.0, -10.0, 0.0, 0.0)
 
 

@@ -71,43 +71,52 @@ def clamped(grid: Grid) -> DataFrame:
     return n.select(*KEY, "v", *(c.alias(k) for k, c in out.items()))
 
 
-def _curvatures(size: float) -> tuple[Column, ...]:
-    """Zevenbergen and Thorne's D..H, squared slope, profile and plan curvature; the latter are 0 on flat ground."""
-    z = {k: F.col(k) for k in Z}
-    d = ((z["z4"] + z["z6"]) / 2 - F.col("v")) / size**2
-    e = ((z["z2"] + z["z8"]) / 2 - F.col("v")) / size**2
-    f = (z["z3"] + z["z7"] - z["z1"] - z["z9"]) / (4 * size**2)
-    g, h = (z["z6"] - z["z4"]) / (2 * size), (z["z2"] - z["z8"]) / (2 * size)
-    p = g * g + h * h
-    along = -2 * (d * g * g + e * h * h + f * g * h) / (p * F.sqrt(1 + p))
-    across = -2 * (d * h * h + e * g * g - f * g * h) / F.pow(p, 1.5)
-    return d, e, p, F.when(p < 1e-15, 0.0).otherwise(along), F.when(p < 1e-15, 0.0).otherwise(across)
+def curved(grid: Grid) -> DataFrame:
+    """row, col, v, bend (the negative second derivatives' sum), p (squared slope), along and across: profile and plan curvature.
+
+    Zevenbergen and Thorne's polynomial over clamped neighbourhoods; both curvatures are 0 on flat ground. Each step is
+    a projection of its own, so that nothing is computed twice.
+    """
+    size, z = grid.cell[0], {k: F.col(k) for k in Z}
+    t = clamped(grid).select(
+        *KEY, "v", ((z["z4"] + z["z6"]) / 2 - F.col("v")).alias("d"), ((z["z2"] + z["z8"]) / 2 - F.col("v")).alias("e"), ((z["z3"] + z["z7"] - z["z1"] - z["z9"]) / 4).alias("f"),
+        ((z["z6"] - z["z4"]) / (2 * size)).alias("g"), ((z["z2"] - z["z8"]) / (2 * size)).alias("h"),
+    )
+    d, e, f, g, h = (F.col(c) for c in "defgh")
+    t = t.select(*KEY, "v", (-2 * (d + e) / size**2).alias("bend"), (g * g + h * h).alias("p"), (d * g * g + e * h * h + f * g * h).alias("s"), (d * h * h + e * g * g - f * g * h).alias("c"))
+    flat, k = F.col("p") < 1e-15, -2 / size**2
+    along = F.when(flat, 0.0).otherwise(k * F.col("s") / (F.col("p") * F.sqrt(1 + F.col("p"))))
+    return t.select(*KEY, "v", "bend", "p", along.alias("along"), F.when(flat, 0.0).otherwise(k * F.col("c") / F.pow("p", F.lit(1.5))).alias("across"))
+
+
+def sloped(df: DataFrame, dx: float, dy: float, factor: float = 1.0) -> DataFrame:
+    """df with east and south, Horn's gradient, as columns."""
+    east, south = _gradient(dx, dy, lambda k: F.col(k) * factor)
+    return df.withColumns({"east": east, "south": south})
 
 
 @operator("ASPECT", "gis", "input")
 def aspect(grid: Grid):
     """Azimuth of the steepest descent; -1 where flat or without data."""
-    east, south = _gradient(*grid.cell)
-    turn = F.pmod(90 - F.degrees(F.atan2(south, -east)), F.lit(360.0))
-    flat = (F.abs(east) < 1e-10) & (F.abs(south) < 1e-10)
-    return grid.with_cells(clamped(grid).select(*KEY, F.when(F.col("v").isNull() | flat, -1.0).otherwise(turn).alias("v")))
+    flat = (F.abs("east") < 1e-10) & (F.abs("south") < 1e-10)
+    turn = F.pmod(90 - F.degrees(F.atan2(F.col("south"), -F.col("east"))), F.lit(360.0))
+    return grid.with_cells(sloped(clamped(grid), *grid.cell).select(*KEY, F.when(F.col("v").isNull() | flat, -1.0).otherwise(turn).alias("v")))
 
 
 @operator("CURVATURE", "gis", "input", type=("Total", "Profile", "Plan"))
 def curvature(grid: Grid, type):
-    d, e, _, along, across = _curvatures(grid.cell[0])
-    return grid.with_cells(clamped(grid).select(*KEY, F.when(F.col("v").isNotNull(), {"Total": -2 * (d + e), "Profile": along, "Plan": across}[type]).alias("v")))
+    return grid.with_cells(curved(grid).select(*KEY, F.when(F.col("v").isNotNull(), F.col({"Total": "bend", "Profile": "along", "Plan": "across"}[type])).alias("v")))
 
 
 @operator("TOPOSHAPE", "gis", "input", tolerance=0.0001)
 def toposhape(grid: Grid, tolerance):
     """Landforms 1 peak, 2 ridge, 3 saddle, 4 flat, 5 ravine, 6 valley, 7 pit, 8 convex, 9 concave, 10 inflection; 0 without data."""
-    _, _, p, along, across = _curvatures(grid.cell[0])
-    a, b = (F.when(F.abs(x) < tolerance, 0).otherwise(F.signum(x)) for x in (along, across))
+    t = curved(grid).select(*KEY, "v", "p", *(F.when(F.abs(c) < tolerance, 0).otherwise(F.signum(c)).cast("int").alias(n) for c, n in (("along", "a"), ("across", "b"))))
+    a, b = F.col("a"), F.col("b")
     level = F.when((a > 0) & (b > 0), 1).when((a < 0) & (b < 0), 7).when(a * b < 0, 3).otherwise(4)
     slope = F.when((a > 0) & (b > 0), 2).when((a < 0) & (b < 0), 6).when(a * b < 0, 5).when((a > 0) & (b == 0), 8).when((a < 0) & (b == 0), 9).otherwise(10)
-    form = F.when(F.col("v").isNull(), 0).when(F.sqrt(p) < tolerance * 10, level).otherwise(slope)
-    return grid.with_cells(clamped(grid).select(*KEY, form.cast("double").alias("v")))
+    form = F.when(F.col("v").isNull(), 0).when(F.sqrt("p") < tolerance * 10, level).otherwise(slope)
+    return grid.with_cells(t.select(*KEY, form.cast("double").alias("v")))
 
 
 @operator("SURFACE", "gis", "input", mode=("Slope (degrees)", "Slope (percent)", "Aspect (degrees)", "Hillshade", "Profile Curvature", "Plan Curvature"), azimuth=315.0, altitude=45.0, z_factor=1.0)
@@ -118,10 +127,11 @@ def surface(grid: Grid, mode, azimuth, altitude, z_factor):
     Profile curvature takes the eastern neighbour, as its formula says.
     """
     dx, dy = grid.cell
-    east, south = _gradient(dx, dy, lambda k: F.col(k) * z_factor)
-    z = {k: F.col(k) * z_factor for k in Z}
-    p, mid = east * east + south * south, F.col("v") * z_factor
-    xx, yy, xy = (z["z6"] - 2 * mid + z["z4"]) / dx**2, (z["z2"] - 2 * mid + z["z8"]) / dy**2, (z["z3"] - z["z1"] - z["z9"] + z["z7"]) * z_factor / (4 * dx * dy)
+    t = sloped(neighbours(grid, Z), dx, dy, z_factor)
+    z, east, south = {k: F.col(k) * z_factor for k in Z}, F.col("east"), F.col("south")
+    mid = F.col("v") * z_factor
+    t = t.select(*KEY, "east", "south", (east * east + south * south).alias("p"), ((z["z6"] - 2 * mid + z["z4"]) / dx**2).alias("xx"), ((z["z2"] - 2 * mid + z["z8"]) / dy**2).alias("yy"), ((z["z3"] - z["z1"] - z["z9"] + z["z7"]) / (4 * dx * dy)).alias("xy"))
+    p, xx, yy, xy = (F.col(c) for c in ("p", "xx", "yy", "xy"))
     tilt, way, sun, up = F.atan(F.sqrt(p)), F.atan2(south, -east), math.radians(azimuth), math.radians(altitude)
     value = {
         "Slope (degrees)": F.degrees(tilt), "Slope (percent)": F.sqrt(p) * 100, "Aspect (degrees)": F.when(F.degrees(way) < 0, F.degrees(way) + 360).otherwise(F.degrees(way)),
@@ -129,7 +139,7 @@ def surface(grid: Grid, mode, azimuth, altitude, z_factor):
         "Profile Curvature": F.when(p < 1e-10, 0.0).otherwise(-(east * east * xx + 2 * east * south * xy + south * south * yy) / (p * F.pow(1 + p, 1.5))),
         "Plan Curvature": F.when(p < 1e-10, 0.0).otherwise((south * south * xx - 2 * east * south * xy + east * east * yy) / (p * F.sqrt(1 + p))),
     }[mode]
-    return grid.with_cells(neighbours(grid, Z).select(*KEY, F.when(_interior(grid), F.coalesce(value, F.lit(0.0))).otherwise(0.0).alias("v")))
+    return grid.with_cells(t.select(*KEY, F.when(_interior(grid) & p.isNotNull(), F.coalesce(value, F.lit(0.0))).otherwise(0.0).alias("v")))
 
 
 @operator("HILLSHADE", "gis", "dem", sun_azimuth=315.0, sun_elevation=45.0, z_factor=1.0)

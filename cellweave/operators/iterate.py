@@ -31,11 +31,22 @@ def _steps(grid: Grid, offsets=EIGHT) -> list[tuple[int, int, float]]:
     return [(a, b, math.hypot(a * dy, b * dx)) for a, b in offsets]
 
 
-def _relax_tile(table: pa.Table, size: int, steps: list[tuple[int, int, float]], limit: float) -> pa.Table:
-    """Least costs inside a tile and its one-cell rim, by a heap; rim cells give what they have and take what they get."""
+def _relax_tile(table: pa.Table, size: int, steps: list[tuple[int, int, float]], limit: float, power: float) -> pa.Table:
+    """Least costs inside a tile and its one-cell rim, by a heap; rim cells give what they have and take what they get.
+
+    Where a cell has a direction, its friction is raised to the signed power of the cosine between that and the move.
+    """
     import heapq
 
-    row, col, friction, cost, source = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "friction", "cost", "source"))
+    row, col, friction, cost, source, way = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "friction", "cost", "source", "way"))
+    turned = bool((way >= 0).any())
+
+    def drag(j: int, dr: int, dc: int) -> float:
+        if not turned or way[j] < 0:
+            return friction[j]
+        c = math.cos(math.atan2(dc, -dr) - math.radians(way[j]))
+        return friction[j] ** math.copysign(abs(c) ** power, c) if abs(c) > 1e-12 else 1.0
+
     at = {(r, c): k for k, (r, c) in enumerate(zip(row.tolist(), col.tolist()))}
     best, src = cost.astype(float).copy(), source.astype(float).copy()
     heap = [(best[k], src[k], k) for k in range(len(best)) if np.isfinite(best[k])]
@@ -47,16 +58,16 @@ def _relax_tile(table: pa.Table, size: int, steps: list[tuple[int, int, float]],
         for dr, dc, length in steps:
             j = at.get((row[k] + dr, col[k] + dc))
             if j is not None and friction[j] > 0:
-                new = d + friction[j] * length
+                new = d + drag(j, dr, dc) * length
                 if new <= limit and (new, s) < (best[j], src[j]):
                     best[j], src[j] = new, s
                     heapq.heappush(heap, (new, s, j))
     tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
     own = (row // size == tr) & (col // size == tc)
-    return pa.table({"row": pa.array(row[own], pa.int32()), "col": pa.array(col[own], pa.int32()), "friction": friction[own], "cost": best[own], "source": src[own], "changed": (best[own] < cost[own]) | (src[own] < source[own])})
+    return pa.table({"row": pa.array(row[own], pa.int32()), "col": pa.array(col[own], pa.int32()), "friction": friction[own], "cost": best[own], "source": src[own], "way": way[own], "changed": (best[own] < cost[own]) | (src[own] < source[own])})
 
 
-def cost_surface(seeds: DataFrame, friction: Grid, limit: float = 0.0, tile: int = 64) -> DataFrame:
+def cost_surface(seeds: DataFrame, friction: Grid, limit: float = 0.0, tile: int = 64, direction: Grid | None = None, power: float = 1.0) -> DataFrame:
     """row, col, friction, cost, source: accumulated cost from seeds (row, col, source) to every cell, with the seed it comes from.
 
     A move to a cell costs its friction times the step; friction without data or not positive is a barrier, but a
@@ -68,12 +79,14 @@ def cost_surface(seeds: DataFrame, friction: Grid, limit: float = 0.0, tile: int
     inf = float("inf")
     state = friction.df.select(*KEY, F.coalesce("v", F.lit(-1.0)).alias("friction")).join(seeds.select(*KEY, F.col("source").cast("double").alias("s")), KEY, "left")
     state = state.select(*KEY, "friction", F.when(F.col("s").isNotNull(), 0.0).otherwise(inf).alias("cost"), F.coalesce("s", F.lit(inf)).alias("source"))
+    way = direction.df.select(*KEY, F.coalesce("v", F.lit(-1.0)).alias("way")) if direction else None
+    state = state.join(way, KEY, "left").na.fill(-1.0, ["way"]) if direction else state.withColumn("way", F.lit(-1.0))
     spread = F.explode(F.array_distinct(F.array(*(F.struct(((F.col("row") + a) / tile).cast("int").alias("tr"), ((F.col("col") + b) / tile).cast("int").alias("tc")) for a, b in square(3)))))
     while True:
-        dealt = state.select(*KEY, "friction", "cost", "source", spread.alias("t")).select(*KEY, "friction", "cost", "source", "t.*")
-        state = written(dealt.groupBy("tr", "tc").applyInArrow(lambda table: _relax_tile(table, tile, steps, top), "row int, col int, friction double, cost double, source double, changed boolean"))
+        dealt = state.select(*KEY, "friction", "cost", "source", "way", spread.alias("t")).select(*KEY, "friction", "cost", "source", "way", "t.*")
+        state = written(dealt.groupBy("tr", "tc").applyInArrow(lambda table: _relax_tile(table, tile, steps, top, power), "row int, col int, friction double, cost double, source double, way double, changed boolean"))
         if not state.where("changed").head(1):
-            return state.drop("changed")
+            return state.drop("changed", "way")
 
 
 def _seeds(grid: Grid) -> DataFrame:
@@ -92,6 +105,13 @@ def allocate(source: Grid, friction: Grid):
     return friction.with_cells(cost_surface(_seeds(source), friction).select(*KEY, F.when(reached, F.col("cost")).otherwise(-1.0).alias("v"), F.when(reached, F.col("source")).otherwise(0.0).alias("allocation")))
 
 
+@operator("VARCOST", "gis", "source friction direction", k_coefficient=1.0)
+def anisotropic_cost(source: Grid, friction: Grid, direction: Grid, k_coefficient):
+    """Cost where friction depends on the angle between the move and a direction raster; negative directions don't matter."""
+    t = cost_surface(_seeds(source), friction, direction=direction, power=k_coefficient)
+    return friction.with_cells(t.select(*KEY, F.when(F.col("cost") < float("inf"), F.col("cost")).otherwise(-1.0).alias("v")))
+
+
 @operator("COSTGROW", "gis", "seeds cost", max_cost=0.0)
 def cost_grow(seeds: Grid, friction: Grid, max_cost):
     t = cost_surface(_seeds(seeds), friction, max_cost)
@@ -146,19 +166,24 @@ def disperse(source: Grid, friction: Grid, num_steps, decay_rate):
 
 
 def components(cells: DataFrame, offsets, cols: int) -> DataFrame:
-    """row, col, v, label: connected cells of equal v; a label is the least cell number. Labels jump along themselves."""
+    """row, col, v, label: connected cells of equal v; a label is the least cell number."""
     own = cells.select(*KEY, "v", (F.col("row").cast("long") * cols + F.col("col")).alias("id"))
     to = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets)))
     sent = own.select("v", "id", "row", "col", to.alias("t")).select((F.col("row") + F.col("t.dr")).alias("row"), (F.col("col") + F.col("t.dc")).alias("col"), F.col("v"), F.col("id").alias("near"))
-    edges = written(own.join(sent, ["row", "col", "v"]).select("id", "near"))
-    labels = written(own.select("id", F.col("id").alias("label")))
+    return own.join(linked(own.select("id"), own.join(sent, ["row", "col", "v"]).select("id", "near")), "id").select(*KEY, "v", "label")
+
+
+def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, label: the least id that each node reaches over edges (id, near), given both ways. Labels jump along themselves."""
+    edges = written(edges)
+    labels = written(nodes.select("id", F.col("id").alias("label")))
     while True:
         seen = edges.join(labels.select(F.col("id").alias("near"), F.col("label").alias("l")), "near").groupBy("id").agg(F.min("l").alias("l"))
         hooked = labels.join(seen, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "l").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
         labels = written(hooked.join(jump, "label", "left").select("id", "was", F.least("label", "far").alias("label")))
         if not labels.where("label <> was").head(1):
-            return own.join(labels.select("id", "label"), "id").select(*KEY, "v", "label")
+            return labels.select("id", "label")
         labels = labels.select("id", "label")
 
 

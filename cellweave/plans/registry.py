@@ -10,7 +10,7 @@ REGISTRY: dict[str, Operator] = {}
 
 @dataclass(frozen=True)
 class Operator:
-    """inputs: names of grids or tables. params: a default, or a tuple of options of which the first is the default."""
+    """inputs: names of grids or tables. params: a default, or a tuple of named options of which the first is the default."""
 
     name: str
     group: str
@@ -24,8 +24,9 @@ class Operator:
             raise ValueError(f"{self.name} has no parameter {sorted(unknown)}")
         out = {}
         for key, declared in self.params.items():
-            value = given.get(key, declared[0] if isinstance(declared, tuple) else declared)
-            if isinstance(declared, tuple):
+            choice = isinstance(declared, tuple) and bool(declared) and all(isinstance(x, str) for x in declared)
+            value = given.get(key, declared[0] if choice else declared)
+            if choice:
                 value = declared[value] if isinstance(value, int) and 0 <= value < len(declared) else value
                 if value not in declared:
                     raise ValueError(f"{self.name}: {key} is none of {declared}")
@@ -64,5 +65,5 @@ def groups() -> list[str]:
 
 
 def _load() -> None:
-    from ..operators import focal, iterate, learn, local, regrid, series, zonal  # noqa: F401
+    from ..operators import focal, iterate, learn, local, regrid, segments, series, terrain, zonal  # noqa: F401
     from ..sources import files  # noqa: F401
