@@ -492,6 +492,23 @@ def _files() -> None:
     add("tiff_round_trip", _tiff, with_grids("b", " SELECT row, col, 0 AS band, v FROM b"))
 
 
+    add("srfidris_round_trip", _surfer, with_grids("b", " SELECT row, col, 0 AS band, v FROM b"))
+
+
+def _surfer(s, d):
+    import struct
+
+    import numpy as np
+
+    g = grid(s, d, "b")
+    m = np.full((SIZE, SIZE), 1.71e38, "<f4")
+    for r in g.valid().collect():
+        m[r.row, r.col] = r.v
+    head = b"DSBB" + struct.pack("<hh6d", SIZE, SIZE, 0, 1, 0, 1, 0, 1)
+    f = s.createDataFrame([("b.grd", bytearray(head + m[::-1].tobytes()))], "path string, content binary")
+    return create("SRFIDRIS")(f).drop("path").join(g.df.select(*KEY), KEY, "left_semi")
+
+
 def _tiff(s, d):
     import numpy as np
 

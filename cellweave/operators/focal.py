@@ -211,8 +211,8 @@ def _class_counts(grid: Grid, size: int) -> DataFrame:
 
 def _diversity(grid: Grid, size: int) -> DataFrame:
     """Entropy h, Simpson's index s and number of classes k: H = ln N - sum(n ln n) / N."""
-    t = _class_counts(grid, size).groupBy(*KEY).agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.log("n")).alias("nln"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("k"))
-    return t.select(*KEY, (F.log("N") - F.col("nln") / F.col("N")).alias("h"), (1 - F.col("n2") / (F.col("N") * F.col("N"))).alias("s"), "k")
+    t = _class_counts(grid, size).groupBy(*KEY).agg(F.sum("n").alias("whole"), F.sum(F.col("n") * F.log("n")).alias("nln"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("k"))
+    return t.select(*KEY, (F.log("whole") - F.col("nln") / F.col("whole")).alias("h"), (1 - F.col("n2") / (F.col("whole") * F.col("whole"))).alias("s"), "k")
 
 
 @operator("PATTERN", "gis", "input", metric=("Entropy", "Dominance", "Diversity"), kernel_size=3)

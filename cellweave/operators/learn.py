@@ -66,6 +66,12 @@ def square_distance(a: Column, center) -> Column:
     return F.aggregate(F.zip_with(a, lit_array(center), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def scaled(a, shift, size) -> Column:
+    """(a[i] - shift[i]) / size[i]."""
+    moved = F.zip_with(a, lit_array(shift), lambda x, y: x - y)
+    return F.zip_with(moved, lit_array(size), lambda x, y: x / y)
+
+
 def least(scores: list[tuple[int, Column]], name: str = "v") -> Column:
     """struct(d, label) of the least score; ties go to the first label given."""
     return F.array_min(F.array(*(F.struct(s.alias("d"), F.lit(k).alias("o"), F.lit(label).alias("label")) for k, (label, s) in enumerate(scores))))
@@ -155,7 +161,7 @@ def minimum_distance(px: DataFrame, signatures, distance_type, max_distance):
     scores = []
     for label, mean, cov, *_ in signatures:
         sd = np.sqrt(np.maximum(np.diag(np.array(cov)), 1e-12)) if distance_type == "Standardized" else np.ones(len(mean))
-        scores.append((label, F.sqrt(square_distance(F.transform("a", lambda x, i, sd=sd: x / lit_array(sd)[i]), np.array(mean) / sd))))
+        scores.append((label, F.sqrt(square_distance(scaled("a", np.zeros(len(sd)), sd), np.array(mean) / sd))))
     best = least(scores)
     return px.select(*KEY, F.when(F.lit(max_distance <= 0) | (best["d"] <= max_distance), best["label"]).otherwise(0).cast("double").alias("v"))
 
@@ -445,15 +451,32 @@ def auto_endmembers(px: DataFrame, num_endmembers, projections, seed):
 # Clusters
 
 
-def lloyd(px: DataFrame, centers: np.ndarray, rounds: int) -> np.ndarray:
-    """K-means from given centres: assignment in the JVM, one aggregation a round; centres without pixels stay."""
+def center_sums(px: DataFrame, centers: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(center, count, sums, sums of squares) of the pixels nearest to each: partial sums by Arrow batch, then one aggregation."""
     n = centers.shape[1]
+
+    def run(batches):
+        count, sums, squares = np.zeros(len(centers), np.int64), np.zeros(centers.shape), np.zeros(centers.shape)
+        for b in batches:
+            x = np.array(b.column("a").to_pylist(), float).reshape(-1, n)
+            k = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+            count += np.bincount(k, minlength=len(centers))
+            np.add.at(sums, k, x)
+            np.add.at(squares, k, x * x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centers)), pa.int64()), pa.array(count), pa.array(sums.tolist()), pa.array(squares.tolist())], ["k", "n", "s", "q"])
+
+    t = px.select("a").mapInArrow(run, "k long, n long, s array<double>, q array<double>")
+    rows = t.groupBy("k").agg(F.sum("n").alias("n"), *(F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(c) for c in ("s", "q"))).where("n > 0").orderBy("k").collect()
+    return [(r.k, r.n, np.array(r.s), np.array(r.q)) for r in rows]
+
+
+def lloyd(px: DataFrame, centers: np.ndarray, rounds: int) -> np.ndarray:
+    """K-means from given centres; centres without pixels stay."""
+    px = written(px.select("a"))
     for _ in range(rounds):
-        t = px.withColumn("k", least([(k, square_distance(F.col("a"), c)) for k, c in enumerate(centers)])["label"])
-        rows = t.groupBy("k").agg(F.array(*(F.avg(F.col("a")[i]) for i in range(n))).alias("m")).collect()
         new = centers.copy()
-        for r in rows:
-            new[r.k] = r.m
+        for k, n, s, _ in center_sums(px, centers):
+            new[k] = s / n
         if np.allclose(new, centers, atol=1e-9):
             break
         centers = new
@@ -481,13 +504,12 @@ def kmeans(px: DataFrame, num_classes, max_iterations, seed):
 
 
 def _isodata(px, k, rounds, merge_distance, split_sd, least_members):
-    n = width(px)
+    n, px = width(px), written(px)
     first = px.groupBy("a").agg(F.min(F.xxhash64("row", "col")).alias("h")).orderBy("h", "a").limit(k).collect()
     centers = np.array([r.a for r in first], float)
     for _ in range(rounds):
-        t = px.withColumn("k", least([(i, square_distance(F.col("a"), c)) for i, c in enumerate(centers)])["label"])
-        rows = t.groupBy("k").agg(F.count("*").alias("n"), F.array(*(F.avg(F.col("a")[i]) for i in range(n))).alias("m"), F.array(*(F.stddev_pop(F.col("a")[i]) for i in range(n))).alias("s")).collect()
-        kept = [(r.n, np.array(r.m), np.array(r.s)) for r in sorted(rows, key=lambda r: r.k) if r.n >= least_members] or [(r.n, np.array(r.m), np.array(r.s)) for r in rows][:1]
+        rows = [(n, s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0))) for _, n, s, q in center_sums(px, centers)]
+        kept = [r for r in rows if r[0] >= least_members] or rows[:1]
         while len(kept) > 1:  # merge the closest pair while it is close
             d, i, j = min((float(np.linalg.norm(a[1] - b[1])), i, j) for i, a in enumerate(kept) for j, b in enumerate(kept) if i < j)
             if d >= merge_distance:
@@ -593,10 +615,12 @@ def _ml_frame(px: DataFrame) -> DataFrame:
 
 
 def _ml_class(px: DataFrame, labels: DataFrame, estimator) -> DataFrame:
+    px = written(px)
     t = training(px, labels)
     names = [r.label for r in t.select("label").distinct().orderBy("label").collect()]
     index = F.create_map(*(F.lit(x) for k, c in enumerate(names) for x in (c, float(k))))
-    model = estimator(len(names)).fit(_ml_frame(t).select("features", F.element_at(index, F.col("label")).alias("label")))
+    fitted = written(t.select("a", F.element_at(index, F.col("label")).alias("label")))
+    model = estimator(len(names)).fit(_ml_frame(fitted).select("features", "label"))
     back = F.array(*(F.lit(float(c)) for c in names))
     return model.transform(_ml_frame(px)).select(*KEY, F.element_at(back, (F.col("prediction") + 1).cast("int")).alias("v"))
 
@@ -636,7 +660,7 @@ def perceptron(px, labels, hidden_nodes, max_epochs):
     n = width(px)
     r = px.agg(F.array(*(F.min(F.col("a")[k]) for k in range(n))).alias("lo"), F.array(*(F.max(F.col("a")[k]) for k in range(n))).alias("hi")).head()
     lo, span = np.array(r.lo), np.maximum(np.array(r.hi) - np.array(r.lo), 1e-12)
-    scaled = px.withColumn("a", F.transform("a", lambda x, i: (x - lit_array(lo)[i]) / lit_array(span)[i]))
+    scaled = px.withColumn("a", scaled("a", lo, span))
     return _ml_class(scaled, labels, lambda c: MultilayerPerceptronClassifier(layers=[n, hidden_nodes, max(c, 2)], maxIter=max_epochs, seed=42))
 
 
@@ -733,6 +757,7 @@ def artmap_potential(px, change, vigilance):
 
 def logistic(t: DataFrame, n: int, rounds: int, ridge: float = 1e-6) -> np.ndarray:
     """Coefficients (intercept first) of label 0/1 on the array, by reweighted least squares: one aggregation a round."""
+    t = written(t.select("a", "label"))
     beta, cols = np.zeros(n + 1), [F.lit(1.0), *(F.col("a")[k] for k in range(n))]
     for _ in range(rounds):
         eta = sum((c * float(b) for c, b in zip(cols, beta)), F.lit(0.0))
@@ -753,7 +778,7 @@ def logistic_potential(change: Grid, drivers: list[Grid], max_iterations):
     px, n = pixels(drivers), len(drivers)
     _, mean, cov = moments(px, n)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    z = px.withColumn("a", F.transform("a", lambda x, i: (x - lit_array(mean)[i]) / lit_array(sd)[i]))
+    z = px.withColumn("a", scaled("a", mean, sd))
     beta = logistic(z.join(change.valid().select(*KEY, (F.col("v") != 0).cast("double").alias("label")), KEY), n, max_iterations)
     eta = dot(F.col("a"), beta[1:]) + float(beta[0])
     return change.with_cells(z.select(*KEY, (1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), eta))))).alias("v")))

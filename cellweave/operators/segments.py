@@ -107,9 +107,9 @@ def cooccurrence(grid: Grid, measure, window_size, direction, num_levels):
     d = (F.col("i") - F.col("j")).cast("double")
     if measure in ("Energy", "Entropy"):
         c = pairs.groupBy(*KEY, "i", "j").agg(F.count("*").alias("n"))
-        size = c.groupBy(*KEY).agg(F.sum("n").alias("N"))
+        size = c.groupBy(*KEY).agg(F.sum("n").alias("whole"))
         both = F.col("i") != F.col("j")
-        p = F.col("n") / F.col("N") / F.when(both, 2).otherwise(1)
+        p = F.col("n") / F.col("whole") / F.when(both, 2).otherwise(1)
         one = p * p if measure == "Energy" else -p * F.log(p)
         t = c.join(size, KEY).groupBy(*KEY).agg(F.sum(one * F.when(both, 2).otherwise(1)).alias("x"))
     elif measure == "Correlation":

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..plans.grid import KEY
 from ..plans.registry import operator
 
-CELL = Window.partitionBy(*KEY)
-TIMED = CELL.orderBy("t")
+
+def timed():
+    """A cell's rows in order of time."""
+    return Window.partitionBy(*KEY).orderBy("t")
 
 
 def to_arrays(series: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def series_stats(s: DataFrame, statistic):
 @operator("TDIFF", "etm", "series")
 def difference(s: DataFrame):
     """Value less the one before, from the second time on."""
-    return s.select(*KEY, "t", (F.col("v") - F.lag("v").over(TIMED)).alias("v"), F.row_number().over(TIMED).alias("k")).where("k > 1").drop("k")
+    return s.select(*KEY, "t", (F.col("v") - F.lag("v").over(timed())).alias("v"), F.row_number().over(timed()).alias("k")).where("k > 1").drop("k")
 
 
 @operator("TAGGREGATE", "etm", "series", group_size=12, method=("mean", "sum", "max", "min"))
@@ -60,7 +62,7 @@ def deseason(s: DataFrame, period):
 def decompose(s: DataFrame, frequency):
     """Classical additive parts: trend (centred mean, half weights at the ends if the frequency is even), seasonal, residual."""
     h = frequency // 2
-    wide, narrow = TIMED.rowsBetween(-h, h), TIMED.rowsBetween(-h + 1, h - 1)
+    wide, narrow = timed().rowsBetween(-h, h), timed().rowsBetween(-h + 1, h - 1)
     whole = F.count("v").over(wide) == 2 * h + 1
     trend = F.avg("v").over(wide) if frequency % 2 else (F.sum("v").over(wide) + F.sum("v").over(narrow)) / (2 * frequency) if h > 1 else F.sum("v").over(wide) / 4 + F.col("v") / 4
     t = s.withColumn("trend", F.when(whole, trend)).withColumn("phase", F.col("t") % frequency)

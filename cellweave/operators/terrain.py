@@ -190,7 +190,7 @@ def tin(points: DataFrame):
 
     schema = "tri long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz")
     one = points.dropna(subset=["x", "y", "value"]).dropDuplicates(["x", "y"])
-    return one.select("id", "x", "y", "value").groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: run(t.drop_columns(["all"])), schema)
+    return one.select("id", "x", "y", "value", F.lit(0).alias("part")).groupBy("part").applyInArrow(run, schema)
 
 
 @operator("TINSURF", "gis", "triangles reference")

@@ -66,4 +66,4 @@ def groups() -> list[str]:
 
 def _load() -> None:
     from ..operators import focal, iterate, learn, local, regrid, segments, series, terrain, zonal  # noqa: F401
-    from ..sources import files  # noqa: F401
+    from ..sources import converters, files  # noqa: F401

@@ -234,3 +234,76 @@ def test_stream(spark, tmp_path):
     q = tumbling(source, "1 day", method="sum").writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("tumbled").agg({"n": "sum"}).head()[0] == 1000
+
+
+def test_viewshed(spark, rng):
+    dem = rng.integers(0, 20, (13, 14)).astype(float)
+    orow, oc, eye = 6, 5, dem[6, 5] + 1.7
+    want = np.ones(dem.shape)
+    for r in range(13):
+        for c in range(14):
+            n = max(abs(r - orow), abs(c - oc))
+            if n:
+                angle = (dem[r, c] - eye) / math.hypot(r - orow, c - oc)
+                for s in range(1, n):
+                    i, j = (o + int(math.copysign(math.floor(abs(d * s / n) + 0.5), d)) for o, d in ((orow, r - orow), (oc, c - oc)))
+                    if (dem[i, j] - eye) / math.hypot(i - orow, j - oc) > angle:
+                        want[r, c] = 0
+    got = to_array(create("VIEWSHED")(to_grid(spark, dem), observer_x=5.5, observer_y=-6.5), dem.shape)
+    assert (got == want).all()
+
+
+def test_pollination(spark, rng):
+    land = rng.integers(1, 4, (9, 9)).astype(float)
+    nest, flower, reach = {1: 0.5, 2: 0.9}, {1: 0.3, 3: 0.8}, 2.0
+    n, f = (np.vectorize(lambda v, t=t: t.get(int(v), 0.0))(land) for t in (nest, flower))
+    cells = [(r, c) for r in range(9) for c in range(9)]
+    w = {(a, b): math.exp(-math.dist(a, b) / (reach / 2)) for a in cells for b in cells if math.dist(a, b) <= reach}
+    out = np.zeros(land.shape)
+    for a in cells:
+        near = [b for b in cells if (a, b) in w]
+        flowers = sum(f[b] * w[a, b] for b in near)
+        supply = n[a] * flowers / sum(w[a, b] for b in near)
+        for b in near:
+            if flowers > 0:
+                out[b] += supply * f[b] * w[a, b] / flowers
+    got = to_array(create("POLLINATION")(to_grid(spark, land), nesting=tuple(nest.items()), floral=tuple(flower.items()), foraging_distance=reach), land.shape)
+    assert np.allclose(got, out)
+
+
+def test_anisotropic_cost(spark, rng):
+    f, s = rng.integers(1, 5, (8, 9)).astype(float), np.zeros((8, 9))
+    s[3, 3] = 1
+    plain = to_array(create("COST")(to_grid(spark, s), to_grid(spark, f)), f.shape)
+    free = to_array(create("VARCOST")(to_grid(spark, s), to_grid(spark, f), to_grid(spark, np.full(f.shape, -1.0))), f.shape)
+    east = to_array(create("VARCOST")(to_grid(spark, s), to_grid(spark, f), to_grid(spark, np.full(f.shape, 90.0))), f.shape)
+    assert np.allclose(plain, free)
+    assert math.isclose(east[3, 4], f[3, 4]) and math.isclose(east[3, 2], 1 / f[3, 2])
+
+
+def test_path_and_triangles(spark):
+    back, cost = np.zeros((4, 4)), np.arange(16.0).reshape(4, 4)
+    back[3, 3], back[2, 2], back[1, 1] = 32, 32, 32
+    p = to_array(create("PATHWAY")(to_grid(spark, cost), to_grid(spark, back), row=3, col=3), back.shape)
+    assert p.sum() == 4 and all(p[k, k] for k in range(4))
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 8.0, 0.0, 8.0), (3, 0.0, -8.0, 16.0), (4, 8.0, -8.0, 24.0), (5, 4.0, -3.0, 10.0)], "id long, x double, y double, value double")
+    z = to_array(create("TINSURF")(create("TIN")(pts), to_grid(spark, np.zeros((9, 9)))), (9, 9))
+    r, c = np.indices((9, 9))
+    assert np.allclose(z, c + 2 * r)  # all points lie on one plane
+
+
+def test_outlines(spark, rng):
+    m = (rng.random((8, 8)) < 0.5).astype(float)
+    edges = create("RASTERVECTOR")(to_grid(spark, m))
+    back = create("VECTORRASTER")(edges.where("value = 1"), to_grid(spark, m))
+    assert (to_array(back, m.shape) == m).all()
+
+
+def test_segments(spark):
+    m = np.zeros((10, 10))
+    m[:, 5:] = 50
+    m[2, 2] = 200
+    px = learn.pixels([to_grid(spark, m)])
+    for op, extra in (("SEGMENT", {"similarity_threshold": 5.0, "min_segment_size": 3}), ("SEGMENTATION", {"spatial_bandwidth": 2.0, "spectral_bandwidth": 10.0, "min_region_size": 3})):
+        s = to_array(create(op)(px, cols=10, **extra), m.shape)
+        assert len(np.unique(s)) == 2 and len(np.unique(s[:, :5])) == 1
