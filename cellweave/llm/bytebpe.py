@@ -144,6 +144,7 @@ def encode_bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         from pyspark.sql.pandas.types import to_arrow_type
 
         bpe, kinds = codec(path), [to_arrow_type(t) for _, t in types]
+        Memo.focus(bpe.memo)
         for batch in slices(batches, "text", 1 << 20):
             rows = [finish(bpe, *bpe.encode(t)) for t in as_text(batch.column("text"))]
             bpe.memo.trim()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,25 @@ def materialize(df: DataFrame) -> DataFrame:
 class Memo(dict):
     """A map filled on demand, in two generations of at most `limit` entries each."""
 
-    def __init__(self, make: Callable | None = None, limit: int = 400_000):
+    every: ClassVar[list] = []
+
+    def __init__(self, make: Callable | None = None, limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        Memo.every.append(self)
+
+    @staticmethod
+    def focus(*own: Memo) -> None:
+        """Empty all other memos: a worker that goes from one stage to the next keeps only what this one needs."""
+        others = [m for m in Memo.every if (m or m.old) and not any(m is o for o in own)]
+        for m in others:
+            m.clear()
+            m.old = {}
+        if others:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
     def __missing__(self, key):
         value = self.old.get(key)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text, slices
+from .common import Memo, as_text, slices
 
 LETTERS = re.compile(r"[^\W\d_]")
 SIGNS = re.compile(r"[\W\d_]+")
@@ -86,6 +86,7 @@ def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus()
         sizes, names = compressed_sizes(model), [k for k, _ in model.dictionaries]
         for batch in slices(batches, "text"):
             best, margin = [], []
@@ -110,6 +111,7 @@ def keep_identified(df: DataFrame, model: CompressionModel, text_col: str = "tex
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus()
         sizes = compressed_sizes(model)
         for batch in slices(batches, text_col):
             keep = []

@@ -242,6 +242,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
             _LOADED[path] = Tokens(path)
+        Memo.focus(_LOADED[path].units)
         end = struct.pack("<I", end_id)
         for batch in slices(batches, "text", 2 << 20):
             row, piece, start, length, crc = [], [], [], [], []

@@ -77,6 +77,7 @@ def count_long(tokenizer, text: str, chunk: int, overlap: int) -> int:
 
 def count_texts(path: str, texts: list[str], chunk: int = 32768, overlap: int = 512) -> list[int]:
     tokenizer, memo = load_tokenizer(path)
+    Memo.focus(memo)
     split = [t.split() if len(t) <= chunk and not ODD.search(t) else None for t in texts]
     new = memo.unseen(set().union(*(w for w in split if w)))
     for word, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
