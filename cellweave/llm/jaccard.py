@@ -14,7 +14,6 @@ leave a task. Every pair that shares a key is thus in one component or has been
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,21 +40,13 @@ class Band:
     def __init__(self, number: int, lo: int, hi: int, num: int, den: int):
         self.number, self.lo, self.hi = number, lo, hi
         self.d = 2 * hi * (den - num) // (den + num)
-        least = max(1, lo * num // den)  # the smallest set that uses this band
-        rate = least / (self.d + 1)
-        self.heavy = 4 if rate >= 7 else 3 if rate >= 5.5 else 2
-        spare = 0
-        for _ in range(12):
-            self.m = self.d + 1 + spare
-            x = least / self.m
-            p = math.exp(-x) * sum(x**i / math.factorial(i) for i in range(self.heavy))
-            spare = min(math.ceil(self.m * p + math.sqrt(self.m * p * (1 - p))), self.d + 1)
+        self.m = (self.d + 1) * 5 // 4 + 1
 
 
 class Bands:
     """Size bands for a similarity of num/den."""
 
-    def __init__(self, num: int, den: int, ratio: float = 1.2):
+    def __init__(self, num: int, den: int, ratio: float = 1.25):
         self.num, self.den, self.ratio, self.bands = num, den, ratio, [Band(0, 1, 1, num, den)]
 
     def of(self, size: int) -> list[Band]:
@@ -69,32 +60,25 @@ class Bands:
         return [b for b in self.bands[first : last + 1] if b.d]
 
 
-SEEDS = 64
-
-
 def sketch_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the sketch words. Two linked sets have one in common.
+    """Keys of the d + 1 words that hold most tokens, for each band. Two linked sets have one in common.
 
     A word is a parity sketch of 2**16 bits, held as its linear fingerprint: XOR of one random number per set bit.
-    Linked sets have m - d words at least that no differing token touches. Words of few tokens collide by chance,
-    so only heavy ones are emitted; if more than d words are heavy, one of them is untouched. Otherwise the set
-    goes on with the next seed until that holds, so that of two sets, the first that stops has met the other.
+    Order words by tokens, then place. At most d words hold a token in which two linked sets differ; among the others,
+    which both sets order alike, the first has at most d words before it in either set, so both emit it. Words of many
+    tokens rarely collide by chance, so the fullest come first.
     """
     out = [np.empty(0, U64)]
+    t = mix(tokens)
+    spot = mix((t & U64(0xFFFF)) + U64(1))
     with np.errstate(over="ignore"):
         for band in bands.of(len(tokens)):
-            for seed in range(SEEDS):
-                t = mix(tokens + U64(seed) * U64(0x9E3779B97F4A7C15))
-                block = ((t >> U64(32)) * U64(band.m) >> U64(32)).astype(np.int64)
-                words = np.zeros(band.m, U64)
-                np.bitwise_xor.at(words, block, mix((t & U64(0xFFFF)) + U64(1)))
-                place = mix((U64(band.number) << U64(40)) + (U64(seed) << U64(32)) + np.arange(band.m, dtype=U64))
-                keys = mix(words * U64(0xD6E8FEB86659FD93) + place)
-                heavy = np.bincount(block, minlength=band.m) >= band.heavy
-                last = int(heavy.sum()) > band.d
-                out.append(keys[heavy] if last or seed < SEEDS - 1 else keys)
-                if last:
-                    break
+            block = ((t >> U64(32)) * U64(band.m) >> U64(32)).astype(np.int64)
+            words = np.zeros(band.m, U64)
+            np.bitwise_xor.at(words, block, spot)
+            fullest = np.argsort(-np.bincount(block, minlength=band.m), kind="stable")[: band.d + 1]
+            place = mix((U64(band.number) << U64(32)) + fullest.astype(U64))
+            out.append(mix(words[fullest] * U64(0xD6E8FEB86659FD93) + place))
     return np.concatenate(out)
 
 
@@ -107,6 +91,7 @@ def set_node(tokens: np.ndarray) -> int:
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus(WORDS)
         for batch in slices(batches, "text"):
             sets = [shingles(text, k) for text in as_bytes(batch.column("text"))]
             WORDS.trim()
@@ -123,6 +108,7 @@ def _keys(k: int, num: int, den: int):
     """Rows (bucket, node, key). A key that HOT sets of one slice share goes to one of SALTS buckets, its least node also to the key's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus(WORDS)
         bands = Bands(num, den)
         for batch in slices(batches, "text"):
             sets = {set_node(x): x for text in as_bytes(batch.column("text")) if len(x := shingles(text, k))}
@@ -146,6 +132,7 @@ def _keys(k: int, num: int, den: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus(WORDS)
         for batch in slices(batches, "text"):
             sets = [shingles(text, k) for text in as_bytes(batch.column("text"))]
             WORDS.trim()
@@ -156,6 +143,7 @@ def _sets(k: int):
 
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus()
         for batch in slices(batches, "tokens"):
             keep = []
             for a, b in zip(batch.column("tokens").to_pylist(), batch.column("tokens_b").to_pylist()):
