@@ -36,6 +36,7 @@ def _signed(values) -> pa.Array:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Memo.focus(CODES)
     for batch in slices(batches, "text"):
         row, number, codes = [], [], []
         for r, text in enumerate(as_bytes(batch.column("text"))):
@@ -84,7 +85,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null and doc is not null")
     kind = docs.schema["doc"].dataType.simpleString()
-    lines = docs.mapInArrow(_lines, f"doc {kind}, line long, codes binary")
+    lines = materialize(docs.mapInArrow(_lines, f"doc {kind}, line long, codes binary"))
     counted = materialize(lines.groupBy("line", "codes").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")))
     settled, rest, d = None, counted.select("line", "codes"), depth
     while True:
@@ -122,7 +123,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("__drop").to_pylist()):
                 parts = text.encode().split(b"\n") if text is not None else []
                 if drop is None:
-                    counts.append(sum(1 for x in parts if x.split()))
+                    counts.append(sum(1 for x in parts if x and not x.isspace()))
                     gone.append(0)
                     texts.append(text)
                     continue
