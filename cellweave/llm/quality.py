@@ -25,17 +25,25 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Least and most characters per token, most byte-fallback share, least entropy (bits) of texts of `long` tokens or more, most symbols and repeated-line shares."""
+    """Least and most characters per token, most byte-fallback share, least entropy in bits.
+
+    Entropy grows with the length of a text, so its band is a line through (tokens, bits), over the logarithm of tokens;
+    shorter texts than the first point have no such band, and longer ones than the last have its value.
+    """
 
     chars: tuple[float, float] = (1.0, 12.0)
     fallback: float = 0.5
-    entropy: float = 3.0
-    long: int = 100
+    entropy: tuple[tuple[int, float], ...] = ((100, 3.0),)
+
+    def least_entropy(self, tokens: int) -> float:
+        if tokens < self.entropy[0][0]:
+            return 0.0
+        return float(np.interp(np.log(tokens), [np.log(n) for n, _ in self.entropy], [bits for _, bits in self.entropy]))
 
 
 @dataclass(frozen=True)
 class FertilityRules:
-    bands: dict = field(default_factory=lambda: {"latin": Bands(chars=(1.6, 9.0), fallback=0.1, entropy=4.0), "none": Bands(chars=(0.0, 0.0))})
+    bands: dict = field(default_factory=lambda: {"latin": Bands(chars=(1.6, 9.0), fallback=0.1, entropy=((50, 4.2), (180, 5.3), (600, 5.95), (2000, 6.2))), "none": Bands(chars=(0.0, 0.0))})
     default: Bands = Bands()
     min_words: int = 20
     repeat_percent: int = 30
@@ -91,6 +99,7 @@ def script_of(text: str) -> str:
 def measure(batch_texts: list[bytes], path: str, rules: FertilityRules) -> list[tuple]:
     """One row of figures per text, in the order of FIELDS."""
     model, memo, fallback = _load(path)
+    Memo.focus(memo, HASHES)
     split = [t.split() for t in batch_texts]
     new = memo.unseen(set().union(*split))
     for word, ids in zip(new, model.encode([w.decode() for w in new], num_threads=1) if new else []):
@@ -112,7 +121,7 @@ def measure(batch_texts: list[bytes], path: str, rules: FertilityRules) -> list[
         failed = n < rules.min_words or 100 * repeat > rules.repeat_percent * n
         script = script_of(text.decode())
         band = rules.bands.get(script, rules.default)
-        fits = band.chars[0] <= fertility <= band.chars[1] and share <= band.fallback and (len(ids) < band.long or entropy >= band.entropy)
+        fits = band.chars[0] <= fertility <= band.chars[1] and share <= band.fallback and entropy >= band.least_entropy(len(ids))
         out.append((n, chars, symbols, duplicate_lines(text), repeat, len(ids), fertility, share, entropy, script, failed, fits and not failed))
     memo.trim()
     HASHES.trim()
