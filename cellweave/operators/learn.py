@@ -660,8 +660,8 @@ def perceptron(px, labels, hidden_nodes, max_epochs):
     n = width(px)
     r = px.agg(F.array(*(F.min(F.col("a")[k]) for k in range(n))).alias("lo"), F.array(*(F.max(F.col("a")[k]) for k in range(n))).alias("hi")).head()
     lo, span = np.array(r.lo), np.maximum(np.array(r.hi) - np.array(r.lo), 1e-12)
-    scaled = px.withColumn("a", scaled("a", lo, span))
-    return _ml_class(scaled, labels, lambda c: MultilayerPerceptronClassifier(layers=[n, hidden_nodes, max(c, 2)], maxIter=max_epochs, seed=42))
+    unit = px.withColumn("a", scaled("a", lo, span))
+    return _ml_class(unit, labels, lambda c: MultilayerPerceptronClassifier(layers=[n, hidden_nodes, max(c, 2)], maxIter=max_epochs, seed=42))
 
 
 @operator("RBFNN", "imgproc", "pixels labels", num_centers=20)
