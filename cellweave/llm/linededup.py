@@ -22,7 +22,7 @@ from .common import U64, Memo, as_bytes, materialize, slices
 
 MASK = re.compile(rb"(?:https?://\S+)|[\w.+-]+@[\w.-]+|0x[0-9a-fA-F]+|[0-9]+(?:[.,:/-][0-9]+)*")
 DIGIT = re.compile(rb"[0-9@]|://")
-CODES = Memo(lambda w: xxhash.xxh3_64_intdigest(w) & 0xFFFF)
+CODES = Memo(xxhash.xxh3_64_intdigest)
 
 
 def parse_line(line: bytes) -> tuple[int, list[bytes]]:
@@ -45,7 +45,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tokens:
                     row.append(r)
                     number.append(h)
-                    codes.append(np.fromiter(map(CODES.__getitem__, tokens), np.uint16, len(tokens)).tobytes())
+                    codes.append(np.fromiter(map(CODES.__getitem__, tokens), U64, len(tokens)).tobytes())
         CODES.trim()
         yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row, pa.int32())), _signed(number), pa.array(codes, pa.binary())], ["doc", "line", "codes"])
 
@@ -58,7 +58,7 @@ def _templates(similarity: float):
         for batch in batches:
             out = []
             for at, line, codes in zip(*(batch.column(c).to_pylist() for c in ("leaf", "line", "codes"))):
-                own = np.frombuffer(codes, np.uint16)
+                own = np.frombuffer(codes, U64)
                 if at != leaf:
                     leaf, heads, names = at, own[None, :], [line]
                     out.append(line)
@@ -89,12 +89,12 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = materialize(lines.groupBy("line", "codes").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")))
     settled, rest, d = None, counted.select("line", "codes"), depth
     while True:
-        leaf = F.xxhash64(F.length("codes"), F.substring("codes", 1, 2 * d))
+        leaf = F.xxhash64(F.length("codes"), F.substring("codes", 1, 8 * d))
         sized = rest.withColumn("leaf", leaf)
         per_leaf = sized.groupBy("leaf").agg(F.count("*").alias("n"), F.max(F.length("codes")).alias("width"))
-        ready = sized.join(per_leaf.where((F.col("n") > 1) & ((F.col("n") <= leaf_lines) | (F.col("width") <= 2 * d))).select("leaf"), "leaf").select("leaf", "line", "codes")
+        ready = sized.join(per_leaf.where((F.col("n") > 1) & ((F.col("n") <= leaf_lines) | (F.col("width") <= 8 * d))).select("leaf"), "leaf").select("leaf", "line", "codes")
         settled = ready if settled is None else settled.unionByName(ready)
-        over = per_leaf.where((F.col("n") > leaf_lines) & (F.col("width") > 2 * d))
+        over = per_leaf.where((F.col("n") > leaf_lines) & (F.col("width") > 8 * d))
         if not over.head(1):
             break
         rest, d = materialize(sized.join(over.select("leaf"), "leaf", "left_semi").select("line", "codes")), 2 * d

@@ -202,6 +202,25 @@ def test_line_dedup(spark, docs):
     assert deep.where("n_dropped = 1").count() == 50
 
 
+def test_line_dedup_compares_true_tokens(spark):
+    import xxhash
+
+    # Words whose hashes agree in their low 16 bits, pair by pair.
+    seen, pairs = {}, []
+    for k in range(4000):
+        w = f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}"
+        low = xxhash.xxh3_64_intdigest(w.encode()) & 0xFFFF
+        if low in seen:
+            pairs.append((seen.pop(low), w))
+        else:
+            seen[low] = w
+    assert len(pairs) >= 10
+    a, b = zip(*pairs[:10])
+    rows = [(1, "\n".join([*a, " ".join(a[:6]), "one two three four five " + " ".join(a[:5])])), (2, "\n".join([*b, " ".join(b[:6]), "one two three four five " + " ".join(b[:5])]))]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (t, 0) for i, t in rows}
+
+
 def test_token_count(docs):
     rows, df = docs
     path = public_tokenizers.path("word_bpe_49k.json")
