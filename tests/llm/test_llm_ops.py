@@ -221,6 +221,41 @@ def test_line_dedup_compares_true_tokens(spark):
     assert got == {i: (t, 0) for i, t in rows}
 
 
+def test_line_dedup_is_the_same_at_every_size(spark):
+    # One varied word at place 6 of 19, in more lines than leaf_lines.
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    rows = [(k, f"same four words here then {name(k)} b c d e f g h i j k l m n") for k in range(4500)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_dropped = 1").count() == 4499
+    # Leaves of mixed lines against the rule itself, with and without keys.
+    rng = random.Random(5)
+    bases = [[rng.choice("pqrst") for _ in range(n)] for n in (7, 12, 12, 20, 33) for _ in range(4)]
+    rows = []
+    for k in range(600):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice("pqrstuv")
+        rows.append((k, " ".join(["one", "two", "three", "four", *words])))
+    first, heads = {}, {}
+    for h, tokens in sorted(((h - (h >> 63 << 64), t) for h, t in {linededup.parse_line(t.encode())[0]: linededup.parse_line(t.encode())[1] for _, t in rows}.items())):
+        own = heads.setdefault(len(tokens), [])
+        near = [sum(a == b for a, b in zip(tokens, x)) for _, x in own]
+        if near and max(near) / len(tokens) >= 0.85:
+            first[h] = own[near.index(max(near))][0]
+        else:
+            own.append((h, tokens))
+            first[h] = h
+    least, of = {}, {}
+    for k, t in rows:
+        h = linededup.parse_line(t.encode())[0]
+        of[k] = first[h - (h >> 63 << 64)]
+        least.setdefault(of[k], k)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for many in (1, 5, 4096):
+        assert {r.doc_id for r in linededup.dedup_lines(df, leaf_lines=many).where("n_dropped = 1").collect()} == {k for k, t in of.items() if least[t] != k}
+    assert sum(map(len, heads.values())) > 40
+
+
 def test_token_count(docs):
     rows, df = docs
     path = public_tokenizers.path("word_bpe_49k.json")
