@@ -21,6 +21,8 @@ from .common import Memo, as_text, slices
 
 LETTERS = re.compile(r"[^\W\d_]")
 SIGNS = re.compile(r"[\W\d_]+")
+#: Margins up to this are rejected; README has what it rejects.
+MIN_MARGIN = 0.02
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ def compressed_sizes(model: CompressionModel):
     return lambda data: [sorted(len(c.compress(data)) for c in own)[len(own) // 2] for own in compressors]
 
 
-def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0) -> DataFrame:
+def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """doc_id, lang_pred, score, margin and rejected for every row.
 
     margin: by how much of its size the second-smallest encoding is larger; score: 1 - exp(-20 margin). Equal sizes
@@ -106,7 +108,7 @@ def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc
     return rows.select("doc_id", "lang_pred", (1 - F.exp(F.col("margin") * -20)).alias("score"), "margin", ((F.col("lang_pred") == "und") | (F.col("margin") <= min_margin)).alias("rejected"))
 
 
-def keep_identified(df: DataFrame, model: CompressionModel, text_col: str = "text", min_margin: float = 0.0) -> DataFrame:
+def keep_identified(df: DataFrame, model: CompressionModel, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of df whose text isn't rejected; columns are those of df."""
     names = df.columns
 

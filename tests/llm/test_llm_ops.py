@@ -163,6 +163,20 @@ def test_language(docs, spark):
     assert {r.lang_pred for r in none.select("lang_pred").distinct().collect()} == {"und"}
 
 
+def test_language_rejects_junk(spark):
+    # Of the small tables, only these have texts enough for dictionaries of nearly equal size, as the margin was calibrated.
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit_languages(docs.where(~langid.held_out("doc_id")))
+    rng = random.Random(6)
+    kinds = {"letters": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшя", "polish": "szcz prze nie wie rz owa ać ski dzi kow łem czy był jak dla ście".split(), "finnish": "kin ssa lla nen tta sta kuu jää mies talo vesi yö ole kun hän".split()}
+    rows = [(f"{k} {n} {j}", " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(2, 6))) for _ in range(n))) for k, parts in kinds.items() for n in (300, 1000, 5000) for j in range(5)]
+    junk = spark.createDataFrame(rows, "doc_id string, text string")
+    assert langid.predict_languages(junk, model).where("not rejected").count() == 0
+    assert langid.keep_identified(junk, model).count() == 0
+    held = docs.where(langid.held_out("doc_id"))
+    assert langid.keep_identified(held, model).count() > 0.98 * held.count()
+
+
 def test_quality(docs):
     rows, df = docs
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.score_quality(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
