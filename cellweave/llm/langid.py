@@ -44,25 +44,28 @@ def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """`parts` dictionaries of `size` bytes each from at most `texts` labelled texts per language, of at most `longest` characters.
 
     These are the bounds of the sample: texts with the least hashes are taken, so the choice depends on the texts
-    alone, and equal texts count once. The counts of each language are taken over all rows. Null texts and labels
-    are left out; more than `languages` labels are an error.
+    alone, and equal texts count once, in the counts of each language over all rows as well. Null texts and labels
+    are left out; more than `languages` labels are an error, and so is a label without a drawn text.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(f"lang is not null and length(text) between 1 and {longest}")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(languages + 1).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(languages + 1).collect()}
     if len(counts) > languages:
         raise ValueError(f"more than {languages} languages")
     if not counts:
         return CompressionModel(())
-    # A hash threshold leaves a few times the texts that are needed, whatever a language's share of the rows.
+    # A hash threshold leaves a few times the texts that are needed, whatever a language's share of the rows and of copies.
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 4 * texts / n)))), F.col("lang"))
-    draw = rows.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share).distinct()
+    draw = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share).distinct()
     first = draw.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= texts)
     content: dict[str, list[bytearray]] = {k: [bytearray() for _ in range(parts)] for k in counts}
     for r in first.orderBy("lang", "r").select("lang", "text").collect():
         least = min(content[r["lang"]], key=len)
         if len(least) < size:
             least += normalize(r["text"])
-    return CompressionModel(tuple((k, tuple(bytes(x[:size]) for x in v if x)) for k, v in sorted(content.items()) if any(v)))
+    if bare := [k for k, v in content.items() if not any(v)]:
+        raise ValueError(f"no text drawn for {sorted(bare)}")
+    return CompressionModel(tuple((k, tuple(bytes(x[:size]) for x in v if x)) for k, v in sorted(content.items())))
 
 
 def compressed_sizes(model: CompressionModel):

@@ -177,6 +177,13 @@ def test_language_rejects_junk(spark):
     assert langid.keep_identified(held, model).count() > 0.98 * held.count()
 
 
+def test_language_of_copies_is_learned(spark):
+    rows = spark.range(6000).select(F.concat(F.lit("some text of number "), F.expr("repeat(char(97 + cast(id % 20 as int)), 9)")).alias("text"), F.lit("xx").alias("lang"))
+    rows = rows.unionByName(spark.createDataFrame([("another one", "yy")], "text string, lang string"))
+    model = dict(langid.fit_languages(rows, texts=4).dictionaries)
+    assert set(model) == {"xx", "yy"} and sum(x.count(b"some text") for x in model["xx"]) == 4
+
+
 def test_quality(docs):
     rows, df = docs
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.score_quality(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
