@@ -1,6 +1,6 @@
 """Language identification by compression: the zstandard dictionary that makes a text smallest names its language.
 
-Each language has a few dictionaries of raw content, of whole labelled texts of a bounded sample. A text's size under
+Each language has a few dictionaries of raw content, of the beginnings of labelled texts, in a bounded sample. A text's size under
 a language is the median over its dictionaries, so that a copy with a wrong label in one of them has no say. A text
 is rejected where the two smallest sizes are nearly equal.
 """
@@ -41,13 +41,13 @@ def normalize(text: str) -> bytes:
 
 
 def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = 384, longest: int = 8192, size: int = 131072, parts: int = 3, languages: int = 200) -> CompressionModel:
-    """`parts` dictionaries of `size` bytes each from at most `texts` labelled texts per language, of at most `longest` characters.
+    """`parts` dictionaries of `size` bytes each from at most `texts` labelled texts per language, by their first `longest` characters.
 
     These are the bounds of the sample: texts with the least hashes are taken, so the choice depends on the texts
     alone, and equal texts count once, in the counts of each language over all rows as well. Null texts and labels
     are left out; more than `languages` labels are an error, and so is a label without a drawn text.
     """
-    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(f"lang is not null and length(text) between 1 and {longest}")
+    rows = df.select(F.substring(text_col, 1, longest).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and length(text) > 0")
     rows = rows.withColumn("h", F.xxhash64("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(languages + 1).collect()}
     if len(counts) > languages:

@@ -184,6 +184,12 @@ def test_language_of_copies_is_learned(spark):
     assert set(model) == {"xx", "yy"} and sum(x.count(b"some text") for x in model["xx"]) == 4
 
 
+def test_language_of_long_texts_is_learned(spark):
+    rows = spark.createDataFrame([("short and sweet", "xx"), ("long and winding " * 3000, "yy")], "text string, lang string")
+    model = dict(langid.fit_languages(rows).dictionaries)
+    assert set(model) == {"xx", "yy"} and 8000 < sum(map(len, model["yy"])) <= 8192
+
+
 def test_quality(docs):
     rows, df = docs
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.score_quality(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
