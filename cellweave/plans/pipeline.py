@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from .registry import create
+from .registry import create, operator
 
 
 @dataclass
@@ -36,3 +36,7 @@ class Pipeline:
     @staticmethod
     def load(text: str) -> Pipeline:
         return Pipeline(json.loads(text))
+
+
+operator("MACROMODELER", "gis", "")(Pipeline)
+operator("RUNMACRO", "gis", "text workspace")(lambda text, workspace: Pipeline.load(text).run(workspace))

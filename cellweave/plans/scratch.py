@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Spark's own switch: the shuffle files of an execution go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a local folder, but only for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "cellweave")
+
+
+def _file(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()), file
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder; our own folder only where the session names none."""
+    """df as a table in the shared folder, without the shuffle files that made it. It goes when the session ends, or by `discard`."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/cellweave'}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    system, file = _file(spark, path)
+    system.deleteOnExit(file)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that no later plan reads."""
+    for t in tables:
+        system, file = _file(t.sparkSession, t._scratch)
+        system.delete(file, True)
+        system.cancelDeleteOnExit(file)
