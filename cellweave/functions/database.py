@@ -64,22 +64,25 @@ class Database:
         self.create_table(name, self.table(name).withColumn(column, F.expr(expression)))
 
     def import_csv(self, name: str, path: str, header: bool = True) -> None:
-        """Types come from the first data row alone: long, else double, else text."""
+        """Types come from the first data row: long, else double, else text. A column with later values that don't fit is widened, so none is lost."""
         raw = self.spark.read.option("header", header).csv(path)
         raw = raw if header else raw.toDF(*(f"COL{k + 1}" for k in range(len(raw.columns))))
+        kinds = ("long", "double")
+        fits = raw.agg(*(F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(k).isNotNull()).alias(f"{n}_{k}") for n, c in enumerate(raw.columns) for k in kinds)).head()
         first = raw.limit(1).collect()
 
-        def kind(x) -> str:
-            for t, cast in (("long", int), ("double", float)):
+        def kind(n: int, x) -> str:
+            for k, cast in zip(kinds, (int, float)):
                 try:
                     cast(x)
-                    return t
                 except (TypeError, ValueError):
                     continue
+                if fits[f"{n}_{k}"]:
+                    return k
             return "string"
 
-        kinds = {c: kind(first[0][c]) if first else "string" for c in raw.columns}
-        self.create_table(name, raw.select(*(F.col(f"`{c}`").try_cast(k).alias(c) for c, k in kinds.items())))
+        names = {c: kind(n, first[0][c]) if first else "string" for n, c in enumerate(raw.columns)}
+        self.create_table(name, raw.select(*(F.col(f"`{c}`").try_cast(k).alias(c) for c, k in names.items())))
 
     def export_csv(self, name: str, path: str) -> None:
         self.table(name).write.option("header", True).option("quoteAll", True).csv(path)

@@ -1,94 +1,168 @@
-"""Converters by name: files in, cells out. A form is known by its first bytes; what can't be read here raises."""
+"""Converters by name: files in, cells or edges out, and back.
+
+Tables of files are (path, content). A form that has a header beside its data is two files of one name, which are
+brought together by that name; other forms are read file by file, where they lie. A file is one task's work, in both
+directions.
+"""
 
 from __future__ import annotations
 
-import math
-import struct
+import io
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.grid import Grid
+from ..plans.grid import KEY, Grid
 from ..plans.registry import operator
-from .files import _flat_tiff
+from . import formats, vectors
 
+CELLS = "path string, row int, col int, band int, v double"
+EDGES = "path string, label long, value double, x1 double, y1 double, x2 double, y2 double"
+FILES = "path string, content binary"
 
-def _tiff(content: bytes) -> tuple[np.ndarray, float]:
-    bands, tags = _flat_tiff(content)
-    return bands, float(tags[42113][0].rstrip(b"\0 ")) if 42113 in tags else math.nan
 
+def _cells(path: str, bands: np.ndarray, band: int):
+    """Rows of all bands, or of the one asked for (from 1)."""
+    r, c = np.indices(bands.shape[1:], np.int32)
+    for k, m in enumerate(bands):
+        if band in (0, k + 1):
+            v = np.ascontiguousarray(m, float).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([path] * v.size, pa.string()), pa.array(r.ravel()), pa.array(c.ravel()), pa.array(np.full(v.size, k, np.int32)), pa.array(v, mask=np.isnan(v))], ["path", "row", "col", "band", "v"])
 
-def _bitmap(content: bytes) -> tuple[np.ndarray, float]:
-    start, width, height, bits = struct.unpack_from("<I", content, 10)[0], *struct.unpack_from("<ii", content, 18), struct.unpack_from("<H", content, 28)[0]
-    if bits not in (8, 24):
-        raise ValueError("only bitmaps of 8 or 24 bits are read here")
-    depth = bits // 8
-    line = (width * depth + 3) // 4 * 4
-    m = np.frombuffer(content, np.uint8, line * abs(height), start).reshape(abs(height), line)[:, : width * depth].reshape(abs(height), width, depth)
-    return (m[::-1] if height > 0 else m)[:, :, ::-1].transpose(2, 0, 1).astype(float), math.nan
 
+def _edges(path: str, parts: list[vectors.Part]):
+    rows = list(vectors.edges_of(parts))
+    kinds = (pa.int64(), *(pa.float64(),) * 5)
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *columns], ["path", "label", "value", "x1", "y1", "x2", "y2"])
 
-def _surfer(content: bytes) -> tuple[np.ndarray, float]:
-    """A binary grid of rows from the south; values from 1.70141e38 on are blank."""
-    nx, ny = struct.unpack_from("<hh", content, 4)
-    m = np.frombuffer(content, "<f4", nx * ny, 56).reshape(ny, nx)[::-1].astype(float)
-    return np.where(m >= 1.70141e38, -9999.0, m)[None], -9999.0
 
+def _suffix(path: str) -> str:
+    name = path.rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[1].lower() if "." in name else ""
 
-def _ascii(content: bytes) -> tuple[np.ndarray, float]:
-    words = content.decode("ascii", "replace").split()
-    head: dict[str, float] = {}
-    while words and words[0][0].isalpha():
-        head[words[0].lower()] = float(words[1])
-        words = words[2:]
-    rows, cols = int(head["nrows"]), int(head["ncols"])
-    return np.array(words[: rows * cols], float).reshape(1, rows, cols), head.get("nodata_value", -9999.0)
 
+def _stem(path: str) -> str:
+    return path[: -len(_suffix(path)) - 1] if _suffix(path) else path
 
-def decode(content: bytes) -> tuple[np.ndarray, float]:
-    """Bands (band, row, col) and the no-data value of a file."""
-    readers: list[tuple[Callable[[bytes], bool], Callable]] = [
-        (lambda b: b[:4] in (b"II*\0", b"MM\0*"), _tiff), (lambda b: b[:2] == b"BM", _bitmap), (lambda b: b[:4] == b"DSBB", _surfer), (lambda b: b[:16].lstrip()[:5].lower() == b"ncols", _ascii),
-    ]
-    for known, read in readers:
-        if known(content):
-            return read(content)
-    raise ValueError("this form needs a native raster library")
 
+def decoded(files: DataFrame, read: Callable[[formats.Parts], list], emit: Callable, schema: str, paired: bool) -> DataFrame:
+    """emit(path, read(parts)) of files. Paired: files of one stem are one; a path then is the stem. Without a path, it is empty."""
+    files = files if "path" in files.columns else files.withColumn("path", F.lit(""))
+    if not paired:
 
-def cells_of(files: DataFrame, band: int = 0) -> DataFrame:
-    """path, row, col, band, v of files (path, content): all bands, or the one asked for (from 1)."""
+        def alone(batches):
+            for b in batches:
+                for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                    if content is not None:
+                        yield from emit(path, read({_suffix(path or ""): content}))
+
+        return files.select("path", "content").mapInArrow(alone, schema)
+
+    def together(table: pa.Table) -> pa.Table:
+        paths = table.column("path").to_pylist()
+        parts = {_suffix(p): x for p, x in zip(paths, table.column("content").to_pylist())}
+        return pa.Table.from_batches(list(emit(_stem(paths[0]), read(parts))))
+
+    stem = F.when(F.col("path").rlike(r"\.[^./]*$"), F.regexp_extract("path", r"(?s)^(.*)\.[^./]*$", 1)).otherwise(F.col("path"))
+    return files.where("content is not null").select("path", "content", stem.alias("stem")).groupBy("stem").applyInArrow(together, schema)
+
+
+def encoded(grid: Grid, write: Callable[[np.ndarray, tuple, float], formats.Parts], name: str = "grid") -> DataFrame:
+    """Files of a grid, or of its bands where its cells have a band column."""
+    rows, cols, transform, nodata = grid.rows, grid.cols, grid.transform, grid.nodata
+    cells = grid.df if "band" in grid.df.columns else grid.df.withColumn("band", F.lit(0))
+
+    def run(table: pa.Table) -> pa.Table:
+        band, row, col = (table.column(c).to_numpy() for c in ("band", "row", "col"))
+        bands = np.full((int(band.max()) + 1, rows, cols), np.nan)
+        bands[band, row, col] = table.column("v").to_numpy(zero_copy_only=False).astype(float)
+        parts = write(bands, transform, nodata)
+        return pa.table({"path": pa.array([f"{name}.{k}" if k else name for k in parts], pa.string()), "content": pa.array(list(parts.values()), pa.binary())})
 
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                bands, nodata = decode(content)
-                r, c = np.indices(bands.shape[1:], np.int32)
-                for k, m in enumerate(bands):
-                    if band in (0, k + 1):
-                        v = m.ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * v.size), pa.array(r.ravel()), pa.array(c.ravel()), pa.array(np.full(v.size, k, np.int32)), pa.array(v, mask=(v == nodata) | np.isnan(v))], ["path", "row", "col", "band", "v"])
+    return cells.select(*KEY, F.col("band").cast("int").alias("band"), "v", F.lit(name).alias("file")).groupBy("file").applyInArrow(run, FILES)
 
-    return files.select("path", "content").mapInArrow(run, "path string, row int, col int, band int, v double")
+
+def encoded_edges(edges: DataFrame, write: Callable[[list], dict[str, bytes]], name: str = "edges") -> DataFrame:
+    """Files of edges (label, value, x1, y1, x2, y2), in order of label."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("no", "ascending")])
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("label", "value", "x1", "y1", "x2", "y2"))))
+        parts = write(vectors.parts_of(rows))
+        return pa.table({"path": pa.array([f"{name}.{k}" for k in parts], pa.string()), "content": pa.array(list(parts.values()), pa.binary())})
+
+    return edges.select("label", *(F.col(c).cast("double").alias(c) for c in ("value", "x1", "y1", "x2", "y2")), F.monotonically_increasing_id().alias("no"), F.lit(name).alias("file")).groupBy("file").applyInArrow(run, FILES)
+
+
+def cells_of(files: DataFrame, band: int = 0, read: Callable = formats.read_any, paired: bool = False) -> DataFrame:
+    """path, row, col, band, v of files (path, content): all bands, or the one asked for (from 1)."""
+    return decoded(files, read, lambda path, bands: _cells(path, bands, band), CELLS, paired)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-#: Converters that read every band, and those that read one.
-WHOLE = (
-    "ARCIDRIS ASDIDRISI DEMIDRIS DIGITALGLOBE DLG DXFIDRIS ECWIDRIS ENVIIDRIS ERDIDRIS ERMIDRIS GACPIDRISI GEOEYE GPCIDRISI GRASSIDR IKONOS JPGIDRIS KMLIDRIS LANDSAT MIFIDRIS "
-    "NDVI3G PSDIDRISI QUICKBIRD RADARSAT SACIDRIS SDTS SENTINEL SHAPEIDR SPLUSIDRIS SPOT SRFIDRIS SSTIDRIS STATIDRIS VXP WORLDVIEW XYZMONTHLY"
-).split()
-ONE_BAND = {"HDFEOS": "band", "MODISCONV": "subdataset", "NETCDF": "band"}
-
-for _name in WHOLE:
-    operator(_name, "io", "files")(lambda files: cells_of(files))
-for _name, _key in ONE_BAND.items():
-    operator(_name, "io", "files", **{_key: 1})(lambda files, **k: cells_of(files, next(iter(k.values()))))
+def write_files(files: DataFrame, folder: str) -> None:
+    """Each file of a table (path, content) into a folder that all executors reach, by Hadoop's file systems through a Parquet-free sink."""
+    spark = files.sparkSession
+    for r in files.toLocalIterator():  # file by file
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.path}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        source = io.BytesIO(bytes(r.content))
+        while part := source.read(1 << 20):
+            out.write(bytearray(part))
+        out.close()
+
+
+WAYS = ("import", "export")
+
+
+def _grid_form(name: str, read: Callable, write: Callable | None = None, paired: bool = False, **params) -> None:
+    """Register a form of grids: files in, cells out; with direction "export" a grid in, files out."""
+    if write is None:
+        operator(name, "io", "files", **params)(lambda files: cells_of(files, 0, read, paired))
+    else:
+        operator(name, "io", "files", direction=WAYS, **params)(lambda x, direction: cells_of(x, 0, read, paired) if direction == "import" else encoded(x, write))
+
+
+def _edge_form(name: str, read: Callable, write: Callable, paired: bool = False) -> None:
+    def run(x, direction):
+        return decoded(x, read, _edges, EDGES, paired) if direction == "import" else encoded_edges(x, write)
+
+    operator(name, "io", "files", direction=WAYS)(run)
+
+
+_grid_form("RST", formats.read_rst, formats.write_rst, True)
+_grid_form("GEOTIFF", formats.read_tiff, formats.write_tiff)
+_grid_form("BMPIDRIS", formats.read_bitmap, formats.write_bitmap)
+_grid_form("SRFIDRIS", formats.read_surfer, formats.write_surfer)
+_grid_form("ENVIIDRIS", formats.read_envi, formats.write_envi, True)
+_grid_form("ERMIDRIS", formats.read_ers, formats.write_ers, True)
+_grid_form("ERDIDRIS", formats.read_lan, formats.write_lan)
+_grid_form("GRASSIDR", formats.read_grass, formats.write_grass)
+_grid_form("SPLUSIDRIS", formats.read_ascii, formats.write_ascii)
+_grid_form("STATIDRIS", formats.read_ascii, formats.write_ascii)
+_grid_form("DEMIDRIS", formats.read_dem)
+_grid_form("ASDIDRISI", formats.read_asd)
+_grid_form("PSDIDRISI", formats.read_psd)
+_grid_form("SSTIDRIS", formats.read_matrix)
+_grid_form("XYZMONTHLY", formats.read_months)
+# Satellite scenes: TIFF images, whichever the sensor; other forms of theirs need a native library.
+for _name in "DIGITALGLOBE GEOEYE IKONOS LANDSAT QUICKBIRD RADARSAT SENTINEL SPOT WORLDVIEW".split():
+    _grid_form(_name, formats.read_any)
+operator("NETCDF", "io", "files", direction=WAYS, band=1)(lambda x, direction, band: cells_of(x, band, formats.read_netcdf) if direction == "import" else encoded(x, formats.write_netcdf))
+operator("NDVI3G", "io", "files", rows=2160, cols=4320)(lambda files, rows, cols: cells_of(files, 0, lambda parts: formats.read_ndvi3g(parts, rows, cols)))
+operator("GPCIDRISI", "io", "files", rows=72, cols=144)(lambda files, rows, cols: cells_of(files, 0, lambda parts: formats.read_gpcp(parts, rows, cols)))
+_edge_form("ARCIDRIS", vectors.read_gen, vectors.write_gen)
+_edge_form("DXFIDRIS", vectors.read_dxf, vectors.write_dxf)
+_edge_form("KMLIDRIS", vectors.read_kml, vectors.write_kml)
+_edge_form("MIFIDRIS", vectors.read_mif, vectors.write_mif, True)
+_edge_form("SHAPEIDR", vectors.read_shape, vectors.write_shape, True)
 
 
 def _same_size(*grids: Grid) -> bool:

@@ -101,30 +101,42 @@ def read_flat(spark: SparkSession, path: str, **layout) -> DataFrame:
     return create("GENERICRASTER")(spark.read.format("binaryFile").load(path), **layout)
 
 
-@operator("BMPIDRIS", "io", "files")
-def decode_bmp(files: DataFrame):
-    """row, col, band, v from uncompressed 24-bit bitmaps (path, content); bands are red, green, blue."""
+def _unpacked_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, most significant first; 256 clears the table, 257 ends."""
+    out, table, wide, last = [], [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+    held = bits = 0
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        while bits >= wide:
+            bits -= wide
+            code = held >> bits
+            held &= (1 << bits) - 1
+            if code == 256:
+                del table[258:]
+                wide, last = 9, b""
+                continue
+            if code == 257:
+                return b"".join(out)
+            entry = table[code] if code < len(table) else last + last[:1]
+            out.append(entry)
+            if last:
+                table.append(last + entry[:1])
+            last = entry
+            wide = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
+def _unpacked(data: bytes, packing: int) -> bytes:
+    """A strip or tile: plain (1), LZW (5), deflate (8 and 32946) or PackBits (32773)."""
+    import zlib
 
-    def run(batches):
-        for b in batches:
-            for content in b.column("content").to_pylist():
-                start, width, height, bits = struct.unpack_from("<I", content, 10)[0], *struct.unpack_from("<ii", content, 18), struct.unpack_from("<H", content, 28)[0]
-                if content[:2] != b"BM" or bits != 24:
-                    raise ValueError("not a 24-bit bitmap")
-                line = (width * 3 + 3) // 4 * 4
-                m = np.frombuffer(content, np.uint8, line * abs(height), start).reshape(abs(height), line)[:, : width * 3].reshape(abs(height), width, 3)
-                m = m[::-1] if height > 0 else m
-                r, c = np.indices(m.shape[:2], np.int32)
-                for k in range(3):
-                    yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), pa.array(np.full(r.size, k, np.int32)), pa.array(m[:, :, 2 - k].ravel().astype(float))], ["row", "col", "band", "v"])
+    from .formats import unpack_bits
 
-    return files.select("content").mapInArrow(run, "row int, col int, band int, v double")
+    return {1: bytes, 5: _unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}[packing](data)
 
 
 def _flat_tiff(content: bytes) -> tuple[np.ndarray, dict]:
-    """Bands (band, row, col) and tags of a plain TIFF: strips or tiles, uncompressed or deflate."""
-    import zlib
-
+    """Bands (band, row, col) and tags of a TIFF: strips or tiles, plain, deflate, LZW or PackBits, also as horizontal differences."""
     e = "<" if content[:2] == b"II" else ">"
     if struct.unpack_from(e + "H", content, 2)[0] != 42:
         raise ValueError("not a TIFF")
@@ -139,7 +151,8 @@ def _flat_tiff(content: bytes) -> tuple[np.ndarray, dict]:
     cols, rows = tags[256][0], tags[257][0]
     bands, bits, fmt = tags.get(277, (1,))[0], tags.get(258, (8,))[0], tags.get(339, (1,))[0]
     kind, packed = e + {1: "u", 2: "i", 3: "f"}[fmt] + str(bits // 8), tags.get(259, (1,))[0]
-    if packed not in (1, 8, 32946) or tags.get(317, (1,))[0] != 1:
+    differences = tags.get(317, (1,))[0]
+    if packed not in (1, 5, 8, 32946, 32773) or differences not in (1, 2) or bits % 8:
         raise ValueError("this TIFF's compression isn't read here")
     tiled = 322 in tags
     tw, th = (tags[322][0], tags[323][0]) if tiled else (cols, min(tags.get(278, (rows,))[0], rows))
@@ -147,11 +160,12 @@ def _flat_tiff(content: bytes) -> tuple[np.ndarray, dict]:
     planar, out = tags.get(284, (1,))[0] == 2 and bands > 1, np.zeros((bands, rows, cols))
     across, down = -(-cols // tw), -(-rows // th)
     for k, (o, n) in enumerate(zip(offsets, counts)):
-        raw = content[o : o + n] if packed == 1 else zlib.decompress(content[o : o + n])
+        raw = _unpacked(content[o : o + n], packed)
         plane, place = divmod(k, across * down) if planar else (0, k)
         r0, c0 = place // across * th, place % across * tw
-        x = np.frombuffer(raw, kind)
-        x = x.reshape(-1, tw, 1 if planar else bands)
+        depth = 1 if planar else bands
+        x = np.frombuffer(raw, kind, len(raw) // (bits // 8 * tw * depth) * tw * depth).reshape(-1, tw, depth)
+        x = np.cumsum(x, axis=1, dtype=x.dtype) if differences == 2 else x
         h, w = min(x.shape[0], rows - r0), min(tw, cols - c0)
         if planar:
             out[plane, r0 : r0 + h, c0 : c0 + w] = x[:h, :w, 0]
@@ -160,23 +174,6 @@ def _flat_tiff(content: bytes) -> tuple[np.ndarray, dict]:
     return out, tags
 
 
-@operator("GEOTIFF", "io", "files")
-def decode_tiff(files: DataFrame):
-    """path, row, col, band, v of plain (uncompressed or deflate) TIFF files; cells of the file's no-data value are null."""
-
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                m, tags = _flat_tiff(content)
-                nodata = float(tags[42113][0].rstrip(b"\0 ")) if 42113 in tags else math.nan
-                r, c = np.indices(m.shape[1:], np.int32)
-                for k, band in enumerate(m):
-                    v = band.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * v.size), pa.array(r.ravel()), pa.array(c.ravel()), pa.array(np.full(v.size, k, np.int32)), pa.array(v, mask=v == nodata)], ["path", "row", "col", "band", "v"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, row int, col int, band int, v double")
-
-
 def encode_tiff(bands: np.ndarray, transform: tuple[float, ...], nodata: float) -> bytes:
     """An uncompressed 64-bit TIFF with scale, tie point and no-data tags."""
     n, rows, cols = bands.shape
