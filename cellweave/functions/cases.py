@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import iterate, learn, regrid, series, zonal
 from ..plans.grid import KEY, Grid
 from ..plans.registry import create
 from ..sources import files
+from . import oracles
 from .catalogue import SIZE, add, case, grid, local_case, with_grids
 
 STATS = ", st AS (SELECT MIN(v) AS lo, MAX(v) AS hi, AVG(v) AS m, STDDEV_POP(v) AS sd, COUNT(v) AS n FROM {g})"
@@ -27,6 +30,7 @@ def register() -> None:
     _iterate()
     _learn()
     _files()
+    oracles.register()
 
 
 def _flagship() -> None:
@@ -451,10 +455,13 @@ def _learn() -> None:
         add(n.lower(), lambda s, d, n=n: create(n)(px(s, d)))
     for n in ("CANCOMP", "KNN", "CTA", "DECISIONFOREST", "SVM", "MULTILOGISTICREG", "MLP", "RBFNN", "SOM", "FUZZYARTMAP", "FUZZY_ARTMAP2", "PURIFY", "FUZSIG"):
         add(n.lower(), lambda s, d, n=n: create(n)(px(s, d), labels(s, d)))
-    for n in ("MAHALCLASS", "MAXLIKE", "BAYCLASS", "BELCLASS", "FUZCLASS", "FISHER"):
+    for n in ("MAHALCLASS", "MAXLIKE", "FISHER"):
         add(n.lower(), lambda s, d, n=n: create(n)(px(s, d), sig(s, d)))
+    for n, array, rest in (("BAYCLASS", "posterior", "uncertainty"), ("BELCLASS", "belief", "ignorance"), ("FUZCLASS", "membership", "uncertainty")):
+        first = {"BAYCLASS": "p", "BELCLASS": "b", "FUZCLASS": "m"}[n]
+        add(n.lower(), lambda s, d, n=n, array=array, rest=rest, first=first: create(n)(px(s, d), sig(s, d)).select(*KEY, *(F.col(array)[k].alias(f"{first}{k + 1}") for k in range(5)), rest))
     for n in ("UNMIX", "HYPERUNMIX"):
-        add(n.lower(), lambda s, d, n=n: create(n)(px(s, d), ends[:2]))
+        add(n.lower(), lambda s, d, n=n: create(n)(px(s, d), ends[:2]).select(*KEY, *(F.col("fractions")[k].alias(f"f{k + 1}") for k in range(2)), "residual"))
     add("hyperusp", lambda s, d: create("HYPERUSP")(px(s, d), ends[0][1]))
     add("hyperosp", lambda s, d: create("HYPEROSP")(px(s, d), ends[0][1], ends[1:2]))
     add("hyperabsorb", lambda s, d: create("HYPERABSORB")(px(s, d), [1.0, 2.0, 3.0], absorption_center=2.0))
@@ -468,7 +475,8 @@ def _learn() -> None:
     case("logistic_reg", "LOGISTIC_REG", "spq", None, lambda f, own: f(own[0], own[1:]))
     case("transition_potential", "TRANSITION_POTENTIAL", "spq", None, lambda f, own: f([own[0]], own[1:]))
     case("transition_kernel", "TRANSITION_POTENTIAL", "spq", None, lambda f, own: f([own[0]], own[1:]), method="Kernel similarity")
-    case("fourier", "FOURIER", "a", None)
+    # A phase of minus pi is that of pi.
+    case("fourier", "FOURIER", "a", None, lambda f, own: f(own[0]).withColumn("phase", F.when(F.col("phase") < -3.14159, math.pi).otherwise(F.col("phase"))))
     case("filtfq", "FILTFQ", "a", None)
     case("filtfreq", "FILTFREQ", "a", f" SELECT row, col, {R(f'v / (1 + POWER(SQRT(POWER(row - {SIZE / 2}, 2) + POWER(col - {SIZE / 2}, 2)) / 10, 4))')} FROM a", cutoff_frequency=10.0)
     case("drawfilt", "DRAWFILT", "a", f" SELECT row, col, CAST(CASE WHEN SQRT(POWER(col / {SIZE} - 0.5, 2) + POWER(row / {SIZE} - 0.5, 2)) <= 0.25 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range({SIZE}) t(r), range({SIZE}) u(c))")
@@ -480,7 +488,7 @@ def _learn() -> None:
 
 def _files() -> None:
     case("xyz_round_trip", "XYZIDRIS", "b", " SELECT row, col, v FROM b WHERE v IS NOT NULL", lambda f, own: f(create("RASTERTOPOINT")(own[0]), rows=SIZE, cols=SIZE, cell=10.0))
-    case("ascii_grid_round_trip", "ARCRASTER", "b", " SELECT row, col, v FROM b", lambda f, own: f(create("ASCII_GRID")(own[0])))
+    case("ascii_grid_round_trip", "ARCRASTER", "b", f" SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, v FROM range({SIZE}) t(r) CROSS JOIN range({SIZE}) u(c) LEFT JOIN b ON b.row = r AND b.col = c", lambda f, own: f(create("ASCII_GRID")(own[0])))
     text = lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.concat_ws("  ", "n_nationkey", "n_regionkey").alias("value"))
     add("avl2csv", lambda s, d: create("AVL2CSV")(text(s, d)), "SELECT CAST(n_nationkey AS VARCHAR) AS ID, CAST(n_regionkey AS VARCHAR) AS Value FROM nation")
     add("csv2avl", lambda s, d: create("CSV2AVL")(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")), "SELECT CONCAT(n_nationkey, ' ', n_name) AS value FROM nation")
@@ -489,32 +497,10 @@ def _files() -> None:
     add("create_tsf", lambda s, d: create("CREATE_TSF")(s, start_date="2001-01-01", num_images=3), "SELECT * FROM (VALUES ('start_date: 2001-01-01'), ('interval: 1.0'), ('num_images: 3')) t(value)")
     add("collection", lambda s, d: create("COLLECTION_EDITOR")(s, ["a", "b"]), "SELECT * FROM (VALUES ('collection'), ('entries: 2'), ('a'), ('b')) t(value)")
     add("utmref", lambda s, d: s.createDataFrame([tuple(create("UTMREF")(min_lon=5.0, max_lon=9.0, min_lat=40.0, max_lat=44.0).values())], "zone int, hemisphere string, central_meridian int"), "SELECT 32 AS zone, 'N' AS hemisphere, 9 AS central_meridian")
-    add("tiff_round_trip", _tiff, with_grids("b", " SELECT row, col, 0 AS band, v FROM b"))
-
-
-    add("srfidris_round_trip", _surfer, with_grids("b", " SELECT row, col, 0 AS band, v FROM b"))
-
-
-def _surfer(s, d):
-    import struct
-
-    import numpy as np
-
-    g = grid(s, d, "b")
-    m = np.full((SIZE, SIZE), 1.71e38, "<f4")
-    for r in g.valid().collect():
-        m[r.row, r.col] = r.v
-    head = b"DSBB" + struct.pack("<hh6d", SIZE, SIZE, 0, 1, 0, 1, 0, 1)
-    f = s.createDataFrame([("b.grd", bytearray(head + m[::-1].tobytes()))], "path string, content binary")
-    return create("SRFIDRIS")(f).drop("path").join(g.df.select(*KEY), KEY, "left_semi")
-
+    for name, op in (("tiff_round_trip", "GEOTIFF"), ("srfidris_round_trip", "SRFIDRIS")):
 
-def _tiff(s, d):
-    import numpy as np
+        def trip(s, d, op=op):
+            g = grid(s, d, "b")
+            return create(op)(create(op)(g, direction="export")).drop("path").join(g.df.select(*KEY), KEY, "left_semi")
 
-    g = grid(s, d, "b")
-    m = np.full((1, SIZE, SIZE), g.nodata)
-    for r in g.valid().collect():
-        m[0, r.row, r.col] = r.v
-    f = s.createDataFrame([("b.tif", bytearray(files.encode_tiff(m, g.transform, g.nodata)))], "path string, content binary")
-    return create("GEOTIFF")(f).drop("path").join(g.df.select(*KEY), KEY, "left_semi")
+        add(name, trip, with_grids("b", " SELECT row, col, 0 AS band, v FROM b"))

@@ -32,11 +32,12 @@ GRID_SQL = {k: f"SELECT {CELL}, CAST({v} AS DOUBLE) AS v FROM lineitem GROUP BY
 TRANSFORM = (1000.0, 5000.0, 10.0, -10.0, 0.0, 0.0)
 
 
-def grid(spark: SparkSession, sf_dir: str, name: str) -> Grid:
+def grid(spark: SparkSession, sf_dir: str, name: str, size: int = SIZE) -> Grid:
+    """A grid of size x size cells; the catalogue's SQL is for SIZE."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    keys = [(F.col(c) % SIZE).cast("int").alias(n) for c, n in (("l_orderkey", "row"), ("l_partkey", "col"))]
-    value = VALUES[name].replace(HOLE, f"(first(l_orderkey) % {SIZE} + first(l_partkey) % {SIZE}) % 11 = 0")
-    return Grid(items.groupBy(*keys).agg(F.expr(value).cast("double").alias("v")), SIZE, SIZE, TRANSFORM)
+    keys = [(F.col(c) % size).cast("int").alias(n) for c, n in (("l_orderkey", "row"), ("l_partkey", "col"))]
+    value = VALUES[name].replace(HOLE, f"(first(l_orderkey) % {size} + first(l_partkey) % {size}) % 11 = 0")
+    return Grid(items.groupBy(*keys).agg(F.expr(value).cast("double").alias("v")), size, size, TRANSFORM)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -1,14 +1,23 @@
-"""Neighbourhood operators. Each cell is sent to the cells that need it, and one aggregation gathers a neighbourhood."""
+"""Neighbourhood operators.
+
+Those of 3 x 3 cells send each cell to the cells that need it, and one aggregation, partial before the shuffle, gathers
+a neighbourhood. Windows of any size work on tiles: a cell goes to its tile and to those whose halo holds it, so what is
+shuffled hardly grows with the window, and a tile's windows are arrays.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grid import KEY, Grid
 from ..plans.registry import operator
+from ..plans.scratch import written
 
 Z = {f"z{k + 1}": (k // 3 - 1, k % 3 - 1) for k in range(9)}
 
@@ -28,6 +37,109 @@ def moving(grid: Grid, offsets: list[tuple[int, int]]) -> DataFrame:
     return grid.valid().select(*KEY, F.col("v").alias("x"), to.alias("t")).select((F.col("row") - F.col("t.dr")).alias("row"), (F.col("col") - F.col("t.dc")).alias("col"), "x")
 
 
+def tiled(cells: DataFrame, halo: int, fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], names: list[str], tile: int = 256) -> DataFrame:
+    """row, col, v and `names` of all cells (row, col, v and other numbers), by fn over images of a tile with `halo` cells around.
+
+    fn gets an image per column, NaN where there is no data, and gives an array per name for the images without
+    their halo. NaN becomes null. Memory is that of a few images of (tile + 2 halo) squared.
+    """
+    tile, columns = max(tile, halo), [c for c in cells.columns if c not in KEY]
+    near = F.explode(F.array_distinct(F.array(*(F.struct(F.floor((F.col("row") + a * halo) / tile).cast("int").alias("tr"), F.floor((F.col("col") + b * halo) / tile).cast("int").alias("tc")) for a in (-1, 0, 1) for b in (-1, 0, 1)))))
+
+    def run(table: pa.Table) -> pa.Table:
+        tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
+        row, col = table.column("row").to_numpy(), table.column("col").to_numpy()
+        own = (row // tile == tr) & (col // tile == tc)
+        if not own.any():
+            return pa.table({"row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), **{n: pa.array([], pa.float64()) for n in ["v", *names]}})
+        at, images = (row - tr * tile + halo, col - tc * tile + halo), {}
+        for c in columns:
+            images[c] = np.full((tile + 2 * halo, tile + 2 * halo), np.nan)
+            images[c][at] = table.column(c).to_numpy(zero_copy_only=False)
+        out, here = fn(images), (row[own] - tr * tile, col[own] - tc * tile)
+        values = {"v": images["v"][at][own], **{n: out[n][here] for n in names}}
+        return pa.table({"row": pa.array(row[own], pa.int32()), "col": pa.array(col[own], pa.int32()), **{n: pa.array(x, pa.float64(), mask=np.isnan(x)) for n, x in values.items()}})
+
+    dealt = cells.select(*KEY, *(F.col(c).cast("double").alias(c) for c in columns), near.alias("t")).select(*KEY, *columns, "t.*")
+    return dealt.groupBy("tr", "tc").applyInArrow(run, "row int, col int, " + ", ".join(f"{n} double" for n in ["v", *names]))
+
+
+def focal(cells: DataFrame, size: int, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """row, col, v and `names` of all cells, measured over windows of size x size values of column x (v where there is none).
+
+    measure gets, for cells with v, their windows (one row each, in order of value, those without data last as NaN),
+    how many values each has, and the cells' own v. Other cells get null.
+    """
+    h, width = size // 2, 2 * (size // 2) + 1
+
+    def run(images: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        image = images.get("x", images["v"])
+        centre = images["v"][h : len(image) - h, h : len(image) - h]
+        out = {n: np.full(centre.shape, np.nan) for n in names}
+        view = np.lib.stride_tricks.sliding_window_view(image, (width, width))
+        rows, cols = np.nonzero(~np.isnan(centre))
+        step = max(1, (4 << 20) // width**2)
+        for k in range(0, len(rows), step):
+            r, c = rows[k : k + step], cols[k : k + step]
+            w = np.sort(view[r, c].reshape(len(r), -1), axis=1)
+            for n, x in measure(w, (~np.isnan(w)).sum(axis=1), centre[r, c]).items():
+                out[n][r, c] = x
+        return out
+
+    return tiled(cells, h, run, names)
+
+
+def class_runs(w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For windows in order of value: at the last of equal values, how many there are; else 0."""
+    m, k = w.shape
+    if k == 0:
+        return np.zeros(w.shape, np.int64)
+    place = np.arange(k)
+    fresh = np.ones((m, k), bool)
+    fresh[:, 1:] = w[:, 1:] != w[:, :-1]
+    first = np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
+    last = np.ones((m, k), bool)
+    last[:, :-1] = fresh[:, 1:]
+    return np.where(last & (place < n[:, None]), place - first + 1, 0)
+
+
+def _statistic(name: str) -> Callable:
+    """A measure s of windows, by name."""
+
+    def of(w, n, centre):
+        last = lambda: np.take_along_axis(w, n[:, None] - 1, axis=1)[:, 0]
+        total = lambda x: np.nansum(x, axis=1)
+
+        def spread(free: int):
+            d = w - (total(w) / n)[:, None]
+            return total(d * d) / np.maximum(n - free, 1)
+
+        if name == "median":
+            s = (np.take_along_axis(w, (n[:, None] - 1) // 2, axis=1) + np.take_along_axis(w, n[:, None] // 2, axis=1))[:, 0] / 2
+        elif name == "mode":
+            s = np.take_along_axis(w, class_runs(w, n).argmax(axis=1)[:, None], axis=1)[:, 0]
+        elif name == "cv":
+            mean = total(w) / n
+            s = np.where(np.abs(mean) > 1e-10, np.sqrt(spread(0)) / np.where(np.abs(mean) > 1e-10, mean, 1.0), 0.0)
+        elif name == "asm":
+            runs = class_runs(w, n).astype(float)
+            s = (runs * runs).sum(axis=1) / (1.0 * n * n)
+        else:
+            s = {
+                "mean": lambda: total(w) / n, "sum": lambda: total(w), "min": lambda: w[:, 0], "max": last, "range": lambda: last() - w[:, 0], "variety": lambda: (class_runs(w, n) > 0).sum(axis=1).astype(float),
+                "var": lambda: spread(0), "std": lambda: np.sqrt(spread(0)), "laplacian": lambda: total(w) - n * centre, "contrast": lambda: np.where(n > 1, 2 * spread(1), 0.0),
+            }[name]()
+        return {"s": s}
+
+    return of
+
+
+def _windowed(grid: Grid, size: int, measure: Callable | str, value: Column | None = None, names: tuple[str, ...] = ("s",)) -> Grid:
+    """A measure of each cell's window where the grid has data."""
+    t = focal(grid.df.select(*KEY, "v"), size, _statistic(measure) if isinstance(measure, str) else measure, list(names))
+    return grid.with_cells(t.select(*KEY, F.when(F.col("v").isNotNull(), F.col("s") if value is None else value).alias("v")))
+
+
 def square(size: int) -> list[tuple[int, int]]:
     h = size // 2
     return [(a, b) for a in range(-h, h + 1) for b in range(-h, h + 1)]
@@ -189,62 +301,49 @@ def _painted(grid: Grid, values: DataFrame, value: Column) -> Grid:
 @operator("FILTER", "gis", "input", filter_type=("Mean", "Median", "Mode", "Min", "Max", "Laplacian"), kernel_size=3)
 def filter_grid(grid: Grid, filter_type, kernel_size):
     """Windows are partial at edges, and cells without data are left out; the mode's ties go to the smallest value."""
-    m = moving(grid, square(kernel_size))
-    if filter_type == "Mode":
-        counts = m.groupBy(*KEY, "x").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max(F.struct("n", (-F.col("x")).alias("m"))).alias("t"))
-        return _painted(grid, counts, -F.col("t.m"))
-    if filter_type == "Laplacian":
-        return _painted(grid, m.groupBy(*KEY).agg(F.sum("x").alias("s"), F.count("*").alias("n")), F.col("s") - F.col("n") * F.col("v"))
-    agg = {"Mean": F.avg("x"), "Median": F.percentile("x", 0.5), "Min": F.min("x"), "Max": F.max("x")}[filter_type]
-    return _painted(grid, m.groupBy(*KEY).agg(agg.alias("s")), F.col("s"))
+    return _windowed(grid, kernel_size, filter_type.lower())
 
 
 @operator("WINDOW", "gis", "input", statistic=("mean", "median", "min", "max", "range", "std", "sum", "variety"), window_size=3)
 def window(grid: Grid, statistic, window_size):
-    agg = {"mean": F.avg("x"), "median": F.percentile("x", 0.5), "min": F.min("x"), "max": F.max("x"), "range": F.max("x") - F.min("x"), "std": F.stddev_pop("x"), "sum": F.sum("x"), "variety": F.count_distinct("x").cast("double")}[statistic]
-    return _painted(grid, moving(grid, square(window_size)).groupBy(*KEY).agg(agg.alias("s")), F.col("s"))
-
-
-def _class_counts(grid: Grid, size: int) -> DataFrame:
-    return moving(grid, square(size)).groupBy(*KEY, F.col("x").cast("int").alias("class")).agg(F.count("*").alias("n"))
+    return _windowed(grid, window_size, statistic)
 
 
-def _diversity(grid: Grid, size: int) -> DataFrame:
-    """Entropy h, Simpson's index s and number of classes k: H = ln N - sum(n ln n) / N."""
-    t = _class_counts(grid, size).groupBy(*KEY).agg(F.sum("n").alias("whole"), F.sum(F.col("n") * F.log("n")).alias("nln"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("k"))
-    return t.select(*KEY, (F.log("whole") - F.col("nln") / F.col("whole")).alias("h"), (1 - F.col("n2") / (F.col("whole") * F.col("whole"))).alias("s"), "k")
+def _diversity(w, n, centre) -> dict[str, np.ndarray]:
+    """Entropy h, Simpson's index s and number k of a window's classes: H = ln N - sum(n ln n) / N."""
+    runs = class_runs(np.trunc(w), n).astype(float)
+    h = np.log(n) - (runs * np.log(np.where(runs > 0, runs, 1.0))).sum(axis=1) / n
+    return {"h": h, "s": 1 - (runs * runs).sum(axis=1) / (1.0 * n * n), "k": (runs > 0).sum(axis=1).astype(float)}
 
 
 @operator("PATTERN", "gis", "input", metric=("Entropy", "Dominance", "Diversity"), kernel_size=3)
 def pattern(grid: Grid, metric, kernel_size):
-    return _painted(grid, _diversity(grid, kernel_size), {"Entropy": F.col("h"), "Dominance": F.log("k") - F.col("h"), "Diversity": F.col("k").cast("double")}[metric])
+    return _windowed(grid, kernel_size, _diversity, {"Entropy": F.col("h"), "Dominance": F.log("k") - F.col("h"), "Diversity": F.col("k")}[metric], ("h", "s", "k"))
 
 
 @operator("BIODIVERSITY_METRICS", "hbm", "input", metric=("Shannon", "Simpson", "Richness"), window_size=3)
 def biodiversity(grid: Grid, metric, window_size):
-    return _painted(grid, _diversity(grid, window_size), {"Shannon": F.col("h"), "Simpson": F.col("s"), "Richness": F.col("k").cast("double")}[metric])
+    return _windowed(grid, window_size, _diversity, {"Shannon": F.col("h"), "Simpson": F.col("s"), "Richness": F.col("k")}[metric], ("h", "s", "k"))
 
 
 @operator("TEXTURE", "gis", "input", metric=("Variance", "Coefficient of Variation", "Range", "Contrast", "Angular Second Moment"), kernel_size=3)
 def texture(grid: Grid, metric, kernel_size):
     """Contrast is the mean squared difference of all pairs of a window, which is twice n/(n-1) times its variance."""
-    m = moving(grid, square(kernel_size))
-    if metric == "Angular Second Moment":
-        t = m.groupBy(*KEY, "x").agg(F.count("*").alias("n")).groupBy(*KEY).agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("s"))
-        return _painted(grid, t, F.col("s"))
-    mean = F.avg("x")
-    agg = {"Variance": F.var_pop("x"), "Coefficient of Variation": F.when(F.abs(mean) > 1e-10, F.stddev_pop("x") / mean).otherwise(0.0), "Range": F.max("x") - F.min("x"), "Contrast": F.when(F.count("*") > 1, 2 * F.var_samp("x")).otherwise(0.0)}[metric]
-    return _painted(grid, m.groupBy(*KEY).agg(agg.alias("s")), F.col("s"))
+    return _windowed(grid, kernel_size, {"Variance": "var", "Coefficient of Variation": "cv", "Range": "range", "Contrast": "contrast", "Angular Second Moment": "asm"}[metric])
 
 
 @operator("DENOISE", "imgproc", "input", window_size=5, noise_variance=0.0)
 def lee_filter(grid: Grid, window_size, noise_variance):
     """Lee filter; without a noise variance, the mean of local (sample) variances."""
-    t = moving(grid, square(window_size)).groupBy(*KEY).agg(F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("s"))
-    t = grid.valid().select(*KEY).join(t, KEY)
+
+    def local(w, n, centre):
+        return {"m": np.nansum(w, axis=1) / n, "s": _statistic("contrast")(w, n, centre)["s"] / 2}
+
+    t = focal(grid.df.select(*KEY, "v"), window_size, local, ["m", "s"])
+    t = written(t) if noise_variance <= 0 else t
     noise = t.agg(F.avg("s").alias("noise")) if noise_variance <= 0 else t.sparkSession.range(1).select(F.lit(float(noise_variance)).alias("noise"))
     k = F.when(F.col("s") + F.col("noise") > 0, F.col("s") / (F.col("s") + F.col("noise"))).otherwise(0.0)
-    return _painted(grid, t.crossJoin(F.broadcast(noise)), F.col("m") + k * (F.col("v") - F.col("m")))
+    return grid.with_cells(t.crossJoin(F.broadcast(noise)).select(*KEY, F.when(F.col("v").isNotNull(), F.col("m") + k * (F.col("v") - F.col("m"))).alias("v")))
 
 
 @operator("EXPAND", "gis", "input", radius=1)
@@ -290,9 +389,8 @@ def moran(grid: Grid, lag_distance):
     """Moran's I over a square window of the lag, its expectation and the number of pairs."""
     stats = grid.valid().agg(F.avg("v").alias("m"), F.count("*").alias("n"), F.var_pop("v").alias("s2"))
     z = grid.with_cells(grid.valid().crossJoin(F.broadcast(stats)).select(*KEY, (F.col("v") - F.col("m")).alias("v")))
-    near = [o for o in square(2 * int(lag_distance) + 1) if o != (0, 0)]
-    sums = moving(z, near).groupBy(*KEY).agg(F.sum("x").alias("x"), F.count("*").alias("w"))
-    t = z.df.join(sums, KEY).agg(F.sum(F.col("v") * F.col("x")).alias("zx"), F.sum("w").alias("pairs")).crossJoin(F.broadcast(stats))
+    near = focal(z.df, 2 * int(lag_distance) + 1, lambda w, n, centre: {"x": np.nansum(w, axis=1) - centre, "w": n - 1.0}, ["x", "w"])
+    t = near.agg(F.sum(F.col("v") * F.col("x")).alias("zx"), F.sum("w").cast("long").alias("pairs")).crossJoin(F.broadcast(stats))
     return t.select((F.col("zx") / F.col("pairs") / F.col("s2")).alias("moran_i"), (-1 / (F.col("n") - 1)).alias("expected"), "pairs", "n")
 
 

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import connected_components
 from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
-from ..plans.scratch import written
-from .focal import moving, square
+from ..plans.scratch import discard, written
+from .focal import class_runs, focal, moving, square
 from .zonal import top_rank
 
 EIGHT = [o for o in square(3) if o != (0, 0)]
@@ -31,48 +32,54 @@ def _steps(grid: Grid, offsets=EIGHT) -> list[tuple[int, int, float]]:
     return [(a, b, math.hypot(a * dy, b * dx)) for a, b in offsets]
 
 
-def _relax_tile(table: pa.Table, size: int, steps: list[tuple[int, int, float]], limit: float, power: float) -> pa.Table:
-    """Least costs inside a tile and its one-cell rim, by a heap; rim cells give what they have and take what they get.
+def _relax_tile(table: pa.Table, size: int, steps: list[tuple[int, int, float]], limit: float, power: float, leaving: bool) -> pa.Table:
+    """Least costs inside a tile and its one-cell rim: whole images are relaxed along each step until nothing falls.
 
-    Where a cell has a direction, its friction is raised to the signed power of the cosine between that and the move.
+    Rim cells give what they have and take what they get. Leaving: a step costs the friction of the cell it comes from. Where a cell has a direction, its friction is raised to the
+    signed power of the cosine between that and the move.
     """
-    import heapq
-
     row, col, friction, cost, source, way = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "friction", "cost", "source", "way"))
-    turned = bool((way >= 0).any())
-
-    def drag(j: int, dr: int, dc: int) -> float:
-        if not turned or way[j] < 0:
-            return friction[j]
-        c = math.cos(math.atan2(dc, -dr) - math.radians(way[j]))
-        return friction[j] ** math.copysign(abs(c) ** power, c) if abs(c) > 1e-12 else 1.0
-
-    at = {(r, c): k for k, (r, c) in enumerate(zip(row.tolist(), col.tolist()))}
-    best, src = cost.astype(float).copy(), source.astype(float).copy()
-    heap = [(best[k], src[k], k) for k in range(len(best)) if np.isfinite(best[k])]
-    heapq.heapify(heap)
-    while heap:
-        d, s, k = heapq.heappop(heap)
-        if (d, s) > (best[k], src[k]):
-            continue
-        for dr, dc, length in steps:
-            j = at.get((row[k] + dr, col[k] + dc))
-            if j is not None and friction[j] > 0:
-                new = d + drag(j, dr, dc) * length
-                if new <= limit and (new, s) < (best[j], src[j]):
-                    best[j], src[j] = new, s
-                    heapq.heappush(heap, (new, s, j))
+    r0, c0 = row.min() - 1, col.min() - 1
+    shape, at = (row.max() - r0 + 2, col.max() - c0 + 2), (row - r0, col - c0)
+
+    def image(values, empty: float) -> np.ndarray:
+        out = np.full(shape, empty)
+        out[at] = values
+        return out
+
+    drag, best, src, turn = image(friction, -1.0), image(cost, np.inf), image(source, np.inf), image(way, -1.0)
+    core = (slice(1, -1), slice(1, -1))
+    moves = []
+    for dr, dc, length in steps:
+        own = drag[core]
+        if (way >= 0).any():
+            c = np.cos(math.atan2(dc, -dr) - np.radians(turn[core]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bent = np.where(np.abs(c) > 1e-12, own ** np.copysign(np.abs(c) ** power, c), 1.0)
+            own = np.where(turn[core] < 0, own, bent)
+        back = (slice(1 - dr, shape[0] - 1 - dr), slice(1 - dc, shape[1] - 1 - dc))
+        moves.append((back, np.where(drag[back] > 0, drag[back] * length, np.inf) if leaving else np.where(drag[core] > 0, own * length, np.inf)))
+    while True:
+        fell = False
+        for back, toll in moves:
+            new, from_ = best[back] + toll, src[back]
+            less = (new <= limit) & np.isfinite(new) & ((new < best[core]) | ((new == best[core]) & (from_ < src[core])))
+            if less.any():
+                best[core][less], src[core][less], fell = new[less], from_[less], True
+        if not fell:
+            break
     tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
     own = (row // size == tr) & (col // size == tc)
-    return pa.table({"row": pa.array(row[own], pa.int32()), "col": pa.array(col[own], pa.int32()), "friction": friction[own], "cost": best[own], "source": src[own], "way": way[own], "changed": (best[own] < cost[own]) | (src[own] < source[own])})
+    best, src = best[at][own], src[at][own]
+    return pa.table({"row": pa.array(row[own], pa.int32()), "col": pa.array(col[own], pa.int32()), "friction": friction[own], "cost": best, "source": src, "way": way[own], "changed": (best < cost[own]) | (src < source[own])})
 
 
-def cost_surface(seeds: DataFrame, friction: Grid, limit: float = 0.0, tile: int = 64, direction: Grid | None = None, power: float = 1.0) -> DataFrame:
+def cost_surface(seeds: DataFrame, friction: Grid, limit: float = 0.0, tile: int = 128, direction: Grid | None = None, power: float = 1.0, leaving: bool = False) -> DataFrame:
     """row, col, friction, cost, source: accumulated cost from seeds (row, col, source) to every cell, with the seed it comes from.
 
     A move to a cell costs its friction times the step; friction without data or not positive is a barrier, but a
-    seed may stand on one. Unreachable cells have an infinite cost. Ties go to the lesser source. Each round solves
-    tiles of `tile` x `tile` cells with a rim, and goes on while a tile's result changes.
+    seed may stand on one. Leaving: a move costs the friction of the cell it leaves, as seen from a path's end. Unreachable cells have an infinite cost. Ties go to the lesser source. Each round solves
+    tiles of `tile` x `tile` cells with a rim, of those only whose rim changed in the round before; the others pass.
     """
     top = limit if limit > 0 else float("inf")
     steps = _steps(friction)
@@ -81,12 +88,23 @@ def cost_surface(seeds: DataFrame, friction: Grid, limit: float = 0.0, tile: int
     state = state.select(*KEY, "friction", F.when(F.col("s").isNotNull(), 0.0).otherwise(inf).alias("cost"), F.coalesce("s", F.lit(inf)).alias("source"))
     way = direction.df.select(*KEY, F.coalesce("v", F.lit(-1.0)).alias("way")) if direction else None
     state = state.join(way, KEY, "left").na.fill(-1.0, ["way"]) if direction else state.withColumn("way", F.lit(-1.0))
-    spread = F.explode(F.array_distinct(F.array(*(F.struct(((F.col("row") + a) / tile).cast("int").alias("tr"), ((F.col("col") + b) / tile).cast("int").alias("tc")) for a, b in square(3)))))
-    while True:
-        dealt = state.select(*KEY, "friction", "cost", "source", "way", spread.alias("t")).select(*KEY, "friction", "cost", "source", "way", "t.*")
-        state = written(dealt.groupBy("tr", "tc").applyInArrow(lambda table: _relax_tile(table, tile, steps, top, power), "row int, col int, friction double, cost double, source double, way double, changed boolean"))
-        if not state.where("changed").head(1):
-            return state.drop("changed", "way")
+    state, first = written(state.withColumn("changed", F.col("cost") == 0)), True
+    place = [F.floor(F.col(c) / tile).cast("int").alias(t) for c, t in (("row", "tr"), ("col", "tc"))]
+    spread = F.explode(F.array_distinct(F.array(*(F.struct(F.floor((F.col("row") + a) / tile).cast("int").alias("tr"), F.floor((F.col("col") + b) / tile).cast("int").alias("tc")) for a, b in square(3)))))
+    kept = [*KEY, "friction", "cost", "source", "way"]
+    schema = "row int, col int, friction double, cost double, source double, way double, changed boolean"
+    while state.where("changed").head(1):
+        touched = state.where("changed").select(F.floor(F.col("row") / tile).alias("r"), F.floor(F.col("col") / tile).alias("c"), spread.alias("t"))
+        # A tile that was solved has nothing to learn from its own cells.
+        touched = touched if first else touched.where("r <> t.tr or c <> t.tc")
+        active = written(touched.select("t.*").distinct())
+        dealt = state.select(*kept, spread.alias("t")).select(*kept, "t.*").join(active, ["tr", "tc"], "left_semi")
+        solved = dealt.groupBy("tr", "tc").applyInArrow(lambda table: _relax_tile(table, tile, steps, top, power, leaving), schema)
+        passed = state.select(*kept, *place).join(active, ["tr", "tc"], "left_anti").select(*kept, F.lit(False).alias("changed"))
+        new = written(solved.unionByName(passed))
+        discard(state, active)
+        state, first = new, False
+    return state.drop("changed", "way")
 
 
 def _seeds(grid: Grid) -> DataFrame:
@@ -137,16 +155,14 @@ def hinterland(grid: Grid, max_distance):
 
 @operator("SPDIST", "gis", "cost", source_row=0, source_col=0, dest_row=0, dest_col=0)
 def shortest_path(friction: Grid, source_row, source_col, dest_row, dest_col):
-    """1 on a least-cost path: cells whose costs from both ends add up to the least total. Ties keep all such paths."""
+    """1 on a least-cost path: cells where the cost from the source and the cost on to the destination add up to the least total. Ties keep all such paths; 0 everywhere if there is none."""
     spark = friction.df.sparkSession
     ends = [spark.createDataFrame([(r, c, 1.0)], "row int, col int, source double") for r, c in ((source_row, source_col), (dest_row, dest_col))]
-    there, back = (cost_surface(e, friction).select(*KEY, "friction", F.col("cost").alias(n)) for e, n in zip(ends, ("a", "b")))
-    t = there.join(back.drop("friction"), KEY)
-    dest = t.where((F.col("row") == dest_row) & (F.col("col") == dest_col)).select(F.col("a").alias("total"), F.col("friction").alias("fd"))
-    start = t.where((F.col("row") == source_row) & (F.col("col") == source_col)).select(F.col("b").alias("back_total"))
-    # b counts the friction of a step's target when walking from the destination; both totals close the difference for a cell.
-    on = F.abs(F.col("a") + F.col("b") - F.col("total")) < 1e-9 * (1 + F.col("total"))
-    return friction.with_cells(t.crossJoin(F.broadcast(dest)).crossJoin(F.broadcast(start)).select(*KEY, on.cast("double").alias("v")))
+    there, on = cost_surface(ends[0], friction), cost_surface(ends[1], friction, leaving=True)
+    t = there.select(*KEY, F.col("cost").alias("a")).join(on.select(*KEY, F.col("cost").alias("b")), KEY)
+    total = t.agg(F.max(F.when((F.col("row") == dest_row) & (F.col("col") == dest_col), F.col("a"))).alias("total"))
+    hit = (F.col("total") < float("inf")) & (F.abs(F.col("a") + F.col("b") - F.col("total")) <= 1e-9 * (1 + F.col("total")))
+    return friction.with_cells(t.crossJoin(F.broadcast(total)).select(*KEY, F.coalesce(hit, F.lit(False)).cast("double").alias("v")))
 
 
 @operator("DISPERSE", "gis", "source friction", num_steps=10, decay_rate=0.1)
@@ -174,28 +190,21 @@ def components(cells: DataFrame, offsets, cols: int) -> DataFrame:
 
 
 def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, label: the least id that each node reaches over edges (id, near), given both ways. Labels jump along themselves."""
-    edges = written(edges)
-    labels = written(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        seen = edges.join(labels.select(F.col("id").alias("near"), F.col("label").alias("l")), "near").groupBy("id").agg(F.min("l").alias("l"))
-        hooked = labels.join(seen, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        labels = written(hooked.join(jump, "label", "left").select("id", "was", F.least("label", "far").alias("label")))
-        if not labels.where("label <> was").head(1):
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
+    """id, label: the least id that each node reaches over edges (id, near)."""
+    found = connected_components(edges.select(F.col("id").alias("src"), F.col("near").alias("dst")))
+    return nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 @operator("GROUP", "gis", "input", connectivity=("4-connected", "8-connected"))
 def group(grid: Grid, connectivity):
     """Components of non-zero cells, whatever their value, numbered from 1 in the order of their first cells; other cells 0."""
-    from .zonal import running_count
+    from .zonal import by_key, running_count
 
     cells = grid.valid().where("v <> 0").select(*KEY, F.lit(1.0).alias("v"))
-    t = components(cells, FOUR if connectivity[0] == "4" else EIGHT, grid.cols)
-    number = running_count(t.select("label").distinct(), F.col("label")).select(F.col("key").alias("label"), (F.col("before") + 1).cast("double").alias("no"))
-    named = t.join(number, "label").select(*KEY, "no")
+    t = written(components(cells, FOUR if connectivity[0] == "4" else EIGHT, grid.cols))
+    sizes = t.groupBy("label").agg(F.count("*").alias("n"))
+    number = running_count(sizes, F.col("label")).select(F.col("key").alias("label"), (F.col("before") + 1).cast("double").alias("no"))
+    named = by_key(t.select(*KEY, "label"), written(sizes.join(number, "label")), "label").select(*KEY, "no")
     return grid.with_cells(grid.df.join(named, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), F.coalesce("no", F.lit(0.0))).alias("v")))
 
 
@@ -301,9 +310,13 @@ def pit_removal(dem: Grid):
 def automaton(state: Grid, rules: Grid, iterations):
     """Majority of 3 x 3 cells, the centre included, where the rules aren't zero; ties to the smallest class."""
     cells = state.df.join(rules.df.select(*KEY, F.coalesce(F.col("v").cast("int") != 0, F.lit(False)).alias("may")), KEY).select(*KEY, "v", "may")
+
+    def majority(w, n, centre):
+        runs = class_runs(np.trunc(w), n)
+        return {"new": np.trunc(np.take_along_axis(w, runs.argmax(axis=1)[:, None], axis=1)[:, 0])}
+
     for _ in range(iterations):
-        counts = moving(state.with_cells(cells.select(*KEY, "v")), square(3)).groupBy(*KEY, F.col("x").cast("int").alias("x")).agg(F.count("*").alias("n"))
-        top = counts.groupBy(*KEY).agg(F.max(F.struct("n", (-F.col("x")).alias("m"))).alias("t")).select(*KEY, (-F.col("t.m")).cast("double").alias("new"))
+        top = focal(cells.select(*KEY, "v"), 3, majority, ["new"]).select(*KEY, "new")
         cells = written(cells.join(top, KEY, "left").select(*KEY, F.when(F.col("may") & F.col("v").isNotNull(), F.col("new")).otherwise(F.col("v")).alias("v"), "may"))
     return state.with_cells(cells.select(*KEY, "v"))
 
@@ -350,19 +363,22 @@ def multi_objective(objectives: list[Grid], areas):
     return objectives[0].with_cells(t.select(*KEY, F.coalesce(claim(), F.lit(0)).cast("double").alias("v")))
 
 
-@operator("EOT", "etm", "series", num_modes=2)
-def teleconnections(series: DataFrame, num_modes, base_cells=256):
+@operator("EOT", "etm", "series", num_modes=2, base_cells=256)
+def teleconnections(series: DataFrame, num_modes, base_cells):
     """mode, row, col, explained: base cells whose series explain most variance of all; each mode is regressed out.
 
-    Candidates are every nth cell by hash, about base_cells of them.
+    The published form takes base cells from a sample; here they are about base_cells cells by hash, which is a
+    parameter of the result. Their series go to all cells as one broadcast array of base_cells * steps numbers.
     """
     spark, modes = series.sparkSession, []
     m = series.groupBy(*KEY).agg(F.avg("v").alias("m"))
     state = written(series.join(m, KEY).select(*KEY, "t", (F.col("v") - F.col("m")).alias("v")))
     cells = m.count()
     for k in range(num_modes):
-        base = state.where(F.pmod(F.xxhash64("row", "col"), F.lit(max(1, cells // base_cells))) == 0).select(F.col("row").alias("br"), F.col("col").alias("bc"), "t", F.col("v").alias("b"))
-        both = state.join(base, "t").groupBy("br", "bc", *KEY).agg(F.sum(F.col("v") * F.col("b")).alias("vb"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+        base = state.where(F.pmod(F.xxhash64("row", "col"), F.lit(max(1, cells // base_cells))) == 0).groupBy(F.col("row").alias("br"), F.col("col").alias("bc")).agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("v").alias("b")))).alias("line"))
+        own = state.groupBy(*KEY).agg(F.collect_list(F.struct("t", "v")).alias("own"))  # a cell's steps
+        shared = F.filter(F.transform("own", lambda x: F.struct((x["v"] * F.col("line")[x["t"]]).alias("vb"), F.pow(F.col("line")[x["t"]], F.lit(2)).alias("bb"))), lambda x: x["bb"].isNotNull())
+        both = own.crossJoin(F.broadcast(base)).select("br", "bc", *(F.aggregate(shared, F.lit(0.0), lambda s, x, n=n: s + x[n]).alias(n) for n in ("vb", "bb")))
         score = both.where("bb > 0").groupBy("br", "bc").agg(F.sum(F.col("vb") * F.col("vb") / F.col("bb")).alias("s"))
         best = score.agg(F.max(F.struct("s", (-F.col("br")).alias("r"), (-F.col("bc")).alias("c"))).alias("m")).head().m
         if best is None:

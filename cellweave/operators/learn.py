@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
-from ..plans.scratch import written
+from ..plans.scratch import discard, written
 
+#: The most labelled pixels that go into a classifier which is fitted in one place (KNN, SOM, RBFNN, both ARTMAPs); part of their results.
 TRAINING_ROWS = 20000
 
 
@@ -384,7 +385,8 @@ def absorption(px: DataFrame, wavelengths, absorption_center):
         while hull[-1] < len(w) - 1:
             k = hull[-1]
             hull.append(k + 1 + int(((y[k + 1 :] - y[k]) / (w[k + 1 :] - w[k])).argmax()))
-        rel = 1 - y / np.maximum(np.interp(w, w[hull], y[hull]), 1e-12)
+        top = np.interp(w, w[hull], y[hull])
+        rel = np.where(np.abs(top) > 1e-15, 1 - y / np.where(np.abs(top) > 1e-15, top, 1.0), 0.0)
         depth, half, ends = max(0.0, float(rel[at])), float(rel[at]) / 2, []
         for step in (-1, 1):
             k = at
@@ -451,23 +453,18 @@ def auto_endmembers(px: DataFrame, num_endmembers, projections, seed):
 # Clusters
 
 
-def center_sums(px: DataFrame, centers: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(center, count, sums, sums of squares) of the pixels nearest to each: partial sums by Arrow batch, then one aggregation."""
-    n = centers.shape[1]
+def nearest(centers: np.ndarray) -> Column:
+    """The number of the nearest centre, the first of ties: plain arithmetic over the bands, so that it is compiled."""
+    scores = [sum(((F.col("a")[i] - float(x)) * (F.col("a")[i] - float(x)) for i, x in enumerate(c)), F.lit(0.0)) for c in centers]
+    return F.array_min(F.array(*(F.struct(s.alias("d"), F.lit(k).alias("k")) for k, s in enumerate(scores))))["k"]
 
-    def run(batches):
-        count, sums, squares = np.zeros(len(centers), np.int64), np.zeros(centers.shape), np.zeros(centers.shape)
-        for b in batches:
-            x = np.array(b.column("a").to_pylist(), float).reshape(-1, n)
-            k = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-            count += np.bincount(k, minlength=len(centers))
-            np.add.at(sums, k, x)
-            np.add.at(squares, k, x * x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(centers)), pa.int64()), pa.array(count), pa.array(sums.tolist()), pa.array(squares.tolist())], ["k", "n", "s", "q"])
 
-    t = px.select("a").mapInArrow(run, "k long, n long, s array<double>, q array<double>")
-    rows = t.groupBy("k").agg(F.sum("n").alias("n"), *(F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(c) for c in ("s", "q"))).where("n > 0").orderBy("k").collect()
-    return [(r.k, r.n, np.array(r.s), np.array(r.q)) for r in rows]
+def center_sums(px: DataFrame, centers: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(center, count, sums, sums of squares) of the pixels nearest to each, by one aggregation."""
+    bands = [F.col("a")[i] for i in range(centers.shape[1])]
+    sums = [F.count("*").alias("n"), *(F.sum(b).alias(f"s{i}") for i, b in enumerate(bands)), *(F.sum(b * b).alias(f"q{i}") for i, b in enumerate(bands))]
+    rows = px.select(nearest(centers).alias("k"), "a").groupBy("k").agg(*sums).orderBy("k").collect()
+    return [(r["k"], r["n"], *(np.array([r[f"{c}{i}"] for i in range(len(bands))]) for c in "sq")) for r in rows]
 
 
 def lloyd(px: DataFrame, centers: np.ndarray, rounds: int) -> np.ndarray:
@@ -484,7 +481,7 @@ def lloyd(px: DataFrame, centers: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def assign(px: DataFrame, centers: np.ndarray) -> DataFrame:
-    return px.select(*KEY, (least([(k, square_distance(F.col("a"), c)) for k, c in enumerate(centers)])["label"] + 1).cast("double").alias("v"))
+    return px.select(*KEY, (nearest(centers) + 1).cast("double").alias("v"))
 
 
 @operator("CLUSTER", "imgproc", "pixels", num_clusters=10, max_iterations=50, method=("K-Means", "ISODATA"))
@@ -564,8 +561,9 @@ def leader_clusters(px: DataFrame, distance_threshold, max_clusters):
 
 
 def _sampled(t: DataFrame, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """At most TRAINING_ROWS training pixels, those of the least seeded hashes, in that order."""
-    rows = t.orderBy(F.xxhash64("row", "col", F.lit(seed)), *KEY).limit(TRAINING_ROWS).select("a", "label").collect()
+    """At most TRAINING_ROWS training pixels, those of the least seeded hashes, in order of their cells."""
+    rows = t.orderBy(F.xxhash64("row", "col", F.lit(seed)), *KEY).limit(TRAINING_ROWS).select(*KEY, "a", "label").collect()
+    rows.sort(key=lambda r: (r.row, r.col))
     return np.array([r.a for r in rows], float), np.array([r.label for r in rows], int)
 
 
@@ -588,24 +586,50 @@ def knn(px: DataFrame, labels: DataFrame, k):
 
 
 @operator("KNNREGRESS", "gis", "dependent independent samples", k=5)
-def knn_regression(y: Grid, xs: list[Grid], samples: Grid, k):
-    """Inverse-distance mean of the k nearest sample cells (a bounded sample); an exact match gives its value."""
-    px = pixels(xs)
-    t = px.join(y.valid(), KEY).join(samples.valid().where("v <> 0").select(*KEY), KEY).select(*KEY, "a", "v")
-    rows = t.orderBy(F.xxhash64("row", "col"), *KEY).limit(TRAINING_ROWS).collect()
-    x, v = np.array([r.a for r in rows], float), np.array([r.v for r in rows], float)
+def knn_regression(y: Grid, xs: list[Grid], samples: Grid, k, block_rows=20000):
+    """Inverse-distance mean of the k nearest sample cells; an exact match gives its value; ties go by cell.
 
-    def run(q):
-        out = np.empty(len(q))
-        for s in range(0, len(q), 512):
-            d = np.sqrt(((q[s : s + 512, None, :] - x[None]) ** 2).sum(axis=2))
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, near, axis=1)
-            w = 1 / np.maximum(dist, 1e-12)
-            out[s : s + 512] = np.where(dist[:, 0] < 1e-10, v[near[:, 0]], (w * v[near]).sum(axis=1) / w.sum(axis=1))
-        return {"v": out}
+    Every sample cell counts. They are dealt into blocks; each batch of cells meets each block in turn and keeps its
+    best k, so a task holds a block and no more. Blocks are broadcast one by one as they are read, never all samples.
+    """
+    px = pixels(xs)
+    t = written(px.join(y.valid(), KEY).join(samples.valid().where("v <> 0").select(*KEY), KEY).select(*KEY, "a", "v"))
+    total = t.count()
+    if not total:
+        return px.select(*KEY, F.lit(None).cast("double").alias("v"))
+    blocks = max(1, -(-total // block_rows))
+    n = width(px)
+    dealt = t.withColumn("block", F.pmod(F.xxhash64(*KEY), F.lit(blocks)))
+    out = written(px.select(*KEY, "a", F.array().cast("array<struct<d:double,row:int,col:int,v:double>>").alias("best")))
+    for b in range(blocks):
+        part = dealt.where(F.col("block") == b).select("row", "col", "a", "v").orderBy(*KEY).collect()  # block_rows or so
+        x, v = np.array([r.a for r in part], float).reshape(-1, n), [r.v for r in part]
+        at = [(r.row, r.col) for r in part]
+        new = written(out.mapInArrow(_nearer(x, v, at, k), "row int, col int, a array<double>, best array<struct<d:double,row:int,col:int,v:double>>"))
+        discard(out)
+        out = new
+    weight = F.aggregate("best", F.lit(0.0), lambda s, x: s + 1 / F.greatest(x["d"], F.lit(1e-12)))
+    value = F.aggregate("best", F.lit(0.0), lambda s, x: s + x["v"] / F.greatest(x["d"], F.lit(1e-12)))
+    return out.select(*KEY, F.when(F.col("best")[0]["d"] < 1e-10, F.col("best")[0]["v"]).otherwise(value / weight).alias("v"))
+
+
+def _nearer(x: np.ndarray, v: list[float], at: list[tuple[int, int]], k: int):
+    """Batches whose `best` k samples, by distance and cell, are those so far and of one more block."""
 
-    return by_batch(px, run, "v double")
+    def run(batches):
+        for batch in batches:
+            q, best = np.array(batch.column("a").to_pylist(), float), batch.column("best").to_pylist()
+            for s in range(0, len(q), 64):
+                d = np.sqrt(((q[s : s + 64, None, :] - x[None]) ** 2).sum(axis=2))
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                for r, ids in enumerate(near.tolist()):
+                    mine = [(float(d[r, i]), *at[i], v[i]) for i in ids]
+                    have = [(h["d"], h["row"], h["col"], h["v"]) for h in best[s + r]]
+                    best[s + r] = [dict(zip(("d", "row", "col", "v"), b)) for b in sorted(have + mine)[:k]]
+            kind = pa.list_(pa.struct([("d", pa.float64()), ("row", pa.int32()), ("col", pa.int32()), ("v", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), batch.column("a"), pa.array(best, kind)], ["row", "col", "a", "best"])
+
+    return run
 
 
 def _ml_frame(px: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grid import KEY, Grid
@@ -34,19 +34,24 @@ def separate(cells: DataFrame, band=0):
     return cells.where(F.col("band") == band).select(*KEY, "v")
 
 
-@operator("BREAKOUT", "gis", "input")
-def breakout(grid: Grid) -> DataFrame:
-    """row, col, category, v: one Boolean layer per class. Classes come from a distinct; layers are cells times classes by definition."""
-    classes = grid.valid().select(F.col("v").cast("int").alias("category")).distinct()
-    t = grid.df.crossJoin(F.broadcast(classes))
-    return t.select(*KEY, "category", (F.col("v").cast("int") == F.col("category")).cast("double").alias("v"))
+def _layers(grid: Grid, category: Column, max_classes: int) -> DataFrame:
+    """Cells times classes. Layers are as many as classes, so a continuous raster is an error, by a declared bound."""
+    classes = written(grid.valid().select(category.cast("int").alias("category")).distinct().limit(max_classes + 1))
+    if classes.count() > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    return grid.df.crossJoin(F.broadcast(classes))
 
 
-@operator("SPLIT", "gis", "input")
-def split(grid: Grid) -> DataFrame:
-    classes = grid.valid().select(F.round("v").cast("int").alias("category")).distinct()
-    t = grid.df.crossJoin(F.broadcast(classes))
-    return t.select(*KEY, "category", F.coalesce((F.round("v") == F.col("category")).cast("double"), F.lit(0.0)).alias("v"))
+@operator("BREAKOUT", "gis", "input", max_classes=1000)
+def breakout(grid: Grid, max_classes) -> DataFrame:
+    """row, col, category, v: one Boolean layer per class, no data where there is none."""
+    return _layers(grid, F.col("v"), max_classes).select(*KEY, "category", (F.col("v").cast("int") == F.col("category")).cast("double").alias("v"))
+
+
+@operator("SPLIT", "gis", "input", max_classes=1000)
+def split(grid: Grid, max_classes) -> DataFrame:
+    """As BREAKOUT, by rounded values, with 0 where there is no data."""
+    return _layers(grid, F.round("v"), max_classes).select(*KEY, "category", F.coalesce((F.round("v") == F.col("category")).cast("double"), F.lit(0.0)).alias("v"))
 
 
 @operator("SUBSAMPLE", "imgproc", "input", factor=2)

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..plans.grid import KEY, Grid
 from ..plans.registry import operator
 from ..plans.scratch import written
-from .focal import square
+from .focal import class_runs, focal, square
 from .iterate import FOUR, linked
 from .learn import training, width
+from .zonal import by_key
 
 
 def _merged(px: DataFrame, labels: DataFrame, cols: int, least_size: int) -> DataFrame:
@@ -30,7 +31,8 @@ def _merged(px: DataFrame, labels: DataFrame, cols: int, least_size: int) -> Dat
     best = pair.groupBy("label").agg(F.min(F.struct(d.alias("d"), F.col("other").alias("o"))).alias("b")).select("label", F.col("b.o").alias("o"))
     edges = best.select(F.col("label").alias("id"), F.col("o").alias("near"))
     group = linked(seg.select(F.col("label").alias("id")), edges.union(edges.select("near", "id")))
-    return t.join(group.select(F.col("id").alias("label"), F.col("label").alias("g")), "label").select(*KEY, F.col("g").cast("double").alias("v"))
+    named = written(group.select(F.col("id").alias("label"), F.col("label").alias("g")).join(seg.select("label", "n"), "label"))
+    return by_key(t.select(*KEY, "label"), named, "label").select(*KEY, F.col("g").cast("double").alias("v"))
 
 
 def _close(px: DataFrame, cols: int, limit: float) -> DataFrame:
@@ -102,23 +104,27 @@ def cooccurrence(grid: Grid, measure, window_size, direction, num_levels):
     span = F.col("hi") - F.col("lo")
     q = grid.valid().crossJoin(F.broadcast(s)).select(*KEY, F.when(span > 0, F.least(F.lit(num_levels - 1), F.floor((F.col("v") - F.col("lo")) / span * num_levels))).otherwise(0).cast("int").alias("q"))
     mate = q.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("q").alias("p"))
-    to = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in square(window_size))))
-    pairs = q.join(mate, KEY).select(F.least("q", "p").alias("i"), F.greatest("q", "p").alias("j"), "row", "col", to.alias("k")).select((F.col("row") + F.col("k.dr")).alias("row"), (F.col("col") + F.col("k.dc")).alias("col"), "i", "j")
-    d = (F.col("i") - F.col("j")).cast("double")
-    if measure in ("Energy", "Entropy"):
-        c = pairs.groupBy(*KEY, "i", "j").agg(F.count("*").alias("n"))
-        size = c.groupBy(*KEY).agg(F.sum("n").alias("whole"))
-        both = F.col("i") != F.col("j")
-        p = F.col("n") / F.col("whole") / F.when(both, 2).otherwise(1)
-        one = p * p if measure == "Energy" else -p * F.log(p)
-        t = c.join(size, KEY).groupBy(*KEY).agg(F.sum(one * F.when(both, 2).otherwise(1)).alias("x"))
-    elif measure == "Correlation":
-        m = pairs.groupBy(*KEY).agg(F.avg(F.col("i") * F.col("j")).alias("ij"), F.avg((F.col("i") + F.col("j")) / 2).alias("m"), F.avg((F.col("i") * F.col("i") + F.col("j") * F.col("j")) / 2).alias("s"))
-        var = F.col("s") - F.col("m") * F.col("m")
-        t = m.select(*KEY, F.when(var > 1e-12, (F.col("ij") - F.col("m") * F.col("m")) / var).otherwise(0.0).alias("x"))
-    else:
-        t = pairs.groupBy(*KEY).agg(F.avg({"Contrast": d * d, "Dissimilarity": F.abs(d), "Homogeneity": 1 / (1 + d * d)}[measure]).alias("x"))
-    return grid.with_cells(grid.df.join(t, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), F.coalesce("x", F.lit(0.0))).alias("v")))
+    code = (F.least("q", "p") * num_levels + F.greatest("q", "p")).cast("double").alias("x")
+    cells = grid.df.join(q.join(mate, KEY).select(*KEY, code), KEY, "left").select(*KEY, "v", "x")
+
+    def of(w, n, centre):
+        i, j = np.floor(w / num_levels), w % num_levels
+        d, whole = np.abs(i - j), np.maximum(n, 1)
+        if measure in ("Energy", "Entropy"):
+            runs = class_runs(w, n).astype(float)
+            both = i != j
+            if measure == "Energy":  # whole numbers until the last division
+                return {"x": (runs * runs * np.where(both, 2, 4)).sum(axis=1) / (4.0 * whole * whole)}
+            p = runs / whole[:, None] / np.where(both, 2, 1)
+            return {"x": (-p * np.log(np.where(p > 0, p, 1.0)) * np.where(both, 2, 1)).sum(axis=1)}
+        if measure == "Correlation":
+            ij, m, s = (np.nansum(x, axis=1) / whole for x in (i * j, (i + j) / 2, (i * i + j * j) / 2))
+            var = s - m * m
+            return {"x": np.where(var > 1e-12, (ij - m * m) / np.where(var > 1e-12, var, 1.0), 0.0)}
+        return {"x": np.nansum({"Contrast": d * d, "Dissimilarity": d, "Homogeneity": 1 / (1 + d * d)}[measure], axis=1) / whole}
+
+    t = focal(cells, window_size, of, ["x"])
+    return grid.with_cells(t.select(*KEY, F.when(F.col("v").isNotNull(), F.coalesce("x", F.lit(0.0))).alias("v")))
 
 
 @operator("FUZSIG", "imgproc", "pixels labels", bins=256)

@@ -185,25 +185,34 @@ def bioclim(temp: DataFrame, rain: DataFrame):
 
 
 def _per_cell(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
-    """fn over each cell's arrays, in Arrow batches; fn returns a tuple of values."""
+    """fn over cells' arrays, in Arrow batches: arrays of equal length are one matrix (cells by steps) per column; fn gives a list per value."""
     import pyarrow as pa
 
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            rows = [fn(*(np.array(x, float) for x in arrays)) for arrays in zip(*(b.column(c).to_pylist() for c in columns))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), *(pa.array(list(x)) for x in zip(*rows))], ["row", "col", *names])
+            data = [b.column(c).to_pylist() for c in columns]
+            out, groups = [None] * b.num_rows, {}
+            for r, arrays in enumerate(zip(*data)):
+                groups.setdefault(tuple(map(len, arrays)), []).append(r)
+            for rows in groups.values():
+                found = fn(*(np.array([own[r] for r in rows], float) for own in data))
+                for r, values in zip(rows, zip(*found)):
+                    out[r] = values
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), *(pa.array(list(x)) for x in zip(*out))], ["row", "col", *names])
 
     return df.select(*KEY, *columns).mapInArrow(run, f"row int, col int, {schema}")
 
 
-def _fit(y: np.ndarray, x: np.ndarray) -> tuple[list[float], float, list[float]]:
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    rest = y - x @ beta
-    spread = ((y - y.mean()) ** 2).sum()
-    return beta.tolist(), float(1 - (rest**2).sum() / spread) if spread > 0 else 0.0, rest.tolist()
+def _fit(y: np.ndarray, x: np.ndarray) -> tuple[list, list, list]:
+    """Least squares of each row of y on its own design (rows, steps, terms): coefficients, R squared and residuals."""
+    beta = np.einsum("rkt,rt->rk", np.linalg.pinv(x), y)
+    rest = y - np.einsum("rtk,rk->rt", x, beta)
+    spread = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    r2 = np.where(spread > 0, 1 - (rest**2).sum(axis=1) / np.where(spread > 0, spread, 1.0), 0.0)
+    return beta.tolist(), r2.tolist(), rest.tolist()
 
 
 @operator("MULTI_REG", "etm", "dependent independent")
@@ -212,7 +221,7 @@ def multiple_regression(y: DataFrame, xs: list[DataFrame]):
     t = y
     for k, x in enumerate(xs):
         t = t.join(x.select(*KEY, F.col("a").alias(f"x{k}")), KEY)
-    return _per_cell(t, ["a", *(f"x{k}" for k in range(len(xs)))], lambda y, *x: _fit(y, np.column_stack([np.ones(len(y)), *x])), "coefficients array<double>, r2 double, residuals array<double>")
+    return _per_cell(t, ["a", *(f"x{k}" for k in range(len(xs)))], lambda y, *x: _fit(y, np.stack([np.ones(y.shape), *x], axis=2)), "coefficients array<double>, r2 double, residuals array<double>")
 
 
 @operator("MLR", "etm", "response predictors")
@@ -221,7 +230,8 @@ def regression_on_time(y: DataFrame, xs: list[DataFrame]):
     t = y
     for k, x in enumerate(xs):
         t = t.join(x.select(*KEY, F.col("a").alias(f"x{k}")), KEY)
-    return _per_cell(t, ["a", *(f"x{k}" for k in range(len(xs)))], lambda y, *x: _fit(y, np.column_stack([np.ones(len(y)), np.arange(len(y)), *x]))[:2], "coefficients array<double>, r2 double")
+    time = lambda y: np.broadcast_to(np.arange(y.shape[1], dtype=float), y.shape)
+    return _per_cell(t, ["a", *(f"x{k}" for k in range(len(xs)))], lambda y, *x: _fit(y, np.stack([np.ones(y.shape), time(y), *x], axis=2))[:2], "coefficients array<double>, r2 double")
 
 
 @operator("HANTS", "etm", "arrays", num_harmonics=3, fit_error_tolerance=0.05)
@@ -229,15 +239,20 @@ def hants(a: DataFrame, num_harmonics, fit_error_tolerance):
     """Harmonic fit that drops values beyond the tolerance, at most ten times; smooth series, amplitudes and phases."""
 
     def fit(y):
-        x, use = _harmonics(len(y), num_harmonics), np.isfinite(y)
+        x, use = _harmonics(y.shape[1], num_harmonics), np.isfinite(y)
+        beta, open_ = np.zeros((len(y), x.shape[1])), np.arange(len(y))
         for _ in range(10):
-            beta = np.linalg.lstsq(x[use], y[use], rcond=None)[0]
-            bad = use & (np.abs(y - x @ beta) > fit_error_tolerance)
-            if not bad.any() or use.sum() - bad.sum() < x.shape[1] + 1:
+            # A value that is left out is a row of zeros.
+            own = use[open_]
+            beta[open_] = np.einsum("rkt,rt->rk", np.linalg.pinv(x[None] * own[:, :, None]), np.where(own, y[open_], 0.0))
+            bad = own & (np.abs(y[open_] - beta[open_] @ x.T) > fit_error_tolerance)
+            go = bad.any(axis=1) & (own.sum(axis=1) - bad.sum(axis=1) >= x.shape[1] + 1)
+            use[open_[go]] &= ~bad[go]
+            open_ = open_[go]
+            if not len(open_):
                 break
-            use = use & ~bad
-        c, s = beta[1::2], beta[2::2]
-        return (x @ beta).tolist(), np.hypot(c, s).tolist(), np.arctan2(s, c).tolist()
+        c, s = beta[:, 1::2], beta[:, 2::2]
+        return (beta @ x.T).tolist(), np.hypot(c, s).tolist(), np.arctan2(s, c).tolist()
 
     return _per_cell(a, ["a"], fit, "smooth array<double>, amplitudes array<double>, phases array<double>")
 
@@ -247,16 +262,16 @@ def singular_spectrum(a: DataFrame, window_length, num_components):
     """Reconstruction of each series from its leading lag-covariance components, by diagonal averages."""
 
     def run(y):
-        n, m = len(y), min(window_length, len(y))
-        mean = y.mean()
-        lagged = np.lib.stride_tricks.sliding_window_view(y - mean, m)
-        _, vectors = np.linalg.eigh(lagged.T @ lagged / len(lagged))
-        e = vectors[:, ::-1][:, :num_components]
-        part = lagged @ e @ e.T
-        total, hits = np.zeros(n), np.zeros(n)
+        n, m = y.shape[1], min(window_length, y.shape[1])
+        mean = y.mean(axis=1, keepdims=True)
+        lagged = np.lib.stride_tricks.sliding_window_view(y - mean, m, axis=1)
+        _, vectors = np.linalg.eigh(lagged.transpose(0, 2, 1) @ lagged / lagged.shape[1])
+        e = vectors[:, :, ::-1][:, :, :num_components]
+        part = lagged @ e @ e.transpose(0, 2, 1)
+        total, hits = np.zeros(y.shape), np.zeros(n)
         for j in range(m):
-            total[j : j + len(part)] += part[:, j]
-            hits[j : j + len(part)] += 1
+            total[:, j : j + part.shape[1]] += part[:, :, j]
+            hits[j : j + part.shape[1]] += 1
         return ((total / hits + mean).tolist(),)
 
     return _per_cell(a, ["a"], run, "reconstruction array<double>")

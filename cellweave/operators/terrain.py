@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
 from ..plans.scratch import written
-from .focal import moving, neighbours, square
+from .focal import neighbours, square, tiled
 from .iterate import FLOW_CODES, FOUR, components
+from .zonal import by_key, running_count
 
 
 @operator("VIEWSHED", "gis", "dem", observer_x=0.0, observer_y=0.0, observer_height=1.7, max_distance=0.0)
@@ -61,7 +62,7 @@ def fractal(grid: Grid, max_window):
     """2 + |b - 2| within 2..3, b the slope of log surface area on log window size.
 
     A quad's area is that of two triangles of sides (cell, cell, slanted edge) and depends on no other quad, so window
-    areas are sums of quads. Quads that the edge or missing data break are left out of a window.
+    areas are sums of quads. Quads that the edge or missing data break are left out of a window, and so are windows without area.
     """
     size = grid.cell[0]
 
@@ -69,15 +70,50 @@ def fractal(grid: Grid, max_window):
         return F.sqrt(size**2 + dz * dz) / 4 * F.sqrt(F.greatest(F.lit(0.0), 3 * size**2 - dz * dz))
 
     quad = neighbours(grid, {"s": (1, 0), "e": (0, 1), "d": (1, 1)}).select(*KEY, (tri(F.col("s") - F.col("v")) + tri(F.col("d") - F.col("e"))).alias("v"))
-    quads, t, n = grid.with_cells(written(quad)), None, 0
-    for w in range(3, max_window + 1, 2):
-        h = w // 2
-        s = moving(quads, [(a, b) for a in range(-h, h) for b in range(-h, h)]).groupBy(*KEY).agg(F.log(F.sum("x")).alias("y")).where("y is not null").select(*KEY, F.lit(math.log(w * size)).alias("x"), "y")
-        t, n = s if t is None else t.unionByName(s), n + 1
-    b = t.groupBy(*KEY).agg(F.regr_slope("y", "x").alias("b"))
+    sizes = range(3, max_window + 1, 2)
+    reach = max(sizes) // 2
+    x = np.log([w * size for w in sizes])
+
+    def slopes(images: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        quads = np.nan_to_num(images["v"])
+        side, logs = len(quads) - 2 * reach, []
+        for w in sizes:
+            h, total = w // 2, np.zeros((side, side))
+            for a in range(reach - h, reach + h):  # the quads from -h to h - 1 of each cell
+                for b in range(reach - h, reach + h):
+                    total += quads[a : a + side, b : b + side]
+            logs.append(np.log(np.where(total > 0, total, np.nan)))
+        y = np.array(logs)
+        there = ~np.isnan(y)
+        n, xs = there.sum(axis=0), np.where(there, x[:, None, None], 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mx, my = xs.sum(axis=0) / n, np.nansum(y, axis=0) / n
+            dx = np.where(there, xs - mx, 0.0)
+            b = (dx * np.nan_to_num(y - my)).sum(axis=0) / (dx * dx).sum(axis=0)
+        return {"b": np.where(n > 1, b, np.nan)}
+
+    b = tiled(quad, reach, slopes, ["b"]).select(*KEY, "b")
     return grid.with_cells(grid.df.join(b, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), F.greatest(F.lit(2.0), F.least(F.lit(3.0), F.coalesce(2 + F.abs(F.col("b") - 2), F.lit(2.0))))).alias("v")))
 
 
+def _upper_tail(z: np.ndarray) -> np.ndarray:
+    """The normal distribution's upper tail, whole arrays at a time.
+
+    Up to 2.5 by the series of the error function, whose terms fall fast there; beyond by Laplace's continued fraction.
+    """
+    x = np.abs(z) / math.sqrt(2)
+    small = np.minimum(x, 2.5)
+    term, total = small.copy(), small.copy()
+    for k in range(1, 80):
+        term = -term * small * small / k
+        total = total + term / (2 * k + 1)
+    large, f = np.maximum(x, 2.5), np.zeros_like(x)
+    for k in range(120, 0, -1):
+        f = k / 2 / (large + f)
+    tail = np.where(x <= 2.5, 0.5 - total / math.sqrt(math.pi), 0.5 * np.exp(-large * large) / math.sqrt(math.pi) / (large + f))
+    return np.where(z >= 0, tail, 1 - tail)
+
+
 @operator("PCLASS", "gis", "input error", threshold=0.0)
 def probability_class(grid: Grid, error: Grid, threshold):
     """Probability that the true value exceeds the threshold, for normal errors; a step where the error isn't positive."""
@@ -85,28 +121,92 @@ def probability_class(grid: Grid, error: Grid, threshold):
 
     def run(batches):
         for b in batches:
-            out = [None if v is None or s is None else (0.5 * math.erfc((threshold - v) / s / math.sqrt(2)) if s > 0 else float(v > threshold)) for v, s in zip(b.column("v0").to_pylist(), b.column("v1").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(out, pa.float64())], ["row", "col", "v"])
+            v, s = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("v0", "v1"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = np.where(s > 0, _upper_tail((threshold - v) / s), (v > threshold).astype(float))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(out, pa.float64(), mask=np.isnan(v) | np.isnan(s))], ["row", "col", "v"])
 
     return grid.with_cells(t.mapInArrow(run, "row int, col int, v double"))
 
 
-@operator("KENDALL", "gis", "input1 input2", max_points=20000)
-def kendall(a: Grid, b: Grid, max_points):
-    """tau-b, z and p over a systematic sample of at most about max_points cells, as large a sample as fits a driver."""
-    t = align([a, b]).where("v0 is not null and v1 is not null")
-    n = t.count()
-    step = max(1, -(-n // max_points))
-    rows = t.where(F.pmod(a.cell_id(), F.lit(step)) == 0).select("v0", "v1").collect() if step > 1 else t.select("v0", "v1").collect()
-    x, y = np.array([r.v0 for r in rows]), np.array([r.v1 for r in rows])
-    s = tx = ty = 0.0
-    for k in range(0, len(x), 512):
-        dx, dy = np.sign(x[k : k + 512, None] - x), np.sign(y[k : k + 512, None] - y)
-        s, tx, ty = s + (dx * dy).sum(), tx + np.abs(dx).sum(), ty + np.abs(dy).sum()
-    m = len(x)
-    tau = float(s / math.sqrt(tx * ty)) if tx * ty > 0 else 0.0
-    z = tau / math.sqrt(2 * (2 * m + 5) / (9 * m * (m - 1))) if m > 1 else 0.0
-    return t.sparkSession.createDataFrame([(m, tau, z, math.erfc(abs(z) / math.sqrt(2)))], "n long, tau double, z double, p double")
+def _concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Concordant less discordant pairs: pairs in order of x and y, less twice the inversions, which are counted by merging."""
+    order = np.lexsort((y, x))
+    x, y, m = x[order], y[order], len(x)
+    if m < 2:
+        return 0
+
+    def ties(*parts: np.ndarray) -> int:
+        fresh = np.ones(m, bool)
+        fresh[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in parts])
+        n = np.diff(np.append(np.flatnonzero(fresh), m))
+        return int((n * (n - 1) // 2).sum())
+
+    level = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    inversions, side = 0, 1
+    size = 1 << (m - 1).bit_length()
+    keys = np.full(size, m, np.int64)  # the filling is the largest and comes last, so it is in no inversion
+    keys[:m] = level
+    while side < size:
+        blocks = np.sort(keys.reshape(-1, side), axis=1)
+        left, right = blocks[0::2], blocks[1::2]
+        base = np.arange(len(left), dtype=np.int64)[:, None] * (m + 1)
+        upto = np.searchsorted((left + base).ravel(), (right + base).ravel(), side="right").reshape(right.shape) - np.arange(len(left))[:, None] * side
+        inversions += int((side - upto)[right < m].sum())
+        keys, side = blocks.ravel(), 2 * side
+    sorted_y = np.sort(y)
+    own_y = sorted_y[1:] != sorted_y[:-1]
+    runs = np.diff(np.concatenate([[0], np.flatnonzero(own_y) + 1, [m]]))
+    ordered = m * (m - 1) // 2 - ties(x) - int((runs * (runs - 1) // 2).sum()) + ties(x, y)
+    return ordered - 2 * inversions
+
+
+@operator("KENDALL", "gis", "input1 input2")
+def kendall(a: Grid, b: Grid, blocks=512):
+    """n, tau-b, z and p over all cells with data in both.
+
+    Values of each grid are dealt to blocks by rank; a value that fills a block by itself has one of its own. Pairs of
+    cells that differ in both blocks are counted from the table of blocks by blocks, pairs within a block of either
+    grid by merging, one task each, and what both count once less. Blocks of a single value have only ties.
+    """
+    t = align([a, b]).where("v0 is not null and v1 is not null").select("v0", "v1")
+    t = written(t)
+    n, parts, tied = t.count(), [], []
+    if n < 2:
+        return t.sparkSession.createDataFrame([(n, 0.0, 0.0, 1.0)], "n long, tau double, z double, p double")
+    for c, k in (("v0", "i"), ("v1", "j")):
+        counts = written(running_count(t, F.col(c)))
+        tied.append(int(counts.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)")).alias("s")).head().s))
+        block = 2 * F.floor(F.col("before") * blocks / n) + (F.col("n") * blocks >= n).cast("int")
+        parts.append(counts.select(F.col("key").alias(c), "n", block.cast("long").alias(k)))
+    u = by_key(by_key(t, parts[0], "v0").drop("n"), parts[1], "v1").drop("n")
+    u = written(u)
+    table = u.groupBy("i", "j").agg(F.count("*").alias("n")).toPandas()  # at most (2 * blocks) squared rows
+    side = 2 * blocks + 2
+    h = np.zeros((side, side), object if n > 1 << 31 else np.int64)
+    h[table["i"].astype(int), table["j"].astype(int)] = table["n"].to_numpy()
+    below = lambda m: np.pad(m.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))[:-1, :-1]
+    s = int((h * below(h)).sum()) - int((h * below(h[:, ::-1])[:, ::-1]).sum())
+
+    def inside(other: str | None):
+        def run(rows: pa.Table) -> pa.Table:
+            x, y = rows.column("v0").to_numpy(), rows.column("v1").to_numpy()
+            total = _concordance(x, y)
+            if other:  # pairs that share the other block as well were counted there
+                parts = rows.column(other).to_numpy()
+                order = np.argsort(parts, kind="stable")
+                cuts = np.flatnonzero(np.diff(parts[order])) + 1
+                total -= sum(_concordance(x[k], y[k]) for k in np.split(order, cuts))
+            return pa.table({"s": [total]})
+
+        return run
+
+    strips = (("i", None), ("j", "i"))
+    s += sum(u.where(f"{k} % 2 = 0").groupBy(k).applyInArrow(inside(other), "s long").agg(F.coalesce(F.sum(F.col("s").cast("decimal(38,0)")), F.lit(0)).alias("s")).head().s for k, other in strips)
+    pairs = n * (n - 1) // 2
+    tau = float(s) / math.sqrt(float(pairs - tied[0]) * float(pairs - tied[1])) if pairs > tied[0] and pairs > tied[1] else 0.0
+    z = tau / math.sqrt(2 * (2 * n + 5) / (9 * n * (n - 1)))
+    return t.sparkSession.createDataFrame([(n, tau, z, math.erfc(abs(z) / math.sqrt(2)))], "n long, tau double, z double, p double")
 
 
 @operator("POLLINATION", "esm", "landcover", nesting=(), floral=(), foraging_distance=10.0)
@@ -123,16 +223,23 @@ def pollination(land: Grid, nesting, floral, foraging_distance):
         return F.coalesce(c, F.lit(0.0))
 
     h, alpha = int(foraging_distance), foraging_distance / 2
-    kernel = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(math.exp(-math.hypot(a, b) / alpha)).alias("w")) for a, b in square(2 * h + 1) if math.hypot(a, b) <= foraging_distance)))
-    t = written(land.valid().select(*KEY, by_class(nesting).alias("n"), by_class(floral).alias("f")))
-
-    def reach(df, value):
-        sent = df.select(*KEY, value.alias("x"), kernel.alias("k")).select((F.col("row") + F.col("k.dr")).alias("row"), (F.col("col") + F.col("k.dc")).alias("col"), (F.col("x") * F.col("k.w")).alias("xw"), F.col("k.w").alias("w"))
-        return sent.groupBy(*KEY).agg(F.sum("xw").alias("xw"), F.sum("w").alias("w"))
-
-    supply = t.join(reach(t, F.col("f")), KEY).select(*KEY, "f", (F.col("n") * F.col("xw") / F.col("w")).alias("s"), "xw")
-    given = written(supply.select(*KEY, "f", F.when(F.col("xw") > 0, F.col("s") / F.col("xw")).otherwise(0.0).alias("g")))
-    out = given.join(reach(given, F.col("g")), KEY).select(*KEY, (F.col("f") * F.col("xw")).alias("x"))
+    kernel = [(a, b, math.exp(-math.hypot(a, b) / alpha)) for a, b in square(2 * h + 1) if math.hypot(a, b) <= foraging_distance]
+
+    def reach(images: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        there, x = ~np.isnan(images["x"]), np.nan_to_num(images["x"])
+        side = len(x) - 2 * h
+        out = {n: np.zeros((side, side)) for n in ("xw", "w")} | {"f": images["x"][h : h + side, h : h + side]}
+        for a, b, k in kernel:
+            part = (slice(h + a, h + a + side), slice(h + b, h + b + side))
+            out["xw"] += k * x[part]
+            out["w"] += k * there[part]
+        return out
+
+    t = land.valid().select(*KEY, by_class(nesting).alias("v"), by_class(floral).alias("x"))
+    near = tiled(t, h, reach, ["xw", "w", "f"])
+    supply = F.col("v") * F.col("xw") / F.col("w")
+    given = near.select(*KEY, F.col("f").alias("v"), F.when(F.col("xw") > 0, supply / F.col("xw")).otherwise(0.0).alias("x"))
+    out = tiled(given, h, reach, ["xw", "w"]).select(*KEY, (F.col("v") * F.col("xw")).alias("x"))
     return land.with_cells(land.df.join(out, KEY, "left").select(*KEY, "x").withColumnRenamed("x", "v"))
 
 
@@ -228,27 +335,65 @@ def local_affine(grid: Grid, gcps: DataFrame):
     return grid.with_cells(at.join(source, ["sr", "sc"], "left").select(*KEY, "v"))
 
 
-RADIUS = 6378137.0
+# The ellipsoid of WGS 84 and the scale of its transverse Mercator zones.
+RADIUS, FLATTENING, ZONE_SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+
+
+def _series() -> tuple[float, float, tuple, tuple, tuple]:
+    """Kruger's series to the third order: the third flattening, the rectifying radius, and coefficients forward, back and for latitude."""
+    n = FLATTENING / (2 - FLATTENING)
+    forward = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    latitude = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    return n, RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64), forward, back, latitude
+
+
+def _zone(epsg: int) -> tuple[float, float] | None:
+    """Central meridian and false northing of a UTM code (326 and 327 with the zone's number)."""
+    hundred, zone = divmod(epsg, 100)
+    return (zone * 6 - 183.0, 0.0 if hundred == 326 else 1e7) if hundred in (326, 327) and 1 <= zone <= 60 else None
 
 
 def _to_geographic(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     if epsg == 4326:
         return x, y
-    return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
+    if epsg == 3857:
+        return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
+    meridian, north = _zone(epsg)
+    _, size, _, back, latitude = _series()
+    xi, eta = (y - north) / (ZONE_SCALE * size), (x - 500000.0) / (ZONE_SCALE * size)
+    xi1 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(back, 1)), F.lit(0.0))
+    eta1 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(back, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    phi = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(latitude, 1)), F.lit(0.0))
+    return meridian + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(phi)
 
 
 def _from_geographic(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     if epsg == 4326:
         return x, y
-    return F.radians(x) * RADIUS, F.log(F.tan(math.pi / 4 + F.radians(y) / 2)) * RADIUS
+    if epsg == 3857:
+        return F.radians(x) * RADIUS, F.log(F.tan(math.pi / 4 + F.radians(y) / 2)) * RADIUS
+    meridian, north = _zone(epsg)
+    n, size, forward, _, _ = _series()
+    e, s, turn = 2 * math.sqrt(n) / (1 + n), F.sin(F.radians(y)), F.radians(x - meridian)
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(forward, 1)), F.lit(0.0))
+    up = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(forward, 1)), F.lit(0.0))
+    return 500000.0 + ZONE_SCALE * size * east, north + ZONE_SCALE * size * up
 
 
 @operator("PROJECT", "gis", "input", source_epsg=3857, target_epsg=4326, cell_size=0.0)
 def project(grid: Grid, source_epsg, target_epsg, cell_size):
-    """Between geographic (4326) and Web Mercator (3857) grids, nearest cell; others raise, for want of a projection library."""
-    if {source_epsg, target_epsg} - {3857, 4326}:
-        raise ValueError("only EPSG 3857 and 4326 are known here")
-    lim = grid.df.sparkSession.range(2).select((grid.transform[0] + F.col("id") * grid.cols * grid.transform[2]).alias("x"), (grid.transform[1] + F.col("id") * grid.rows * grid.transform[3]).alias("y"))
+    """Between geographic (4326), Web Mercator (3857) and UTM (326zz, 327zz) grids, nearest cell; other codes raise, for want of a projection library.
+
+    The target's extent is that of a lattice of 21 x 21 places of the source.
+    """
+    if any(e not in (3857, 4326) and not _zone(e) for e in (source_epsg, target_epsg)):
+        raise ValueError("only EPSG 3857, 4326 and UTM zones are known here")
+    at = lambda c, n: (c / 20) * n
+    lim = grid.df.sparkSession.range(441).select((grid.transform[0] + at(F.col("id") % 21, grid.cols) * grid.transform[2]).alias("x"), (grid.transform[1] + at(F.floor(F.col("id") / 21), grid.rows) * grid.transform[3]).alias("y"))
     gx, gy = _to_geographic(F.col("x"), F.col("y"), source_epsg)
     tx, ty = _from_geographic(gx, gy, target_epsg)
     e = lim.agg(F.min(tx).alias("x0"), F.max(tx).alias("x1"), F.min(ty).alias("y0"), F.max(ty).alias("y1")).head()
@@ -261,6 +406,45 @@ def project(grid: Grid, source_epsg, target_epsg, cell_size):
     return target.with_cells(at.join(source, ["sr", "sc"], "left").select(*KEY, "v"))
 
 
+#: The order in which a trace looks at a cell's neighbours: clockwise from the east, rows downward.
+AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
+@operator("TINPREP", "gis", "contours", angle_tolerance=5.0)
+def thin_contours(grid: Grid, angle_tolerance):
+    """chain, no, x, y, value: cells of contours (connected cells of one value) but those where the trace runs nearly straight on.
+
+    A chain is traced breadth first from its first cell in row order; its ends stay, and so do chains of one or two
+    cells. Each chain is one task's work: the raster is to hold contours, whose background has no data.
+    """
+    t = components(grid.valid(), AROUND, grid.cols)
+    limit = math.cos(math.radians(180 - angle_tolerance))
+    pw, ph = grid.transform[2], grid.transform[3]
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col = table.column("row").to_pylist(), table.column("col").to_pylist()
+        open_ = set(zip(row, col))
+        chain = [min(open_)]
+        open_.discard(chain[0])
+        for r, c in chain:  # grows while it is walked
+            for dr, dc in AROUND:
+                if (r + dr, c + dc) in open_:
+                    open_.discard((r + dr, c + dc))
+                    chain.append((r + dr, c + dc))
+        p = np.array(chain, float) * [ph, pw]
+        stay = np.ones(len(p), bool)
+        if len(p) > 2:
+            a, b = p[:-2] - p[1:-1], p[2:] - p[1:-1]
+            cos = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+            stay[1:-1] = np.clip(cos, -1, 1) > limit
+        kept = np.flatnonzero(stay)
+        rows = np.array(chain, np.int32)[kept]
+        return pa.table({"chain": pa.array([table.column("label")[0].as_py()] * len(kept), pa.int64()), "no": pa.array(kept, pa.int64()), "row": rows[:, 0], "col": rows[:, 1], "value": pa.array([table.column("v")[0].as_py()] * len(kept), pa.float64())})
+
+    points = t.groupBy("label").applyInArrow(run, "chain long, no long, row int, col int, value double")
+    return points.select("chain", "no", grid.x().alias("x"), grid.y().alias("y"), "value")
+
+
 @operator("RASTERVECTOR", "files", "input")
 def outlines_of(grid: Grid):
     """Edges (label, value, x1, y1, x2, y2) around connected cells of one value: the raster-to-vector form."""

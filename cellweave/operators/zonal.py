@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
+from ..plans.scratch import written
+
 
 def class_of() -> Column:
     """A cell's class: truncated, as classes are in the tables."""
@@ -25,19 +27,34 @@ def one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
-def running_count(df: DataFrame, by: Column, ranges: int = 200) -> DataFrame:
+def running_count(df: DataFrame, by: Column) -> DataFrame:
     """key, n and before (rows with lesser keys) for each distinct key of df.
 
-    Distinct keys are dealt to ranges by order; counts run inside ranges, and the totals of the (few) ranges are added.
+    Distinct keys are dealt to ranges by order and written with the number of their range, so that what is read of it
+    twice is the same; counts run inside ranges, and the totals of the (few) ranges are added.
     """
-    counts = df.groupBy(by.alias("key")).agg(F.count("*").alias("n")).repartitionByRange(ranges, "key")
-    counts = counts.withColumn("part", F.spark_partition_id())
+    counts = df.groupBy(by.alias("key")).agg(F.count("*").alias("n")).repartitionByRange("key")
+    counts = written(counts.withColumn("part", F.spark_partition_id()))
     inside = counts.withColumn("in", F.sum("n").over(Window.partitionBy("part").orderBy("key")) - F.col("n"))
     sums = counts.groupBy("part").agg(F.sum("n").alias("all"))
     offset = sums.withColumn("offset", F.sum("all").over(Window.orderBy("part")) - F.col("all")).select("part", "offset")
     return inside.join(F.broadcast(offset), "part").select("key", "n", (F.col("in") + F.col("offset")).alias("before"))
 
 
+def by_key(df: DataFrame, table: DataFrame, key: str, parts: int = 200) -> DataFrame:
+    """df left-joined to table (key, n: the rows of df that have it, ...), spread evenly whatever the keys.
+
+    Keys of a 200th of all rows or more, 200 at most, are broadcast; their rows go by a salt instead of the key.
+    """
+    names = [c for c in table.columns if c != key]
+    heavy = one_row(table, table.agg(F.sum("n").alias("__all"))).where(F.col("n") * parts >= F.col("__all"))
+    heavy = heavy.select(key, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__{c}") for c in names))
+    salt = F.when(F.col("__hot"), 1 + F.monotonically_increasing_id() % 4096).otherwise(0)
+    met = df.join(F.broadcast(heavy), key, "left").withColumn("__salt", salt)
+    met = met.join(table.withColumn("__salt", F.lit(0).cast("long")), [key, "__salt"], "left")
+    return met.select(*df.columns, *(F.coalesce(f"__{c}", c).alias(c) for c in names))
+
+
 # Grouped
 
 
@@ -382,8 +399,8 @@ def roc(p: Grid, ref: Grid, num_thresholds):
 @operator("RANK", "gis", "input", ascending=False)
 def rank(grid: Grid, ascending):
     """Competition ranks of all valid cells, from 1."""
-    ranks = running_count(grid.valid(), F.col("v") if ascending else -F.col("v")).select((F.col("key") if ascending else -F.col("key")).alias("v"), (F.col("before") + 1).cast("double").alias("r"))
-    return grid.with_cells(grid.df.join(ranks, "v", "left").select(*KEY, F.col("r").alias("v")))
+    ranks = running_count(grid.valid(), F.col("v") if ascending else -F.col("v")).select((F.col("key") if ascending else -F.col("key")).alias("v"), "n", (F.col("before") + 1).cast("double").alias("r"))
+    return grid.with_cells(by_key(grid.df, ranks, "v").select(*KEY, F.col("r").alias("v")))
 
 
 @operator("TOPRANK", "gis", "input", mode=("Number of cells", "Percentage"), num_cells=100, percentage=5.0)
@@ -391,7 +408,7 @@ def top_rank(grid: Grid, mode, num_cells, percentage):
     """1 for the largest cells, ties by cell number, else 0. Only cells of the tied value are ordered."""
     ranks = running_count(grid.valid(), -F.col("v")).select((-F.col("key")).alias("v"), "before", "n")
     want = F.lit(num_cells) if mode == "Number of cells" else F.floor(F.col("all") * (percentage / 100))
-    t = one_row(grid.valid().join(ranks, "v"), grid.valid().agg(F.count("*").alias("all"))).withColumn("want", want)
+    t = one_row(by_key(grid.valid(), ranks, "v"), grid.valid().agg(F.count("*").alias("all"))).withColumn("want", want)
     edge = t.where("before < want and before + n > want")
     slot = running_count(edge, grid.cell_id()).select(F.col("key").alias("id"), F.col("before").alias("nth"))
     t = t.withColumn("id", grid.cell_id()).join(slot, "id", "left")

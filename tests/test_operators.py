@@ -121,7 +121,7 @@ def test_ranks_and_scan(spark, rng):
     v = m[~np.isnan(m)]
     dw = create("DURBINWATSON")(to_grid(spark, m)).head()
     assert math.isclose(dw.dw, (np.diff(v) ** 2).sum() / (v**2).sum())
-    c = zonal.running_count(to_grid(spark, m).valid(), __import__("pyspark").sql.functions.col("v"), 3).orderBy("key").collect()
+    c = zonal.running_count(to_grid(spark, m).valid(), __import__("pyspark").sql.functions.col("v")).orderBy("key").collect()
     assert [r.before for r in c] == [int((v < r.key).sum()) for r in c]
 
 
