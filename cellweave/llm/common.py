@@ -5,48 +5,46 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-U64 = np.uint64
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/cellweave"
+from pyspark.sql import DataFrame
 
+from ..plans.components import connected_components
+from ..plans.scratch import discard
+from ..plans.scratch import written as materialize
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it again: lineage ends there and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["U64", "Memo", "as_bytes", "as_text", "connected_components", "discard", "materialize", "mix", "slices", "unused", "windows"]
+U64 = np.uint64
 
 
 class Memo(dict):
-    """A map filled on demand, in two generations of at most `limit` entries each."""
+    """A map filled on demand, in two generations of at most `limit` entries and `volume` bytes or items of keys and values each.
+
+    Bounds are kept by `trim`, between batches, so that a batch's own keys stay.
+    """
 
     every: ClassVar[list] = []
 
-    def __init__(self, make: Callable | None = None, limit: int = 250_000):
+    def __init__(self, make: Callable | None = None, limit: int = 250_000, volume: int = 16 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.volume, self.held, self.old = make, limit, volume, 0, {}
         Memo.every.append(self)
 
+    def __setitem__(self, key, value):
+        self.held += len(key) + (len(value) if hasattr(value, "__len__") else 1)
+        super().__setitem__(key, value)
+
     @staticmethod
     def focus(*own: Memo) -> None:
         """Empty all other memos: a worker that goes from one stage to the next keeps only what this one needs."""
         others = [m for m in Memo.every if (m or m.old) and not any(m is o for o in own)]
         for m in others:
             m.clear()
-            m.old = {}
+            m.old, m.held = {}, 0
         if others:
             gc.collect()
             pa.default_memory_pool().release_unused()
@@ -72,11 +70,22 @@ class Memo(dict):
         return out
 
     def trim(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
+        if len(self) > self.limit or self.held > self.volume:
+            self.old = dict(self) if self.held <= 2 * self.volume else {}
+            self.held = 0
             self.clear()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores in front until df has no column so named, whatever the case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list:
     """Strings of an Arrow column as UTF-8 bytes; nulls as empty bytes."""
     return [x or b"" for x in pc.cast(column, pa.large_binary()).to_pylist()]
@@ -117,23 +126,3 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(k):
             out = out * U64(0x9E3779B97F4A7C15) + w[j : n - k + 1 + j]
     return mix(out)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of undirected edges (src, dst: long): node, label = the least node that can be reached.
-
-    Least labels spread over edges and then along labels (pointer jumping), so that rounds grow with the
-    logarithm of a component's width. Each round is written to the shared folder; nothing reaches the driver
-    but a flag. Empty edges: no rows. Self-loops and repeated edges do no harm; nulls are dropped.
-    """
-    edges = edges.where("src is not null and dst is not null")
-    both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("near")), "dst").groupBy("src").agg(F.min("near").alias("near"))
-        hooked = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = materialize(hooked.join(jump, "label", "left").select("node", "was", F.least("label", "far").alias("label")))
-        if not labels.where("label <> was").head(1):
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")

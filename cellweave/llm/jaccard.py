@@ -7,8 +7,10 @@ more than d words, so that two linked sets agree in a whole word (pigeonhole). G
 word) therefore finds every link; candidates are verified on the sets themselves.
 
 Within a bucket, members first meet one leader. Buckets that this leaves in several components are merged where
-they overlap and compared block by block, on parity sketches and then on sets, and only edges that join components
-leave a task. Every pair that shares a key is thus in one component or has been compared: components are exact.
+they overlap and compared block by block, on short parity sketches: a first pass proposes a forest of likely links,
+which unites what is alike; in a second one, sets are fetched for those only that still have a likely partner in
+another component, and compared. Every pair that shares a key is thus in one component or has been compared:
+components are exact.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, as_bytes, connected_components, materialize, mix, slices, windows
+from .common import U64, Memo, as_bytes, connected_components, discard, materialize, mix, slices, unused, windows
 
 WORDS = Memo(xxhash.xxh3_64_intdigest)
 
@@ -130,13 +132,23 @@ def _keys(k: int, num: int, den: int):
     return run
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A set's parity bits, two to four times as many as it has members; halves XOR-ed give the sketch of half the bits."""
+    words = 1 << max(3, (2 * len(tokens) - 1).bit_length() - 6)
+    out = np.zeros(words, U64)
+    np.bitwise_xor.at(out, ((tokens >> U64(8)) & U64(words - 1)).astype(np.int64), U64(1) << (tokens & U64(63)))
+    return out
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.focus(WORDS)
         for batch in slices(batches, "text"):
-            sets = [shingles(text, k) for text in as_bytes(batch.column("text"))]
+            sets = [x for text in as_bytes(batch.column("text")) if len(x := shingles(text, k))]
             WORDS.trim()
-            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) if len(x) else None for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
+            columns = [pa.array([set_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            columns += [pa.array([f(x).tobytes() for x in sets], pa.binary()) for f in (parity_sketch, lambda x: x)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch", "tokens"])
 
     return run
 
@@ -156,12 +168,51 @@ def _verify(num: int, den: int):
     return run
 
 
+def _allowed(num: int, den: int):
+    """The pairs whose parity sketches, folded to the shorter one's bits, allow them to be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.focus()
+        for batch in slices(batches, "s_a"):
+            keep = []
+            for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))):
+                least = min(len(a), len(b)) >> 3
+                a, b = (np.bitwise_xor.reduce(np.frombuffer(x, U64).reshape(-1, least), axis=0) for x in (a, b))
+                keep.append(int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) * (num + den) <= (n + m) * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (src, dst) whose sets are similar enough."""
-    a = sets.select(F.col("node").alias("src"), "tokens", F.length("tokens").alias("n_a"))
-    b = sets.select(F.col("node").alias("dst"), F.col("tokens").alias("tokens_b"), F.length("tokens").alias("n_b"))
+    """A table of the pairs (src, dst) whose sets are similar enough. Sketches meet first, and sets only for pairs that these allow.
+
+    Pairs are written before each join, so that Spark broadcasts them where they are few, by their true size, and no
+    set is shuffled then.
+    """
+    pairs = materialize(pairs.select("src", "dst").distinct())
+    a = sets.select(F.col("node").alias("src"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    b = sets.select(F.col("node").alias("dst"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     sized = pairs.join(a, "src").join(b, "dst").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    return sized.select("src", "dst", "tokens", "tokens_b").mapInArrow(_verify(num, den), "src long, dst long")
+    near = materialize(sized.select("src", "dst", "n_a", "n_b", "s_a", "s_b").mapInArrow(_allowed(num, den), "src long, dst long"))
+    a = sets.select(F.col("node").alias("src"), "tokens")
+    b = sets.select(F.col("node").alias("dst"), F.col("tokens").alias("tokens_b"))
+    both = near.join(a, "src").join(b, "dst").select("src", "dst", "tokens", "tokens_b")
+    out = materialize(both.mapInArrow(_verify(num, den), "src long, dst long"))
+    discard(pairs, near)
+    return out
+
+
+#: A bitmap of 64 times so many bits is what the texts of candidates are found by; it doesn't grow with the data.
+MARKS = 1 << 18
+
+
+def _marked(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """Rows of docs whose rid is in the table rids. A bitmap lets few others through, so that the exact join, where it can't broadcast, shuffles few texts."""
+    word, bit = f"shiftrightunsigned(rid, 6) & {MARKS - 1}L", "shiftleft(1L, cast(rid & 63 as int))"
+    marks = rids.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    some = docs.join(F.broadcast(marks), F.expr(f"word = ({word}) and ({bit} & bits) <> 0"), "left_semi")
+    return some.join(rids, "rid", "left_semi")
 
 
 def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -169,8 +220,8 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns one row per input row: doc (the id), rid (a hash of id and text), n (size of its set) and comp (a
     component's number; null for a document without words, which links with nothing). Null ids and texts,
-    repeated rows, ties, extra columns and empty tables are fine: rows are told apart by id and text, null text
-    counts as empty, and equal rows share all results.
+    repeated rows, ties, extra columns, very long texts and empty tables are fine: rows are told apart by id and
+    text, null text counts as empty, and equal rows share all results.
     """
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"))
     ids = docs.schema["doc"].dataType.simpleString()
@@ -179,34 +230,87 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     bucket = Window.partitionBy("bucket")
     met = keyed.withColumns({"lead": F.min("node").over(bucket), "last": F.max("node").over(bucket)}).where("lead <> last or key is not null")
     members = materialize(met.select(F.coalesce("key", "bucket").alias("key"), "node", "lead"))
-    names = members.groupBy("node").count().select("node")
-    rows = sig.join(names, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
-    texts = docs.join(rows.select("rid"), "rid", "left_semi").select("text").mapInArrow(_sets(k), "node long, tokens binary")
-    sets = materialize(texts.groupBy("node").agg(F.first("tokens").alias("tokens")))
-    pairs = members.where("node <> lead").groupBy(F.col("node").alias("src"), F.col("lead").alias("dst")).count().select("src", "dst")
-    links = materialize(_linked(pairs, sets, num, den))
+    names = members.select("node").distinct()
+    rids = materialize(sig.join(names, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid")).select("rid"))
+    texts = _marked(docs.select("rid", "text"), rids).select("text").mapInArrow(_sets(k), "node long, n long, sketch binary, tokens binary")
+    sets = materialize(texts)
+    if sets.groupBy("node").count().where("count > 1").head(1):  # the same row more than once
+        once = materialize(sets.dropDuplicates(["node"]))
+        discard(sets)
+        sets = once
+    links = _linked(members.where("node <> lead").select(F.col("node").alias("src"), F.col("lead").alias("dst")), sets, num, den)
     labels = _settle(members, links, sets, num, den)
+    discard(members, rids, sets, links)
     return sig.select("doc", "rid", "n", "node").join(labels, "node", "left").select("doc", "rid", "n", F.coalesce("label", "node").alias("comp"))
 
 
+def _likely(num: int, den: int, forest: bool):
+    """Pairs of a group's two blocks (of one, if they are the same) from different components that their sketches allow.
+
+    forest: only pairs (src, dst) that unite components, each taken for a link once it is proposed. Else the nodes
+    (cluster, i, j, block, node) of all such pairs.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, block, comp, size = (table.column(c).to_numpy() for c in ("node", "block", "comp", "n"))
+        comp, i, j = comp.copy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sketches = table.column("sketch").to_pylist()
+        width = np.array([len(x) >> 3 for x in sketches])
+        classes = {}  # by words of a sketch: rows in order of size, their sizes, and their sketches
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            rows = rows[np.argsort(size[rows], kind="stable")]
+            classes[w] = rows, size[rows], np.frombuffer(b"".join(sketches[r] for r in rows), U64).reshape(len(rows), w)
+        sketches = None
+        pairs, hit = [], np.zeros(len(node), bool)
+        for w, (rows, _, own) in classes.items():
+            for a, sketch in zip(rows.tolist(), own):
+                least, v = -(-int(size[a]) * num // den), w
+                while True:  # partners no larger than a, of this class and of shorter sketches
+                    if v in classes:
+                        others, sizes, theirs = classes[v]
+                        lo, hi = np.searchsorted(sizes, [least, size[a] + 1])
+                        near = np.arange(lo, hi)
+                        b = others[lo:hi]
+                        ok = (comp[b] != comp[a]) & ((block[b] != block[a]) if i != j else True) & ((size[b] < size[a]) | (b < a))
+                        near, b = near[ok], b[ok]
+                        if len(b):
+                            far = np.bitwise_count(theirs[near] ^ sketch).sum(axis=1, dtype=np.int64)
+                            b = b[far * (num + den) <= (size[b] + size[a]) * (den - num)]
+                        if not forest:
+                            hit[b] = True
+                            hit[a] |= len(b) > 0
+                        else:
+                            for c in b.tolist():
+                                if comp[c] != comp[a]:
+                                    pairs.append((int(node[a]), int(node[c])))
+                                    comp[comp == comp[c]] = comp[a]
+                    if v <= 8 or least > 16 * v:
+                        break
+                    v >>= 1
+                    sketch = sketch[:v] ^ sketch[v:]
+        if forest:
+            return pa.table({"src": pa.array([x for x, _ in pairs], pa.int64()), "dst": pa.array([x for _, x in pairs], pa.int64())})
+        return table.select(["cluster", "i", "j", "block", "node", "comp"]).filter(pa.array(hit))
+
+    return run
+
+
 def _compare(num: int, den: int):
-    """All pairs of a group's two blocks (of one, if they are the same) by parity sketch, then by set; edges that join components."""
+    """Pairs of different components of a group's two blocks, compared on their sets; edges that join components."""
 
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, U64) for x in table.column("tokens").to_pylist()]
         node, block, comp = (table.column(c).to_numpy() for c in ("node", "block", "comp"))
         comp, size, own = comp.copy(), np.array([len(x) for x in sets]), table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        bits = 1 << max(9, int(2 * size.max() - 1).bit_length())
-        sketch = np.zeros((len(sets), bits >> 6), U64)
-        for row, tokens in zip(sketch, sets):
-            np.bitwise_xor.at(row, ((tokens >> U64(8)) % U64(bits >> 6)).astype(np.int64), U64(1) << (tokens & U64(63)))
-        left = np.flatnonzero(block == block.min())
+        sketch = [parity_sketch(x) for x in sets]
+        least = min(map(len, sketch))
+        sketch = np.array([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in sketch])
         edges = []
-        for n, a in enumerate(left):
-            right = left[n + 1 :] if own else np.flatnonzero(block != block[a])
-            right = right[comp[right] != comp[a]]
+        for a in np.argsort(-size, kind="stable").tolist():
+            right = np.flatnonzero((comp != comp[a]) & (size <= size[a]) & (size * den >= size[a] * num) & ((block != block[a]) | own))
             far = np.bitwise_count(sketch[right] ^ sketch[a]).sum(axis=1, dtype=np.int64)
-            for b in right[far * (num + den) <= (size[right] + size[a]) * (den - num)]:
+            for b in right[far * (num + den) <= (size[right] + size[a]) * (den - num)].tolist():
                 if comp[a] != comp[b]:
                     same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if den * same >= num * (size[a] + size[b] - same):
@@ -217,7 +321,18 @@ def _compare(num: int, den: int):
     return run
 
 
-BLOCK_ROWS, BLOCK_BYTES, FEW_BLOCKS = 256, 8 << 20, 12
+BLOCK_ROWS, BLOCK_BYTES, TASK_ROWS, FEW_BLOCKS = 4096, 1 << 20, 256, 12
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (cluster, node, comp, n, sketch) of clusters with several components, dealt into blocks of bounded rows and bytes; one group for each pair of blocks."""
+    open_ = rows.groupBy("cluster").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("rows"), F.sum(F.length("sketch")).alias("bytes")).where("c <> d")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("rows") / TASK_ROWS), F.lit(FEW_BLOCKS)))
+    open_ = materialize(open_.select("cluster", blocks.cast("long").alias("blocks")))
+    dealt = rows.join(open_, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "sketch")
+    return dealt.repartition("cluster", "i", "j")  # else a cluster would stay where its rows met their number of blocks
 
 
 def _settle(members: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,39 +340,63 @@ def _settle(members: DataFrame, links: DataFrame, sets: DataFrame, num: int, den
 
     Buckets that their leader didn't unite are merged into clusters where they share members. A cluster is dealt
     into blocks of bounded bytes, and each pair of blocks is one group, so that no task sees more than two blocks.
+    What is copied to each pair is a sketch, a sixteenth or less of a set.
     """
     labels = connected_components(links)
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"), "lead")
-    shape = placed.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("node").alias("head"), F.max(F.when(F.col("node") != F.col("lead"), F.col("node"))).alias("top"), F.min(F.when(F.col("node") != F.col("lead"), F.col("node"))).alias("low"))
+    other = F.when(F.col("node") != F.col("lead"), F.col("node"))
+    shape = placed.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("node").alias("head"), F.max(other).alias("top"), F.min(other).alias("low"))
     open_ = shape.where("c <> d and low <> top").select("key", "head")
     loose = materialize(placed.join(open_, "key").select("node", "comp", "head").distinct())
     if not loose.head(1):
+        discard(loose)
         return labels
     cluster = connected_components(loose.select(F.col("node").alias("src"), F.col("head").alias("dst")))
-    rows = materialize(loose.select("node", "comp").distinct().join(cluster, "node").select("node", "comp", F.col("label").alias("cluster")).join(sets, "node"))
-    count = rows.groupBy("cluster").agg(F.greatest(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(FEW_BLOCKS)), F.ceil(F.sum(F.length("tokens")) / BLOCK_BYTES)).alias("blocks"))
-    dealt = rows.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "tokens")
-    found = dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(num, den), "src long, dst long")
-    return connected_components(materialize(links.unionByName(found)))
+    rows = materialize(loose.select("node", "comp").distinct().join(cluster, "node").select("node", "comp", F.col("label").alias("cluster")).join(sets.select("node", "n", "sketch"), "node"))
+    tree = _pairs_of_blocks(rows).groupBy("cluster", "i", "j").applyInArrow(_likely(num, den, True), "src long, dst long")
+    found = _linked(tree, sets, num, den)
+    links = links.unionByName(found)
+    labels = connected_components(links)
+    united = rows.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("comp"), "n", "sketch")
+    kinds = "cluster long, i long, j long, block long, node long, comp long"
+    open_nodes = materialize(_pairs_of_blocks(united).groupBy("cluster", "i", "j").applyInArrow(_likely(num, den, False), kinds))
+    if open_nodes.head(1):
+        met = open_nodes.join(sets.select("node", "tokens"), "node").repartition("cluster", "i", "j")
+        last = met.groupBy("cluster", "i", "j").applyInArrow(_compare(num, den), "src long, dst long")
+        more = materialize(last)
+        labels = connected_components(links.unionByName(more))
+        discard(more)
+    discard(loose, rows, found, open_nodes)
+    return labels
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links reach, for each row; see similarity_components."""
-    rows = similarity_components(df, id_col, text_col, k, num, den)
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"))
+    rows = materialize(similarity_components(df, id_col, text_col, k, num, den))
+    # A table of its own, so that Spark may split a large component's rows in the join.
+    least = materialize(rows.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("comp", "least"))
     return rows.join(least, "comp", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the least id stays, one of equal rows.
 
-    Documents without words link with nothing and all stay. Columns are those of df.
+    Rows with a null id come after all others of a component. Documents without words, null texts among them, link
+    with nothing and all stay. Columns are those of df, whatever their names. Only the numbers of rows that go, or
+    that occur twice, are joined to the texts.
     """
     rows = materialize(similarity_components(df, id_col, text_col, k, num, den))
-    stay = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("first")).select(F.col("first.rid").alias("__rid"))
-    bare = rows.where("comp is null").select(F.col("rid").alias("__rid")).distinct()
-    tagged = df.withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col)))
-    first = tagged.join(stay, "__rid", "left_semi").dropDuplicates(["__rid"])
-    return first.unionByName(tagged.join(bare, "__rid", "left_semi")).drop("__rid")
+    (rid,) = unused(df, "rid")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("first")
+    stay = rows.where("comp is not null").groupBy("comp").agg(first, F.count("*").alias("rows")).where("rows > 1").select("comp", F.col("first.rid").alias("stays"))
+    lost = rows.join(materialize(stay), "comp").where("rid <> stays").select(F.col("rid").alias(rid)).distinct()
+    twice = materialize(rows.where("comp is not null").groupBy("rid").count().where("count > 1").select(F.col("rid").alias(rid)))
+    left = df.withColumn(rid, F.xxhash64(F.col(id_col), F.col(text_col))).join(materialize(lost), rid, "left_anti")
+    if not twice.head(1):
+        return left.select(*map(_quoted, df.columns))
+    once = left.join(twice, rid, "left_semi").dropDuplicates([rid])
+    return left.join(twice, rid, "left_anti").unionByName(once).select(*map(_quoted, df.columns))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
