@@ -69,11 +69,14 @@ def _ordered(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
 
 
 def format_chat(df: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Segments of every conversation, in order: conv_id, turn_no, segment, role, text, loss, valid.
-
-    valid: the state machine accepts all turns up to this one. Turns are ordered by turn, ties by role and text;
-    rows stream, so a conversation of any length needs one turn's memory. Null roles and texts count as empty,
-    rows with a null conversation form one conversation, unknown roles get the general marks and are not valid.
+    """Segments of every conversation, in order: conv_id, turn_no, segment, role, text, loss, valid, state.
+
+    valid: the state machine accepts all turns up to this one; state: where it stands after the turn ("broken" once a
+    turn isn't allowed). Turns are ordered by turn, ties by role and text, null turns first; repeated rows are turns
+    of their own. A conversation is one stream by nature and so one task, but its rows are sorted outside of memory
+    and pass one turn at a time, so its length isn't bounded by memory. Null roles and texts count as empty, rows
+    with a null conversation form one conversation, unknown roles get the general marks and are not valid. An empty
+    table gives none. Other columns of df aren't looked at.
     """
     t = template or Template()
 
@@ -85,32 +88,42 @@ def format_chat(df: DataFrame, template: Template | None = None, conv_col: str =
                 if first or c != conv:
                     conv, no, state, first = c, 0, t.start, False
                 state = t.moves.get((state, role), "broken")
-                out += [(c, no, k, role, s, loss, state != "broken") for k, (s, loss) in enumerate(t.segments(role, text))]
+                out += [(c, no, k, role, s, loss, state != "broken", state) for k, (s, loss) in enumerate(t.segments(role, text))]
                 no += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()))], ["conv_id", "turn_no", "segment", "role", "text", "loss", "valid"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string()))], ["conv_id", "turn_no", "segment", "role", "text", "loss", "valid", "state"])
+
+    return _ordered(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, "conv_id long, turn_no long, segment int, role string, text string, loss boolean, valid boolean, state string")
 
-    return _ordered(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, "conv_id long, turn_no long, segment int, role string, text string, loss boolean, valid boolean")
 
+def digest_chat(segments: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
+    """Read formatted conversations back from their segments: one row of counts and digests per conversation.
 
-def digest_chat(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Read formatted conversations back from their segments: one row of counts and digests per conversation."""
+    valid: the state machine accepts all turns and ends in a final state. in_order: the rows are format_chat's own,
+    not yet written or moved, so they needn't be sorted again; a segment out of order raises all the same. Segments
+    with a null conversation are one conversation; an empty table gives none; other columns aren't looked at.
+    """
     t = template or Template()
+    if not in_order:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "segment")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv = None
+        conv, buffer, next_ = None, "", 0
         for batch in batches:
             done = []
-            for c, k, s, loss, ok in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "segment", "text", "loss", "valid"))):
+            for c, no, k, s, loss, ok, state in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn_no", "segment", "text", "loss", "valid", "state"))):
                 if conv is None or c != conv[0]:
                     if conv:
                         done.append(conv)
-                    conv, buffer = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True], ""
+                    conv, buffer, next_ = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True], "", 0
+                if (no, k) != (conv[1], next_):
+                    raise ValueError(f"segment {k} of turn {no} is out of order or there twice")
+                next_ = (k + 1) % 3
                 buffer = s if k == 0 else buffer + s
                 conv[5] += len(s)
-                conv[6] &= ok
+                conv[6] = ok and state in t.final
                 if loss:
                     plain = t.unescape(s)
                     conv[3] += len(plain)
@@ -128,4 +141,5 @@ def digest_chat(segments: DataFrame, template: Template | None = None) -> DataFr
         flat = [[c, n, a.hexdigest(), x, b.hexdigest(), y, ok] for c, n, a, x, b, y, ok in done]
         return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*flat), kinds)], names)
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    columns = segments.select("conv_id", "turn_no", "segment", "text", "loss", "valid", "state")
+    return columns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
