@@ -84,9 +84,13 @@ class Packet:
 def read_ogg(media: bytes) -> list[Packet]:
     """Packets of all logical streams. Raises ValueError at a wrong checksum, a lost page or a broken packet.
 
-    A page's granule position belongs to the last packet that ends on it; packets before it get none.
+    Every stream must end with a page that says so, and granule positions mustn't run back; where a header of
+    write_ogg tells how many streams there are, all of them must be there. A file cut at any place thus raises. A
+    page's granule position belongs to the last packet that ends on it; packets before it get none. No bytes: no
+    packets.
     """
     at, out, parts, expect, count, rates = 0, [], {}, {}, {}, {}
+    ended, times, told = set(), {}, 0
     while at < len(media):
         if len(media) - at < HEAD.size:
             raise ValueError("short page")
@@ -101,6 +105,14 @@ def read_ogg(media: bytes) -> list[Packet]:
             raise ValueError("wrong checksum")
         if number != expect.get(serial, 0) or bool(flags & 2) != (number == 0) or bool(flags & 1) != bool(parts.get(serial)):
             raise ValueError("lost page")
+        if serial in ended:
+            raise ValueError("page after the end of its stream")
+        if granule >= 0:
+            if granule < times.get(serial, 0):
+                raise ValueError("granule position runs back")
+            times[serial] = granule
+        if flags & 4:
+            ended.add(serial)
         expect[serial] = number + 1
         pos, done = at + HEAD.size + n, []
         held = parts.pop(serial, bytearray())
@@ -117,12 +129,19 @@ def read_ogg(media: bytes) -> list[Packet]:
         for k, data in enumerate(done):
             no = count[serial] = count.get(serial, -1) + 1
             if no == 0 and data[:8] == MAGIC:
-                rates[serial] = struct.unpack_from("<I", data, 8)[0]
+                if len(data) != 13:
+                    raise ValueError("broken header")
+                rates[serial], streams = struct.unpack_from("<IB", data, 8)
+                told = max(told, streams)
             own = granule if k == len(done) - 1 else None
             out.append(Packet(serial, no, data, own, own / rates[serial] if own is not None and serial in rates else None))
         at = end
     if parts:
         raise ValueError("open packet")
+    if expect.keys() - ended:
+        raise ValueError("stream without its end")
+    if len(rates) < told:
+        raise ValueError("missing stream")
     return out
 
 
@@ -143,7 +162,11 @@ def encode_ogg(df: DataFrame, payload_col: str, media_col: str = "media") -> Dat
 
 
 def decode_ogg(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """Packets (id, serial, number, granule, seconds, data, error) of every file; a damaged or null file gives one row with an error."""
+    """Packets (id, serial, number, granule, seconds, data, error) of every file.
+
+    A damaged file gives one row with an error, a null or empty one a row with the error `empty`; repeated rows and
+    null ids are read like others, an empty table gives none, and other columns of df aren't looked at.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
