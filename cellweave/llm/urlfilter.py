@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
+# The named character references that addresses in attributes commonly bear, the ampersand last.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
@@ -24,21 +27,69 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _node(url: Column) -> Column:
-    """A number for an address: host and path with query, without scheme and fragment."""
-    return F.xxhash64(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, 2, 1 << 30), F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    # A path that ends in such a segment names a folder.
+    whole = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.concat(F.lit("/"), F.array_join(whole, "/"))
+
+
+def with_nodes(df: DataFrame, url_col: str, node_col: str) -> DataFrame:
+    """df with numbers for the addresses in url_col: of host without the usual ports, path without dot segments, and query, without scheme and fragment.
+
+    Null where there is no address: null urls and those without :// are no nodes. Steps are projections of their own,
+    so that nothing is computed or compiled twice.
+    """
+    url = F.col(url_col)
+    t = df.withColumns({"_host": F.regexp_replace(host_of(url), ":(80|443)$", ""), "_path": path_of(url), "_query": F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)})
+    t = t.withColumn("_path", F.when(F.col("_path") == "", "/").when(F.col("_path").startswith("/") & F.col("_path").contains("/."), _without_dots(F.col("_path"))).otherwise(F.col("_path")))
+    return t.withColumn(node_col, F.when(url.contains("://"), F.xxhash64("_host", "_path", "_query"))).drop("_host", "_path", "_query")
+
+
+def resolve(df: DataFrame, base_col: str, to_col: str, out_col: str) -> DataFrame:
+    """df with the address that a reference names on a page at base, as RFC 3986 has it; null for other schemes and without a base.
+
+    Dot segments stay: they go where nodes are made. A reference to a place on the same page gives the page.
+    """
+    base, to = F.col(base_col), F.col(to_col)
+    t = df.withColumns({"_scheme": F.regexp_extract(base, r"(?s)^(.*?)://", 1), "_host": F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1), "_path": path_of(base), "_own": F.regexp_extract(to, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://)?)", 1)})
+    t = t.withColumn("_site", F.when(base.contains("://"), F.concat("_scheme", F.lit("://"), "_host")))
+    folder = F.when(F.col("_path") == "", "/").otherwise(F.regexp_extract("_path", r"(?s)^(.*/)", 1))
+    full = (
+        F.when(F.col("_own").endswith("//"), to).when(F.col("_own") != "", F.lit(None)).when(F.col("_site").isNull(), F.lit(None))
+        .when(to.startswith("//"), F.concat("_scheme", F.lit(":"), to)).when(to.startswith("/"), F.concat("_site", to)).when(to.startswith("?"), F.concat("_site", "_path", to))
+        .when((to == "") | to.startswith("#"), base).otherwise(F.concat("_site", folder, to))
+    )
+    return t.withColumn(out_col, full).drop("_scheme", "_host", "_path", "_own", "_site")
+
+
+def _attribute(tag: Column, name: str, inner: str = "") -> Column:
+    """An attribute's value (what follows `inner` in it), with character references decoded; empty where there is none."""
+    head = rf"""(?is)[\s"'/]{name}\s*=\s*"""
+    if inner:
+        raw = F.regexp_extract(tag, head + rf"""["']?[^"'>]*?\b{inner}\s*=\s*["']?\s*([^"'\s>]*)""", 1)
+    else:
+        quoted = [F.regexp_extract(tag, head + rf"{q}\s*([^{q}>]*?)\s*{q}", 1) for q in "\"'"]
+        raw = F.when(quoted[0] != "", quoted[0]).when(quoted[1] != "", quoted[1]).otherwise(F.regexp_extract(tag, head + r"""([^"'\s>]+)""", 1))
+    for sign, plain in ENTITIES:
+        raw = F.replace(raw, F.lit(sign), F.lit(plain))
+    return raw
 
 
 def page_edges(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (from_url, to_url) from canonical links and immediate refreshes in pages; relative addresses are resolved at the host."""
-    tags = F.expr(f"regexp_extract_all(`{html_col}`, '(?is)<(?:link|meta)[^>]*>', 0)")
+    """Edges (from_url, to_url) from canonical links and refreshes in pages, relative addresses resolved against the page's.
+
+    Pages without html give none, nor do pages without an address but for links that name a whole one; base elements
+    aren't looked at. Repeated rows give repeated edges.
+    """
+    tags = F.expr(f"regexp_extract_all(`{html_col}`, '(?is)<(?:link|meta)\\\\b[^>]*>', 0)")
     tag = df.where(F.col(html_col).rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("from_url"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"""(?i)rel\s*=\s*["']?canonical"""), F.regexp_extract("tag", r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1))
-    refresh = F.when(F.col("tag").rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""), F.regexp_extract("tag", r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1))
+    canonical = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?\s*canonical"""), _attribute(F.col("tag"), "href"))
+    refresh = F.when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh"""), _attribute(F.col("tag"), "content", "url"))
     found = tag.select("from_url", F.coalesce(canonical, refresh).alias("to")).where("to <> ''")
-    scheme, host = F.regexp_extract("from_url", r"^(.*?)://", 1), host_of(F.col("from_url"))
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host, "to"))
-    return found.select("from_url", full.alias("to_url")).where("to_url is not null")
+    return resolve(found, "from_url", "to", "to_url").select("from_url", "to_url").where("to_url is not null")
 
 
 def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -54,11 +105,12 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], redirects: Dat
     """page_id, host, path, rule and verdict of every row.
 
     Without a rule of its own a page is blocked if its component holds a blocked page and no allowed one, else
-    allowed. redirects: further edges (from_url, to_url). Null urls have an empty host and path and no component;
-    repeated rows get equal verdicts.
+    allowed. redirects: further edges (from_url, to_url). Null urls, and those without ://, have an empty host and
+    path and belong to no component; repeated rows get equal verdicts; null html has no links; an empty table gives
+    none. Other columns of df aren't looked at.
     """
-    own = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), _node(F.col(url_col)).alias("node"))
-    own = own.withColumn("own", match_rules(F.col("host"), F.col("path"), rules))
+    own = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    own = with_nodes(own.withColumn("own", match_rules(F.col("host"), F.col("path"), rules)), "url", "node")
     parts = [page_edges(df, url_col, html_col)] if html_col else []
     parts += [redirects.select("from_url", "to_url")] if redirects is not None else []
     out = own.select("page_id", "host", "path", "node", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("ruled"))
@@ -67,14 +119,16 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], redirects: Dat
         edges = part if edges is None else edges.unionByName(part)
     inherited = F.lit(None).cast("string")
     if edges is not None:
-        edges = materialize(edges.select(_node(F.col("from_url")).alias("src"), _node(F.col("to_url")).alias("dst"), "to_url"))
+        edges = with_nodes(with_nodes(edges, "from_url", "src"), "to_url", "dst")
+        edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst", "to_url"))
         if edges.head(1):
             label = connected_components(edges.select("src", "dst"))
             # Targets count even where no page of theirs was crawled.
-            seen = own.select("node", F.col("own.verdict").alias("ruled"))
+            seen = own.where("node is not null").select("node", F.col("own.verdict").alias("ruled"))
             target = edges.select(F.col("dst").alias("node"), match_rules(host_of(F.col("to_url")), path_of(F.col("to_url")), rules).getField("verdict").alias("ruled"))
             voted = seen.unionByName(target).where("ruled is not null").groupBy("node").agg(F.max((F.col("ruled") == "allow").cast("int")).alias("a"), F.max((F.col("ruled") == "block").cast("int")).alias("b"))
             vote = label.join(voted, "node").groupBy("label").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-            fate = label.join(vote.where("a = 0 and b = 1").select("label"), "label", "left_semi").select("node", F.lit("block").alias("inherited"))
+            blocked = materialize(vote.where("a = 0 and b = 1").select("label"))
+            fate = materialize(label.join(blocked, "label", "left_semi").select("node", F.lit("block").alias("inherited")))
             out, inherited = out.join(fate, "node", "left"), F.col("inherited")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", inherited, F.lit("allow")).alias("verdict"))
