@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import U64, Memo, as_bytes, slices, windows
 
-#: Scripts by code-point ranges of letters; everything else that is a letter counts as "other".
-SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("cjk", 0x3040, 0x9FFF))
+# Scripts by code-point ranges of their letters; every other letter counts as "other".
+SCRIPTS = (
+    ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
+    ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("cjk", 0x3040, 0x30FF), ("cjk", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7A3),
+)
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -41,10 +44,26 @@ class Bands:
         return float(np.interp(np.log(tokens), [np.log(n) for n, _ in self.entropy], [bits for _, bits in self.entropy]))
 
 
+def script_bands() -> dict[str, Bands]:
+    """Bands by script for a vocabulary of 32,000 pieces that is made for Latin script, with byte fallback.
+
+    Latin's are set on the tables' documents. For the others, what counts is how the vocabulary holds a script: Cyrillic
+    has 1,700 pieces, so words take fewer tokens than letters; alphabets have their single letters, so there is about
+    a token a letter and one a word, and hardly a byte; ideographs and syllables have the common ones, and each
+    missing one takes three bytes.
+    """
+    letters = Bands(chars=(0.5, 2.0), fallback=0.2)
+    own = {"latin": Bands(chars=(1.6, 9.0), fallback=0.1, entropy=((50, 4.2), (180, 5.3), (600, 5.95), (2000, 6.2))), "cyrillic": Bands(chars=(1.0, 6.0), fallback=0.1)}
+    own |= dict.fromkeys(("greek", "armenian", "hebrew", "arabic", "devanagari", "thai", "georgian"), letters)
+    return own | {"cjk": Bands(chars=(0.5, 2.0), fallback=0.6), "hangul": Bands(chars=(0.35, 2.0), fallback=0.85), "none": Bands(chars=(0.0, 0.0))}
+
+
 @dataclass(frozen=True)
 class FertilityRules:
-    bands: dict = field(default_factory=lambda: {"latin": Bands(chars=(1.6, 9.0), fallback=0.1, entropy=((50, 4.2), (180, 5.3), (600, 5.95), (2000, 6.2))), "none": Bands(chars=(0.0, 0.0))})
-    default: Bands = Bands()
+    """Bands by script; scripts without any have `default`, which lets all of a text be bytes. A text without letters is never kept."""
+
+    bands: dict = field(default_factory=script_bands)
+    default: Bands = Bands(chars=(0.2, 3.0), fallback=1.0)
     min_words: int = 20
     repeat_percent: int = 30
     window: int = 8
@@ -133,7 +152,11 @@ _ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "bo
 
 
 def score_quality(df: DataFrame, path: str, rules: FertilityRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and FIELDS for every row. Null or empty text: no words, so base_failed and not kept."""
+    """doc_id and FIELDS for every row. Null or empty text: no words, so base_failed and not kept.
+
+    Whole texts are read, whatever their length; repeated rows have equal figures, an empty table gives none, null ids
+    stay null, and other columns of df aren't looked at. Ties between scripts go to the first by name.
+    """
     kind, r = df.schema[id_col].dataType.simpleString(), rules or FertilityRules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +168,10 @@ def score_quality(df: DataFrame, path: str, rules: FertilityRules | None = None,
 
 
 def keep_quality(df: DataFrame, path: str, rules: FertilityRules | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of df that the rules keep; columns are those of df."""
+    """The rows of df that the rules keep, null and empty texts not among them; columns are those of df, whatever their names.
+
+    Repeated rows stay or go alike; only the text is looked at.
+    """
     r = rules or FertilityRules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
