@@ -1,15 +1,19 @@
 """Token counts by overlap resynchronisation.
 
 Huge documents are encoded in overlapping chunks with offsets. Two neighbouring encodings are spliced where both
-have the same tokens at the same places right after white space: there the pre-tokeniser starts afresh, so what
-follows can't depend on what came before. If an overlap holds no such place, it is widened. Encodings of white-space
-parted words don't depend on their neighbours either, so counts of short documents are sums over a memo of words.
+have the same tokens at the same places and the pre-tokeniser starts afresh, so that what follows can't depend on what
+came before: after white space, and where letters, digits and other signs change (but for apostrophes, which may begin
+a contraction, and marks, which may join a letter). If an overlap holds no such place, it is widened; a stretch without
+any is encoded as one, in twice the length each time. Encodings of white-space parted words don't depend on their
+neighbours either, so counts of short documents (up to `chunk` characters, which most are) are sums over a memo of
+words.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,12 +44,27 @@ def _encode(tokenizer, text: str, base: int) -> list[tuple[int, int, int]]:
     return [(base + a, base + b, i) for i, (a, b) in zip(e.ids, e.offsets)]
 
 
+def _kind(c: str) -> str:
+    """L for letters, N for numbers, M for marks, O for the rest."""
+    k = unicodedata.category(c)[0]
+    return k if k in "LNM" else "O"
+
+
+def _fresh(text: str, k: int) -> bool:
+    """Whether the pre-tokeniser starts afresh at place k, whatever stands before k - 1."""
+    before, after = text[k - 1], text[k]
+    if before in " \n\t\r":
+        return True
+    a, b = _kind(before), _kind(after)
+    return a != b and "M" not in (a, b) and not (before == "'" and b == "L")
+
+
 def _splice(left: list, right: list, text: str, low: int, high: int, agree: int = 4) -> tuple[int, int] | None:
-    """Positions in left and right of the first token in low..high from which both agree and before which white space stands."""
+    """Positions in left and right of the first token in low..high from which both agree and at which pre-tokenising starts afresh."""
     at = {t[0]: k for k, t in reversed(list(enumerate(right)))}
     for k in range(len(left)):
         start = left[k][0]
-        if low < start <= high and text[start - 1] in " \n\t\r" and (j := at.get(start)) is not None:
+        if low < start <= high and start < len(text) and (j := at.get(start)) is not None and _fresh(text, start):
             same = [t for t in left[k : k + agree] if t[1] <= high]
             if same and same == right[j : j + len(same)]:
                 return k, j
@@ -67,7 +86,8 @@ def count_long(tokenizer, text: str, chunk: int, overlap: int) -> int:
                 total += cut[0]
                 tokens, start, end = after[cut[1] :], after[cut[1]][0], new_end
                 break
-            if low == start:  # no white space since the last splice: encode that stretch as one
+            if low == start:  # no place to splice since the last one: encode that stretch as one
+                new_end = min(len(text), end + max(chunk, end - start))
                 tokens = _encode(tokenizer, text[start:new_end], start)
                 end = new_end
                 break
@@ -88,7 +108,11 @@ def count_texts(path: str, texts: list[str], chunk: int = 32768, overlap: int =
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32768, overlap: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row; null text counts as empty, with 0 tokens."""
+    """doc_id, n_bytes, n_tokens and over_limit of every row; null text counts as empty, with 0 tokens.
+
+    Whole texts are encoded, of any length; repeated rows have equal results, null ids stay null, an empty table gives
+    none, and other columns of df aren't looked at.
+    """
     ids = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
