@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, as_text, materialize, slices
+from .common import Memo, as_text, materialize, slices, unused
 
 
 def best_configuration(weights: np.ndarray, capacity: int) -> list[int]:
@@ -73,6 +73,21 @@ def configuration_program(histogram: np.ndarray, capacity: int, rounds: int = 10
     return mixture
 
 
+def least_sequences(histogram: np.ndarray, capacity: int, weights: np.ndarray | None = None) -> int:
+    """A bound from below on the sequences that any packing needs, by the program's dual.
+
+    Prices of lengths, divided by the price of the best configuration, are a solution of the dual, so their total over
+    all items is a bound; sizes as prices give the volume bound, which always holds too.
+    """
+    size = np.arange(capacity + 1) / capacity
+    bound = float(histogram @ size)
+    if weights is not None and weights.any():
+        best = sum(weights[x] for x in best_configuration(weights, capacity))
+        bound = max(bound, float(histogram @ weights) / best)
+    # Items over half of the capacity need a sequence each.
+    return max(int(np.ceil(bound - 1e-9)), int(histogram[capacity // 2 + 1 :].sum()))
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over counts: (contents, bins) entries that hold each item once. Bins of equal contents are one entry."""
     open_: dict[int, list[list]] = {}  # by room: entries of contents and bins
@@ -106,10 +121,10 @@ def round_program(histogram: np.ndarray, mixture: dict[tuple[int, ...], float],
     """Configurations with whole numbers of copies that hold each item exactly once.
 
     Whole copies of the mixture come first, the fullest of them, and best fit takes the rest; the share of the
-    mixture that is fixed before best fit is the one, of a few, that needs the fewest sequences.
+    mixture that is fixed before best fit is the one, of a few (half of it at least), that needs the fewest sequences.
     """
     plans = []
-    for share in (1.0, 0.9, 0.5, 0.0):
+    for share in (1.0, 0.9, 0.5):
         left, plan = histogram.astype(np.int64).copy(), []
         for config, amount in sorted(mixture.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
             lengths, times = np.unique(config, return_counts=True)
@@ -126,9 +141,10 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order_cols: t
 
     Offsets are gapless from 0. Rank groups are (length, salt), about group_rows items each at most, so a length
     that most items share is split. Equal rows are interchangeable. An empty table gives an empty one; null or
-    out-of-range lengths raise. Existing columns of these two names are replaced.
+    out-of-range lengths raise. Existing columns of these two names are replaced; others may have any name.
     """
-    items = df.drop("sequence_id", "offset", "__salt", "__rank")
+    items = df.drop("sequence_id", "offset")
+    salt, rank, before = unused(items, "salt", "rank", "before")
     counts = {r[0]: r[1] for r in items.groupBy(length_col).count().collect()}  # at most `capacity` rows
     if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError("a length is null or out of range")
@@ -137,15 +153,15 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order_cols: t
         histogram[k] = v
     plan = round_program(histogram, configuration_program(histogram, capacity), capacity)
     salts = max(1, -(-int(histogram.max()) // group_rows))
-    tagged = items.withColumn("__salt", F.pmod(F.xxhash64(*order_cols), F.lit(salts)))
-    sizes = tagged.groupBy(length_col, "__salt").count()
-    before = sizes.withColumn("__before", F.sum("count").over(Window.partitionBy(length_col).orderBy("__salt")) - F.col("count")).drop("count")
-    ranked = tagged.withColumn("__rank", F.row_number().over(Window.partitionBy(length_col, "__salt").orderBy(*order_cols)) - 1)
-    ranked = ranked.join(before, [length_col, "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    return _place(ranked, plan, length_col).select(*items.columns, "sequence_id", "offset")
+    tagged = items.withColumn(salt, F.pmod(F.xxhash64(*order_cols), F.lit(salts)))
+    sizes = tagged.groupBy(length_col, salt).agg(F.count("*").alias("n"))
+    starts = sizes.select(length_col, salt, (F.sum("n").over(Window.partitionBy(length_col).orderBy(salt)) - F.col("n")).alias(before))
+    ranked = tagged.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, salt).orderBy(*order_cols)) - 1).join(starts, [length_col, salt])
+    ranked = ranked.select(*items.columns, (F.col(rank) + F.col(before)).alias(rank))
+    return _place(ranked, plan, length_col, rank).select(*items.columns, "sequence_id", "offset")
 
 
-def _place(ranked: DataFrame, plan: list, length_col: str) -> DataFrame:
+def _place(ranked: DataFrame, plan: list, length_col: str, rank_col: str) -> DataFrame:
     """Look ranks up in the plan, which has some thousand entries whatever the data."""
     table: dict[int, list[tuple[int, int, int, int]]] = {}
     cursor: dict[int, int] = {}
@@ -162,7 +178,7 @@ def _place(ranked: DataFrame, plan: list, length_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, "__rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, rank_col))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for k in np.unique(length):
                 mine = np.flatnonzero(length == k)
@@ -171,10 +187,10 @@ def _place(ranked: DataFrame, plan: list, length_col: str) -> DataFrame:
                 nth = rank[mine] - row[:, 0]
                 sequence[mine] = row[:, 2] + nth // row[:, 1]
                 offset[mine] = row[:, 3] + nth % row[:, 1] * k
-            names = [n for n in batch.schema.names if n not in ("__rank", "__salt", "__before")]
+            names = [n for n in batch.schema.names if n != rank_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name not in ("__rank", "__salt", "__before"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != rank_col)
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
@@ -234,8 +250,9 @@ _LOADED: dict[str, Tokens] = {}
 def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32.
 
-    A document is its ids and end_id; null text counts as empty. A longer one is cut into pieces of `capacity`
-    tokens, of which the first takes what remains.
+    A document is its ids and end_id; null text counts as empty, so it is end_id alone. A longer one is cut into pieces
+    of `capacity` tokens, of which the first takes what remains. Whole texts are encoded; repeated rows and null ids
+    are documents like others; an empty table gives none; other columns of df aren't looked at.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -263,5 +280,5 @@ def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with sequence_id and offset; the pieces are written once, for they are counted and then placed."""
+    """Pieces of all documents with sequence_id and offset; see cut_pieces and pack. The pieces are written once, for they are counted and then placed."""
     return pack(materialize(cut_pieces(df, path, capacity, end_id, id_col, text_col)), capacity, order_cols=("doc_id", "piece", "start", "ids_crc32"))
