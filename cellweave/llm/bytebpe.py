@@ -131,7 +131,10 @@ def codec(path: str) -> ByteBpe:
 
 
 def encode_bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", finish=None, schema: str = "ids array<int>, offsets array<int>") -> DataFrame:
-    """doc_id and the encoding of every text; null text counts as empty.
+    """doc_id and the encoding of every text; null text counts as empty, which has no ids.
+
+    Whole texts are encoded, of any length; repeated rows have equal results, null ids stay null, an empty table gives
+    none, and other columns of df aren't looked at.
 
     finish(codec, ids, offsets) may turn an encoding into other columns (of `schema`) inside the worker, so that
     ids need not travel.
@@ -154,6 +157,6 @@ def encode_bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decode_bpe(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with the decoded bytes of an id column; null ids give null."""
+    """df with the decoded bytes of an id column; null ids give null, no ids no bytes; an unknown id raises. A column of the new one's name is replaced."""
     decode = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else codec(path).decode(x.tolist())), "binary")
     return df.withColumn(text_col, decode(F.col(ids_col)))

@@ -45,7 +45,8 @@ def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     These are the bounds of the sample: texts with the least hashes are taken, so the choice depends on the texts
     alone, and equal texts count once, in the counts of each language over all rows as well. Null texts and labels
-    are left out; more than `languages` labels are an error, and so is a label without a drawn text.
+    are left out; more than `languages` labels are an error, and so is a label without a drawn text. The driver gets
+    `size * parts` characters or so per language, whatever the texts' lengths: texts beyond that aren't collected.
     """
     rows = df.select(F.substring(text_col, 1, longest).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and length(text) > 0")
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -57,7 +58,10 @@ def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     # A hash threshold leaves a few times the texts that are needed, whatever a language's share of the rows and of copies.
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 4 * texts / n)))), F.col("lang"))
     draw = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share).distinct()
-    first = draw.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= texts)
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    first = draw.withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts)
+    # A text that comes when the ones before fill all dictionaries adds nothing.
+    first = first.withColumn("before", F.sum(F.length("text")).over(order) - F.length("text")).where(F.col("before") < 2 * size * parts)
     content: dict[str, list[bytearray]] = {k: [bytearray() for _ in range(parts)] for k in counts}
     for r in first.orderBy("lang", "r").select("lang", "text").collect():
         least = min(content[r["lang"]], key=len)
@@ -85,7 +89,8 @@ def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc
     """doc_id, lang_pred, score, margin and rejected for every row.
 
     margin: by how much of its size the second-smallest encoding is larger; score: 1 - exp(-20 margin). Equal sizes
-    go to the first language by name, with margin 0. Null texts and texts without a letter, and all texts under an
+    go to the first language by name, with margin 0. Whole texts are read; repeated rows have equal results, null ids
+    stay null, an empty table gives none, and other columns of df aren't looked at. Null texts and texts without a letter, and all texts under an
     empty model, are `und`, with score 0, and rejected, as are texts with a margin of min_margin or less.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -112,7 +117,11 @@ def predict_languages(df: DataFrame, model: CompressionModel, id_col: str = "doc
 
 
 def keep_identified(df: DataFrame, model: CompressionModel, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of df whose text isn't rejected; columns are those of df."""
+    """The rows of df whose text isn't rejected; columns are those of df, whatever their names.
+
+    Null and empty texts, texts without a letter and, under an empty model, all texts are rejected; so are ties and
+    margins of min_margin or less. Whole texts are read; repeated rows stay or go alike.
+    """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

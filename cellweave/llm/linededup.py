@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, as_bytes, materialize, slices
+from .common import U64, Memo, as_bytes, discard, materialize, slices, unused
 
 MASK = re.compile(rb"(?:https?://\S+)|[\w.+-]+@[\w.-]+|0x[0-9a-fA-F]+|[0-9]+(?:[.,:/-][0-9]+)*")
 DIGIT = re.compile(rb"[0-9@]|://")
@@ -174,7 +174,8 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(lines, drops): lines (doc, line) of all documents; drops (line, first_doc) for lines whose template recurs.
 
     A template recurs if two documents at least have it; first_doc is the least of them. The heads of a leaf are
-    searched by keys once there are leaf_lines of them; results don't depend on that.
+    searched by keys once there are leaf_lines of them; results don't depend on that. Rows with a null id or text have
+    no lines, and lines without a token are none; repeated rows of an id are one document.
     """
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null and doc is not null")
     kind = docs.schema["doc"].dataType.simpleString()
@@ -195,25 +196,29 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, similarity: float = 0.85, drop_empty: bool = False, leaf_lines: int = 4096) -> DataFrame:
     """df with recurring lines taken out of the texts, and n_lines and n_dropped (lines with a token) as columns.
 
-    Columns of these two names are replaced. Repeated rows of one id count as one document; rows with a null id or
-    text stay as they are. drop_empty leaves out rows that lost all their lines.
+    Columns of these two names are replaced; others may have any name. Repeated rows of one id count as one document;
+    rows with a null id or text stay as they are, and so do empty texts; of equal lines, the one in the document of the
+    least id stays, and that document keeps all of its own. Whole texts are read, of any length; an empty table gives
+    none. drop_empty leaves out rows that lost all their lines.
     """
     lines, drops = recurring_lines(df, id_col, text_col, depth, similarity, leaf_lines)
-    hit = lines.select("doc", "line").join(drops, "line").where("doc <> first_doc").groupBy("doc").agg(F.collect_set("line").alias("__drop"))
-    rows = df.drop("n_lines", "n_dropped").join(hit.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
-    names = [c for c in rows.columns if c != "__drop"]
+    rows = df.drop("n_lines", "n_dropped")
+    key, drop = unused(rows, "doc", "drop")
+    hit = lines.select("doc", "line").join(drops, "line").where("doc <> first_doc").groupBy(F.col("doc").alias(key)).agg(F.collect_set("line").alias(drop))
+    rows = rows.join(hit, F.col(id_col) == F.col(key), "left").drop(key)
+    names = [c for c in rows.columns if c != drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             texts, counts, gone = [], [], []
-            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("__drop").to_pylist()):
+            for text, own in zip(batch.column(text_col).to_pylist(), batch.column(drop).to_pylist()):
                 parts = text.encode().split(b"\n") if text is not None else []
-                if drop is None:
+                if own is None:
                     counts.append(sum(1 for x in parts if x and not x.isspace()))
                     gone.append(0)
                     texts.append(text)
                     continue
-                bad = {x & 0xFFFFFFFFFFFFFFFF for x in drop}
+                bad = {x & 0xFFFFFFFFFFFFFFFF for x in own}
                 parsed = [(x, *parse_line(x)) for x in parts]
                 kept = [x for x, h, tokens in parsed if not (tokens and h in bad)]
                 counts.append(sum(1 for *_, tokens in parsed if tokens))
@@ -222,6 +227,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             columns = [pa.array(texts, batch.schema.field(n).type) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__drop")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != drop)
     out = rows.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
     return out.where("n_dropped = 0 or n_dropped < n_lines") if drop_empty else out
