@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, jaccard, langid, linededup, ogg, packing, quality, tokencount, urlfilter
+from . import bytebpe, chat, jaccard, langid, linededup, ogg, oracles, packing, quality, tokencount, urlfilter
 from .common import as_bytes, slices
 
 
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return chat.digest_chat(chat.format_chat(rows.unionByName(extra)))
+    return chat.digest_chat(chat.format_chat(rows.unionByName(extra)), in_order=True)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express in full and soon enough; the others are tested against brute force in tests/llm."""
-    return {}
+    return {"op1_chat_format": oracles.chat_sql(), "op2_ngram_jaccard": oracles.jaccard_sql(), "op10_url_filter": oracles.url_sql(RULES)}
