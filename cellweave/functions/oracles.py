@@ -103,6 +103,16 @@ def _components() -> None:
     )
 
 
+    put(
+        "segment",
+        recursive("a", EIGHT + four + _labels(ids.format("a"), "q", "ABS(a.v - b.v) <= 30") + """, t AS (SELECT row, col, v, label FROM n JOIN l USING (id)), g AS (SELECT label, COUNT(*) AS k, AVG(v) AS m FROM t GROUP BY 1),
+        h AS (SELECT DISTINCT x.label, y.label AS other FROM t x CROSS JOIN q JOIN t y ON y.row = x.row + dr AND y.col = x.col + dc WHERE y.label <> x.label),
+        b AS (SELECT h.label, other, ROW_NUMBER() OVER (PARTITION BY h.label ORDER BY (g.m - j.m) * (g.m - j.m), other) AS r FROM h JOIN g ON g.label = h.label AND g.k < 25 JOIN g j ON j.label = other),
+        e AS (SELECT label AS x, other AS y FROM b WHERE r = 1 UNION SELECT other, label FROM b WHERE r = 1), z(id, top) USING KEY (id) AS (SELECT label AS id, label AS top FROM g
+        UNION SELECT m.id, m.top FROM (SELECT e.y AS id, MIN(z.top) AS top FROM z JOIN e ON e.x = z.id GROUP BY 1) m JOIN recurring.z AS r ON r.id = m.id WHERE m.top < r.top) SELECT row, col, CAST(top AS DOUBLE) AS v FROM t JOIN z ON z.id = t.label"""),
+    )
+
+
 def _flow() -> None:
     dirs = f", e8 AS (SELECT * FROM (VALUES (0, 1, 1, 10.0, 0), (1, 1, 2, SQRT(200.0), 1), (1, 0, 4, 10.0, 2), (1, -1, 8, SQRT(200.0), 3), (0, -1, 16, 10.0, 4), (-1, -1, 32, SQRT(200.0), 5), (-1, 0, 64, 10.0, 6), (-1, 1, 128, SQRT(200.0), 7)) t(dr, dc, code, d, k)), f8 AS (SELECT a.row, a.col, code, dr, dc, (a.v - b.v) / d AS fall, ROW_NUMBER() OVER (PARTITION BY a.row, a.col ORDER BY (a.v - b.v) / d DESC, k) AS r FROM a CROSS JOIN e8 JOIN a b ON b.row = a.row + dr AND b.col = a.col + dc), dir AS (SELECT a.row, a.col, a.row * {SIZE} + a.col AS id, CAST(CASE WHEN fall > 0 THEN code ELSE 0 END AS DOUBLE) AS v, CASE WHEN fall > 0 THEN (a.row + dr) * {SIZE} + a.col + dc END AS next FROM a LEFT JOIN f8 ON f8.row = a.row AND f8.col = a.col AND r = 1)"
     acc = ", walk(start, cur) AS (SELECT id, id FROM dir UNION ALL SELECT start, next FROM walk JOIN dir ON dir.id = cur WHERE next IS NOT NULL), acc AS (SELECT cur AS id, CAST(COUNT(*) AS DOUBLE) AS acc FROM walk GROUP BY 1)"
@@ -143,6 +153,10 @@ def _far() -> None:
     place = lambda n: f"LEAST({SIZE // 2 - 1}.0, GREATEST(0.0, ({n} + 0.5) * 0.5 - 0.5))"
     put("landsat_upsample", with_grids("a", f", l AS (SELECT row // 2 AS row, col // 2 AS col, AVG(v) AS v FROM a GROUP BY 1, 2), t AS (SELECT i, j, {place('i')} AS fr, {place('j')} AS fc FROM range({SIZE}) x(i), range({SIZE}) y(j)), w AS (SELECT i, j, FLOOR(fr) + p AS r, FLOOR(fc) + q AS c, (CASE WHEN p = 1 THEN fr - FLOOR(fr) ELSE 1 - fr + FLOOR(fr) END) * (CASE WHEN q = 1 THEN fc - FLOOR(fc) ELSE 1 - fc + FLOOR(fc) END) AS w FROM t, range(2) x(p), range(2) y(q)) SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, CASE WHEN MAX(CASE WHEN w > 0 AND l.v IS NULL THEN 1 ELSE 0 END) = 0 THEN ROUND(SUM(w * l.v), 6) END AS v FROM w LEFT JOIN l ON l.row = w.r AND l.col = w.c GROUP BY i, j"))
     put("ortho", with_grids("ab", f" SELECT b.row, b.col, a.v FROM b LEFT JOIN a ON a.row = CAST(ROUND(b.row + (b.row - {half}) * (COALESCE(b.v, 0) / 7000.0)) AS INT) AND a.col = CAST(ROUND(b.col + (b.col - {half}) * (COALESCE(b.v, 0) / 7000.0)) AS INT)"))
+    radius = "6378137.0"
+    lat = lambda y: f"DEGREES(2 * ATAN(EXP({y} / {radius})) - PI() / 2)"
+    extent = f", e AS (SELECT DEGREES(1000 / {radius}) AS x0, DEGREES({1000 + SIZE * 10} / {radius}) AS x1, {lat(f'{5000.0 - SIZE * 10}')} AS y0, {lat('5000.0')} AS y1), k AS (SELECT *, (x1 - x0) / {SIZE} AS size FROM e), t AS (SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, x0 + j * size + size / 2 AS lon, y1 - i * size - size / 2 AS lat FROM k, range({2 * SIZE}) x(i), range({SIZE}) y(j) WHERE i < ROUND((y1 - y0) / size))"
+    put("project", with_grids("a", extent + f" SELECT t.row, t.col, a.v FROM t LEFT JOIN a ON a.col = FLOOR((RADIANS(lon) * {radius} - 1000) / 10) AND a.row = FLOOR((LN(TAN(PI() / 4 + RADIANS(lat) / 2)) * {radius} - 5000) / -10)"))
     from .cases import POINTS
 
     put("trend", with_grids("a", POINTS + f", z AS (SELECT REGR_SXX(x, y) AS yy, REGR_SXX(y, x) AS xx, REGR_SXY(x, y) AS xy, REGR_SXY(value, x) AS xv, REGR_SXY(value, y) AS yv, AVG(x) AS mx, AVG(y) AS my, AVG(value) AS mv FROM pt), k AS (SELECT (xv * yy - yv * xy) / (xx * yy - xy * xy) AS bx, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS by_, mx, my, mv FROM z) SELECT row, col, ROUND(mv + bx * (1000 + col * 10 - mx) + by_ * (5000 - row * 10 - my), 6) AS v FROM a, k"))
@@ -240,6 +254,7 @@ def _signatures() -> None:
     put("belclass", with_grids("apqc", SIG + post.format("0") + f", en AS (SELECT *, -SUM(CASE WHEN p > 0 THEN p * LN(p) ELSE 0 END) OVER (PARTITION BY row, col) / LN({n}.0) AS h FROM po) SELECT row, col, {_spread('p * (1 - h)', 'b')}, {R('ANY_VALUE(h)', 'ignorance')} FROM en GROUP BY 1, 2"))
     put("fuzclass", with_grids("apqc", SIG + f", fu AS (SELECT row, col, k, GREATEST(0, 1 - z / 1.96) AS f FROM di), fs AS (SELECT *, SUM(f) OVER (PARTITION BY row, col) AS s FROM fu) SELECT row, col, {_spread('CASE WHEN s > 0 THEN f / s ELSE 0 END', 'm')}, {R('1 - MAX(f)', 'uncertainty')} FROM fs GROUP BY 1, 2"))
     put("knn", with_grids("apqc", SIG.split(", sg AS")[0] + ", di AS (SELECT px.row, px.col, k, ROW_NUMBER() OVER (PARTITION BY px.row, px.col ORDER BY (px.a - tr.a) * (px.a - tr.a) + (px.p - tr.p) * (px.p - tr.p) + (px.q - tr.q) * (px.q - tr.q), tr.row, tr.col) AS r FROM px, tr), vo AS (SELECT row, col, k, COUNT(*) AS n, MIN(r) AS first FROM di WHERE r <= 5 GROUP BY 1, 2, 3), m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row, col ORDER BY n DESC, first) AS w FROM vo) SELECT row, col, CAST(k AS DOUBLE) AS v FROM m WHERE w = 1"))
+    put("knnregress", with_grids("apqs", ", x AS (SELECT row, col, p.v AS p, q.v AS q FROM p JOIN q USING (row, col) WHERE p.v IS NOT NULL AND q.v IS NOT NULL), t AS (SELECT x.*, a.v FROM x JOIN a USING (row, col) JOIN s USING (row, col) WHERE a.v IS NOT NULL AND s.v <> 0), d AS (SELECT x.row, x.col, t.v, SQRT((x.p - t.p) * (x.p - t.p) + (x.q - t.q) * (x.q - t.q)) AS d, t.row AS r, t.col AS c FROM x, t), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row, col ORDER BY d, r, c) AS n FROM d) SELECT row, col, " + R("CASE WHEN MIN(d) < 1e-10 THEN MAX(CASE WHEN n = 1 THEN v END) ELSE SUM(v / GREATEST(d, 1e-12)) / SUM(1 / GREATEST(d, 1e-12)) END") + " FROM k WHERE n <= 5 GROUP BY 1, 2"))
     pair = SIG.split(", di AS")[0] + ", pa AS (SELECT x.k AS a, y.k AS b, x.m0 - y.m0 AS d0, x.m1 - y.m1 AS d1, x.m2 - y.m2 AS d2, " + ", ".join(f"x.{i}{c} AS x{i}{c}, y.{i}{c} AS y{i}{c}" for i in "ci" for c in ("00", "01", "02", "11", "12", "22")) + ", x.det AS xdet, y.det AS ydet FROM si x, si y)"
     quad = lambda i: f"(d0 * d0 * {i('00')} + d1 * d1 * {i('11')} + d2 * d2 * {i('22')} + 2 * (d0 * d1 * {i('01')} + d0 * d2 * {i('02')} + d1 * d2 * {i('12')}))"
     mid = [f"((xc{k} + yc{k}) / 2)" for k in ("00", "01", "02", "11", "12", "22")]
@@ -281,6 +296,14 @@ def _new_queries() -> None:
     trip("bmpidris_form", "BMPIDRIS", "c", "COALESCE(g.v, 0)")
     trip("erdidris_form", "ERDIDRIS", "c", "COALESCE(g.v, 0)")
 
+    def picture(s, d):
+        """Within a grey level, for the form rounds frequencies."""
+        own = grid(s, d, "c")
+        back = create("JPGIDRIS")(create("JPGIDRIS")(own, direction="export")).select(*KEY, F.col("v").alias("w"))
+        return own.df.join(back, KEY).agg(F.count("*").alias("cells"), (F.max(F.abs(F.col("v") - F.col("w"))) <= 1).alias("near"))
+
+    add("jpgidris_form", picture, with_grids("c", " SELECT COUNT(*) AS cells, TRUE AS near FROM c"))
+
     def flat(s, d):
         files = create("ENVIIDRIS")(grid(s, d, "b"), direction="export").where("path like '%.img'")
         cells = create("GENERICRASTER")(files, interleave="BSQ", cols=SIZE, rows=SIZE, data_type="Float64")

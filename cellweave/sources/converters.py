@@ -140,6 +140,7 @@ def _edge_form(name: str, read: Callable, write: Callable, paired: bool = False)
 _grid_form("RST", formats.read_rst, formats.write_rst, True)
 _grid_form("GEOTIFF", formats.read_tiff, formats.write_tiff)
 _grid_form("BMPIDRIS", formats.read_bitmap, formats.write_bitmap)
+_grid_form("JPGIDRIS", formats.read_jpeg, formats.write_jpeg)
 _grid_form("SRFIDRIS", formats.read_surfer, formats.write_surfer)
 _grid_form("ENVIIDRIS", formats.read_envi, formats.write_envi, True)
 _grid_form("ERMIDRIS", formats.read_ers, formats.write_ers, True)

@@ -11,6 +11,7 @@ import struct
 
 import numpy as np
 
+from . import jpeg
 from .files import _flat_tiff, encode_tiff
 
 Parts = dict[str, bytes]
@@ -85,6 +86,20 @@ def write_bitmap(bands: np.ndarray, transform, nodata: float) -> Parts:
     return {"bmp": b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + body.size, 0, 0, 54, 40, cols, rows, 1, 24, 0, body.size, 2835, 2835, 0, 0) + body.tobytes()}
 
 
+# JPEG
+
+
+def read_jpeg(parts: Parts) -> np.ndarray:
+    try:
+        return jpeg.decode(_only(parts, "jpg", "jpeg"))
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError("broken JPEG") from e
+
+
+def write_jpeg(bands: np.ndarray, transform, nodata: float) -> Parts:
+    return {"jpg": jpeg.encode(bands)}
+
+
 # Surfer grids
 
 
@@ -432,7 +447,7 @@ def read_any(parts: Parts) -> np.ndarray:
             return read(parts)
     b = _only(parts, "tif", "tiff", "img")
     known = (
-        (b[:4] in (b"II*\0", b"MM\0*"), read_tiff), (b[:2] == b"BM", read_bitmap), (b[:4] in (b"DSBB", b"DSAA"), read_surfer), (b[:3] == b"CDF", read_netcdf), (b[:4] == b"8BPS", read_psd),
+        (b[:4] in (b"II*\0", b"MM\0*"), read_tiff), (b[:2] == b"BM", read_bitmap), (b[:2] == b"\xff\xd8", read_jpeg), (b[:4] in (b"DSBB", b"DSAA"), read_surfer), (b[:3] == b"CDF", read_netcdf), (b[:4] == b"8BPS", read_psd),
         (b[:6] in (b"HEAD74", b"HEADER"), read_lan), (b[:16].lstrip()[:5].lower() == b"ncols", read_ascii), (b[:64].lstrip()[:6].lower() == b"north:", read_grass),
     )
     for is_it, read in known:

@@ -243,6 +243,36 @@ def test_packed_tiffs():
     assert files._unpacked_lzw(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))) == long
 
 
+def test_pictures():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 13, 21), (3, 17, 9)):
+        m = (np.cumsum(rng.integers(-6, 7, shape), axis=2) % 256).astype(float)
+        assert np.abs(formats.read_any(formats.write_jpeg(m, None, 0.0)) - m).max() <= 2
+    # Two units of 16 x 16 cells with a restart between them: four grey blocks each, colours by half, all blocks even.
+    head = formats.write_jpeg(np.zeros((3, 8, 8)), None, 0.0)["jpg"]
+    start = head.index(b"\xff\xc0")
+    head = head[:start] + struct.pack(">BBHBHHB", 0xFF, 0xC0, 17, 8, 16, 32, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]) + b"\xff\xdd\x00\x04\x00\x01" + head[start + 19 :]
+    head = head[: head.index(b"\xff\xda") + 14]
+
+    def unit(numbers):
+        bits = ""
+        before = [0, 0, 0]
+        for k, x in zip((0, 0, 0, 0, 1, 2), numbers):
+            step, before[k] = x - before[k], x
+            size = abs(step).bit_length()
+            bits += f"{size:04b}" + (f"{step if step > 0 else step + (1 << size) - 1:0{size}b}" if size else "") + "0" * 8
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    b = head + unit([80, -40, 160, 0, 0, 0]) + b"\xff\xd0" + unit([8, 16, 24, 32, 80, 0]) + b"\xff\xd9"
+    got = formats.read_jpeg({"jpg": b})
+    assert got.shape == (3, 16, 32) and got[0, 0, 0] == 138 and got[0, 0, 8] == 123 and got[0, 8, 0] == 148 and got[0, 8, 8] == 128
+    assert got[0, 15, 31] == 132 and got[2, 15, 31] == round(132 + 17.72) and got[1, 0, 16] == round(129 - 3.44136)
+    for cut in (40, 120, len(b) - 12):
+        with pytest.raises(ValueError):
+            formats.read_jpeg({"jpg": b[:cut]})
+
+
 def test_read_only_forms(spark):
     head = bytearray(484)
     head[:3], head[199] = b"ASD", 0
