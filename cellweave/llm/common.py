@@ -14,11 +14,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..plans.components import connected_components
-from ..plans.scratch import discard
-from ..plans.scratch import written as materialize
+from ..plans.scratch import discard, written
 
-__all__ = ["U64", "Memo", "as_bytes", "as_text", "connected_components", "discard", "materialize", "mix", "slices", "unused", "windows"]
+__all__ = ["U64", "Memo", "as_bytes", "as_text", "connected_components", "discard", "materialize", "mix", "release", "slices", "unused", "windows"]
 U64 = np.uint64
+#: Rows and bytes that go to Python at once, and rows that a scan holds, where a table is written here: texts and sets are wide rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, see plans.scratch; its rows meet Python in batches of bounded rows and bytes."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        conf.set(k, str(v))
+    try:
+        return written(df)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def release() -> None:
+    """Give memory that isn't used back to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Memo(dict):
@@ -28,8 +50,9 @@ class Memo(dict):
     """
 
     every: ClassVar[list] = []
+    owners: ClassVar[list | None] = None
 
-    def __init__(self, make: Callable | None = None, limit: int = 250_000, volume: int = 16 << 20):
+    def __init__(self, make: Callable | None = None, limit: int = 100_000, volume: int = 8 << 20):
         super().__init__()
         self.make, self.limit, self.volume, self.held, self.old = make, limit, volume, 0, {}
         Memo.every.append(self)
@@ -40,16 +63,15 @@ class Memo(dict):
 
     @staticmethod
     def focus(*own: Memo) -> None:
-        """Empty all other memos: a worker that goes from one stage to the next keeps only what this one needs."""
-        others = [m for m in Memo.every if (m or m.old) and not any(m is o for o in own)]
-        for m in others:
-            m.clear()
-            m.old, m.held = {}, 0
-        if others:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+        """Empty all other memos and give back what is free: a worker that goes from one stage to the next keeps only what this one needs."""
+        if Memo.owners == [*map(id, own)]:
+            return
+        Memo.owners = [*map(id, own)]
+        for m in Memo.every:
+            if not any(m is o for o in own):
+                m.clear()
+                m.old, m.held = {}, 0
+        release()
 
     def __missing__(self, key):
         value = self.old.get(key)

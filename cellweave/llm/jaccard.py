@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, as_bytes, connected_components, discard, materialize, mix, slices, unused, windows
+from .common import U64, Memo, as_bytes, connected_components, discard, materialize, mix, release, slices, unused, windows
 
 WORDS = Memo(xxhash.xxh3_64_intdigest)
 
@@ -252,6 +252,7 @@ def _likely(num: int, den: int, forest: bool):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        Memo.focus()
         node, block, comp, size = (table.column(c).to_numpy() for c in ("node", "block", "comp", "n"))
         comp, i, j = comp.copy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
         sketches = table.column("sketch").to_pylist()
@@ -300,6 +301,9 @@ def _compare(num: int, den: int):
     """Pairs of different components of a group's two blocks, compared on their sets; edges that join components."""
 
     def run(table: pa.Table) -> pa.Table:
+        Memo.focus()
+        if table.nbytes > 16 << 20:
+            release()
         sets = [np.frombuffer(x, U64) for x in table.column("tokens").to_pylist()]
         node, block, comp = (table.column(c).to_numpy() for c in ("node", "block", "comp"))
         comp, size, own = comp.copy(), np.array([len(x) for x in sets]), table.column("i")[0].as_py() == table.column("j")[0].as_py()

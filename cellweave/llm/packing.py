@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, as_text, materialize, slices, unused
+from .common import Memo, as_text, materialize, release, slices, unused
 
 
 def best_configuration(weights: np.ndarray, capacity: int) -> list[int]:
@@ -258,10 +258,12 @@ def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
+            Memo.focus()  # what other stages held goes before the vocabulary comes
             _LOADED[path] = Tokens(path)
+            release()
         Memo.focus(_LOADED[path].units)
         end = struct.pack("<I", end_id)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for r, ids in enumerate(_LOADED[path].encode(as_text(batch.column("text")))):
                 ids += end
