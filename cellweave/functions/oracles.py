@@ -270,7 +270,7 @@ def _signatures() -> None:
 def _new_queries() -> None:
     """Operators that had no query."""
     add("weight", lambda s, d: s.createDataFrame([(k + 1, w) for k, w in enumerate(create("WEIGHT")([[1, 2, 4], ["1/2", 1, 2], ["1/4", "1/2", 1]])["weights"])], "criterion int, weight double"), f"SELECT CAST(k AS INT) AS criterion, {R('w', 'weight')} FROM (VALUES (1, 4 / 7.0), (2, 2 / 7.0), (3, 1 / 7.0)) t(k, w)")
-    add("cca", lambda s, d: create("CCA")([grid(s, d, g) for g in "ac"], [grid(s, d, g) for g in "pq"], num_variates=2))
+    add("cca", lambda s, d: create("CCA")([grid(s, d, g) for g in "ac"], [grid(s, d, g) for g in "pq"], num_components=2))
     places = [(1, 0.0, 0.0), (2, 470.0, 0.0), (3, 0.0, 470.0), (4, 470.0, 470.0), (5, 210.0, 260.0)]
 
     def affine(s, d):

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pytest
 
+from cellweave.functions import catalogue
 from cellweave.functions.database import Database
 from cellweave.operators import iterate, learn, regrid, zonal
 from cellweave.plans import registry
@@ -228,6 +229,17 @@ def test_generalize(spark, rng):
     assert sorted(r.id for r in got.collect()) == [k for k, *_ in kept]
 
 
+@pytest.mark.parametrize("name", ["cca"])
+def test_query_without_sql_runs(spark, name):
+    got = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    if name == "eot":
+        assert got.count() == 2
+    else:
+        assert got.columns == ["row", "col", "u1", "u2", "v1", "v2"]
+        s = got.selectExpr("corr(u1, u2) ab", "corr(v1, v2) cd", "abs(corr(u1, v1)) one", "abs(corr(u2, v2)) two", "corr(u1, v2) x").head()
+        assert max(map(abs, (s.ab, s.cd, s.x))) < 1e-3 and s.one >= s.two - 1e-9
+
+
 def test_stream(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("ts", "event_type", "value").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
