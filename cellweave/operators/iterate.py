@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -363,12 +363,18 @@ def multi_objective(objectives: list[Grid], areas):
     return objectives[0].with_cells(t.select(*KEY, F.coalesce(claim(), F.lit(0)).cast("double").alias("v")))
 
 
+def _total(items: Column, name: str) -> Column:
+    """The sum of a field over an array of structs. A lambda of its own: Spark counts default arguments as parameters."""
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x[name]).alias(name)
+
+
 @operator("EOT", "etm", "series", num_modes=2, base_cells=256)
 def teleconnections(series: DataFrame, num_modes, base_cells):
     """mode, row, col, explained: base cells whose series explain most variance of all; each mode is regressed out.
 
     The published form takes base cells from a sample; here they are about base_cells cells by hash, which is a
     parameter of the result. Their series go to all cells as one broadcast array of base_cells * steps numbers.
+    Steps at which either series has no data don't count; a cell whose shared steps are all 0 in the base keeps its values.
     """
     spark, modes = series.sparkSession, []
     m = series.groupBy(*KEY).agg(F.avg("v").alias("m"))
@@ -377,8 +383,8 @@ def teleconnections(series: DataFrame, num_modes, base_cells):
     for k in range(num_modes):
         base = state.where(F.pmod(F.xxhash64("row", "col"), F.lit(max(1, cells // base_cells))) == 0).groupBy(F.col("row").alias("br"), F.col("col").alias("bc")).agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("v").alias("b")))).alias("line"))
         own = state.groupBy(*KEY).agg(F.collect_list(F.struct("t", "v")).alias("own"))  # a cell's steps
-        shared = F.filter(F.transform("own", lambda x: F.struct((x["v"] * F.col("line")[x["t"]]).alias("vb"), F.pow(F.col("line")[x["t"]], F.lit(2)).alias("bb"))), lambda x: x["bb"].isNotNull())
-        both = own.crossJoin(F.broadcast(base)).select("br", "bc", *(F.aggregate(shared, F.lit(0.0), lambda s, x, n=n: s + x[n]).alias(n) for n in ("vb", "bb")))
+        shared = F.filter(F.transform("own", lambda x: F.struct((x["v"] * F.col("line")[x["t"]]).alias("vb"), F.pow(F.col("line")[x["t"]], F.lit(2)).alias("bb"))), lambda x: x["vb"].isNotNull())
+        both = own.crossJoin(F.broadcast(base)).select("br", "bc", _total(shared, "vb"), _total(shared, "bb"))
         score = both.where("bb > 0").groupBy("br", "bc").agg(F.sum(F.col("vb") * F.col("vb") / F.col("bb")).alias("s"))
         best = score.agg(F.max(F.struct("s", (-F.col("br")).alias("r"), (-F.col("bc")).alias("c"))).alias("m")).head().m
         if best is None:
@@ -386,7 +392,8 @@ def teleconnections(series: DataFrame, num_modes, base_cells):
         modes.append((k + 1, -best.r, -best.c, float(best.s)))
         line = state.where((F.col("row") == -best.r) & (F.col("col") == -best.c)).select("t", F.col("v").alias("b"))
         t = state.join(line, "t")
-        beta = t.groupBy(*KEY).agg((F.sum(F.col("v") * F.col("b")) / F.sum(F.col("b") * F.col("b"))).alias("k"))
+        known = F.when(F.col("v").isNotNull(), F.col("b") * F.col("b"))
+        beta = t.groupBy(*KEY).agg(F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("b")), F.sum(known)), F.lit(0.0)).alias("k"))
         state = written(t.join(beta, KEY).select(*KEY, "t", (F.col("v") - F.col("k") * F.col("b")).alias("v")))
     return spark.createDataFrame(modes, "mode int, row int, col int, explained double")
 

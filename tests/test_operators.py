@@ -229,7 +229,33 @@ def test_generalize(spark, rng):
     assert sorted(r.id for r in got.collect()) == [k for k, *_ in kept]
 
 
-@pytest.mark.parametrize("name", ["cca"])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_teleconnections(spark, rng, gaps):
+    m = rng.random((5, 4, 12))
+    m[1:, :, 5] += 3
+    m[3, 2] = 1.0  # no variance: it can't be a base
+    if gaps:
+        m[rng.random(m.shape) < 0.1] = np.nan
+    rows = [(r, c, t, None if math.isnan(v) else float(v)) for (r, c, t), v in np.ndenumerate(m)]
+    got = create("EOT")(spark.createDataFrame(rows, "row int, col int, t int, v double"), num_modes=2).collect()
+    x, want = m - np.nanmean(m, axis=2, keepdims=True), []
+    for k in range(2):
+        score = {}
+        for r, c in np.ndindex(5, 4):
+            both = ~np.isnan(x) & ~np.isnan(x[r, c])
+            b = np.where(both, x[r, c], 0.0)
+            vb, bb = (np.where(both, x, 0.0) * b).sum(axis=2), (b * b).sum(axis=2)
+            score[r, c] = (vb[bb > 0] ** 2 / bb[bb > 0]).sum()
+        r, c = max(score, key=lambda p: (score[p], -p[0], -p[1]))
+        want.append((k + 1, r, c, score[r, c]))
+        both = ~np.isnan(x) & ~np.isnan(x[r, c])
+        b = np.where(both, x[r, c], 0.0)
+        x = x - ((np.where(both, x, 0.0) * b).sum(axis=2) / (b * b).sum(axis=2))[:, :, None] * x[r, c]
+    assert [tuple(g)[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g.explained for g in got], [w[3] for w in want])
+
+
+@pytest.mark.parametrize("name", ["cca", "eot"])
 def test_query_without_sql_runs(spark, name):
     got = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
     if name == "eot":
