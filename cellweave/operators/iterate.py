@@ -445,15 +445,37 @@ def cochrane_orcutt(y: Grid, x: Grid, max_iterations):
 def generalize(points: DataFrame, min_distance):
     """Greedy thinning by id: a point stays unless one that stays, with a lesser id, is nearer than min_distance.
 
-    Rounds over neighbour pairs in bins: points none of whose lesser neighbours is undecided are decided.
+    Points of one place are one, under the least id. The others lie in bins whose diagonal is shorter than min_distance,
+    so one of a bin stays at most. In a round the least undecided of each bin stays if no lesser undecided one is near,
+    and what is near to those that stay goes. Points meet the 25 least ones of the bins around them, never each other, so
+    work is linear in points however dense they are. Rounds follow the longest chain of falling ids among neighbours.
+    Points without a place (null, NaN, infinite) are near nothing and stay; those without an id go.
     """
-    p = points.select("id", "x", "y", *(F.floor(F.col(c) / min_distance).alias(f"b{c}") for c in "xy"))
-    ring = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in square(3))))
-    far = p.select(F.col("id").alias("jd"), F.col("x").alias("jx"), F.col("y").alias("jy"), "bx", "by", ring.alias("r")).select("jd", "jx", "jy", (F.col("bx") + F.col("r.i")).alias("bx"), (F.col("by") + F.col("r.j")).alias("by"))
-    close = F.pow(F.col("x") - F.col("jx"), 2) + F.pow(F.col("y") - F.col("jy"), 2) < min_distance**2
-    edges = written(p.join(far, ["bx", "by"]).where((F.col("jd") < F.col("id")) & close).select("id", F.col("jd").alias("near")))
-    state = written(p.select("id", F.lit(None).cast("boolean").alias("keep")))
-    while state.where("keep is null").head(1):
-        seen = edges.join(state.select(F.col("id").alias("near"), F.col("keep").alias("k")), "near").groupBy("id").agg(F.max(F.coalesce("k", F.lit(False))).alias("dead"), F.max(F.col("k").isNull()).alias("wait"))
-        state = written(state.join(seen, "id", "left").select("id", F.coalesce("keep", F.when(F.coalesce("dead", F.lit(False)), False).when(~F.coalesce("wait", F.lit(False)), True)).alias("keep")))
-    return points.join(state.where("keep").select("id"), "id", "left_semi")
+    placed = F.coalesce(F.col("x") * 0 + F.col("y") * 0 == 0, F.lit(False))
+    if min_distance <= 0:
+        return points.where("id is not null")
+    bins = [F.floor(F.col(c) / (0.7 * min_distance)).alias(f"b{c}") for c in "xy"]
+    places = points.where(placed & F.col("id").isNotNull()).groupBy("x", "y").agg(F.min("id").alias("id"))
+    state = written(places.select("id", "x", "y", *bins, F.lit(False).alias("keep")))
+    ring = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in square(5))))
+    near = lambda o: F.pow(F.col("x") - o["x"], 2) + F.pow(F.col("y") - o["y"], 2) < min_distance**2
+
+    def around(some: DataFrame) -> DataFrame:
+        """By bin: the points of `some`, of which a bin holds few, in the 25 bins around it."""
+        there = some.select(F.struct("id", "x", "y").alias("o"), "bx", "by", ring.alias("r"))
+        return there.groupBy((F.col("bx") + F.col("r.i")).alias("bx"), (F.col("by") + F.col("r.j")).alias("by")).agg(F.collect_list("o").alias("others"))
+
+    while state.where("not keep").head(1):
+        open_ = state.where("not keep")
+        least = written(open_.groupBy("bx", "by").agg(F.min(F.struct("id", "x", "y")).alias("o")).select("o.*", "bx", "by"))
+        later = F.filter("others", lambda o: near(o) & (F.col("id") < o["id"]))
+        wait = open_.join(around(least), ["bx", "by"]).select(F.explode(later).alias("o")).select("o.*").distinct()
+        firm = written(least.join(wait, ["id", "x", "y"], "left_anti"))
+        met = state.join(around(firm), ["bx", "by"], "left")
+        lost = F.exists("others", lambda o: near(o) & (o["id"] < F.col("id")))
+        same = F.exists("others", lambda o: (o["x"] == F.col("x")) & (o["y"] == F.col("y")))
+        new = written(met.where(F.col("keep") | ~F.coalesce(lost, F.lit(False))).select("id", "x", "y", "bx", "by", (F.col("keep") | F.coalesce(same, F.lit(False))).alias("keep")))
+        discard(state, least, firm)
+        state = new
+    stay = points.where(placed).join(state.select("id", "x", "y"), ["id", "x", "y"], "left_semi")
+    return stay.unionByName(points.where(~placed & F.col("id").isNotNull())).select(points.columns)

@@ -229,6 +229,28 @@ def test_generalize(spark, rng):
     assert sorted(r.id for r in got.collect()) == [k for k, *_ in kept]
 
 
+def test_generalize_dense_points(spark, rng, monkeypatch):
+    """Many points, and many at one place, within reach of each other: no table is larger than that of the points."""
+    xy = np.vstack([rng.random((1500, 2)) * 4, np.repeat(rng.random((5, 2)) * 4, 100, axis=0)])
+    pts = [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(len(xy)), xy)]
+    kept = []
+    for k, x, y in sorted(pts):
+        if all((x - a) ** 2 + (y - b) ** 2 >= 1 for _, a, b in kept):
+            kept.append((k, x, y))
+    sizes, write = [], iterate.written
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(iterate, "written", counted)
+    odd = [(5000, None, 1.0), (5001, math.nan, 1.0), (5002, math.inf, 1.0)]
+    got = create("GENERALIZE")(spark.createDataFrame(pts + odd, "id long, x double, y double"), min_distance=1.0).collect()
+    assert sorted(r.id for r in got) == [k for k, *_ in kept] + [5000, 5001, 5002]
+    assert max(sizes) <= len(pts)
+
+
 @pytest.mark.parametrize("gaps", [False, True])
 def test_teleconnections(spark, rng, gaps):
     m = rng.random((5, 4, 12))
