@@ -36,6 +36,14 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(windows(hashes, k))
 
 
+def _shingled(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    """The sets of a batch's texts. A function of the module, for nested ones would trim a copy of the memo."""
+    Memo.focus(WORDS)
+    sets = [shingles(text, k) for text in as_bytes(batch.column("text"))]
+    WORDS.trim()
+    return sets
+
+
 class Band:
     """Sizes lo..hi. Linked sets of which the larger lies here differ in at most d words out of m."""
 
@@ -65,15 +73,17 @@ class Bands:
 def sketch_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of the d + 1 words that hold most tokens, for each band. Two linked sets have one in common.
 
-    A word is a parity sketch of 2**16 bits, held as its linear fingerprint: XOR of one random number per set bit.
+    A word is a parity sketch, held as its linear fingerprint: XOR of one random number per member. The number follows all
+    64 bits of the member's hash: with a few thousand values, words of one member would meet by chance in a share of all
+    sets that grows with their number, and what is fetched and compared would grow with its square.
     Order words by tokens, then place. At most d words hold a token in which two linked sets differ; among the others,
     which both sets order alike, the first has at most d words before it in either set, so both emit it. Words of many
     tokens rarely collide by chance, so the fullest come first.
     """
     out = [np.empty(0, U64)]
     t = mix(tokens)
-    spot = mix((t & U64(0xFFFF)) + U64(1))
     with np.errstate(over="ignore"):
+        spot = mix(t + U64(1))
         for band in bands.of(len(tokens)):
             block = ((t >> U64(32)) * U64(band.m) >> U64(32)).astype(np.int64)
             words = np.zeros(band.m, U64)
@@ -93,10 +103,8 @@ def set_node(tokens: np.ndarray) -> int:
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Memo.focus(WORDS)
         for batch in slices(batches, "text"):
-            sets = [shingles(text, k) for text in as_bytes(batch.column("text"))]
-            WORDS.trim()
+            sets = _shingled(batch, k)
             sizes, nodes = [len(x) for x in sets], [set_node(x) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc", "rid", "n", "node"])
 
@@ -110,11 +118,9 @@ def _keys(k: int, num: int, den: int):
     """Rows (bucket, node, key). A key that HOT sets of one slice share goes to one of SALTS buckets, its least node also to the key's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Memo.focus(WORDS)
         bands = Bands(num, den)
         for batch in slices(batches, "text"):
-            sets = {set_node(x): x for text in as_bytes(batch.column("text")) if len(x := shingles(text, k))}
-            WORDS.trim()
+            sets = {set_node(x): x for x in _shingled(batch, k) if len(x)}
             lists = [sketch_keys(x, bands) for x in sets.values()]
             key = np.concatenate([np.empty(0, U64), *lists])
             node = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in lists])
@@ -142,10 +148,8 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Memo.focus(WORDS)
         for batch in slices(batches, "text"):
-            sets = [x for text in as_bytes(batch.column("text")) if len(x := shingles(text, k))]
-            WORDS.trim()
+            sets = [x for x in _shingled(batch, k) if len(x)]
             columns = [pa.array([set_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
             columns += [pa.array([f(x).tobytes() for x in sets], pa.binary()) for f in (parity_sketch, lambda x: x)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch", "tokens"])
@@ -188,31 +192,37 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """A table of the pairs (src, dst) whose sets are similar enough. Sketches meet first, and sets only for pairs that these allow.
 
     Pairs are written before each join, so that Spark broadcasts them where they are few, by their true size, and no
-    set is shuffled then.
+    set is shuffled then. Where they are many, a bitmap leaves those sets to shuffle that are in a pair.
     """
     pairs = materialize(pairs.select("src", "dst").distinct())
     a = sets.select(F.col("node").alias("src"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = sets.select(F.col("node").alias("dst"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     sized = pairs.join(a, "src").join(b, "dst").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     near = materialize(sized.select("src", "dst", "n_a", "n_b", "s_a", "s_b").mapInArrow(_allowed(num, den), "src long, dst long"))
-    a = sets.select(F.col("node").alias("src"), "tokens")
-    b = sets.select(F.col("node").alias("dst"), F.col("tokens").alias("tokens_b"))
+    a = _held(sets, "node", near, "src").select(F.col("node").alias("src"), "tokens")
+    b = _held(sets, "node", near, "dst").select(F.col("node").alias("dst"), F.col("tokens").alias("tokens_b"))
     both = near.join(a, "src").join(b, "dst").select("src", "dst", "tokens", "tokens_b")
     out = materialize(both.mapInArrow(_verify(num, den), "src long, dst long"))
     discard(pairs, near)
     return out
 
 
-#: A bitmap of 64 times so many bits is what the texts of candidates are found by; it doesn't grow with the data.
+#: A bitmap of 64 times so many bits is what the rows of candidates are found by; it doesn't grow with the data.
 MARKS = 1 << 18
 
 
+def _held(rows: DataFrame, column: str, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose column is among the keys, and a few others, by a broadcast bitmap; with left_anti, only rows that aren't among them."""
+    place = lambda c: (f"shiftrightunsigned(`{c}`, 6) & {MARKS - 1}L", f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    (word, bit), (own, own_bit) = place(key), place(column)
+    name, bits = unused(rows, "word", "bits")
+    marks = keys.groupBy(F.expr(word).alias(name)).agg(F.expr(f"bit_or({bit})").alias(bits))
+    return rows.join(F.broadcast(marks), F.expr(f"`{name}` = ({own}) and ({own_bit} & `{bits}`) <> 0"), how)
+
+
 def _marked(docs: DataFrame, rids: DataFrame) -> DataFrame:
     """Rows of docs whose rid is in the table rids. A bitmap lets few others through, so that the exact join, where it can't broadcast, shuffles few texts."""
-    word, bit = f"shiftrightunsigned(rid, 6) & {MARKS - 1}L", "shiftleft(1L, cast(rid & 63 as int))"
-    marks = rids.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits"))
-    some = docs.join(F.broadcast(marks), F.expr(f"word = ({word}) and ({bit} & bits) <> 0"), "left_semi")
-    return some.join(rids, "rid", "left_semi")
+    return _held(docs, "rid", rids, "rid").join(rids, "rid", "left_semi")
 
 
 def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -365,7 +375,7 @@ def _settle(members: DataFrame, links: DataFrame, sets: DataFrame, num: int, den
     kinds = "cluster long, i long, j long, block long, node long, comp long"
     open_nodes = materialize(_pairs_of_blocks(united).groupBy("cluster", "i", "j").applyInArrow(_likely(num, den, False), kinds))
     if open_nodes.head(1):
-        met = open_nodes.join(sets.select("node", "tokens"), "node").repartition("cluster", "i", "j")
+        met = open_nodes.join(_held(sets, "node", open_nodes, "node").select("node", "tokens"), "node").repartition("cluster", "i", "j")
         last = met.groupBy("cluster", "i", "j").applyInArrow(_compare(num, den), "src long, dst long")
         more = materialize(last)
         labels = connected_components(links.unionByName(more))
@@ -386,20 +396,21 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of df without near duplicates: of each component the row with the least id stays, one of equal rows.
 
     Rows with a null id come after all others of a component. Documents without words, null texts among them, link
-    with nothing and all stay. Columns are those of df, whatever their names. Only the numbers of rows that go, or
-    that occur twice, are joined to the texts.
+    with nothing and all stay. Columns are those of df, whatever their names. Only rows that
+    a bitmap of the numbers of those that go, or occur twice, lets through are joined with these numbers; no other text
+    is shuffled, however many go.
     """
     rows = materialize(similarity_components(df, id_col, text_col, k, num, den))
     (rid,) = unused(df, "rid")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("first")
     stay = rows.where("comp is not null").groupBy("comp").agg(first, F.count("*").alias("rows")).where("rows > 1").select("comp", F.col("first.rid").alias("stays"))
-    lost = rows.join(materialize(stay), "comp").where("rid <> stays").select(F.col("rid").alias(rid)).distinct()
+    lost = materialize(rows.join(materialize(stay), "comp").where("rid <> stays").select(F.col("rid").alias(rid)).distinct())
     twice = materialize(rows.where("comp is not null").groupBy("rid").count().where("count > 1").select(F.col("rid").alias(rid)))
-    left = df.withColumn(rid, F.xxhash64(F.col(id_col), F.col(text_col))).join(materialize(lost), rid, "left_anti")
-    if not twice.head(1):
-        return left.select(*map(_quoted, df.columns))
-    once = left.join(twice, rid, "left_semi").dropDuplicates([rid])
-    return left.join(twice, rid, "left_anti").unionByName(once).select(*map(_quoted, df.columns))
+    every, doubt = df.withColumn(rid, F.xxhash64(F.col(id_col), F.col(text_col))), lost.union(twice)
+    left = _held(every, rid, doubt, rid).join(lost, rid, "left_anti")
+    if twice.head(1):
+        left = left.join(twice, rid, "left_anti").unionByName(left.join(twice, rid, "left_semi").dropDuplicates([rid]))
+    return _held(every, rid, doubt, rid, "left_anti").unionByName(left).select(*map(_quoted, df.columns))
 
 
 def _quoted(name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from cellweave.llm import jaccard, langid, linededup, packing, quality, tokencount  # noqa: E402
-from cellweave.llm.common import connected_components  # noqa: E402
+from cellweave.llm.common import Memo, connected_components, materialize  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -253,3 +253,60 @@ def test_packing_bound():
         used, bound = sum(n for _, n in plan), packing.least_sequences(h, 1024, (np.arange(1025) / 1024) ** 1.2)
         assert bound <= used <= bound * 1.05 + 2
     assert zlib.crc32(b"") == 0
+
+
+def sent(run):
+    """What a task gets of a nested function: a copy that goes through Spark's pickle."""
+    from pyspark import cloudpickle
+
+    return cloudpickle.loads(cloudpickle.dumps(run))
+
+
+class Table:
+    """Gives the function that an operator maps over batches."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("make", [lambda: jaccard._signatures(5), lambda: jaccard._keys(5, 80, 100), lambda: jaccard._sets(5)])
+def test_a_worker_keeps_the_bounds_of_the_word_memo(monkeypatch, make):
+    import pyarrow as pa
+
+    Memo.focus()
+    monkeypatch.setattr(jaccard.WORDS, "limit", 50)
+    text = " ".join(f"w{k}" for k in range(500))
+    list(sent(make())([pa.RecordBatch.from_pydict({"doc": [1], "rid": [1], "text": [text]})]))
+    assert len(jaccard.WORDS) <= 50
+
+
+def test_keys_meet_only_where_members_do():
+    """Sets without a common member share no key, however many sets there are: what is fetched and compared follows the links."""
+    rng = np.random.default_rng(3)
+    bands = jaccard.Bands(80, 100)
+    keys = [np.unique(jaccard.sketch_keys(np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)), bands)) for _ in range(2000)]
+    every = np.concatenate(keys)
+    assert len(np.unique(every)) == len(every)
+
+
+def test_many_rows_go_by_bitmap(spark):
+    """More rows go than Spark broadcasts; the rest stays whole, repeated rows once, rows without words all."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = F.concat_ws(" ", *(F.concat(F.lit(f"a{k}x"), (F.col("id") % 40).cast("string")) for k in range(12)))
+        docs = spark.range(400).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("x").alias("word"))
+        docs = docs.union(docs.where("doc_id in (3, 45)")).union(spark.sql("select id, ' ', 'x' from range(900, 903)")).union(spark.sql("select 900L, ' ', 'x'"))
+        got = jaccard.drop_near_duplicates(materialize(docs))
+        assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == [*range(40), 900, 900, 901, 902]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
