@@ -234,12 +234,15 @@ class Tokens:
         self.units = Memo(lambda u: np.array(single(u.encode()) if WORD.fullmatch(u) else whole(u), "<u4").tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        split = [None if SPECIAL in t or RUNS.search(t) else [" " + u for u in t.split(" ")] for t in texts]
-        for units in split:
-            if units:
+        """Ids of each text, as bytes. One text's units are held at a time."""
+        out = []
+        for t in texts:
+            if SPECIAL in t or RUNS.search(t):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                units = [" " + u for u in t.split(" ")]
                 units[0] = units[0][1:]
-        out = [b"".join(map(self.units.__getitem__, u)) if u else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for u, t in zip(split, texts)]
+                out.append(b"".join(map(self.units.__getitem__, units)))
         self.units.trim()
         return out
 
@@ -247,6 +250,20 @@ class Tokens:
 _LOADED: dict[str, Tokens] = {}
 
 
+def _load(path: str) -> Tokens:
+    """The worker's vocabulary, loaded once.
+
+    Nested functions come to workers with copies of the module's variables that they name, a new copy for each task, and
+    a vocabulary in a copy is loaded anew and stays, by its memo. Functions of the module see the variable itself.
+    """
+    if path not in _LOADED:
+        Memo.focus()  # what other stages held goes before the vocabulary comes
+        _LOADED[path] = Tokens(path)
+        release()
+    Memo.focus(_LOADED[path].units)
+    return _LOADED[path]
+
+
 def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32.
 
@@ -257,15 +274,10 @@ def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            Memo.focus()  # what other stages held goes before the vocabulary comes
-            _LOADED[path] = Tokens(path)
-            release()
-        Memo.focus(_LOADED[path].units)
-        end = struct.pack("<I", end_id)
+        tokens, end = _load(path), struct.pack("<I", end_id)
         for batch in slices(batches, "text", 1 << 20):
             row, piece, start, length, crc = [], [], [], [], []
-            for r, ids in enumerate(_LOADED[path].encode(as_text(batch.column("text")))):
+            for r, ids in enumerate(tokens.encode(as_text(batch.column("text")))):
                 ids += end
                 n = len(ids) // 4
                 at, k, size = 0, 0, n % capacity or capacity

@@ -275,6 +275,18 @@ class Table:
         return run
 
 
+def test_a_worker_loads_the_vocabulary_once(spark):
+    import pyarrow as pa
+
+    run = packing.cut_pieces(Table(spark.range(1).schema), public_tokenizers.path("byte_bpe_50k.json"), 8, 2, id_col="id")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words of a text", None]})
+    first = [b.to_pydict() for b in sent(run)([batch])]
+    held = len(Memo.every)
+    for _ in range(3):  # further tasks
+        assert [b.to_pydict() for b in sent(run)([batch])] == first
+    assert len(Memo.every) == held
+
+
 @pytest.mark.parametrize("make", [lambda: jaccard._signatures(5), lambda: jaccard._keys(5, 80, 100), lambda: jaccard._sets(5)])
 def test_a_worker_keeps_the_bounds_of_the_word_memo(monkeypatch, make):
     import pyarrow as pa
