@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.components import connected_components
 from ..plans.scratch import discard, written
 
-__all__ = ["U64", "Memo", "as_bytes", "as_text", "connected_components", "discard", "materialize", "mix", "release", "slices", "unused", "windows"]
+__all__ = ["U64", "Memo", "as_bytes", "as_text", "connected_components", "discard", "map_arrow", "materialize", "mix", "release", "slices", "unused", "windows"]
 U64 = np.uint64
 #: Rows and bytes that go to Python at once, and rows that a scan holds, where a table is written here: texts and sets are wide rows.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
@@ -108,6 +109,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """df.mapInArrow for columns of any name: names with dots or backticks never meet Spark's parser, run sees batches with df's own."""
+    names = df.columns
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns([f"c{k}" for k in range(out.num_columns)])
+
+    kinds = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema)])
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(plain, kinds).toDF(*schema.names)
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list:
     """Strings of an Arrow column as UTF-8 bytes; nulls as empty bytes."""
     return [x or b"" for x in pc.cast(column, pa.large_binary()).to_pylist()]

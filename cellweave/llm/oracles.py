@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that it can express in full: chats, the similarity join and URL filters."""
+"""DuckDB SQL for the queries that it can express in full: chats, the similarity join, URL filters, benchmark leaks, vector codes, clusters."""
 
 from __future__ import annotations
 
@@ -80,3 +80,54 @@ def url_sql(rules: list[tuple[str, str, str]]) -> str:
     v AS (SELECT node AS id, ruled FROM o WHERE node IS NOT NULL UNION ALL SELECT y, {own(host('target'), path('target'), True)} FROM l),
     d AS (SELECT label, MIN(ruled) AS least, MAX(ruled) AS most FROM c JOIN v USING (id) WHERE ruled IS NOT NULL GROUP BY 1)
     SELECT page_id, host, path, rule, COALESCE(ruled, CASE WHEN least = 'block' THEN 'block' END, 'allow') AS verdict FROM o LEFT JOIN c ON c.id = o.node LEFT JOIN d ON d.label = c.label"""
+
+
+def leak_sql(words: int = 10) -> str:
+    """Windows of items met with windows of documents of the same numbers of words."""
+    found = lambda t: f"REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE({t}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH b AS (SELECT item_id, {found('text')} AS w FROM benchmark), i AS (SELECT item_id, w, LEAST(LEN(w), {words}) AS k FROM b WHERE LEN(w) > 0),
+    g AS (SELECT DISTINCT item_id, k, ARRAY_TO_STRING(w[p : p + k - 1], ' ') AS g FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - k + 2)) AS p FROM i)),
+    d AS (SELECT ROW_NUMBER() OVER () AS n, doc_id, {found('text')} AS w FROM documents), s AS (SELECT DISTINCT k FROM g),
+    o AS (SELECT n, k, p, ARRAY_TO_STRING(w[p : p + k - 1], ' ') AS g FROM (SELECT n, w, k, UNNEST(RANGE(1, LEN(w) - k + 2)) AS p FROM d, s)),
+    h AS (SELECT n, p, o.k, item_id FROM o JOIN g ON o.g = g.g AND o.k = g.k),
+    x AS (SELECT n, COUNT(DISTINCT p + q) AS hit FROM (SELECT n, p, UNNEST(RANGE(k)) AS q FROM h) GROUP BY 1),
+    y AS (SELECT n, COUNT(*) AS items, STRING_AGG(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+    SELECT doc_id, LEN(w) AS n_words, COALESCE(hit, 0) AS n_hit, COALESCE(items, 0) AS n_items, SHA256(COALESCE(said, '')) AS items_sha256, hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN x ON x.n = d.n LEFT JOIN y ON y.n = d.n"""
+
+
+def _vectors_sql() -> str:
+    return "SELECT *, LIST_TRANSFORM(embedding, LAMBDA e: CAST(FLOOR(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, LAMBDA e: e IS NULL OR NOT ISFINITE(e))) = 0"
+
+
+def _distance(a: str, b: str, size: int) -> str:
+    return " + ".join(f"({a}[{j}] - {b}[{j}]) * ({a}[{j}] - {b}[{j}])" for j in range(1, size + 1))
+
+
+def _means(v: str, size: int) -> str:
+    """Means of components, rounded down."""
+    return "[" + ", ".join(f"CAST((SUM({v}[{j}]) - ((SUM({v}[{j}]) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*) AS BIGINT)" for j in range(1, size + 1)) + "]"
+
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, size: int = 16) -> str:
+    """Nearest entries by MIN(distance * entries + number), rounds one after the other."""
+    out = [f"k AS MATERIALIZED ({_vectors_sql()})", f"p AS MATERIALIZED (SELECT vec_id, label, part, v[part * {size} + 1 : part * {size} + {size}] AS w FROM k, (SELECT UNNEST(RANGE({parts})) AS part))"]
+    out.append(f"b0 AS MATERIALIZED (SELECT part, e, w AS c FROM p JOIN (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries}) USING (vec_id))")
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT p.vec_id, p.label, p.part, p.w, MIN(({_distance('p.w', 'b.c', size)}) * {entries} + b.e) AS m FROM p JOIN b{r} b ON b.part = p.part GROUP BY ALL)")
+        if r < rounds:
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.e, COALESCE(u.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT part, m % {entries} AS e, {_means('w', size)} AS c FROM a{r} GROUP BY 1, 2) u ON u.part = b.part AND u.e = b.e)")
+    return f"""WITH {', '.join(out)}, o AS (SELECT vec_id, label, STRING_AGG(PRINTF('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(SUM(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY 1, 2)
+    SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT SHA256(STRING_AGG(ARRAY_TO_STRING(c, ','), ',' ORDER BY part, e)) FROM b{rounds}) AS codebooks_sha256 FROM o"""
+
+
+def clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """Nearest centroids by MIN(distance * k + number), rounds one after the other."""
+    out = [f"v AS MATERIALIZED (SELECT vec_id, v AS w FROM ({_vectors_sql()}) WHERE LEN(v) = {dims})"]
+    out.append(f"b0 AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY h) - 1 AS e, w AS c FROM (SELECT SHA256('{seed}:' || vec_id) AS h, w FROM v ORDER BY h LIMIT {k}))")
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, v.w, MIN(({_distance('v.w', 'b.c', dims)}) * {k} + b.e) AS m FROM v, b{r} b GROUP BY ALL)")
+        if r < rounds:
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT b.e, COALESCE(u.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT m % {k} AS e, {_means('w', dims)} AS c FROM a{r} GROUP BY 1) u ON u.e = b.e)")
+    return f"""WITH {', '.join(out)} SELECT vec_id, CAST(m % {k} AS INT) AS cluster, CAST(m // {k} AS BIGINT) AS distance, CAST(SUM(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+    CAST(SUM(m // {k}) OVER () AS BIGINT) AS inertia, SHA256(ARRAY_TO_STRING(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN b{rounds} b ON b.e = m % {k}"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, jaccard, langid, linededup, ogg, oracles, packing, quality, tokencount, urlfilter
+from . import bytebpe, centroids, chat, decontaminate, jaccard, langid, linededup, ogg, oracles, packing, quality, tokencount, urlfilter, vectorcodes
 from .common import as_bytes, slices
 
 
@@ -94,11 +94,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest_leaks(decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vectorcodes.digest_codes(*vectorcodes.compress_vectors(vectors))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest_clusters(*centroids.cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_chat_format, op2_ngram_jaccard, op3_pack, op4_language, op5_quality, op6_line_dedup, op7_token_count, op8_byte_bpe, op9_ogg_media, op10_url_filter)
+    ops = (op1_chat_format, op2_ngram_jaccard, op3_pack, op4_language, op5_quality, op6_line_dedup, op7_token_count, op8_byte_bpe, op9_ogg_media, op10_url_filter, op11_decontaminate, op12_vector_codes, op13_centroids)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express in full and soon enough; the others are tested against brute force in tests/llm."""
-    return {"op1_chat_format": oracles.chat_sql(), "op2_ngram_jaccard": oracles.jaccard_sql(), "op10_url_filter": oracles.url_sql(RULES)}
+    return {"op1_chat_format": oracles.chat_sql(), "op2_ngram_jaccard": oracles.jaccard_sql(), "op10_url_filter": oracles.url_sql(RULES), "op11_decontaminate": oracles.leak_sql(), "op12_vector_codes": oracles.codes_sql(), "op13_centroids": oracles.clusters_sql()}
