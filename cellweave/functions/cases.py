@@ -205,7 +205,7 @@ def _zonal() -> None:
     case("sediment_delivery", "SEDIMENT_DELIVERY", "pa", f" SELECT row, col, {R('p.v * EXP(-(1 - a.v / (SELECT MAX(v) FROM a)))')} FROM p JOIN a USING (row, col)")
     mm = "({0}.v - (SELECT MIN(v) FROM {0})) / ((SELECT MAX(v) FROM {0}) - (SELECT MIN(v) FROM {0}))"
     case("climate_adaptation", "CLIMATE_ADAPTATION", "apq", f" SELECT row, col, {R('GREATEST(0, LEAST(1, (' + mm.format('a') + ' + ' + mm.format('p') + ') / 2 - 0.5 * ' + mm.format('q') + '))')} FROM a JOIN p USING (row, col) JOIN q USING (row, col)")
-    case("cratio", "CRATIO", "a", f" SELECT {R('2 * SUM(r * v) / (COUNT(*) * SUM(v)) - (COUNT(*) + 1) / COUNT(*)', 'gini')} FROM (SELECT v, ROW_NUMBER() OVER (ORDER BY v) AS r FROM a)")
+    case("cratio", "CRATIO", "a", f" SELECT {R('CASE WHEN SUM(v) > 0 THEN 2 * SUM(r * v) / (COUNT(*) * SUM(v)) - (COUNT(*) + 1) / COUNT(*) ELSE 0 END', 'gini')} FROM (SELECT v, ROW_NUMBER() OVER (ORDER BY v) AS r FROM a)")
     case("sensitivity", "SENSITIVITY", "pq", f", m AS (SELECT AVG(p.v) AS a, AVG(q.v) AS b FROM p JOIN q USING (row, col)), w AS (SELECT * FROM (VALUES (0, -1, 0.54, 0.4), (0, 1, 0.66, 0.4), (1, -1, 0.6, 0.36), (1, 1, 0.6, 0.44)) t(f, w, x, y)) SELECT f AS factor, w AS way, {R('(a * x + b * y) / (x + y)', 'mean')}, {R('a * 0.6 + b * 0.4', 'base')}, {R('(a * x + b * y) / (x + y) - a * 0.6 - b * 0.4', 'change')} FROM m, w", lambda f, own: f(own), weights=(0.6, 0.4))
     case("roc", "ROC", "ps", f", t AS (SELECT p.v AS x, s.v <> 0 AS h FROM p JOIN s USING (row, col)), l AS (SELECT MIN(x) AS lo, MAX(x) AS hi, COUNT(*) FILTER (h) AS np, COUNT(*) FILTER (NOT h) AS nn FROM t), c AS (SELECT FLOOR((x - lo) / (hi - lo) * 20) AS k, COUNT(*) FILTER (h) AS tp, COUNT(*) FILTER (NOT h) AS fp FROM t, l GROUP BY 1) SELECT CAST(g AS INT) AS step, {R('ANY_VALUE(lo + (hi - lo) * g / 20)', 'threshold')}, {R('SUM(CASE WHEN k >= g THEN tp ELSE 0 END) / ANY_VALUE(np)', 'tpr')}, {R('SUM(CASE WHEN k >= g THEN fp ELSE 0 END) / ANY_VALUE(nn)', 'fpr')} FROM range(21) r(g), c, l GROUP BY g", num_thresholds=20)
     case("rank", "RANK", "b", " SELECT row, col, CASE WHEN v IS NOT NULL THEN CAST(RANK() OVER (ORDER BY v DESC NULLS LAST) AS DOUBLE) END AS v FROM b")
@@ -317,8 +317,13 @@ def _regrid() -> None:
     case("zeropad", "ZEROPAD", "b", " SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CASE WHEN b.row IS NULL THEN 0 ELSE v END AS v FROM range(64) t(r) CROSS JOIN range(64) u(c) LEFT JOIN b ON b.row = r - 8 AND b.col = c - 8")
     case("relocate", "RELOCATE", "a", " SELECT 1000 + col * 10 + 5.0 AS x, 5000 - row * 10 - 3.0 AS y, v AS value FROM a", lambda f, own: create("RASTERTOPOINT")(f(own[0], shift_x=5.0, shift_y=-3.0)))
     case("metaupdate", "METAUPDATE", "a", " SELECT 1000 + col * 20.0 AS x, 5000 - row * 20.0 AS y, v AS value FROM a", lambda f, own: create("RASTERTOPOINT")(f(own[0], cell_size=20.0)))
-    case("resample_nearest", "RESAMPLE", "b", " SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, v FROM range(32) t(r) CROSS JOIN range(32) u(c) LEFT JOIN b ON b.row = FLOOR(r * 1.5) AND b.col = FLOOR(c * 1.5)", cell_size=15.0)
-    case("resample_bilinear", "RESAMPLE", "b", f", t AS (SELECT r, c, dr, dc, FLOOR(r * 0.5) + dr AS sr, FLOOR(c * 0.5) + dc AS sc, (CASE WHEN dr = 1 THEN r * 0.5 - FLOOR(r * 0.5) ELSE 1 - r * 0.5 + FLOOR(r * 0.5) END) * (CASE WHEN dc = 1 THEN c * 0.5 - FLOOR(c * 0.5) ELSE 1 - c * 0.5 + FLOOR(c * 0.5) END) AS w FROM range(96) x(r), range(96) y(c), range(2) p(dr), range(2) q(dc)) SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CASE WHEN MAX(CASE WHEN w > 0 AND b.v IS NULL THEN 1 ELSE 0 END) = 0 THEN ROUND(SUM(w * b.v), 6) END AS v FROM t LEFT JOIN b ON b.row = sr AND b.col = sc GROUP BY r, c", cell_size=5.0, method="bilinear")
+    # A target's place in the source, by cell centres: (k + 0.5) * ratio - 0.5; all cells that it is made of must have data.
+    spot = lambda n, ratio: f", x AS (SELECT CAST(i AS INT) AS k, FLOOR((i + 0.5) * {ratio} - 0.5) AS b, (i + 0.5) * {ratio} - 0.5 - FLOOR((i + 0.5) * {ratio} - 0.5) AS f FROM range({n}) t(i))"
+    met = lambda taps: f", w AS (SELECT k, b + j AS s, CASE {{}} END AS w FROM x, (SELECT UNNEST([{taps}]) AS j)), m AS (SELECT r.k AS row, c.k AS col, SUM(r.w * c.w * b.v) AS v, COUNT(b.v) AS n FROM w r, w c JOIN b ON b.row = r.s AND b.col = c.s GROUP BY 1, 2) SELECT row, col, ROUND(v, 6) + 0.0 AS v FROM m"
+    case("resample_nearest", "RESAMPLE", "b", " SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, v FROM range(32) t(r), range(32) u(c) JOIN b ON b.row = FLOOR((r + 0.5) * 1.5) AND b.col = FLOOR((c + 0.5) * 1.5) WHERE v IS NOT NULL", cell_size=15.0)
+    case("resample_bilinear", "RESAMPLE", "b", spot(96, 0.5) + met("0, 1").format("WHEN j = 1 THEN f ELSE 1 - f") + " WHERE n = 4", cell_size=5.0, method="bilinear")
+    cubic = "WHEN j = -1 THEN -0.5 * f * f * f + f * f - 0.5 * f WHEN j = 0 THEN 1.5 * f * f * f - 2.5 * f * f + 1 WHEN j = 1 THEN -1.5 * f * f * f + 2 * f * f + 0.5 * f ELSE 0.5 * f * f * f - 0.5 * f * f"
+    case("resample_cubic", "RESAMPLE", "b", spot(69, 0.7) + met("-1, 0, 1, 2").format(cubic) + " WHERE n = 16", cell_size=7.0, method="cubic")
     case("transform", "TRANSFORM", "a", None, rotation_degrees=30.0)
     case("landsat_upsample", "LANDSAT_UPSAMPLE", "ab", None, lambda f, own: f(create("PYRAMID")(own[0], num_levels=1)[0], own[1]))
     case("disaggregate", "DISAGGREGATE", "ab", f", k AS (SELECT row // 2 AS row, col // 2 AS col, AVG(v) AS v FROM a GROUP BY 1, 2), w AS (SELECT row // 2 AS r, col // 2 AS c, SUM(v) AS w, COUNT(v) AS n FROM b GROUP BY 1, 2) SELECT b.row, b.col, {R('CASE WHEN w > 0 THEN k.v * b.v / w ELSE CASE WHEN b.v IS NOT NULL THEN k.v / n END END')} FROM b LEFT JOIN w ON w.r = b.row // 2 AND w.c = b.col // 2 LEFT JOIN k ON k.row = b.row // 2 AND k.col = b.col // 2", lambda f, own: f(create("PYRAMID")(own[0], num_levels=1)[0], own[1]))
@@ -386,9 +391,11 @@ def _series() -> None:
     add("bioclimvars", lambda sp, d: create("BIOCLIMVARS")(arrays(sp, d, 0, 12), arrays(sp, d, 3, 12)))
     add("multi_reg", lambda sp, d: create("MULTI_REG")(arrays(sp, d), [arrays(sp, d, 3)]).select(*KEY, "r2"))
     add("mlr", lambda sp, d: create("MLR")(arrays(sp, d), [arrays(sp, d, 3)]).select(*KEY, "r2"))
-    add("hants", lambda sp, d: create("HANTS")(arrays(sp, d)).select(*KEY, F.size("smooth").alias("n")))
+    add("hants", lambda sp, d: create("HANTS")(arrays(sp, d), num_harmonics=1, fit_error_tolerance=0.4).select(*KEY, F.col("amplitudes")[0].alias("amplitude"), F.col("phases")[0].alias("phase"), F.col("smooth")[5].alias("v5")))
+    add("hants_3", lambda sp, d: create("HANTS")(arrays(sp, d)).select(*KEY, F.size("smooth").alias("n")))
     add("mssa", lambda sp, d: create("MSSA")(arrays(sp, d)).select(*KEY, F.size("reconstruction").alias("n")))
-    add("eot", lambda sp, d: create("EOT")(_series_df(sp, d), num_modes=2))
+    add("eot", lambda sp, d: create("EOT")(_series_df(sp, d), num_modes=3))
+    add("eot_bases", lambda sp, d: create("EOT")(_series_df(sp, d), num_modes=3, output="bases").select("mode", *KEY, "total_r2", F.posexplode("series").alias("t", "v")))
 
 
 def _iterate() -> None:
@@ -410,11 +417,13 @@ def _iterate() -> None:
     case("cellatom", "CELLATOM", "cf", maj.format(k=1, g="c") + maj.format(k=2, g="g1") + " SELECT row, col, v FROM g2", iterations=2)
     case("cellular_automata", "CELLULAR_AUTOMATA", "cpq", None, lambda f, own: f(own[0], {1: own[1], 2: own[2]}), matrix=((1, 1, 1.0), (2, 2, 0.9), (2, 1, 0.1), (3, 3, 0.8), (3, 1, 0.2), (4, 2, 0.3), (4, 4, 0.7), (5, 5, 1.0)), iterations=2)
     case("mola", "MOLA", "pq", None, lambda f, own: f(own), areas=(200, 300))
-    case("geomod", "GEOMOD", "cd", None, quantity=50)
+    # Time 2: the classes of c, the next one where s has features.
+    case("geomod", "GEOMOD", "cs", None, lambda f, own: f(own[0], own[0].with_cells(own[0].df.join(own[1].df.select(*KEY, F.col("v").alias("s")), KEY).select(*KEY, F.when(F.col("s") != 0, F.col("v") % 5 + 1).otherwise(F.col("v")).alias("v")))), quantity=150)
     case("varcost", "VARCOST", "sfa", None)
     case("viewshed", "VIEWSHED", "a", None, observer_x=1200.0, observer_y=4800.0)
     case("pathway", "PATHWAY", "a", None, lambda f, own: f(own[0], iterate.flow_direction(own[0]), row=20, col=20))
     case("fractal", "FRACTAL", "a", None)
+    case("fractal_gaps", "FRACTAL", "b", None, max_window=6)
     case("pclass", "PCLASS", "ac", None, threshold=650.0)
     case("kendall", "KENDALL", "pq", f", j AS (SELECT p.v AS x, q.v AS y FROM p JOIN q USING (row, col)), t AS (SELECT SUM(SIGN(a.x - b.x) * SIGN(a.y - b.y)) / SQRT(SUM(ABS(SIGN(a.x - b.x))) * SUM(ABS(SIGN(a.y - b.y)))) AS tau FROM j a, j b), n AS (SELECT COUNT(*) AS n FROM j) SELECT n, {R('tau', 'tau')}, {R('tau / SQRT(2 * (2 * n + 5) / (9.0 * n * (n - 1)))', 'z')} FROM t, n", lambda f, own: f(*own).drop("p"))
     case("pollination", "POLLINATION", "c", None, nesting=((1, 0.5), (2, 0.9)), floral=((1, 0.3), (3, 0.8)), foraging_distance=3.0)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..plans.grid import KEY
@@ -37,6 +38,8 @@ def register() -> None:
     _spectra()
     _signatures()
     _new_queries()
+    _least_squares()
+    _nearness()
 
 
 def put(name: str, sql: str) -> None:
@@ -131,9 +134,6 @@ def _far() -> None:
     """Sight lines, windows and kernels."""
     eye = "20"  # the observer's row and column, at x 1200 and y 4800
     put("viewshed", with_grids("a", f", e AS (SELECT v + 1.7 AS h FROM a WHERE row = {eye} AND col = {eye}), t AS (SELECT row, col, row - {eye} AS dr, col - {eye} AS dc, (v - h) / SQRT(CAST((row - {eye}) * (row - {eye}) + (col - {eye}) * (col - {eye}) AS DOUBLE)) AS angle FROM a, e WHERE row <> {eye} OR col <> {eye}), p AS (SELECT t.*, UNNEST(RANGE(1, GREATEST(ABS(dr), ABS(dc)))) AS s, GREATEST(ABS(dr), ABS(dc)) AS n FROM t), m AS (SELECT p.row, p.col, MAX(q.angle) AS hi, ANY_VALUE(p.angle) AS own FROM p JOIN t q ON q.row = CAST(ROUND(p.dr / CAST(n AS DOUBLE) * s) AS INT) + {eye} AND q.col = CAST(ROUND(p.dc / CAST(n AS DOUBLE) * s) AS INT) + {eye} GROUP BY 1, 2) SELECT a.row, a.col, CAST(CASE WHEN hi > own THEN 0 ELSE 1 END AS DOUBLE) AS v FROM a LEFT JOIN m USING (row, col)"))
-    tri = lambda dz: f"SQRT(100 + POWER({dz}, 2)) / 4 * SQRT(GREATEST(0, 300 - POWER({dz}, 2)))"
-    quads = f", q AS (SELECT x.row, x.col, {tri('s.v - x.v')} + {tri('d.v - e.v')} AS v FROM a x JOIN a s ON s.row = x.row + 1 AND s.col = x.col JOIN a e ON e.row = x.row AND e.col = x.col + 1 JOIN a d ON d.row = x.row + 1 AND d.col = x.col + 1)"
-    put("fractal", with_grids("a", quads + f", k AS (SELECT x.row, x.col, w, LN(SUM(q.v)) AS y FROM a x CROSS JOIN (VALUES (3), (5), (7), (9)) t(w) JOIN q ON q.row - x.row BETWEEN -(w // 2) AND w // 2 - 1 AND q.col - x.col BETWEEN -(w // 2) AND w // 2 - 1 GROUP BY 1, 2, 3 HAVING SUM(q.v) > 0), b AS (SELECT row, col, REGR_SLOPE(y, LN(w * 10.0)) AS b FROM k GROUP BY 1, 2 HAVING COUNT(*) > 1) SELECT row, col, {R('GREATEST(2, LEAST(3, COALESCE(2 + ABS(b - 2), 2)))')} FROM a LEFT JOIN b USING (row, col)"))
     kernel = ", k AS (SELECT dr, dc, EXP(-SQRT(dr * dr + dc * dc) / 1.5) AS w FROM range(-3, 4) t(dr), range(-3, 4) u(dc) WHERE dr * dr + dc * dc <= 9)"
     put("pollination", with_grids("c", kernel + f", t AS (SELECT row, col, CASE v WHEN 1 THEN 0.5 WHEN 2 THEN 0.9 ELSE 0 END AS n, CASE v WHEN 1 THEN 0.3 WHEN 3 THEN 0.8 ELSE 0 END AS f FROM c), x AS (SELECT t.row, t.col, ANY_VALUE(t.n) AS n, ANY_VALUE(t.f) AS f, SUM(u.f * w) AS xw, SUM(w) AS w FROM t CROSS JOIN k JOIN t u ON u.row = t.row + dr AND u.col = t.col + dc GROUP BY 1, 2), g AS (SELECT row, col, f, CASE WHEN xw > 0 THEN n * xw / w / xw ELSE 0 END AS g FROM x) SELECT a.row, a.col, {R('ANY_VALUE(a.f) * SUM(b.g * w)')} FROM g a CROSS JOIN k JOIN g b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY 1, 2"))
     harm = ", k AS (SELECT dr, dc, 1 - SQRT(dr * dr + dc * dc) / 3.0 AS w FROM range(-3, 4) t(dr), range(-3, 4) u(dc) WHERE dr * dr + dc * dc <= 9), h AS (SELECT s.row + dr AS row, s.col + dc AS col, SUM(s.v * w) AS t FROM s CROSS JOIN k WHERE s.v > 0 GROUP BY 1, 2)"
@@ -329,3 +329,50 @@ def _new_queries() -> None:
     for op in ("ARCIDRIS", "DXFIDRIS", "KMLIDRIS", "MIFIDRIS", "SHAPEIDR"):
         add(f"{op.lower()}_form", outlines(op), with_grids("s", every.format("CAST(CASE WHEN g.v <> 0 THEN 1 ELSE 0 END AS DOUBLE)", "s")))
 
+
+
+def _least_squares() -> None:
+    """Fits of series, from their normal equations."""
+    from .cases import _series_sql
+
+    S = "WITH s AS (" + _series_sql() + ")"
+    full = ", g AS (SELECT row, col, CAST(i AS INT) AS t FROM (SELECT DISTINCT row, col FROM s), range(24) r(i)), f AS (SELECT row, col, t, COALESCE(v, 0) AS v, COS(2 * PI() * t / {p}) AS c, SIN(2 * PI() * t / {p}) AS s FROM g LEFT JOIN s USING (row, col, t))"
+    # The six terms don't depend on the data: (X'X)^-1 X' is a table of weights by step.
+    t = [k for k in range(24)]
+    terms = [[1.0, k, math.cos(2 * math.pi * k / 12), math.sin(2 * math.pi * k / 12), k * math.cos(2 * math.pi * k / 12), k * math.sin(2 * math.pi * k / 12)] for k in t]
+    weights = np.linalg.solve(np.array(terms).T @ np.array(terms), np.array(terms).T)
+    table = ", ".join(f"({k}, {float(weights[1][k])!r}, {float(weights[2][k])!r}, {float(weights[3][k])!r})" for k in t)
+    put("sta", S + full.format(p=12) + f", w AS (SELECT * FROM (VALUES {table}) x(t, w1, w2, w3)), b AS (SELECT row, col, SUM(v * w1) AS b1, SUM(v * w2) AS b2, SUM(v * w3) AS b3 FROM f JOIN w USING (t) GROUP BY 1, 2) SELECT row, col, {R('b1', 'trend')}, {R('SQRT(b2 * b2 + b3 * b3)', 'amplitude')}, {R('ATAN2(b3, b2)', 'phase')} FROM b")
+    # One harmonic: three terms by Cramer's rule, ten rounds. A value whose residual is over 0.4 of the range goes, unless fewer than three would stay.
+    m = ("n", "c", "s", "cc", "cs", "ss")
+    inv = _inverse(*m)
+    beta = [" + ".join(f"{inv[''.join(sorted(f'{i}{j}'))]} * {y}" for j, y in enumerate(("y", "yc", "ys"))) for i in range(3)]
+    rounds = ", u1 AS (SELECT *, TRUE AS used, 0.4 * (MAX(v) OVER (PARTITION BY row, col) - MIN(v) OVER (PARTITION BY row, col)) AS lim FROM f)"
+    for k in range(1, 11):
+        rounds += f", m{k} AS (SELECT row, col, 1.0 * COUNT(*) AS n, SUM(c) AS c, SUM(s) AS s, SUM(c * c) AS cc, SUM(c * s) AS cs, SUM(s * s) AS ss, SUM(v) AS y, SUM(v * c) AS yc, SUM(v * s) AS ys FROM u{k} WHERE used GROUP BY 1, 2), b{k} AS MATERIALIZED (SELECT row, col, n, {', '.join(f'{e} AS b{i}' for i, e in enumerate(beta))} FROM m{k})"
+        rounds += f", x{k} AS (SELECT u.*, n, used AND ABS(v - b0 - b1 * c - b2 * s) > lim AS bad FROM u{k} u JOIN b{k} USING (row, col)), u{k + 1} AS MATERIALIZED (SELECT row, col, t, v, c, s, used AND NOT (bad AND n - SUM(CAST(bad AS INT)) OVER (PARTITION BY row, col) >= 3) AS used, lim FROM x{k})"
+    at5 = f"b0 + b1 * {math.cos(2 * math.pi * 5 / 24)!r} + b2 * {math.sin(2 * math.pi * 5 / 24)!r}"
+    put("hants", S + full.format(p=24) + rounds + f" SELECT row, col, {R('SQRT(b1 * b1 + b2 * b2)', 'amplitude')}, {R('ATAN2(b2, b1)', 'phase')}, {R(at5, 'v5')} FROM b10")
+    modes = ", n AS (SELECT COUNT(DISTINCT t) AS n FROM s), r1 AS MATERIALIZED (SELECT row, col, t, v - AVG(v) OVER (PARTITION BY row, col) AS v FROM s WHERE (row, col) IN (SELECT (row, col) FROM s, n GROUP BY row, col, n HAVING COUNT(v) = n))"
+    for k in (1, 2, 3):
+        modes += f", p{k} AS MATERIALIZED (SELECT b.row AS br, b.col AS bc, x.row, x.col, SUM(b.v * x.v) AS bx, SUM(b.v * b.v) AS bb, SUM(x.v * x.v) AS xx FROM r{k} b JOIN r{k} x USING (t) GROUP BY 1, 2, 3, 4), s{k} AS MATERIALIZED (SELECT br, bc, SUM(CASE WHEN xx >= 1e-15 THEN bx * bx / (bb * xx) ELSE 0 END) AS total FROM p{k} WHERE bb >= 1e-15 GROUP BY 1, 2 ORDER BY ROUND(total, 10) DESC, br, bc LIMIT 1)"
+        modes += f", o{k} AS MATERIALIZED (SELECT p.row, p.col, bx / bb AS slope, CASE WHEN xx > 1e-15 THEN bx * bx / (bb * xx) ELSE 0 END AS r2 FROM p{k} p JOIN s{k} USING (br, bc)), r{k + 1} AS MATERIALIZED (SELECT x.row, x.col, x.t, x.v - slope * b.v AS v FROM r{k} x JOIN o{k} USING (row, col) JOIN s{k} m ON TRUE JOIN r{k} b ON b.row = m.br AND b.col = m.bc AND b.t = x.t)"
+    put("eot", S + modes + " " + " UNION ALL ".join(f"SELECT {k} AS mode, row, col, {R('slope', 'pattern')}, {R('r2', 'r2')} FROM o{k}" for k in (1, 2, 3)))
+    put("eot_bases", S + modes + " " + " UNION ALL ".join(f"SELECT {k} AS mode, br AS row, bc AS col, {R('total', 'total_r2')}, CAST(DENSE_RANK() OVER (ORDER BY t) - 1 AS INT) AS t, {R('v')} FROM s{k} JOIN r{k} r ON r.row = br AND r.col = bc" for k in (1, 2, 3)))
+
+
+def _nearness() -> None:
+    """Straight distances, surface areas."""
+    change = ", g AS (SELECT row, col, c.v AS v1, CASE WHEN s.v <> 0 THEN c.v % 5 + 1 ELSE c.v END AS v2 FROM c JOIN s USING (row, col)), h AS (SELECT * FROM g WHERE v1 <> v2), m AS (SELECT v2 FROM h GROUP BY 1 ORDER BY COUNT(*) DESC, v2 LIMIT 1)"
+    near = f", d AS (SELECT g.row, g.col, MIN((g.row - h.row) * (g.row - h.row) + (g.col - h.col) * (g.col - h.col)) AS d FROM g, h WHERE g.v1 = g.v2 GROUP BY 1, 2), k AS (SELECT * FROM d ORDER BY d, row * {SIZE} + col LIMIT 150)"
+    put("geomod", with_grids("cs", change + near + " SELECT g.row, g.col, CASE WHEN k.d IS NULL THEN g.v2 ELSE (SELECT v2 FROM m) END AS v FROM g LEFT JOIN k USING (row, col)"))
+    for name, g, sizes in (("fractal", "a", (3, 5, 7, 9)), ("fractal_gaps", "b", (3, 5, 7))):
+        edge = lambda e: f"GREATEST(0, LEAST({SIZE - 1}, {e}))"
+        corner = {f"z{i}{j}": (f"p + {i}" if i else "p", f"q + {j}" if j else "q") for i in (0, 1) for j in (0, 1)}
+        joins = " ".join(f"JOIN {g} {z} ON {z}.row = {edge('x.row + ' + r)} AND {z}.col = {edge('x.col + ' + c)}" for z, (r, c) in corner.items())
+        z = {k: f"COALESCE({k}.v, x.v)" for k in corner}
+        heron = lambda d: f"SQRT(100 + POWER({d}, 2)) / 4 * SQRT(GREATEST(0, 300 - POWER({d}, 2)))"
+        areas = f", q AS (SELECT UNNEST(RANGE(-4, 4)) AS q), p AS (SELECT UNNEST(RANGE(-4, 4)) AS p), k AS (SELECT x.row, x.col, p, q, {heron(z['z10'] + ' - ' + z['z00'])} + {heron(z['z11'] + ' - ' + z['z01'])} AS e FROM {g} x CROSS JOIN p CROSS JOIN q {joins} WHERE x.v IS NOT NULL)"
+        logs = f", w AS (SELECT UNNEST({list(sizes)}) AS w), l AS (SELECT row, col, LN(w * 10.0) AS lx, LN(SUM(e)) AS ly FROM k JOIN w ON p BETWEEN -(w // 2) AND w // 2 - 1 AND q BETWEEN -(w // 2) AND w // 2 - 1 GROUP BY row, col, w HAVING SUM(e) > 0), f AS (SELECT row, col, {len(sizes)} * SUM(lx * ly) - SUM(lx) * SUM(ly) AS num, {len(sizes)} * SUM(lx * lx) - SUM(lx) * SUM(lx) AS den FROM l GROUP BY 1, 2)"
+        out = "CASE WHEN x.v IS NULL THEN NULL WHEN den IS NULL OR ABS(den) < 1e-15 THEN 2 ELSE GREATEST(2, LEAST(3, 2 + ABS(num / den - 2))) END"
+        put(name, with_grids(g, areas + logs + f" SELECT x.row, x.col, {R(out)} FROM {g} x LEFT JOIN f USING (row, col)"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.grid import KEY, Grid
 from ..plans.registry import operator
 from ..plans.scratch import written
+from .nearness import squared_distances
 
 Z = {f"z{k + 1}": (k // 3 - 1, k % 3 - 1) for k in range(9)}
 
@@ -145,11 +146,6 @@ def square(size: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-h, h + 1) for b in range(-h, h + 1)]
 
 
-def disk(radius: float) -> list[tuple[int, int]]:
-    h = int(radius)
-    return [(a, b) for a, b in square(2 * h + 1) if a * a + b * b <= radius * radius]
-
-
 def _interior(grid: Grid) -> Column:
     return F.col("row").between(1, grid.rows - 2) & F.col("col").between(1, grid.cols - 2)
 
@@ -348,25 +344,24 @@ def lee_filter(grid: Grid, window_size, noise_variance):
 
 @operator("EXPAND", "gis", "input", radius=1)
 def expand(grid: Grid, radius):
-    hit = moving(grid.with_cells(grid.df.where("v <> 0")), disk(radius)).select(*KEY).distinct().withColumn("near", F.lit(1.0))
+    """Cells within the radius (in cells) of a non-zero one become 1; what is shuffled doesn't grow with the radius."""
+    hit = squared_distances(grid, grid.df.where("v <> 0"), radius, (1.0, 1.0)).select(*KEY, F.lit(1.0).alias("near"))
     return _painted(grid, hit, F.when(F.col("v") != 0, F.col("v")).otherwise(F.coalesce("near", F.lit(0.0))))
 
 
 @operator("CONTRACT", "gis", "input", radius=1)
 def contract(grid: Grid, radius):
     """Cells next to zero, to no data or to the edge become zero."""
-    empty = grid.every_cell().join(grid.df.where("v <> 0").select(*KEY), KEY, "left_anti").withColumn("v", F.lit(0.0))
-    hit = moving(grid.with_cells(empty), disk(radius)).select(*KEY).distinct().withColumn("near", F.lit(1.0))
+    empty = grid.every_cell().join(grid.df.where("v <> 0").select(*KEY), KEY, "left_anti")
+    hit = squared_distances(grid, empty, radius, (1.0, 1.0)).select(*KEY, F.lit(1.0).alias("near"))
     edge = (F.col("row") < radius) | (F.col("col") < radius) | (F.col("row") >= grid.rows - radius) | (F.col("col") >= grid.cols - radius)
     return _painted(grid, hit, F.when(F.col("near").isNotNull() | edge, 0.0).otherwise(F.col("v")))
 
 
 @operator("BUFFER", "gis", "input", buffer_distance=100.0)
 def buffer(grid: Grid, buffer_distance):
-    dx, dy = grid.cell
-    h, w = int(buffer_distance / dy), int(buffer_distance / dx)
-    near = [(a, b) for a in range(-h, h + 1) for b in range(-w, w + 1) if math.hypot(a * dy, b * dx) <= buffer_distance]
-    hit = moving(grid.with_cells(grid.df.where("v <> 0")), near).select(*KEY).distinct().withColumn("near", F.lit(1.0))
+    """1 within the distance of a non-zero cell, else 0."""
+    hit = squared_distances(grid, grid.df.where("v <> 0"), buffer_distance).select(*KEY, F.lit(1.0).alias("near"))
     return _painted(grid, hit, F.coalesce("near", F.lit(0.0)))
 
 

@@ -8,6 +8,7 @@ follows the number of tiles a path crosses, not its cells.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
 from ..plans.scratch import discard, written
 from .focal import class_runs, focal, moving, square
+from .nearness import squared_distances
 from .zonal import top_rank
 
 EIGHT = [o for o in square(3) if o != (0, 0)]
@@ -363,49 +365,101 @@ def multi_objective(objectives: list[Grid], areas):
     return objectives[0].with_cells(t.select(*KEY, F.coalesce(claim(), F.lit(0)).cast("double").alias("v")))
 
 
-def _total(items: Column, name: str) -> Column:
-    """The sum of a field over an array of structs. A lambda of its own: Spark counts default arguments as parameters."""
-    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x[name]).alias(name)
+def _gram(series: DataFrame, n: int) -> np.ndarray:
+    """The sum of v v' / |v|^2 over cells' series (row, col, a), n x n: a task's share by Arrow, the shares by Spark's sums. Series of no variance don't count."""
 
+    def run(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            v = _matrix(b.column("a"), n)
+            size = (v * v).sum(axis=1)
+            v, size = v[size >= FLAT], size[size >= FLAT]
+            total += (v / size[:, None]).T @ v
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), n), pa.int32()), pa.array(np.tile(np.arange(n), n), pa.int32()), pa.array(total.ravel())], ["i", "j", "g"])
 
-@operator("EOT", "etm", "series", num_modes=2, base_cells=256)
-def teleconnections(series: DataFrame, num_modes, base_cells):
-    """mode, row, col, explained: base cells whose series explain most variance of all; each mode is regressed out.
+    out = np.zeros((n, n))
+    for r in series.select("a").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toLocalIterator():
+        out[r["i"], r["j"]] = r["g"]
+    return out
 
-    The published form takes base cells from a sample; here they are about base_cells cells by hash, which is a
-    parameter of the result. Their series go to all cells as one broadcast array of base_cells * steps numbers.
-    Steps at which either series has no data don't count; a cell whose shared steps are all 0 in the base keeps its values.
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
+
+
+#: Sums of squares below this are no variance.
+FLAT = 1e-15
+
+
+@operator("EOT", "etm", "series", num_modes=5, output=("maps", "bases"))
+def teleconnections(series: DataFrame, num_modes, output):
+    """Empirical orthogonal teleconnections: base cells whose series explain most of all others, each regressed out before the next.
+
+    maps: mode, row, col, pattern (slope on the base's series), r2, of cells with data at all steps; others take no part.
+    bases: mode, row, col of the base, total_r2 (the sum of r2 over cells) and series (of the base, less its mean).
+
+    Every cell is a candidate: with G the sum of v v' / |v|^2 over cells, b'Gb / b'b is the sum of r2 that base b
+    explains, so one aggregation of steps x steps numbers and one projection score all cells against all. Equal
+    scores (to ten places): the first cell in row order. Modes end early when no variance is left.
     """
-    spark, modes = series.sparkSession, []
-    m = series.groupBy(*KEY).agg(F.avg("v").alias("m"))
-    state = written(series.join(m, KEY).select(*KEY, "t", (F.col("v") - F.col("m")).alias("v")))
-    cells = m.count()
-    for k in range(num_modes):
-        base = state.where(F.pmod(F.xxhash64("row", "col"), F.lit(max(1, cells // base_cells))) == 0).groupBy(F.col("row").alias("br"), F.col("col").alias("bc")).agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("v").alias("b")))).alias("line"))
-        own = state.groupBy(*KEY).agg(F.collect_list(F.struct("t", "v")).alias("own"))  # a cell's steps
-        shared = F.filter(F.transform("own", lambda x: F.struct((x["v"] * F.col("line")[x["t"]]).alias("vb"), F.pow(F.col("line")[x["t"]], F.lit(2)).alias("bb"))), lambda x: x["vb"].isNotNull())
-        both = own.crossJoin(F.broadcast(base)).select("br", "bc", _total(shared, "vb"), _total(shared, "bb"))
-        score = both.where("bb > 0").groupBy("br", "bc").agg(F.sum(F.col("vb") * F.col("vb") / F.col("bb")).alias("s"))
-        best = score.agg(F.max(F.struct("s", (-F.col("br")).alias("r"), (-F.col("bc")).alias("c"))).alias("m")).head().m
+    spark = series.sparkSession
+    steps = [r.t for r in series.select("t").distinct().orderBy("t").collect()]
+    n = len(steps)
+    if n < 3:
+        raise ValueError("at least 3 steps are needed")
+    lines = series.where("v is not null").groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("a")).where(F.size("a") == n)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
+    state = written(lines.withColumn("m", mean(F.col("a"))).select(*KEY, F.transform("a", lambda x: x - F.col("m")).alias("a")))
+    cells, maps, bases = state.count(), [], []
+    for mode in range(1, min(num_modes, n, cells) + 1):
+        gram = _gram(state, n)
+
+        def scored(batches, gram=gram):
+            for b in batches:
+                v = _matrix(b.column("a"), n)
+                size = (v * v).sum(axis=1)
+                score = np.where(size >= FLAT, np.einsum("ri,ij,rj->r", v, gram, v, optimize=True) / np.maximum(size, FLAT), -1.0)
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(np.round(score, 10))], ["row", "col", "s"])
+
+        best = state.mapInArrow(scored, "row int, col int, s double").where("s >= 0").agg(F.max(F.struct("s", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("m")).head().m
         if best is None:
             break
-        modes.append((k + 1, -best.r, -best.c, float(best.s)))
-        line = state.where((F.col("row") == -best.r) & (F.col("col") == -best.c)).select("t", F.col("v").alias("b"))
-        t = state.join(line, "t")
-        known = F.when(F.col("v").isNotNull(), F.col("b") * F.col("b"))
-        beta = t.groupBy(*KEY).agg(F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("b")), F.sum(known)), F.lit(0.0)).alias("k"))
-        state = written(t.join(beta, KEY).select(*KEY, "t", (F.col("v") - F.col("k") * F.col("b")).alias("v")))
-    return spark.createDataFrame(modes, "mode int, row int, col int, explained double")
+        base = np.array(state.where((F.col("row") == -best.r) & (F.col("col") == -best.c)).head()["a"])
+        bases.append((mode, -best.r, -best.c, float(best.s), base.tolist()))
+
+        def fitted(batches, base=base):
+            for b in batches:
+                v = _matrix(b.column("a"), n)
+                cross, own, size = v @ base, base @ base, (v * v).sum(axis=1)
+                slope, r2 = cross / own, np.where(size > FLAT, cross * cross / (own * np.maximum(size, FLAT)), 0.0)
+                rest = v - slope[:, None] * base
+                arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * n, pa.int32()), pa.array(rest.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(slope), pa.array(r2), arrays], ["row", "col", "pattern", "r2", "a"])
+
+        both = written(state.mapInArrow(fitted, "row int, col int, pattern double, r2 double, a array<double>"))
+        maps.append(written(both.select(F.lit(mode).alias("mode"), *KEY, "pattern", "r2")))
+        discard(state)
+        state = both
+    discard(state)
+    if output == "bases":
+        discard(*maps)
+        return spark.createDataFrame(bases, "mode int, row int, col int, total_r2 double, series array<double>")
+    return reduce(DataFrame.unionByName, maps, spark.createDataFrame([], "mode int, row int, col int, pattern double, r2 double"))
 
 
 @operator("GEOMOD", "gis", "time1 time2", quantity=100)
 def geomod(a: Grid, b: Grid, quantity):
-    """The `quantity` unchanged cells nearest to change take the most common class that changed cells went to (ties: the smallest)."""
-    changed = align([a, b]).where("cast(v0 as int) <> cast(v1 as int)").select(*KEY, F.lit(1.0).alias("v"), F.col("v1").cast("int").alias("to"))
-    top = changed.groupBy("to").count().agg(F.max(F.struct("count", (-F.col("to")).alias("m"))).alias("t")).select((-F.col("t.m")).cast("double").alias("to"))
-    d = cost_surface(changed.select(*KEY, F.lit(1.0).alias("source")), _unit(b, (1.0, -1.0)))
-    score = d.where("cost > 0 and cost < double('infinity')").join(b.valid().select(*KEY), KEY).select(*KEY, (1 / (F.col("cost") + 1)).alias("v"))
-    hit = top_rank(b.with_cells(score), "Number of cells", quantity, 5.0).df.where("v = 1").select(*KEY).crossJoin(F.broadcast(top))
+    """The `quantity` unchanged cells nearest to change (straight distance in cells; ties by cell number) take the most common class that changed cells went to (ties: the smallest).
+
+    Cells of time 2 without data at time 1 count as unchanged. Without any change it raises.
+    """
+    changed = align([a, b]).where("cast(v0 as int) <> cast(v1 as int)").select(*KEY, F.col("v1").cast("int").alias("to"))
+    top = changed.groupBy("to").count().agg(F.max(F.struct("count", (-F.col("to")).alias("m"))).alias("t")).head().t
+    if top is None:
+        raise ValueError("GEOMOD: no change between the two times")
+    near = squared_distances(b.with_cells(b.valid().join(changed, KEY, "left_anti")), changed, step=(1.0, 1.0))
+    score = near.select(*KEY, (-F.col("d")).alias("v"))
+    hit = top_rank(b.with_cells(score), "Number of cells", quantity, 5.0).df.where("v = 1").select(*KEY, F.lit(float(-top.m)).alias("to"))
     return b.with_cells(b.df.join(hit, KEY, "left").select(*KEY, F.coalesce("to", "v").alias("v")))
 
 

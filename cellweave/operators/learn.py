@@ -85,7 +85,7 @@ def by_batch(px: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]], s
     def run(batches):
         for b in batches:
             if b.num_rows:
-                out = fn(np.array(b.column("a").to_pylist(), float))
+                out = fn(b.column("a").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), *(pa.array(list(out[n])) for n in names)], ["row", "col", *names])
 
     return px.select(*KEY, "a").mapInArrow(run, f"row int, col int, {schema}")

@@ -114,14 +114,45 @@ def _sampled(grid: Grid, target: Grid, r, c, method: str) -> Grid:
     return target.with_cells(sums.select(*KEY, F.when(F.col("lost") == 0, F.col("s")).alias("v")))
 
 
-@operator("RESAMPLE", "gis", "input", cell_size=30.0, method=("nearest", "bilinear"))
+#: By method: places of the source cells that a target's value is made of, counted from the one at or before it.
+TAPS = {"nearest": (0, 0), "bilinear": (0, 1), "cubic": (-1, 2)}
+
+
+def _along(cells: DataFrame, axis: str, ratio: float, size: int, method: str) -> DataFrame:
+    """Cells resampled along one axis: each goes to the targets that it is a part of, and one aggregation sums them. A target lacks data if a part does."""
+    first, last = TAPS[method]
+    at = F.col("__t")
+    place = (at + 0.5) * ratio - 0.5 + (0.5 if method == "nearest" else 0.0)
+    base = F.floor(place)
+    f, j = place - base, F.col(axis) - base
+    if method == "nearest":
+        weight = F.lit(1.0)
+    elif method == "bilinear":
+        weight = F.when(j == 1, f).otherwise(1 - f)
+    else:  # Catmull-Rom
+        ends, inner = [((-0.5 * f + 1) * f - 0.5) * f, (0.5 * f - 0.5) * f * f], [(1.5 * f - 2.5) * f * f + 1, ((-1.5 * f + 2) * f + 0.5) * f]
+        weight = F.when(j == -1, ends[0]).when(j == 0, inner[0]).when(j == 1, inner[1]).otherwise(ends[1])
+    low, high = F.ceil((F.col(axis) - last - 0.5) / ratio - 0.5) - 1, F.floor((F.col(axis) - first + 1.5) / ratio - 0.5) + 1
+    low, high = F.greatest(F.lit(0), low).cast("int"), F.least(F.lit(size - 1), high).cast("int")
+    t = cells.where(low <= high).withColumn("__t", F.explode(F.sequence(low, high))).where((j >= first) & (j <= last))
+    other = KEY[1 - KEY.index(axis)]
+    sums = t.groupBy(other, "__t").agg(F.sum(weight * F.col("v")).alias("v"), F.count("*").alias("n"))
+    return sums.where(F.col("n") == last - first + 1).select(other, F.col("__t").alias(axis), "v")
+
+
+@operator("RESAMPLE", "gis", "input", cell_size=30.0, method=("nearest", "bilinear", "cubic"))
 def resample(grid: Grid, cell_size, method):
-    """A new cell size over the same extent. Places are upper-left corners."""
+    """A new cell size over the same extent, by cell centres: target k lies at (k + 0.5) * ratio - 0.5 of the source.
+
+    Nearest rounds that place, bilinear takes 2 x 2 cells, cubic (Catmull-Rom) 4 x 4, all of which must be there and have data: cells
+    too near to the edge have none. Only cells with data are returned. The two axes are resampled one after the other,
+    an aggregation each.
+    """
     dx, dy = grid.cell
     ox, oy, pw, ph, rx, ry = grid.transform
-    rows, cols = max(1, int(grid.rows * dy / cell_size)), max(1, int(grid.cols * dx / cell_size))
-    target = grid.with_cells(grid.df, rows=rows, cols=cols, transform=(ox, oy, math.copysign(cell_size, pw), math.copysign(cell_size, ph), rx, ry))
-    return _sampled(grid, target, F.col("row") * (cell_size / dy), F.col("col") * (cell_size / dx), method)
+    rows, cols = max(1, int(grid.rows * dy / cell_size + 0.5)), max(1, int(grid.cols * dx / cell_size + 0.5))
+    t = _along(_along(grid.valid().select(*KEY, "v"), "col", cell_size / dx, cols, method), "row", cell_size / dy, rows, method)
+    return grid.with_cells(t.select(*KEY, "v"), rows=rows, cols=cols, transform=(ox, oy, math.copysign(cell_size, pw), math.copysign(cell_size, ph), rx, ry))
 
 
 @operator("TRANSFORM", "gis", "input", rotation_degrees=0.0, scale_x=1.0, scale_y=1.0, translate_x=0.0, translate_y=0.0, method=("Nearest", "Bilinear"))

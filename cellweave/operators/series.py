@@ -132,12 +132,14 @@ def fourier_series(a: DataFrame, length, num_harmonics):
 
 @operator("STA", "etm", "arrays", length=24, period=12)
 def seasonal_trend(a: DataFrame, length, period):
-    """Trend, and amplitude and phase of the yearly and half-yearly terms, of a fixed six-term regression."""
+    """Slope, and mean amplitude and phase of the season, of a regression on 1, t, cos, sin, t cos and t sin of the period; null where a step is missing."""
+    if length < period:
+        raise ValueError(f"at least {period} steps are needed")
     t = np.arange(length)
     w = 2 * math.pi * t / period
-    inverse = np.linalg.pinv(np.column_stack([np.ones(length), t, np.sin(w), np.cos(w), np.sin(2 * w), np.cos(2 * w)]))
-    s, c = dot(F.col("a"), inverse[2]), dot(F.col("a"), inverse[3])
-    return a.select(*KEY, dot(F.col("a"), inverse[1]).alias("trend"), F.sqrt(s * s + c * c).alias("amplitude"), F.atan2(s, c).alias("phase"))
+    inverse = np.linalg.pinv(np.column_stack([np.ones(length), t, np.cos(w), np.sin(w), t * np.cos(w), t * np.sin(w)]))
+    c, s = dot(F.col("a"), inverse[2]), dot(F.col("a"), inverse[3])
+    return a.select(*KEY, dot(F.col("a"), inverse[1]).alias("trend"), F.sqrt(c * c + s * s).alias("amplitude"), F.atan2(s, c).alias("phase"))
 
 
 @operator("MODWT", "etm", "arrays", num_levels=3, wavelet_type=("haar", "db4"))
@@ -201,7 +203,7 @@ def _per_cell(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
                 for r, values in zip(rows, zip(*found)):
                     out[r] = values
             if out:
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), *(pa.array(list(x)) for x in zip(*out))], ["row", "col", *names])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), *(pa.array(list(x), pa.list_(pa.float64()) if k.endswith("array<double>") else pa.float64()) for x, k in zip(zip(*out), schema.split(", ")))], ["row", "col", *names])
 
     return df.select(*KEY, *columns).mapInArrow(run, f"row int, col int, {schema}")
 
@@ -236,23 +238,28 @@ def regression_on_time(y: DataFrame, xs: list[DataFrame]):
 
 @operator("HANTS", "etm", "arrays", num_harmonics=3, fit_error_tolerance=0.05)
 def hants(a: DataFrame, num_harmonics, fit_error_tolerance):
-    """Harmonic fit that drops values beyond the tolerance, at most ten times; smooth series, amplitudes and phases."""
+    """Harmonic fit that leaves out values farther from it than the tolerance times the series' range, at most ten times; smooth series, amplitudes and phases.
+
+    A cell that lacks a step has none of them. A cell's fit ends where fewer values than terms would stay, for then they wouldn't determine it.
+    """
 
     def fit(y):
         x, use = _harmonics(y.shape[1], num_harmonics), np.isfinite(y)
-        beta, open_ = np.zeros((len(y), x.shape[1])), np.arange(len(y))
+        limit = fit_error_tolerance * (y.max(axis=1) - y.min(axis=1))
+        beta, open_ = np.full((len(y), x.shape[1]), np.nan), np.flatnonzero(use.all(axis=1))
         for _ in range(10):
+            if not len(open_):
+                break
             # A value that is left out is a row of zeros.
             own = use[open_]
             beta[open_] = np.einsum("rkt,rt->rk", np.linalg.pinv(x[None] * own[:, :, None]), np.where(own, y[open_], 0.0))
-            bad = own & (np.abs(y[open_] - beta[open_] @ x.T) > fit_error_tolerance)
-            go = bad.any(axis=1) & (own.sum(axis=1) - bad.sum(axis=1) >= x.shape[1] + 1)
+            bad = own & (np.abs(y[open_] - beta[open_] @ x.T) > limit[open_, None])
+            go = bad.any(axis=1) & (own.sum(axis=1) - bad.sum(axis=1) >= x.shape[1])
             use[open_[go]] &= ~bad[go]
             open_ = open_[go]
-            if not len(open_):
-                break
         c, s = beta[:, 1::2], beta[:, 2::2]
-        return (beta @ x.T).tolist(), np.hypot(c, s).tolist(), np.arctan2(s, c).tolist()
+        known = ~np.isnan(beta[:, 0])
+        return tuple([v if k else None for v, k in zip(found.tolist(), known)] for found in (beta @ x.T, np.hypot(c, s), np.arctan2(s, c)))
 
     return _per_cell(a, ["a"], fit, "smooth array<double>, amplitudes array<double>, phases array<double>")
 

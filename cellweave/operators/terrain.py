@@ -57,43 +57,74 @@ def pathway(cost: Grid, backlink: Grid, row, col):
     return cost.with_cells(cost.df.withColumn("id", ids).join(hit, "id", "left").select(*KEY, F.coalesce("hit", F.lit(0.0)).alias("v")))
 
 
+def _edged(cells: DataFrame, rows: int, cols: int, reach: int) -> DataFrame:
+    """cells, with those of the grid's edge repeated for `reach` cells beyond it."""
+
+    def out(axis: str, size: int):
+        beyond = F.sequence(F.lit(1), F.lit(reach))
+        low = F.when(F.col(axis) == 0, F.transform(beyond, lambda k: -k)).otherwise(F.array().cast("array<int>"))
+        high = F.when(F.col(axis) == size - 1, F.transform(beyond, lambda k: k + (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.explode(F.concat(F.array(F.col(axis)), low, high))
+
+    return cells.withColumn("row", out("row", rows)).withColumn("col", out("col", cols))
+
+
 @operator("FRACTAL", "gis", "input", max_window=9)
 def fractal(grid: Grid, max_window):
-    """2 + |b - 2| within 2..3, b the slope of log surface area on log window size.
+    """2 + |b - 2| within 2..3, b the slope of log surface area on log window size (3, 5, .. up to max_window, the next odd one).
 
-    A quad's area is that of two triangles of sides (cell, cell, slanted edge) and depends on no other quad, so window
-    areas are sums of quads. Quads that the edge or missing data break are left out of a window, and so are windows without area.
+    A window's area is that of its quads, each of two triangles of sides (cell, cell, slanted edge). Beyond the edge the
+    edge's cells go on; where data is missing a quad's corner has the window's centre value. Windows without area add
+    nothing to the slope's sums, which are divided by the number of windows all the same.
     """
-    size = grid.cell[0]
-
-    def tri(dz: Column) -> Column:
-        return F.sqrt(size**2 + dz * dz) / 4 * F.sqrt(F.greatest(F.lit(0.0), 3 * size**2 - dz * dz))
-
-    quad = neighbours(grid, {"s": (1, 0), "e": (0, 1), "d": (1, 1)}).select(*KEY, (tri(F.col("s") - F.col("v")) + tri(F.col("d") - F.col("e"))).alias("v"))
-    sizes = range(3, max_window + 1, 2)
-    reach = max(sizes) // 2
+    size, top = grid.cell[0], max_window + 1 - max_window % 2
+    sizes = range(3, top + 1, 2)
+    if len(sizes) < 2:
+        raise ValueError("FRACTAL needs two window sizes")
+    reach = top // 2
     x = np.log([w * size for w in sizes])
-
-    def slopes(images: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        quads = np.nan_to_num(images["v"])
-        side, logs = len(quads) - 2 * reach, []
-        for w in sizes:
-            h, total = w // 2, np.zeros((side, side))
-            for a in range(reach - h, reach + h):  # the quads from -h to h - 1 of each cell
-                for b in range(reach - h, reach + h):
-                    total += quads[a : a + side, b : b + side]
-            logs.append(np.log(np.where(total > 0, total, np.nan)))
-        y = np.array(logs)
-        there = ~np.isnan(y)
-        n, xs = there.sum(axis=0), np.where(there, x[:, None, None], 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mx, my = xs.sum(axis=0) / n, np.nansum(y, axis=0) / n
-            dx = np.where(there, xs - mx, 0.0)
-            b = (dx * np.nan_to_num(y - my)).sum(axis=0) / (dx * dx).sum(axis=0)
-        return {"b": np.where(n > 1, b, np.nan)}
-
-    b = tiled(quad, reach, slopes, ["b"]).select(*KEY, "b")
-    return grid.with_cells(grid.df.join(b, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), F.greatest(F.lit(2.0), F.least(F.lit(3.0), F.coalesce(2 + F.abs(F.col("b") - 2), F.lit(2.0))))).alias("v")))
+    spread = len(x) * (x * x).sum() - x.sum() ** 2
+
+    def tri(dz):
+        return np.sqrt(size**2 + dz * dz) / 4 * np.sqrt(np.maximum(0.0, 3 * size**2 - dz * dz))
+
+    def quads(z):
+        return tri(z[..., 1:, :-1] - z[..., :-1, :-1]) + tri(z[..., 1:, 1:] - z[..., :-1, 1:])
+
+    def dimension(areas: list[np.ndarray]) -> np.ndarray:
+        some = [a > 0 for a in areas]
+        logs = [np.log(np.where(t, a, 1.0)) for t, a in zip(some, areas)]
+        sx, sy = sum(t * k for t, k in zip(some, x)), sum(logs)
+        sxy, sxx = sum(y * k for y, k in zip(logs, x)), sum(t * k * k for t, k in zip(some, x))
+        d = len(x) * sxx - sx * sx
+        slope = (len(x) * sxy - sx * sy) / np.where(np.abs(d) < 1e-15, 1.0, d)
+        return np.where(np.abs(d) < 1e-15, 2.0, np.clip(2 + np.abs(slope - 2), 2.0, 3.0))
+
+    def run(images: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        z = images["v"]
+        side, gaps = len(z) - 2 * reach, np.isnan(z)
+        flat = quads(np.where(gaps, 0.0, z))
+        areas = []
+        for w in sizes:  # quads from -h to h - 1 of each cell, added along one axis and then the other
+            at = range(reach - w // 2, reach + w // 2)
+            lines = sum(flat[k : k + side] for k in at)
+            areas.append(sum(lines[:, k : k + side] for k in at))
+        out = dimension(areas)
+        # Windows with gaps have other quads for each centre.
+        holes = np.pad(gaps.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        near = holes[top : top + side, top : top + side] - holes[:side, top : top + side] - holes[top : top + side, :side] + holes[:side, :side] > 0
+        rows, cols = np.nonzero(near & ~gaps[reach : reach + side, reach : reach + side])
+        view = np.lib.stride_tricks.sliding_window_view(z, (top, top))
+        for k in range(0, len(rows), 4096):
+            r, c = rows[k : k + 4096], cols[k : k + 4096]
+            own = view[r, c]
+            own = quads(np.where(np.isnan(own), own[:, reach : reach + 1, reach : reach + 1], own))
+            out[r, c] = dimension([own[:, reach - w // 2 : reach + w // 2, reach - w // 2 : reach + w // 2].sum(axis=(1, 2)) for w in sizes])
+        return {"b": out}
+
+    inside = F.col("row").between(0, grid.rows - 1) & F.col("col").between(0, grid.cols - 1)
+    b = tiled(_edged(grid.df.select(*KEY, "v"), grid.rows, grid.cols, reach), reach, run, ["b"]).where(inside)
+    return grid.with_cells(b.select(*KEY, F.when(F.col("v").isNotNull(), F.col("b")).alias("v")))
 
 
 def _upper_tail(z: np.ndarray) -> np.ndarray:

@@ -362,9 +362,10 @@ def climate_vulnerability(e: Grid, s: Grid, c: Grid, ac_weight):
 
 @operator("CRATIO", "gis", "input")
 def concentration(grid: Grid):
-    """Gini coefficient of the cells' values; ranks run over counts of equal values."""
-    r = running_count(grid.valid(), F.col("v")).agg(F.sum("n").alias("n"), F.sum(F.col("key") * F.col("n")).alias("s"), F.sum(F.col("key") * (F.col("before") * F.col("n") + F.col("n") * (F.col("n") + 1) / 2)).alias("rs"))
-    return r.select((2 * F.col("rs") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
+    """Gini coefficient of the cells' values; ranks run over counts of equal values. 0 if they sum to 0, null for fewer than two cells; negative values raise."""
+    r = running_count(grid.valid(), F.col("v")).agg(F.min("key").alias("least"), F.sum("n").alias("n"), F.sum(F.col("key") * F.col("n")).alias("s"), F.sum(F.col("key") * (F.col("before") * F.col("n") + F.col("n") * (F.col("n") + 1) / 2)).alias("rs"))
+    gini = F.when(F.col("s") > 0, 2 * F.col("rs") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).otherwise(0.0)
+    return r.select(F.when(F.col("least") < 0, F.raise_error(F.lit("CRATIO needs values of 0 or more"))).when(F.col("n") > 1, gini).alias("gini"))
 
 
 @operator("SENSITIVITY", "gis", "inputs", weights=(), variation_pct=10.0)
