@@ -70,7 +70,7 @@ def met(partial: DataFrame, groups: int, size: int) -> tuple[np.ndarray, np.ndar
     """Totals of all tasks by Spark's own sums: (number by group, sums by group); groups * size numbers reach the driver."""
     n, sums = np.zeros(groups, np.int64), np.zeros((groups, size), np.int64)
     parts = partial.select("group", "n", F.posexplode_outer("totals").alias("pos", "total"))
-    for r in parts.groupBy("group", "pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toLocalIterator():
+    for r in parts.groupBy("group", "pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
         n[r["group"]] = r["n"]
         if r["pos"] is not None:
             sums[r["group"], r["pos"]] = r["total"]
