@@ -378,7 +378,7 @@ def _gram(series: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), n), pa.int32()), pa.array(np.tile(np.arange(n), n), pa.int32()), pa.array(total.ravel())], ["i", "j", "g"])
 
     out = np.zeros((n, n))
-    for r in series.select("a").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toLocalIterator():
+    for r in series.select("a").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
         out[r["i"], r["j"]] = r["g"]
     return out
 

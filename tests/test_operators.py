@@ -257,35 +257,44 @@ def test_teleconnections(spark, rng, gaps):
     m[1:, :, 5] += 3
     m[3, 2] = 1.0  # no variance: it can't be a base
     if gaps:
-        m[rng.random(m.shape) < 0.1] = np.nan
-    rows = [(r, c, t, None if math.isnan(v) else float(v)) for (r, c, t), v in np.ndenumerate(m)]
-    got = create("EOT")(spark.createDataFrame(rows, "row int, col int, t int, v double"), num_modes=2).collect()
-    x, want = m - np.nanmean(m, axis=2, keepdims=True), []
+        m[1, 1, 4] = m[4, 0, 0] = np.nan  # cells that lack a step take no part
+    frame = spark.createDataFrame([(r, c, t, None if math.isnan(v) else float(v)) for (r, c, t), v in np.ndenumerate(m)], "row int, col int, t int, v double")
+    maps = {(g.mode, g.row, g.col): (g.pattern, g.r2) for g in create("EOT")(frame, num_modes=2).collect()}
+    bases = create("EOT")(frame, num_modes=2, output="bases").collect()
+    x = {p: m[p] - m[p].mean() for p in np.ndindex(5, 4) if not np.isnan(m[p]).any()}
     for k in range(2):
-        score = {}
-        for r, c in np.ndindex(5, 4):
-            both = ~np.isnan(x) & ~np.isnan(x[r, c])
-            b = np.where(both, x[r, c], 0.0)
-            vb, bb = (np.where(both, x, 0.0) * b).sum(axis=2), (b * b).sum(axis=2)
-            score[r, c] = (vb[bb > 0] ** 2 / bb[bb > 0]).sum()
-        r, c = max(score, key=lambda p: (score[p], -p[0], -p[1]))
-        want.append((k + 1, r, c, score[r, c]))
-        both = ~np.isnan(x) & ~np.isnan(x[r, c])
-        b = np.where(both, x[r, c], 0.0)
-        x = x - ((np.where(both, x, 0.0) * b).sum(axis=2) / (b * b).sum(axis=2))[:, :, None] * x[r, c]
-    assert [tuple(g)[:3] for g in got] == [w[:3] for w in want]
-    assert np.allclose([g.explained for g in got], [w[3] for w in want])
-
-
-@pytest.mark.parametrize("name", ["cca", "eot"])
-def test_query_without_sql_runs(spark, name):
-    got = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
-    if name == "eot":
-        assert got.count() == 2
-    else:
-        assert got.columns == ["row", "col", "u1", "u2", "v1", "v2"]
-        s = got.selectExpr("corr(u1, u2) ab", "corr(v1, v2) cd", "abs(corr(u1, v1)) one", "abs(corr(u2, v2)) two", "corr(u1, v2) x").head()
-        assert max(map(abs, (s.ab, s.cd, s.x))) < 1e-3 and s.one >= s.two - 1e-9
+        square = {p: v @ v for p, v in x.items()}
+        score = {p: sum((b @ v) ** 2 / (square[p] * square[q]) for q, v in x.items() if square[q] > 1e-15) for p, b in x.items() if square[p] > 1e-15}
+        top = max(score, key=lambda p: (round(score[p], 10), -p[0], -p[1]))
+        assert (bases[k].mode, bases[k].row, bases[k].col) == (k + 1, *top) and np.isclose(bases[k].total_r2, score[top]) and np.allclose(bases[k].series, x[top])
+        for p, v in x.items():
+            assert np.allclose(maps.pop((k + 1, *p)), (v @ x[top] / square[top], (v @ x[top]) ** 2 / (square[top] * square[p]) if square[p] > 1e-15 else 0.0))
+        x = {p: v - v @ x[top] / square[top] * x[top] for p, v in x.items()}
+    assert not maps
+
+
+def test_straight_distances(spark, rng):
+    """The transform against all pairs, on grids with gaps, for any reach."""
+    from cellweave.operators.nearness import lowest, squared_distances
+
+    at = np.sort(rng.choice(500, 60, replace=False)) * 1.5
+    height, places = rng.integers(0, 9000, 60).astype(float), np.arange(-20.0, 800.0, 3.0)
+    assert np.allclose(lowest(at, height, places), ((places[:, None] - at) ** 2 + height).min(axis=1))
+    cells = [(r, c) for r, c in np.ndindex(23, 31) if rng.random() < 0.9]
+    feature = {p for p in cells if rng.random() < 0.02}
+    grid = Grid(spark.createDataFrame([(r, c, float((r, c) in feature)) for r, c in cells], "row int, col int, v double"), 23, 31, (0.0, 0.0, 10.0, -25.0, 0.0, 0.0))
+    for reach in (math.inf, 60.0):
+        got = {(r.row, r.col): r.d for r in squared_distances(grid, grid.df.where("v > 0"), reach).collect()}
+        want = {(r, c): min(((r - a) * 25.0) ** 2 + ((c - b) * 10.0) ** 2 for a, b in feature) for r, c in cells}
+        assert got == {p: d for p, d in want.items() if d <= reach * reach}
+    assert squared_distances(grid, grid.df.limit(0)).count() == 0
+
+
+def test_query_without_sql_runs(spark):
+    got = catalogue.queries()["cca"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["row", "col", "u1", "u2", "v1", "v2"]
+    s = got.selectExpr("corr(u1, u2) ab", "corr(v1, v2) cd", "abs(corr(u1, v1)) one", "abs(corr(u2, v2)) two", "corr(u1, v2) x").head()
+    assert max(map(abs, (s.ab, s.cd, s.x))) < 1e-3 and s.one >= s.two - 1e-9
 
 
 def test_stream(spark, tmp_path):
