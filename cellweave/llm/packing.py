@@ -9,6 +9,7 @@ within a length, found in salted groups.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -88,10 +89,13 @@ def least_sequences(histogram: np.ndarray, capacity: int, weights: np.ndarray |
     return max(int(np.ceil(bound - 1e-9)), int(histogram[capacity // 2 + 1 :].sum()))
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing over counts: (contents, bins) entries that hold each item once. Bins of equal contents are one entry."""
+def best_fit(counts: np.ndarray, capacity: int, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over counts, into what room bins that are begun have, first: (contents, bins) entries that hold each item once. Bins of equal contents are one entry."""
     open_: dict[int, list[list]] = {}  # by room: entries of contents and bins
     rooms = np.zeros(capacity + 1, np.int64)  # bins by room
+    for contents, bins in begun:
+        open_.setdefault(capacity - sum(contents), []).append([contents, bins])
+        rooms[capacity - sum(contents)] += bins
     for length in np.flatnonzero(counts)[::-1].tolist():
         n = int(counts[length])
         while n:
@@ -120,19 +124,20 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
 def round_program(histogram: np.ndarray, mixture: dict[tuple[int, ...], float], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with whole numbers of copies that hold each item exactly once.
 
-    Whole copies of the mixture come first, the fullest of them, and best fit takes the rest; the share of the
-    mixture that is fixed before best fit is the one, of a few (half of it at least), that needs the fewest sequences.
+    Whole copies of the mixture come first, the fullest of them, and best fit takes the rest, into the room that these
+    leave and then into sequences of its own. Of a few shares of the mixture, of all configurations or only of those without
+    room, the plan with the fewest sequences is taken.
     """
     plans = []
-    for share in (1.0, 0.9, 0.5):
+    for share, all_ in itertools.product((1.0, 0.9, 0.5), (True, False)):
         left, plan = histogram.astype(np.int64).copy(), []
         for config, amount in sorted(mixture.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
             lengths, times = np.unique(config, return_counts=True)
             copies = min(int(amount * share), int((left[lengths] // times).min()))
-            if copies > 0 and sum(config) == capacity:
+            if copies > 0 and (all_ or sum(config) == capacity):
                 plan.append((config, copies))
                 left[lengths] -= copies * times
-        plans.append(plan + best_fit(left, capacity))
+        plans.append(best_fit(left, capacity, plan))
     return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 

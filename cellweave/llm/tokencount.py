@@ -6,11 +6,13 @@ came before: after white space, and where letters, digits and other signs change
 a contraction, and marks, which may join a letter). If an overlap holds no such place, it is widened; a stretch without
 any is encoded as one, in twice the length each time. Encodings of white-space parted words don't depend on their
 neighbours either, so counts of short documents (up to `chunk` characters, which most are) are sums over a memo of
-words.
+words. Both are proven for one pre-tokeniser, which drops white space and splits at it (WORDS); a file with another one, or a
+sentencepiece model, goes to its library text by text, whatever their length.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -27,15 +29,37 @@ _LOADED: dict = {}
 ODD = re.compile("[\x1c-\x1f]")
 
 
+#: The pre-tokeniser and the normaliser for which splices and sums over words are proven.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def parts_words(settings: dict) -> bool:
+    """Whether a tokenizers file drops white space, splits at it and at changes of kind, and looks at nothing beyond a split."""
+    before, after = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    steps = after.get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    plain = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in steps[1:])
+    return before.get("normalizers") == NORMAL and steps[0] == split and plain and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in settings.get("added_tokens", []))
+
+
 def load_tokenizer(path: str):
+    """(the library's tokenizer, a memo of words or None if it doesn't part words): tokenizers for .json, sentencepiece for .model; other kinds raise."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _LOADED:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _LOADED[path] = (tokenizer, Memo())
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            _LOADED[path] = (tokenizer, Memo() if parts_words(json.loads(tokenizer.to_str())) else None)
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            _LOADED[path] = (sentencepiece.SentencePieceProcessor(model_file=path), None)
+        else:
+            raise ValueError(f"{path} is neither a .json nor a .model file")
     return _LOADED[path]
 
 
@@ -96,7 +120,13 @@ def count_long(tokenizer, text: str, chunk: int, overlap: int) -> int:
 
 
 def count_texts(path: str, texts: list[str], chunk: int = 32768, overlap: int = 512) -> list[int]:
+    """The library's count of tokens of each text, without added ones."""
     tokenizer, memo = load_tokenizer(path)
+    if memo is None:
+        Memo.focus()
+        if path.endswith(".model"):
+            return [len(tokenizer.encode(t)) for t in texts]
+        return [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
     Memo.focus(memo)
     split = [t.split() if len(t) <= chunk and not ODD.search(t) else None for t in texts]
     new = memo.unseen(set().union(*(w for w in split if w)))

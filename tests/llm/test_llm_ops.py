@@ -151,6 +151,23 @@ def test_packing_program():
         assert sum(n for _, n in plan) <= -(-int((h * np.arange(1025)).sum()) // 1024) * 1.01 + 2
 
 
+@pytest.mark.parametrize("items,most", [({400: 1000, 310: 1000}, 752), ({340: 1000, 500: 1000, 515: 1000}, 1336), ({700: 300, 260: 500, 90: 40, 333: 777}, 640)])
+def test_packing_without_exact_fillings(items, most):
+    """No configuration fills a sequence, and the plan is still the program's."""
+    import numpy as np
+
+    h = np.zeros(1025, np.int64)
+    h[list(items)] = list(items.values())
+    mixture = packing.configuration_program(h, 1024)
+    plan = packing.round_program(h, mixture, 1024)
+    used = np.zeros(1025, np.int64)
+    for config, n in plan:
+        np.add.at(used, list(config), n)
+        assert sum(config) <= 1024 and n > 0
+    total = sum(n for _, n in plan)
+    assert (used == h).all() and packing.least_sequences(h, 1024) <= total <= min(most, sum(mixture.values()) + len(mixture))
+
+
 def test_language(docs, spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op4_language(spark, "/root/testdata/sf0.01").join(big.select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -245,6 +245,21 @@ def test_texts_without_blanks_are_counted(spark):
             assert tokencount.count_long(lib, text, chunk, overlap) == want, alphabet
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_every_vocabulary(name):
+    """Sums over words and splices only where the file's pre-tokeniser allows them."""
+    path, rng = public_tokenizers.path(name), random.Random(8)
+    library = tokencount.load_tokenizer(path)[0]
+    texts = ["hello world foo  bar", "a\n\nb  c\tdef ghi", "", " ", "\u3000x\x1cy", "<|endoftext|> a <|endoftext|>", " lead and trail \n", "Don't I'LL we're", "é" * 300, "1 2  3   4"]
+    texts += ["".join(rng.choice("ab é1'.,\n\t  日") for _ in range(n)) for n in (50, 900, 5000)]
+    want = [len(library.encode(t) if name.endswith(".model") else library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk, overlap in ((32768, 512), (300, 16)):
+        assert tokencount.count_texts(path, texts, chunk, overlap) == want
+    assert (tokencount.load_tokenizer(path)[1] is not None) == (name == "word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        tokencount.load_tokenizer("a.tiktoken")
+
+
 def test_packing_bound():
     rng = np.random.default_rng(4)
     for top in (1024, 500, 90):
