@@ -1,15 +1,20 @@
-"""Exact distances to features: a Euclidean distance transform, rows first and then columns.
+"""Exact nearness: a Euclidean distance transform of cells, and the k nearest points of cells by an adaptive partition.
 
-What is shuffled is the rows' distances once, whatever the reach; a group is one row or one column of the grid.
+The transform goes along rows first and then columns: what is shuffled is the rows' distances once, whatever the reach, and a
+group is one row or one column of the grid. Points are dealt to leaves of a quadtree, of a bounded number each, however
+they cluster; blocks of cells meet only leaves that may hold one of the k nearest.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.grid import KEY, Grid
+from ..plans.scratch import written
 
 
 def lowest(at: np.ndarray, height: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -63,3 +68,123 @@ def squared_distances(grid: Grid, features: DataFrame, reach: float = float("inf
     rows = features.select(*KEY).groupBy("row").applyInArrow(along, "row int, col int, g double")
     cells = grid.df.selectExpr("row", "col", "cast(null as double) as g")
     return rows.unionByName(cells).groupBy("col").applyInArrow(down, "row int, col int, d double").where("d < double('infinity')")
+
+
+#: The quadtree: levels go down by three at a time, to cells of a 2^24th of the points' extent.
+STEP, DEPTH = 3, 24
+
+
+def _leaves(points: DataFrame, n: int, bound: int) -> list[tuple[int, int, int, int]]:
+    """(level, bx, by, points) of the leaves over points (fx, fy: 0 to 2^DEPTH): at most `bound` points each, but for leaves of the last level.
+
+    In a round only points of nodes with more than `bound` points are counted again, and there are n / bound of these at most, so
+    what is broadcast and what comes back follows n / bound.
+    """
+    spark, out, full = points.sparkSession, [], None
+    for level in range(0, DEPTH + 1, STEP):
+        at = lambda lv: [F.shiftright("fx", DEPTH - lv).alias("bx"), F.shiftright("fy", DEPTH - lv).alias("by")]  # noqa: B023,E731
+        t = points.select("fx", "fy")
+        if full is not None:
+            over = spark.createDataFrame(full, "bx long, by long")
+            t = t.select("fx", "fy", *at(level - STEP)).join(F.broadcast(over), ["bx", "by"], "left_semi")
+        nodes = t.groupBy(*at(level)).count().collect()
+        out += [(level, r.bx, r.by, r["count"]) for r in nodes if r["count"] <= bound or level == DEPTH]
+        full = [(r.bx, r.by) for r in nodes if r["count"] > bound]
+        if not full:
+            break
+    return out
+
+
+def _gaps(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Along one axis: least and largest distances of points in low..high to places in a..b."""
+    return np.maximum(0.0, np.maximum(low - b, a - high)), np.maximum(np.abs(high - a), np.abs(b - low))
+
+
+def _candidates(box: tuple[float, float, float, float], boxes: np.ndarray, counts: np.ndarray, k: int, radius: float) -> np.ndarray:
+    """Leaves that may hold one of the k nearest points of a place in box: those nearer at least than k points are at most."""
+    (x0, x1), (y0, y1) = _gaps(boxes[0], boxes[1], box[0], box[1]), _gaps(boxes[2], boxes[3], box[2], box[3])
+    near, far = np.hypot(x0, y0), np.hypot(x1, y1)
+    order = np.argsort(far)
+    held = np.cumsum(counts[order])
+    reach = far[order[min(np.searchsorted(held, k), len(order) - 1)]] if held[-1] >= k else np.inf
+    return np.flatnonzero(near <= min(reach, radius or np.inf) * (1 + 1e-9))
+
+
+def _best(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, point, distance) of each place's k nearest points; of equally near ones the first."""
+    out = []
+    step = max(1, (2 << 20) // max(1, len(px)))
+    for at in range(0, len(x), step):
+        d = np.sqrt((x[at : at + step, None] - px) ** 2 + (y[at : at + step, None] - py) ** 2)
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if len(px) > k else np.full(len(d), np.inf)
+        if radius:
+            limit = np.minimum(limit, radius)
+        place, point = np.nonzero(d <= limit[:, None])
+        far = d[place, point]
+        order = np.lexsort((point, far, place))
+        place, point, far = place[order], point[order], far[order]
+        nth = np.arange(len(place)) - np.searchsorted(place, place)
+        out.append((place[nth < k] + at, point[nth < k], far[nth < k]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def nearest_points(grid: Grid, points: DataFrame, k: int, radius: float = 0.0, bound: int = 2048, block: int = 32) -> DataFrame:
+    """row, col, d, id, value: the k nearest of points (id, x, y, value) to each of the grid's cells, of those within a radius if given; ties go to the least id.
+
+    Of points in one place the k least ids stay (found by a limited rank, partial before the shuffle). The others make
+    quadtree leaves of at most `bound` points, or a 16,384th of all if that is more, so that there are some ten thousand
+    leaves at most, and these are broadcast. A block of cells is split until the leaves that may matter to it hold four
+    times `bound` points at most, or it is one cell; then it meets these leaves' points, one task a block. Points without a place or id are left out.
+    """
+    kept = points.where("x is not null and y is not null and id is not null and not isnan(x) and not isnan(y)").select("id", "x", "y", "value")
+    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    kept = written(kept.withColumn("__n", rank).where(F.col("__n") <= k).drop("__n"))
+    lim = kept.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
+    kind = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("d", T.DoubleType()), kept.schema["id"], kept.schema["value"]])
+    if not lim.n:
+        return grid.df.sparkSession.createDataFrame([], kind)
+    bound, size = max(bound, lim.n >> 14), max(lim.x1 - lim.x0, lim.y1 - lim.y0) or 1.0
+    unit = size / (1 << DEPTH)
+    whole = lambda c, low: F.least(F.lit((1 << DEPTH) - 1), F.floor((F.col(c) - low) / unit)).cast("long")
+    placed = kept.withColumns({"fx": whole("x", lim.x0), "fy": whole("y", lim.y0)})
+    leaves = np.array(_leaves(placed, lim.n, bound), np.int64)
+    side = size / (1 << leaves[:, 0]).astype(float)
+    slack = size * 1e-12
+    boxes = np.stack([lim.x0 + leaves[:, 1] * side - slack, lim.x0 + (leaves[:, 1] + 1) * side + slack, lim.y0 + leaves[:, 2] * side - slack, lim.y0 + (leaves[:, 2] + 1) * side + slack])
+    spark = grid.df.sparkSession
+    table = spark.createDataFrame([(*map(int, r[:3]), n) for n, r in enumerate(leaves)], "level int, bx long, by long, leaf int")
+    levels = F.explode(F.array(*(F.lit(int(v)) for v in np.unique(leaves[:, 0]))))
+    own = placed.withColumn("level", levels).withColumns({c: F.expr(f"shiftright(f{c[1]}, {DEPTH} - level)") for c in ("bx", "by")})
+    own = own.join(F.broadcast(table), ["level", "bx", "by"]).select("leaf", "id", "x", "y", "value")
+    (ox, oy, pw, ph, rx, ry), model = grid.transform, spark.sparkContext.broadcast((boxes, leaves[:, 3]))
+
+    def place(row, col):
+        return ox + col * pw + row * rx, oy + col * ry + row * ph
+
+    def split(batches):
+        boxes, counts = model.value
+        for batch in batches:
+            out = []
+            todo = [(r, c, block, np.arange(len(counts))) for r, c in zip(batch.column("br").to_pylist(), batch.column("bc").to_pylist())]
+            while todo:
+                r, c, n, some = todo.pop()
+                x, y = place(np.array([r, r, r + n - 1, r + n - 1]), np.array([c, c + n - 1, c, c + n - 1]))
+                some = some[_candidates((x.min(), x.max(), y.min(), y.max()), boxes[:, some], counts[some], k, radius)]
+                if n > 1 and counts[some].sum() > 4 * bound:
+                    todo += [(r + a, c + b, n // 2, some) for a in (0, n // 2) for b in (0, n // 2)]
+                else:
+                    out += [(r, c, n, int(i)) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()) for v in (zip(*out) if out else ([],) * 4)], ["r", "c", "n", "leaf"])
+
+    def match(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        r, c, n = (t.column(v)[0].as_py() for v in "rcn")
+        rows, cols = (v.ravel() for v in np.mgrid[r : r + n, c : c + n])
+        x, y = place(rows, cols)
+        cell, point, d = _best(x.astype(float), y.astype(float), t.column("x").to_numpy(), t.column("y").to_numpy(), k, radius)
+        return pa.table([pa.array(rows[cell], pa.int32()), pa.array(cols[cell], pa.int32()), pa.array(d), t.column("id").take(pa.array(point)), t.column("value").take(pa.array(point))], kind.names)
+
+    blocks = grid.df.select((F.floor(F.col("row") / block) * block).cast("int").alias("br"), (F.floor(F.col("col") / block) * block).cast("int").alias("bc")).distinct()
+    pairs = blocks.mapInArrow(split, "r int, c int, n int, leaf int")
+    found = pairs.join(own, "leaf").groupBy("r", "c", "n").applyInArrow(match, kind)
+    return found.join(grid.df.select(*KEY), KEY, "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.grid import KEY, Grid
 from ..plans.registry import operator
 from ..plans.scratch import written
+from .nearness import nearest_points
 
 
 @operator("FLIP", "gis", "input", direction=("horizontal", "vertical", "both"))
@@ -255,53 +256,16 @@ def profile(grid: Grid, start_x, start_y, end_x, end_y):
     return query_points(grid, points).select("id", (F.col("id") * step).alias("distance"), "value", "status")
 
 
-def _nearest(grid: Grid, points: DataFrame, k: int, radius: float = 0.0) -> DataFrame:
-    """row, col, d, id, value: the k nearest points of each cell (ties: the least id), of those within a radius if given.
-
-    Cells and points are dealt to square bins of about k points. A cell looks at the bins around its own; once its kth
-    point is nearer than the ring's edge it is done, and the others go on with rings twice as wide. No cell meets all
-    points, unless there are few.
-    """
-    lim = points.where("x is not null and y is not null").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
-    empty = grid.df.limit(0).select(*KEY).join(points.limit(0).select(F.lit(0.0).alias("d"), "id", "value"))
-    if not lim["n"]:
-        return empty
-    wide = max(lim.x1 - lim.x0, lim.y1 - lim.y0)
-    size = radius or max(math.sqrt(max((lim.x1 - lim.x0) * (lim.y1 - lim.y0), 1e-12) * k / lim["n"]), wide / 4096) or 1.0
-    at = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), "value", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
-    cells = grid.df.select(*KEY, grid.x().alias("x"), grid.y().alias("y")).withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-    x, y = grid.transform[0], grid.transform[1]
-    far = [abs(v) for v in (lim.x0 - x, lim.x1 - x, lim.y0 - y, lim.y1 - y)] + [grid.cols * grid.cell[0], grid.rows * grid.cell[1]]
-    out, reach = None, 1
-    while True:
-        ring = F.sequence(F.lit(-reach), F.lit(reach))
-        bins = cells.select("cx", "cy").distinct().withColumn("i", F.explode(ring)).withColumn("j", F.explode(ring))
-        near = bins.select("cx", "cy", (F.col("cx") + F.col("i")).alias("bx"), (F.col("cy") + F.col("j")).alias("by")).join(at, ["bx", "by"])
-        t = cells.join(near, ["cx", "cy"]).withColumn("d", F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)))
-        t = t.where(F.col("d") <= radius) if radius else t
-        best = t.groupBy(*KEY).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "value"))), 1, k).alias("n"))
-        all_seen = radius > 0 or reach * size > 2 * sum(far)
-        done = written(best if all_seen else best.where((F.size("n") == k) & (F.col("n")[k - 1]["d"] <= reach * size)))
-        out = done if out is None else out.unionByName(done)
-        if all_seen:
-            break
-        cells = written(cells.join(done.select(*KEY), KEY, "left_anti"))
-        if not cells.head(1):
-            break
-        reach *= 2
-    return out.select(*KEY, F.inline("n"))
-
-
 @operator("THIESSEN", "gis", "points reference")
 def thiessen(points: DataFrame, grid: Grid):
     """The nearest point's id; ties go to the least id."""
-    return grid.with_cells(_nearest(grid, points, 1).select(*KEY, F.col("id").cast("double").alias("v")))
+    return grid.with_cells(nearest_points(grid, points, 1).select(*KEY, F.col("id").cast("double").alias("v")))
 
 
 @operator("INTERPOL", "gis", "points reference", power=2.0, search_radius=0.0, num_neighbors=12)
 def inverse_distance(points: DataFrame, grid: Grid, power, search_radius, num_neighbors):
     """Inverse distance weights of the nearest points; at a point, its value."""
-    n = _nearest(grid, points, num_neighbors, search_radius)
+    n = nearest_points(grid, points, num_neighbors, search_radius)
     w = 1 / F.pow("d", F.lit(power))
     s = n.groupBy(*KEY).agg(F.max(F.when(F.col("d") < 1e-10, F.col("value"))).alias("hit"), (F.sum(F.when(F.col("d") >= 1e-10, w * F.col("value"))) / F.sum(F.when(F.col("d") >= 1e-10, w))).alias("m"))
     return grid.with_cells(grid.df.select(*KEY).join(s, KEY, "left").select(*KEY, F.coalesce("hit", "m").alias("v")))

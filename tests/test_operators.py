@@ -10,6 +10,7 @@ import pytest
 from cellweave.functions import catalogue
 from cellweave.functions.database import Database
 from cellweave.operators import iterate, learn, regrid, zonal
+from cellweave.operators.nearness import lowest, nearest_points, squared_distances
 from cellweave.plans import registry
 from cellweave.plans.grid import Grid
 from cellweave.plans.pipeline import Pipeline
@@ -212,7 +213,7 @@ def test_regrid(spark, rng):
     means = m.reshape(4, 2, 4, 2).mean(axis=(1, 3))
     assert np.allclose(to_array(d, (8, 8)).reshape(4, 2, 4, 2).sum(axis=(1, 3)), means)
     pts = [(k, float(x), float(y), float(k)) for k, (x, y) in enumerate(rng.random((60, 2)) * 400 - 200)]
-    near = regrid._nearest(to_grid(spark, m), spark.createDataFrame(pts, "id long, x double, y double, value double"), 3).collect()
+    near = nearest_points(to_grid(spark, m), spark.createDataFrame(pts, "id long, x double, y double, value double"), 3).collect()
     for r in range(8):
         for c in range(8):
             want = sorted((math.hypot(x - c, y + r), k) for k, x, y, _ in pts)[:3]
@@ -273,10 +274,26 @@ def test_teleconnections(spark, rng, gaps):
     assert not maps
 
 
+@pytest.mark.parametrize("k,radius", [(1, 0.0), (3, 0.0), (4, 55.0)])
+def test_nearest_of_clusters(spark, rng, k, radius):
+    """Clusters in a corner, in one place and far off, in leaves of few points and blocks that are split."""
+    pts = [(n, *(3.0 + 2 * rng.random(2))) for n in range(150)] + [(200 + n, 101.0, 77.0) for n in range(80)] + [(300 + n, *(rng.random(2) * 400)) for n in range(60)] + [(400, 9e5, 9e5), (401, None, 1.0), (402, math.nan, 1.0)]
+    frame = spark.createDataFrame([(int(i), x if x is None else float(x), y if y is None else float(y), float(i) / 7) for i, x, y in pts], "id long, x double, y double, value double")
+    grid = Grid(spark.createDataFrame([(r, c, 1.0) for r, c in np.ndindex(20, 24) if (r + c) % 7], "row int, col int, v double"), 20, 24, (0.0, 300.0, 15.0, -15.0, 0.0, 0.0))
+    got = {}
+    for r in nearest_points(grid, frame, k, radius, bound=16, block=8).collect():
+        got.setdefault((r.row, r.col), []).append((r.d, r.id, r.value))
+    place = [(i, x, y) for i, x, y in pts if x is not None and not math.isnan(x)]
+    for r, c in np.ndindex(20, 24):
+        want = sorted((math.sqrt((c * 15.0 - x) ** 2 + (300 - r * 15.0 - y) ** 2), i) for i, x, y in place)[:k]
+        want = [(d, i) for d, i in want if not radius or d <= radius] if (r + c) % 7 else []
+        own = sorted(got.get((r, c), []))
+        assert [i for _, i, _ in own] == [i for _, i in want] and np.allclose([d for d, *_ in own], [d for d, _ in want])
+        assert all(v == i / 7 for _, i, v in own)
+
+
 def test_straight_distances(spark, rng):
     """The transform against all pairs, on grids with gaps, for any reach."""
-    from cellweave.operators.nearness import lowest, squared_distances
-
     at = np.sort(rng.choice(500, 60, replace=False)) * 1.5
     height, places = rng.integers(0, 9000, 60).astype(float), np.arange(-20.0, 800.0, 3.0)
     assert np.allclose(lowest(at, height, places), ((places[:, None] - at) ** 2 + height).min(axis=1))
