@@ -136,7 +136,7 @@ def nearest_points(grid: Grid, points: DataFrame, k: int, radius: float = 0.0, b
     leaves at most, and these are broadcast. A block of cells is split until the leaves that may matter to it hold four
     times `bound` points at most, or it is one cell; then it meets these leaves' points, one task a block. Points without a place or id are left out.
     """
-    kept = points.where("x is not null and y is not null and id is not null and not isnan(x) and not isnan(y)").select("id", "x", "y", "value")
+    kept = points.where("x is not null and y is not null and id is not null and not isnan(x) and not isnan(y)").selectExpr("id", "cast(x as double) as x", "cast(y as double) as y", "value")
     rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
     kept = written(kept.withColumn("__n", rank).where(F.col("__n") <= k).drop("__n"))
     lim = kept.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
