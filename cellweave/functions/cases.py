@@ -486,7 +486,11 @@ def _learn() -> None:
     case("transition_kernel", "TRANSITION_POTENTIAL", "spq", None, lambda f, own: f([own[0]], own[1:]), method="Kernel similarity")
     # A phase of minus pi is that of pi.
     case("fourier", "FOURIER", "a", None, lambda f, own: f(own[0]).withColumn("phase", F.when(F.col("phase") < -3.14159, math.pi).otherwise(F.col("phase"))))
-    case("filtfq", "FILTFQ", "a", None)
+    case("fourier_inverse", "FOURIER", "a", f" SELECT row, col, ROUND(v, 5) + 0.0 AS v FROM a", lambda f, own: f(f(own[0], direction="forward")).where(f"row < {SIZE} and col < {SIZE}").select(*KEY, (F.round("v", 5) + F.lit(0.0)).alias("v")), direction="inverse")
+    case("fourier_long_lines", "FOURIER", "a", None, lambda f, own: f(own[0]).withColumn("phase", F.when(F.col("phase") < -3.14159, math.pi).otherwise(F.col("phase"))), line_bound=16)
+    case("filtfq", "FILTFQ", "b", None)
+    case("filtfq_high", "FILTFQ", "b", None, filter_type="High-pass", cutoff_frequency=10.0, order=1)
+    case("filtfq_band", "FILTFQ", "b", None, filter_type="Band-pass", cutoff_frequency=12.0, bandwidth=6.0)
     case("filtfreq", "FILTFREQ", "a", f" SELECT row, col, {R(f'v / (1 + POWER(SQRT(POWER(row - {SIZE / 2}, 2) + POWER(col - {SIZE / 2}, 2)) / 10, 4))')} FROM a", cutoff_frequency=10.0)
     case("drawfilt", "DRAWFILT", "a", f" SELECT row, col, CAST(CASE WHEN SQRT(POWER(col / {SIZE} - 0.5, 2) + POWER(row / {SIZE} - 0.5, 2)) <= 0.25 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range({SIZE}) t(r), range({SIZE}) u(c))")
     case("freqdist", "FREQDIST", "ab", f" SELECT {R('SQRT(AVG(POWER(a.v - b.v, 2)))', 'rms')}, {R('CORR(a.v, b.v)', 'correlation')} FROM a JOIN b USING (row, col) WHERE b.v IS NOT NULL")

@@ -216,8 +216,15 @@ def _spectra() -> None:
     put("screen", with_grids("apq", PX + f", s AS ({rows}) SELECT CAST(band AS INT) AS band, {R('snr', 'snr')}, {R('c', 'correlation')}, ABS(snr) >= 10 AND c >= 0.5 AS ok FROM s"))
     wide = 1 << (SIZE - 1).bit_length()
     turn = lambda k, n: f"2 * PI() * {k} * {n} / {wide}"
-    dft = f", k AS (SELECT CAST(i AS INT) AS k FROM range({wide}) r(i)), x AS (SELECT row, k, SUM(v * COS({turn('k', 'col')})) AS re, SUM(v * SIN({turn('k', 'col')})) AS im FROM a CROSS JOIN k GROUP BY 1, 2), y AS (SELECT j.k AS row, x.k AS col, SUM(re * COS({turn('j.k', 'row')}) - im * SIN({turn('j.k', 'row')})) AS re, SUM(re * SIN({turn('j.k', 'row')}) + im * COS({turn('j.k', 'row')})) AS im FROM x CROSS JOIN k j GROUP BY 1, 2)"
-    put("fourier", with_grids("a", dft + f" SELECT row, col, {R('SQRT(re * re + im * im)', 'magnitude')}, {R('CASE WHEN ATAN2(im, re) < -3.14159 THEN PI() ELSE ATAN2(im, re) END', 'phase')} FROM y"))
+    dft = lambda g: f", k AS (SELECT CAST(i AS INT) AS k FROM range({wide}) r(i)), x AS (SELECT row, k, SUM(v * COS({turn('k', 'col')})) AS re, SUM(v * SIN({turn('k', 'col')})) AS im FROM {g} CROSS JOIN k GROUP BY 1, 2), y AS (SELECT j.k AS row, x.k AS col, SUM(re * COS({turn('j.k', 'row')}) - im * SIN({turn('j.k', 'row')})) AS re, SUM(re * SIN({turn('j.k', 'row')}) + im * COS({turn('j.k', 'row')})) AS im FROM x CROSS JOIN k j GROUP BY 1, 2)"
+    polar = f" SELECT row, col, {R('SQRT(re * re + im * im)', 'magnitude')}, {R('CASE WHEN ATAN2(im, re) < -3.14159 THEN PI() ELSE ATAN2(im, re) END', 'phase')} FROM y"
+    put("fourier", with_grids("a", dft("a") + polar))
+    put("fourier_long_lines", with_grids("a", dft("a") + polar))
+    far = f"SQRT(POWER(LEAST(row, {wide} - row), 2) + POWER(LEAST(col, {wide} - col), 2))"
+    shares = {"filtfq": "1 / (1 + POWER(d / 30, 4))", "filtfq_high": "1 - 1 / (1 + POWER(d / 10, 2))", "filtfq_band": "1 - 1 / (1 + POWER(d * 6 / CASE WHEN d * d = 144 THEN 1e-9 ELSE d * d - 144 END, 4))"}
+    back = f", p AS (SELECT row, j.k AS col, SUM(re * COS({turn('j.k', 'h.col')}) + im * SIN({turn('j.k', 'h.col')})) / {wide} AS re, SUM(im * COS({turn('j.k', 'h.col')}) - re * SIN({turn('j.k', 'h.col')})) / {wide} AS im FROM h CROSS JOIN k j GROUP BY 1, 2), z AS (SELECT j.k AS row, col, SUM(re * COS({turn('j.k', 'p.row')}) + im * SIN({turn('j.k', 'p.row')})) / {wide} AS v FROM p CROSS JOIN k j GROUP BY 1, 2) SELECT b.row, b.col, {R('z.v')} FROM b JOIN z USING (row, col) WHERE b.v IS NOT NULL"
+    for name, share in shares.items():
+        put(name, with_grids("b", dft("b") + f", h AS (SELECT row, col, re * s AS re, im * s AS im FROM (SELECT *, {share} AS s FROM (SELECT *, {far} AS d FROM y)))" + back))
 
 
 def _inverse(a: str, b: str, c: str, d: str, e: str, f: str) -> dict[str, str]:

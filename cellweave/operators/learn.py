@@ -871,57 +871,7 @@ def pairwise_weights(matrix):
     return {"weights": (w / w.sum()).tolist(), "lambda_max": top, "ci": ci, "cr": ci / base if base > 0 else 0.0}
 
 
-# Frequency domain: one image is one matrix; a batch of images would be one group each.
-
-
-def _image(grid: Grid, fn: Callable[[np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    rows, cols = grid.rows, grid.cols
-
-    def run(table: pa.Table) -> pa.Table:
-        m = np.zeros((rows, cols))
-        m[table.column("row").to_numpy(), table.column("col").to_numpy()] = np.nan_to_num(table.column("v").to_numpy(zero_copy_only=False).astype(float))
-        out = fn(m)
-        r, c = np.indices(next(iter(out.values())).shape)
-        return pa.table({"row": pa.array(r.ravel(), pa.int32()), "col": pa.array(c.ravel(), pa.int32())} | {k: out[k].ravel() for k in names})
-
-    return grid.df.select(F.lit(0).alias("image"), *(F.col(k).cast("int") for k in KEY), "v").groupBy("image").applyInArrow(lambda t: run(t.drop_columns(["image"])), "row int, col int, " + ", ".join(f"{k} double" for k in names))
-
-
-def _padded(m: np.ndarray) -> np.ndarray:
-    out = np.zeros([1 << max(0, n - 1).bit_length() for n in m.shape])
-    out[: m.shape[0], : m.shape[1]] = m
-    return out
-
-
-@operator("FOURIER", "imgproc", "input")
-def fourier(grid: Grid):
-    """magnitude and phase of the two-dimensional transform, padded to powers of two. A transform needs the whole image in one task."""
-
-    def run(m):
-        f = np.conj(np.fft.fft2(_padded(m)))
-        return {"magnitude": np.abs(f), "phase": np.angle(f)}
-
-    return _image(grid, run, ["magnitude", "phase"])
-
-
-def butterworth(kind: str, shape, cutoff: float, width_: float, order: int) -> np.ndarray:
-    r, c = (np.minimum(np.arange(n), n - np.arange(n)) for n in shape)
-    d = np.hypot(r[:, None], c[None])
-    if kind.startswith("Low"):
-        return 1 / (1 + (d / cutoff) ** (2 * order))
-    if kind.startswith("High"):
-        return 1 - 1 / (1 + (d / cutoff) ** (2 * order))
-    reject = 1 / (1 + (d * width_ / np.where(d * d == cutoff**2, 1e-9, d * d - cutoff**2)) ** (2 * order))
-    return reject if kind == "Band-reject" else 1 - reject
-
-
-@operator("FILTFQ", "imgproc", "input", filter_type=("Low-pass", "High-pass", "Band-pass", "Band-reject"), cutoff_frequency=30.0, bandwidth=15.0, order=2)
-def frequency_filter(grid: Grid, filter_type, cutoff_frequency, bandwidth, order):
-    def run(m):
-        p = _padded(m)
-        return {"v": np.real(np.fft.ifft2(np.fft.fft2(p) * butterworth(filter_type, p.shape, cutoff_frequency, bandwidth, order)))[: m.shape[0], : m.shape[1]]}
-
-    return grid.with_cells(_image(grid, run, ["v"]))
+# Frequency domain; see spectral for transforms.
 
 
 @operator("FILTFREQ", "imgproc", "magnitude", filter_type=("low_pass", "high_pass", "band_pass"), cutoff_frequency=30.0, order=2)

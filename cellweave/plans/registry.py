@@ -65,6 +65,6 @@ def groups() -> list[str]:
 
 
 def _load() -> None:
-    from ..operators import focal, iterate, learn, local, regrid, segments, series, terrain, zonal  # noqa: F401
+    from ..operators import focal, iterate, learn, local, regrid, segments, series, spectral, terrain, zonal  # noqa: F401
     from ..sources import converters, files  # noqa: F401
     from . import pipeline  # noqa: F401
