@@ -433,8 +433,8 @@ def _iterate() -> None:
     for n, e in (("Contrast", "AVG((i - j) * (i - j))"), ("Dissimilarity", "AVG(ABS(i - j))"), ("Homogeneity", "AVG(1 / (1 + (i - j) * (i - j)))")):
         case(f"texture_glcm_{n.lower()}", "TEXTURE_GLCM", "a", pairs + f", m AS (SELECT row, col, {e} AS x FROM w GROUP BY 1, 2) SELECT row, col, {R('COALESCE(x, 0)')} FROM a LEFT JOIN m USING (row, col)", measure=n)
     case("texture_glcm_energy", "TEXTURE_GLCM", "a", pairs + f", z AS (SELECT row, col, i, j, COUNT(*) AS n FROM (SELECT row, col, i, j FROM w UNION ALL SELECT row, col, j, i FROM w) GROUP BY 1, 2, 3, 4), m AS (SELECT row, col, SUM(n * n) / POWER(SUM(n), 2) AS x FROM z GROUP BY 1, 2) SELECT row, col, {R('COALESCE(x, 0)')} FROM a LEFT JOIN m USING (row, col)", measure="Energy")
-    add("tin", lambda s, d: create("TIN")(_points(s, d).where("id <= 150")))
-    add("tinsurf", lambda s, d: create("TINSURF")(create("TIN")(_points(s, d).where("id <= 150")), grid(s, d, "a")))
+    add("tin", lambda s, d: create("TIN")(_points(s, d)))
+    add("tinsurf", lambda s, d: create("TINSURF")(create("TIN")(_points(s, d)), grid(s, d, "a")))
     add("project", lambda s, d: create("PROJECT")(grid(s, d, "a")))
     case("rastervector_round_trip", "RASTERVECTOR", "s", f" SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(CASE WHEN v <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range({SIZE}) t(r) CROSS JOIN range({SIZE}) u(c) LEFT JOIN s ON s.row = r AND s.col = c", lambda f, own: create("VECTORRASTER")(f(own[0]).where("value <> 0"), own[0]))
     case("durbinwatson", "DURBINWATSON", "b", f", l AS (SELECT v, LAG(v) OVER (ORDER BY row, col) AS w FROM b WHERE v IS NOT NULL) SELECT {R('SUM((v - w) * (v - w)) / SUM(v * v)', 'dw')}, {R('1 - SUM((v - w) * (v - w)) / SUM(v * v) / 2', 'rho')}, COUNT(*) AS n FROM l")

@@ -74,7 +74,7 @@ def squared_distances(grid: Grid, features: DataFrame, reach: float = float("inf
 STEP, DEPTH = 3, 24
 
 
-def _leaves(points: DataFrame, n: int, bound: int) -> list[tuple[int, int, int, int]]:
+def _leaves(points: DataFrame, bound: int) -> list[tuple[int, int, int, int]]:
     """(level, bx, by, points) of the leaves over points (fx, fy: 0 to 2^DEPTH): at most `bound` points each, but for leaves of the last level.
 
     In a round only points of nodes with more than `bound` points are counted again, and there are n / bound of these at most, so
@@ -128,6 +128,25 @@ def _best(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, k: int,
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def leaf_boxes(points: DataFrame, bound: int) -> tuple[DataFrame, np.ndarray | None, np.ndarray]:
+    """(points (x, y, ...) with their leaf; boxes of leaves: least and largest x, least and largest y; points in each) of a quadtree whose leaves
+    hold `bound` points at most, or a 16,384th of all if that is more: some ten thousand leaves, which are broadcast."""
+    lim = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
+    if not lim.n:
+        return points.withColumn("leaf", F.lit(0)), None, np.zeros(0, np.int64)
+    size = max(lim.x1 - lim.x0, lim.y1 - lim.y0) or 1.0
+    unit = size / (1 << DEPTH)
+    whole = lambda c, low: F.least(F.lit((1 << DEPTH) - 1), F.floor((F.col(c) - low) / unit)).cast("long")
+    placed = written(points.withColumns({"fx": whole("x", lim.x0), "fy": whole("y", lim.y0)}))
+    leaves = np.array(_leaves(placed, max(bound, lim.n >> 14)), np.int64)
+    side, slack = size / (1 << leaves[:, 0]).astype(float), size * 1e-12
+    boxes = np.stack([lim.x0 + leaves[:, 1] * side - slack, lim.x0 + (leaves[:, 1] + 1) * side + slack, lim.y0 + leaves[:, 2] * side - slack, lim.y0 + (leaves[:, 2] + 1) * side + slack])
+    table = points.sparkSession.createDataFrame([(*map(int, r[:3]), n) for n, r in enumerate(leaves)], "level int, bx long, by long, leaf int")
+    levels = F.explode(F.array(*(F.lit(int(v)) for v in np.unique(leaves[:, 0]))))
+    own = placed.withColumn("level", levels).withColumns({c: F.expr(f"shiftright(f{c[1]}, {DEPTH} - level)") for c in ("bx", "by")})
+    return own.join(F.broadcast(table), ["level", "bx", "by"]).drop("level", "bx", "by", "fx", "fy"), boxes, leaves[:, 3]
+
+
 def nearest_points(grid: Grid, points: DataFrame, k: int, radius: float = 0.0, bound: int = 2048, block: int = 32) -> DataFrame:
     """row, col, d, id, value: the k nearest of points (id, x, y, value) to each of the grid's cells, of those within a radius if given; ties go to the least id.
 
@@ -138,25 +157,13 @@ def nearest_points(grid: Grid, points: DataFrame, k: int, radius: float = 0.0, b
     """
     kept = points.where("x is not null and y is not null and id is not null and not isnan(x) and not isnan(y)").selectExpr("id", "cast(x as double) as x", "cast(y as double) as y", "value")
     rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
-    kept = written(kept.withColumn("__n", rank).where(F.col("__n") <= k).drop("__n"))
-    lim = kept.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
+    kept = kept.withColumn("__n", rank).where(F.col("__n") <= k).drop("__n")
     kind = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("d", T.DoubleType()), kept.schema["id"], kept.schema["value"]])
-    if not lim.n:
-        return grid.df.sparkSession.createDataFrame([], kind)
-    bound, size = max(bound, lim.n >> 14), max(lim.x1 - lim.x0, lim.y1 - lim.y0) or 1.0
-    unit = size / (1 << DEPTH)
-    whole = lambda c, low: F.least(F.lit((1 << DEPTH) - 1), F.floor((F.col(c) - low) / unit)).cast("long")
-    placed = kept.withColumns({"fx": whole("x", lim.x0), "fy": whole("y", lim.y0)})
-    leaves = np.array(_leaves(placed, lim.n, bound), np.int64)
-    side = size / (1 << leaves[:, 0]).astype(float)
-    slack = size * 1e-12
-    boxes = np.stack([lim.x0 + leaves[:, 1] * side - slack, lim.x0 + (leaves[:, 1] + 1) * side + slack, lim.y0 + leaves[:, 2] * side - slack, lim.y0 + (leaves[:, 2] + 1) * side + slack])
+    own, boxes, counts = leaf_boxes(kept, bound)
     spark = grid.df.sparkSession
-    table = spark.createDataFrame([(*map(int, r[:3]), n) for n, r in enumerate(leaves)], "level int, bx long, by long, leaf int")
-    levels = F.explode(F.array(*(F.lit(int(v)) for v in np.unique(leaves[:, 0]))))
-    own = placed.withColumn("level", levels).withColumns({c: F.expr(f"shiftright(f{c[1]}, {DEPTH} - level)") for c in ("bx", "by")})
-    own = own.join(F.broadcast(table), ["level", "bx", "by"]).select("leaf", "id", "x", "y", "value")
-    (ox, oy, pw, ph, rx, ry), model = grid.transform, spark.sparkContext.broadcast((boxes, leaves[:, 3]))
+    if boxes is None:
+        return spark.createDataFrame([], kind)
+    (ox, oy, pw, ph, rx, ry), model = grid.transform, spark.sparkContext.broadcast((boxes, counts))
 
     def place(row, col):
         return ox + col * pw + row * rx, oy + col * ry + row * ph
@@ -170,7 +177,7 @@ def nearest_points(grid: Grid, points: DataFrame, k: int, radius: float = 0.0, b
                 r, c, n, some = todo.pop()
                 x, y = place(np.array([r, r, r + n - 1, r + n - 1]), np.array([c, c + n - 1, c, c + n - 1]))
                 some = some[_candidates((x.min(), x.max(), y.min(), y.max()), boxes[:, some], counts[some], k, radius)]
-                if n > 1 and counts[some].sum() > 4 * bound:
+                if n > 1 and counts[some].sum() > 4 * max(bound, counts.sum() >> 14):
                     todo += [(r + a, c + b, n // 2, some) for a in (0, n // 2) for b in (0, n // 2)]
                 else:
                     out += [(r, c, n, int(i)) for i in some]

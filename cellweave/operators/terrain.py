@@ -14,6 +14,7 @@ from ..plans.registry import operator
 from ..plans.scratch import written
 from .focal import neighbours, square, tiled
 from .iterate import FLOW_CODES, FOUR, components
+from .triangles import triangulate
 from .zonal import by_key, running_count
 
 
@@ -277,58 +278,10 @@ def pollination(land: Grid, nesting, floral, foraging_distance):
 # Triangles
 
 
-def _delaunay(p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of points by insertion into a large triangle; each new point retriangulates the cavity of circles that hold it."""
-    if len(p) < 3:
-        return []
-    mid, span = p.mean(axis=0), max(float(np.ptp(p, axis=0).max()), 1e-9) * 1e3
-    q = np.vstack([p, mid + [-span, -span], mid + [span, -span], mid + [0, span]])
-    n = len(p)
-
-    def circle(t):
-        a, b, c = q[t[0]], q[t[1]], q[t[2]]
-        d = 2 * ((b - a)[0] * (c - a)[1] - (b - a)[1] * (c - a)[0])
-        if abs(d) < 1e-300:
-            return a, math.inf
-        bb, cc = ((b - a) ** 2).sum(), ((c - a) ** 2).sum()
-        u = np.array([(c - a)[1] * bb - (b - a)[1] * cc, (b - a)[0] * cc - (c - a)[0] * bb]) / d
-        return a + u, float((u**2).sum())
-
-    tris = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for k in range(n):
-        bad = [t for t, (o, r2) in tris.items() if ((q[k] - o) ** 2).sum() < r2 * (1 - 1e-12)]
-        edges: dict[tuple[int, int], int] = {}
-        for t in bad:
-            del tris[t]
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                key = (min(e), max(e))
-                edges[key] = edges.get(key, 0) + 1
-        for (a, b), times in edges.items():
-            if times == 1:
-                tris[(a, b, k)] = circle((a, b, k))
-    return [t for t in tris if max(t) < n]
-
-
-@operator("TIN", "gis", "points")
-def tin(points: DataFrame):
-    """tri, and x, y, z of its corners: a Delaunay triangulation of points (id, x, y, value).
-
-    The insertion is sequential, so all (distinct) points meet in one task; it is meant for thousands of points.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        x, y, z = (table.column(c).to_numpy() for c in ("x", "y", "value"))
-        order = np.lexsort((table.column("id").to_numpy(), y, x))
-        p = np.stack([x, y], axis=1)[order]
-        t = _delaunay(p)
-        cols = {"tri": pa.array(range(len(t)), pa.int64())}
-        for k in range(3):
-            cols |= {f"x{k}": pa.array([p[i[k], 0] for i in t], pa.float64()), f"y{k}": pa.array([p[i[k], 1] for i in t], pa.float64()), f"z{k}": pa.array([z[order[i[k]]] for i in t], pa.float64())}
-        return pa.table(cols)
-
-    schema = "tri long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz")
-    one = points.dropna(subset=["x", "y", "value"]).dropDuplicates(["x", "y"])
-    return one.select("id", "x", "y", "value", F.lit(0).alias("part")).groupBy("part").applyInArrow(run, schema)
+@operator("TIN", "gis", "points", tile_points=1024)
+def tin(points: DataFrame, tile_points):
+    """tri, and x, y, z of its corners: the Delaunay triangulation of points (id, x, y, value), by tiles; see triangles.triangulate."""
+    return triangulate(points, tile_points)
 
 
 @operator("TINSURF", "gis", "triangles reference")
@@ -353,10 +306,14 @@ def tin_surface(triangles: DataFrame, grid: Grid):
 @operator("LOCALAFFINE", "imgproc", "input points")
 def local_affine(grid: Grid, gcps: DataFrame):
     """gcps (id, sx, sy, dx, dy): each target cell's source place is affine in its triangle of target points, global outside them; nearest cell."""
-    fit = gcps.agg(*(F.collect_list(c).alias(c) for c in ("sx", "sy", "dx", "dy"))).head()
-    a = np.column_stack([np.ones(len(fit.dx)), fit.dx, fit.dy])
-    bx, by = (np.linalg.lstsq(a, np.array(v), rcond=None)[0] for v in (fit.sx, fit.sy))
-    parts = [tin_surface(tin(gcps.select("id", F.col("dx").alias("x"), F.col("dy").alias("y"), F.col(s).alias("value"))), grid).df.withColumnRenamed("v", s) for s in ("sx", "sy")]
+    # The global plane, from moments about the means.
+    pairs = [("dx", "dx"), ("dx", "dy"), ("dy", "dy"), ("dx", "sx"), ("dy", "sx"), ("dx", "sy"), ("dy", "sy")]
+    m = gcps.agg(*(F.avg(c).alias(c) for c in ("sx", "sy", "dx", "dy")), *(F.covar_pop(p, q).alias(f"{p}_{q}") for p, q in pairs)).head()
+    if m.dx is None:
+        raise ValueError("LOCALAFFINE needs control points")
+    spread = np.array([[m.dx_dx, m.dx_dy], [m.dx_dy, m.dy_dy]])
+    bx, by = ((m[s] - v[0] * m.dx - v[1] * m.dy, *v) for s, v in ((s, np.linalg.lstsq(spread, np.array([m[f"dx_{s}"], m[f"dy_{s}"]]), rcond=None)[0]) for s in ("sx", "sy")))
+    parts = [tin_surface(triangulate(gcps.select("id", F.col("dx").alias("x"), F.col("dy").alias("y"), F.col(s).alias("value"))), grid).df.withColumnRenamed("v", s) for s in ("sx", "sy")]
     t = grid.every_cell().join(parts[0], KEY, "left").join(parts[1], KEY, "left")
     x = F.coalesce("sx", float(bx[0]) + float(bx[1]) * grid.x() + float(bx[2]) * grid.y())
     y = F.coalesce("sy", float(by[0]) + float(by[1]) * grid.x() + float(by[2]) * grid.y())
