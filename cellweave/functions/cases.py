@@ -188,7 +188,10 @@ def _zonal() -> None:
     case("stretch_linear", "STRETCH", "b", st + cells.format(R("(v - lo) / (hi - lo) * 255")))
     case("stretch_saturated", "STRETCH", "b", st + cells.format(R("CASE WHEN v IS NOT NULL THEN GREATEST(0, LEAST(255, (v - m + 2 * sd) / (4 * sd) * 255)) END")), method="Saturated")
     case("stretch_equalized", "STRETCH", "b", f" SELECT x.row, x.col, CASE WHEN x.v IS NOT NULL THEN ROUND((r - 1 + (r + k - 1)) / (2 * n) * 255, 6) END AS v FROM (SELECT *, RANK() OVER (ORDER BY v NULLS LAST) AS r, COUNT(*) OVER (PARTITION BY v) AS k FROM b) x, (SELECT COUNT(v) AS n FROM b)", method="Histogram equalization")
-    case("display", "DISPLAY", "b", ", q AS (SELECT QUANTILE_CONT(v, 0.02) AS lo, QUANTILE_CONT(v, 0.98) AS hi FROM b)" + " SELECT row, col, CASE WHEN v IS NOT NULL THEN ROUND(GREATEST(0, LEAST(255, (v - lo) / (hi - lo) * 255))) END AS v FROM b, q")
+    shown = lambda g: f", o{g} AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS r, COUNT(*) OVER () AS n FROM {g} WHERE v IS NOT NULL), q{g} AS (SELECT MAX(CASE WHEN r = LEAST(CAST(FLOOR(n * 0.02) AS INT), n - 1) THEN v END) AS lo, MAX(CASE WHEN r = LEAST(CAST(FLOOR(n * 0.98) AS INT), n - 1) THEN v END) AS hi FROM o{g}), s{g} AS (SELECT row, col, COALESCE(ROUND(GREATEST(0, LEAST(255, (v - lo) / (hi - lo) * 255))), 0) AS v FROM {g}, q{g})"
+    case("display", "DISPLAY", "b", shown("b") + " SELECT row, col, v FROM sb")
+    rgb = ("b", "p", "a")
+    case("display_rgb", "DISPLAY", "abp", "".join(map(shown, rgb)) + " SELECT row, col, sb.v AS v, sp.v AS green, sa.v AS blue FROM sb JOIN sp USING (row, col) JOIN sa USING (row, col)", lambda f, own: f(own), mode="RGB Composite", red_band=2, green_band=3, blue_band=1)
     case("composite", "COMPOSITE", "apq", f", m AS (SELECT MIN(a.v) AS a0, MAX(a.v) AS a1, MIN(p.v) AS p0, MAX(p.v) AS p1, MIN(q.v) AS q0, MAX(q.v) AS q1 FROM a JOIN p USING (row, col) JOIN q USING (row, col)) SELECT row, col, {R('(a.v - a0) / (a1 - a0) * 255')}, {R('(p.v - p0) / (p1 - p0) * 255', 'green')}, {R('(q.v - q0) / (q1 - q0) * 255', 'blue')} FROM a JOIN p USING (row, col) JOIN q USING (row, col), m")
     case("histo", "HISTO", "b", st + f", k AS (SELECT LEAST(31, FLOOR((v - lo) / ((hi - lo) / 32))) AS bin, COUNT(*) AS cells FROM b, st WHERE v IS NOT NULL GROUP BY 1) SELECT CAST(g AS INT) AS bin, {R('lo + (g + 0.5) * ((hi - lo) / 32)', 'center')}, COALESCE(cells, 0) AS cells, {R('COALESCE(cells, 0) * 100.0 / n', 'percent')} FROM range(32) t(g) CROSS JOIN st LEFT JOIN k ON k.bin = g", num_bins=32)
     case("reclass_equal", "RECLASS", "b", st + cells.format("CASE WHEN v IS NOT NULL THEN LEAST(5, FLOOR((v - lo) / ((hi - lo) / 5)) + 1) END AS v"), lambda f, own: f(own[0], None))
@@ -421,6 +424,8 @@ def _iterate() -> None:
     case("geomod", "GEOMOD", "cs", None, lambda f, own: f(own[0], own[0].with_cells(own[0].df.join(own[1].df.select(*KEY, F.col("v").alias("s")), KEY).select(*KEY, F.when(F.col("s") != 0, F.col("v") % 5 + 1).otherwise(F.col("v")).alias("v")))), quantity=150)
     case("varcost", "VARCOST", "sfa", None)
     case("viewshed", "VIEWSHED", "a", None, observer_x=1200.0, observer_y=4800.0)
+    case("spdist_places", "SPDIST", "f", None, dest_x=1405.0, dest_y=4695.0)
+    case("pathway_place", "PATHWAY", "a", None, lambda f, own: f(own[0], iterate.flow_direction(own[0])), target_x=1205.0, target_y=4795.0)
     case("pathway", "PATHWAY", "a", None, lambda f, own: f(own[0], iterate.flow_direction(own[0]), row=20, col=20))
     case("fractal", "FRACTAL", "a", None)
     case("fractal_gaps", "FRACTAL", "b", None, max_window=6)
@@ -505,6 +510,8 @@ def _files() -> None:
     text = lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.concat_ws("  ", "n_nationkey", "n_regionkey").alias("value"))
     add("avl2csv", lambda s, d: create("AVL2CSV")(text(s, d)), "SELECT CAST(n_nationkey AS VARCHAR) AS ID, CAST(n_regionkey AS VARCHAR) AS Value FROM nation")
     add("csv2avl", lambda s, d: create("CSV2AVL")(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")), "SELECT CONCAT(n_nationkey, ' ', n_name) AS value FROM nation")
+    lines = lambda s, d: s.read.parquet(f"{d}/nation.parquet").coalesce(1).select(F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    add("csv2avl_lines", lambda s, d: create("CSV2AVL")(lines(s, d), value_column=2, has_header=False), "SELECT CONCAT(n_nationkey, ' ', n_regionkey) AS value FROM nation")
     add("crlf", lambda s, d: create("CRLF")(s.read.parquet(f"{d}/benchmark.parquet").select(F.concat("text", F.lit("\n")).alias("value"))), "SELECT REPLACE(REPLACE(text || chr(10), chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)) AS value FROM benchmark")
     add("var2fix", lambda s, d: create("VAR2FIX")(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("value")), record_length=6), "SELECT RPAD(n_name, 6, ' ') AS value FROM nation")
     add("create_tsf", lambda s, d: create("CREATE_TSF")(s, start_date="2001-01-01", num_images=3), "SELECT * FROM (VALUES ('start_date: 2001-01-01'), ('interval: 1.0'), ('num_images: 3')) t(value)")

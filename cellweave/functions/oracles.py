@@ -78,6 +78,7 @@ def _costs() -> None:
     path += _surface("e", "SELECT row, col, 1 AS src FROM w WHERE row = 30 AND col = 40", back).replace("WHERE t.fr > 0 AND x.cost + (CASE", "WHERE x.cost + (CASE")
     path += ", g AS (SELECT MAX(cost) AS total FROM d WHERE row = 30 AND col = 40)"
     put("spdist", recursive("f", path + " SELECT w.row, w.col, CAST(CASE WHEN ABS(d.cost + e.cost - total) <= 1e-9 * (1 + total) THEN 1 ELSE 0 END AS DOUBLE) AS v FROM w CROSS JOIN g LEFT JOIN d ON d.row = w.row AND d.col = w.col LEFT JOIN e ON e.row = w.row AND e.col = w.col"))
+    put("spdist_places", recursive("f", path + " SELECT w.row, w.col, CAST(CASE WHEN ABS(d.cost + e.cost - total) <= 1e-9 * (1 + total) THEN 1 ELSE 0 END AS DOUBLE) AS v FROM w CROSS JOIN g LEFT JOIN d ON d.row = w.row AND d.col = w.col LEFT JOIN e ON e.row = w.row AND e.col = w.col"))
     steps, last = "", "z0"
     for k in range(1, 5):
         now = f"z{k}"
@@ -122,6 +123,7 @@ def _flow() -> None:
     put("flow", recursive("a", dirs + acc + " SELECT row, col, COALESCE(v, 0) AS v, acc AS accumulation FROM dir JOIN acc USING (id)"))
     put("watershed", recursive("as", dirs + f", p AS (SELECT row * {SIZE} + col AS id, v AS pour FROM s WHERE v <> 0), walk(start, cur) AS (SELECT id, id FROM dir UNION ALL SELECT start, next FROM walk JOIN dir ON dir.id = cur WHERE next IS NOT NULL AND cur NOT IN (SELECT id FROM p)), hit AS (SELECT start, pour FROM walk JOIN p ON p.id = cur) SELECT row, col, COALESCE(pour, 0) AS v FROM dir LEFT JOIN hit ON start = dir.id"))
     put("pathway", recursive("a", dirs + f", path(id) AS (SELECT id FROM dir WHERE row = 20 AND col = 20 UNION SELECT next FROM path JOIN dir USING (id) WHERE next IS NOT NULL) SELECT row, col, CAST(CASE WHEN dir.id IN (SELECT id FROM path) THEN 1 ELSE 0 END AS DOUBLE) AS v FROM dir"))
+    put("pathway_place", recursive("a", dirs + f", path(id) AS (SELECT id FROM dir WHERE row = 20 AND col = 20 UNION SELECT next FROM path JOIN dir USING (id) WHERE next IS NOT NULL) SELECT row, col, CAST(CASE WHEN dir.id IN (SELECT id FROM path) THEN 1 ELSE 0 END AS DOUBLE) AS v FROM dir"))
     from .cases import _stencil
 
     gx, gy = "((z3 + 2 * z6 + z9 - z1 - 2 * z4 - z7) / 80)", "((z7 + 2 * z8 + z9 - z1 - 2 * z2 - z3) / 80)"

@@ -8,6 +8,7 @@ follows the number of tiles a path crosses, not its cells.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -155,9 +156,10 @@ def hinterland(grid: Grid, max_distance):
     return cost_grow(grid, _unit(grid, (1.0, -1.0)), max_distance)
 
 
-@operator("SPDIST", "gis", "cost", source_row=0, source_col=0, dest_row=0, dest_col=0)
-def shortest_path(friction: Grid, source_row, source_col, dest_row, dest_col):
-    """1 on a least-cost path: cells where the cost from the source and the cost on to the destination add up to the least total. Ties keep all such paths; 0 everywhere if there is none."""
+@operator("SPDIST", "gis", "cost", source_row=0, source_col=0, dest_row=0, dest_col=0, source_x=None, source_y=None, dest_x=None, dest_y=None)
+def shortest_path(friction: Grid, source_row, source_col, dest_row, dest_col, source_x, source_y, dest_x, dest_y):
+    """Between two cells, or map coordinates if given: 1 on a least-cost path: cells where the cost from the source and the cost on to the destination add up to the least total. Ties keep all such paths; 0 everywhere if there is none."""
+    (source_row, source_col), (dest_row, dest_col) = friction.cell_of(source_row, source_col, source_x, source_y), friction.cell_of(dest_row, dest_col, dest_x, dest_y)
     spark = friction.df.sparkSession
     ends = [spark.createDataFrame([(r, c, 1.0)], "row int, col int, source double") for r, c in ((source_row, source_col), (dest_row, dest_col))]
     there, on = cost_surface(ends[0], friction), cost_surface(ends[1], friction, leaving=True)
@@ -295,14 +297,13 @@ def slope_length(dem: Grid):
 
 @operator("PITREMOVAL", "gis", "dem")
 def pit_removal(dem: Grid):
-    """Strict pits rise to their least neighbour until none is left; whole rounds, so the result doesn't hang on the scan order."""
-    state = written(dem.df)
-    while True:
-        low = moving(dem.with_cells(state), EIGHT).groupBy(*KEY).agg(F.min("x").alias("low"))
-        state = written(state.join(low, KEY, "left").select(*KEY, F.greatest("v", F.when(F.col("v").isNotNull(), F.col("low"))).alias("v"), (F.col("v") < F.col("low")).alias("pit")))
-        if not state.where("pit").head(1):
-            return dem.with_cells(state.select(*KEY, "v"))
-        state = state.select(*KEY, "v")
+    """Cells below all of their neighbours rise to the least of them.
+
+    One pass is all: pits have no pits beside them, and a risen pit equals its least neighbour, so neither it nor a cell
+    beside it lies below all of its neighbours any more.
+    """
+    low = moving(dem, EIGHT).groupBy(*KEY).agg(F.min("x").alias("low"))
+    return dem.with_cells(dem.df.join(low, KEY, "left").select(*KEY, F.greatest("v", F.when(F.col("v").isNotNull(), F.col("low"))).alias("v")))
 
 
 # Automata
@@ -344,9 +345,9 @@ def cellular_automata(base: Grid, suitability: dict[int, Grid], matrix, iteratio
     return base.with_cells(cells)
 
 
-@operator("MOLA", "gis", "objectives", areas=())
-def multi_objective(objectives: list[Grid], areas):
-    """Cells to the objective in which they rank best, each up to its area; cutoffs rise by what conflicts took, up to 200 rounds."""
+@operator("MOLA", "gis", "objectives", areas=(), max_rounds=200)
+def multi_objective(objectives: list[Grid], areas, max_rounds):
+    """Cells to the objective in which they rank best, each up to its area; cutoffs rise by what conflicts took. After max_rounds it warns and returns what it has."""
     from .zonal import rank
 
     ranks = [rank(g, False).df.select(*KEY, F.col("v").alias(f"r{k}")) for k, g in enumerate(objectives)]
@@ -356,12 +357,14 @@ def multi_objective(objectives: list[Grid], areas):
     t, cut = written(t), [float(a) for a in areas]
     claim = lambda: F.array_min(F.array(*(F.when(F.col(f"r{k}") <= c, F.struct(F.col(f"r{k}").alias("r"), F.lit(k + 1).alias("o"))) for k, c in enumerate(cut))))["o"]
     total = objectives[0].rows * objectives[0].cols
-    for _ in range(200):
+    for _ in range(max_rounds):
         got = {r["o"]: r["count"] for r in t.select(claim().alias("o")).where("o is not null").groupBy("o").count().collect()}
         lack = [max(0, a - got.get(k + 1, 0)) for k, a in enumerate(areas)]
         if not any(lack) or all(c >= total for c, x in zip(cut, lack) if x):
             break
         cut = [min(float(total), c + x) for c, x in zip(cut, lack)]
+    else:
+        warnings.warn(f"MOLA stopped after {max_rounds} rounds; areas aren't met", stacklevel=2)
     return objectives[0].with_cells(t.select(*KEY, F.coalesce(claim(), F.lit(0)).cast("double").alias("v")))
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
 from ..plans.scratch import discard, written
+from .nearness import nearest_rows
 
-#: The most labelled pixels that go into a classifier which is fitted in one place (KNN, SOM, RBFNN, both ARTMAPs); part of their results.
+#: Default of training_rows, the most labelled pixels that go into a classifier which is fitted in one place (SOM, RBFNN, both ARTMAPs); part of their results.
 TRAINING_ROWS = 20000
 
 
@@ -403,11 +404,12 @@ def absorption(px: DataFrame, wavelengths, absorption_center):
     return by_batch(px, run, "depth double, width double")
 
 
-@operator("HYPERAUTOSIG", "imgproc", "pixels", num_endmembers=5, projections=500, seed=42)
-def auto_endmembers(px: DataFrame, num_endmembers, projections, seed):
+@operator("HYPERAUTOSIG", "imgproc", "pixels", num_endmembers=5, projections=500, candidates=0, seed=42)
+def auto_endmembers(px: DataFrame, num_endmembers, projections, candidates, seed):
     """Endmembers [(number, values)]: pixels that are extreme in most random projections, then those that span the largest volume.
 
-    Extremes of all projections come from one pass; at most two candidates a projection reach the driver.
+    Extremes of all projections come from one pass; of these, the `candidates` (by default 20 for each
+    endmember) that are extreme most often are tried.
     """
     n = width(px)
     rng = np.random.default_rng(seed)
@@ -431,7 +433,7 @@ def auto_endmembers(px: DataFrame, num_endmembers, projections, seed):
 
     ends = px.select("a").mapInArrow(run, "k long, way long, v double, a array<double>")
     top = ends.groupBy("k", "way").agg(F.when(F.col("way") == 0, F.min_by("a", "v")).otherwise(F.max_by("a", "v")).alias("a"))
-    votes = top.groupBy("a").count().orderBy(F.desc("count"), "a").limit(20 * num_endmembers).collect()
+    votes = top.groupBy("a").count().orderBy(F.desc("count"), "a").limit(candidates or 20 * num_endmembers).collect()
     c = np.array([r.a for r in votes], float)
     if not len(c):
         return []
@@ -560,76 +562,34 @@ def leader_clusters(px: DataFrame, distance_threshold, max_clusters):
 # Supervised
 
 
-def _sampled(t: DataFrame, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """At most TRAINING_ROWS training pixels, those of the least seeded hashes, in order of their cells."""
-    rows = t.orderBy(F.xxhash64("row", "col", F.lit(seed)), *KEY).limit(TRAINING_ROWS).select(*KEY, "a", "label").collect()
+def _sampled(t: DataFrame, most: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` training pixels, those of the least seeded hashes, in order of their cells."""
+    rows = t.orderBy(F.xxhash64("row", "col", F.lit(seed)), *KEY).limit(most).select(*KEY, "a", "label").collect()
     rows.sort(key=lambda r: (r.row, r.col))
     return np.array([r.a for r in rows], float), np.array([r.label for r in rows], int)
 
 
 @operator("KNN", "imgproc", "pixels labels", k=5)
 def knn(px: DataFrame, labels: DataFrame, k):
-    """Majority of the k nearest of a bounded training sample; ties to the class of the nearest of them."""
-    x, y = _sampled(training(px, labels))
-
-    def run(q):
-        out = np.empty(len(q))
-        for s in range(0, len(q), 512):
-            d = ((q[s : s + 512, None, :] - x[None]) ** 2).sum(axis=2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for r, ids in enumerate(near):
-                votes = y[ids].tolist()
-                out[s + r] = max(dict.fromkeys(votes), key=votes.count)
-        return {"v": out}
-
-    return by_batch(px, run, "v double")
+    """Majority of the k nearest of all labelled pixels (equally near ones by cell); ties to the class of the nearest of them."""
+    px = written(px)
+    t = written(training(px, labels).select(*KEY, "a", F.col("label").alias("v")))
+    if not t.head(1):
+        return px.select(*KEY, F.lit(None).cast("double").alias("v"))
+    votes = F.transform("best", lambda b, i: F.struct(F.size(F.filter("best", lambda c: c["v"] == b["v"])).alias("n"), (-i).alias("first"), b["v"].alias("label")))
+    return nearest_rows(px, t, k).select(*KEY, F.array_max(votes)["label"].alias("v"))
 
 
 @operator("KNNREGRESS", "gis", "dependent independent samples", k=5)
-def knn_regression(y: Grid, xs: list[Grid], samples: Grid, k, block_rows=20000):
-    """Inverse-distance mean of the k nearest sample cells; an exact match gives its value; ties go by cell.
-
-    Every sample cell counts. They are dealt into blocks; each batch of cells meets each block in turn and keeps its
-    best k, so a task holds a block and no more. Blocks are broadcast one by one as they are read, never all samples.
-    """
-    px = pixels(xs)
+def knn_regression(y: Grid, xs: list[Grid], samples: Grid, k):
+    """Inverse-distance mean of the k nearest sample cells; an exact match gives its value; ties go by cell. Every sample cell counts; see nearness.nearest_rows."""
+    px = written(pixels(xs))
     t = written(px.join(y.valid(), KEY).join(samples.valid().where("v <> 0").select(*KEY), KEY).select(*KEY, "a", "v"))
-    total = t.count()
-    if not total:
+    if not t.head(1):
         return px.select(*KEY, F.lit(None).cast("double").alias("v"))
-    blocks = max(1, -(-total // block_rows))
-    n = width(px)
-    dealt = t.withColumn("block", F.pmod(F.xxhash64(*KEY), F.lit(blocks)))
-    out = written(px.select(*KEY, "a", F.array().cast("array<struct<d:double,row:int,col:int,v:double>>").alias("best")))
-    for b in range(blocks):
-        part = dealt.where(F.col("block") == b).select("row", "col", "a", "v").orderBy(*KEY).collect()  # block_rows or so
-        x, v = np.array([r.a for r in part], float).reshape(-1, n), [r.v for r in part]
-        at = [(r.row, r.col) for r in part]
-        new = written(out.mapInArrow(_nearer(x, v, at, k), "row int, col int, a array<double>, best array<struct<d:double,row:int,col:int,v:double>>"))
-        discard(out)
-        out = new
     weight = F.aggregate("best", F.lit(0.0), lambda s, x: s + 1 / F.greatest(x["d"], F.lit(1e-12)))
     value = F.aggregate("best", F.lit(0.0), lambda s, x: s + x["v"] / F.greatest(x["d"], F.lit(1e-12)))
-    return out.select(*KEY, F.when(F.col("best")[0]["d"] < 1e-10, F.col("best")[0]["v"]).otherwise(value / weight).alias("v"))
-
-
-def _nearer(x: np.ndarray, v: list[float], at: list[tuple[int, int]], k: int):
-    """Batches whose `best` k samples, by distance and cell, are those so far and of one more block."""
-
-    def run(batches):
-        for batch in batches:
-            q, best = np.array(batch.column("a").to_pylist(), float), batch.column("best").to_pylist()
-            for s in range(0, len(q), 64):
-                d = np.sqrt(((q[s : s + 64, None, :] - x[None]) ** 2).sum(axis=2))
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for r, ids in enumerate(near.tolist()):
-                    mine = [(float(d[r, i]), *at[i], v[i]) for i in ids]
-                    have = [(h["d"], h["row"], h["col"], h["v"]) for h in best[s + r]]
-                    best[s + r] = [dict(zip(("d", "row", "col", "v"), b)) for b in sorted(have + mine)[:k]]
-            kind = pa.list_(pa.struct([("d", pa.float64()), ("row", pa.int32()), ("col", pa.int32()), ("v", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), batch.column("a"), pa.array(best, kind)], ["row", "col", "a", "best"])
-
-    return run
+    return nearest_rows(px, t, k).select(*KEY, F.when(F.col("best")[0]["d"] < 1e-10, F.col("best")[0]["v"]).otherwise(value / weight).alias("v"))
 
 
 def _ml_frame(px: DataFrame) -> DataFrame:
@@ -677,19 +637,20 @@ def multinomial_logistic(px, labels, max_iterations):
     return _ml_class(px, labels, lambda n: OneVsRest(classifier=LogisticRegression(regParam=1e-6, maxIter=max_iterations)))
 
 
-@operator("MLP", "imgproc", "pixels labels", hidden_nodes=20, max_epochs=100)
-def perceptron(px, labels, hidden_nodes, max_epochs):
+@operator("MLP", "imgproc", "pixels labels", hidden_nodes=20, max_epochs=500, learning_rate=0.03, solver=("l-bfgs", "gd"))
+def perceptron(px, labels, hidden_nodes, max_epochs, learning_rate, solver):
+    """One hidden layer over bands scaled to 0..1. The learning rate is that of gradient descent; l-bfgs finds its own steps."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     n = width(px)
     r = px.agg(F.array(*(F.min(F.col("a")[k]) for k in range(n))).alias("lo"), F.array(*(F.max(F.col("a")[k]) for k in range(n))).alias("hi")).head()
     lo, span = np.array(r.lo), np.maximum(np.array(r.hi) - np.array(r.lo), 1e-12)
     unit = px.withColumn("a", scaled("a", lo, span))
-    return _ml_class(unit, labels, lambda c: MultilayerPerceptronClassifier(layers=[n, hidden_nodes, max(c, 2)], maxIter=max_epochs, seed=42))
+    return _ml_class(unit, labels, lambda c: MultilayerPerceptronClassifier(layers=[n, hidden_nodes, max(c, 2)], maxIter=max_epochs, stepSize=learning_rate, solver=solver, seed=42))
 
 
-@operator("RBFNN", "imgproc", "pixels labels", num_centers=20)
-def radial_basis(px, labels, num_centers):
+@operator("RBFNN", "imgproc", "pixels labels", num_centers=50, training_rows=TRAINING_ROWS)
+def radial_basis(px, labels, num_centers, training_rows):
     """K-means centres of training pixels, Gaussian units as wide as the distance to the next centre, ridge least squares."""
     t = training(px, labels)
     first = t.groupBy("a").agg(F.min(F.xxhash64("row", "col")).alias("h")).orderBy("h", "a").limit(num_centers).collect()
@@ -697,17 +658,17 @@ def radial_basis(px, labels, num_centers):
     d = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(axis=2)) + np.diag(np.full(len(centers), np.inf))
     sigma = np.where(np.isfinite(d.min(axis=1)), np.maximum(d.min(axis=1), 1e-6), 1.0)
     unit = lambda x: np.exp(-((x[:, None] - centers[None]) ** 2).sum(axis=2) / (2 * sigma**2))
-    x, y = _sampled(t)
+    x, y = _sampled(t, training_rows)
     names = np.unique(y)
     h = unit(x)
     w = np.linalg.solve(h.T @ h + 1e-6 * np.eye(h.shape[1]), h.T @ (y[:, None] == names).astype(float))
     return by_batch(px, lambda q: {"v": names[(unit(q) @ w).argmax(axis=1)].astype(float)}, "v double")
 
 
-@operator("SOM", "imgproc", "pixels labels", grid_width=6, grid_height=6, max_epochs=10, seed=42)
-def self_organizing(px, labels, grid_width, grid_height, max_epochs, seed):
+@operator("SOM", "imgproc", "pixels labels", grid_width=10, grid_height=10, max_epochs=100, seed=42, training_rows=TRAINING_ROWS)
+def self_organizing(px, labels, grid_width, grid_height, max_epochs, seed, training_rows):
     """A self-organising map over a bounded sample; neurons take their majority label, pixels their best neuron's."""
-    x, y = _sampled(training(px, labels), seed)
+    x, y = _sampled(training(px, labels), training_rows, seed)
     rng = np.random.default_rng(seed)
     place = np.array([(i, j) for i in range(grid_height) for j in range(grid_width)], float)
     w = rng.uniform(x.min(axis=0), x.max(axis=0), (len(place), x.shape[1]))
@@ -755,19 +716,19 @@ def _coded(px: DataFrame):
     return lambda x: np.hstack([np.clip((x - lo) / span, 0, 1), 1 - np.clip((x - lo) / span, 0, 1)])
 
 
-@operator("FUZZYARTMAP", "imgproc", "pixels labels", vigilance=0.75, learning_rate=1.0)
-def fuzzy_artmap(px, labels, vigilance, learning_rate):
+@operator("FUZZYARTMAP", "imgproc", "pixels labels", vigilance=0.75, learning_rate=1.0, training_rows=TRAINING_ROWS)
+def fuzzy_artmap(px, labels, vigilance, learning_rate, training_rows):
     code = _coded(px)
-    x, y = _sampled(training(px, labels))
+    x, y = _sampled(training(px, labels), training_rows)
     w, c = _art(code(x), y, vigilance, learning_rate, 1, np.random.default_rng(42))
     return by_batch(px, lambda q: {"v": c[np.stack([np.minimum(w, v).sum(axis=1) / (0.001 + w.sum(axis=1)) for v in code(q)]).argmax(axis=1)].astype(float)}, "v double")
 
 
-@operator("FUZZY_ARTMAP2", "lcm", "pixels change", vigilance=0.75)
-def artmap_potential(px, change, vigilance):
+@operator("FUZZY_ARTMAP2", "lcm", "pixels change", vigilance=0.75, training_rows=TRAINING_ROWS)
+def artmap_potential(px, change, vigilance, training_rows):
     """Share of activation of change nodes above half the vigilance; labels are 1 (change) and 2 (none) of the change table's v."""
     code = _coded(px)
-    x, y = _sampled(px.join(change.select(*KEY, F.when(F.col("v") != 0, 1).otherwise(2).alias("label")), KEY))
+    x, y = _sampled(px.join(change.select(*KEY, F.when(F.col("v") != 0, 1).otherwise(2).alias("label")), KEY), training_rows)
     w, c = _art(code(x), y, vigilance, 1.0, 5, np.random.default_rng(42))
 
     def run(q):
@@ -808,15 +769,15 @@ def logistic_potential(change: Grid, drivers: list[Grid], max_iterations):
     return change.with_cells(z.select(*KEY, (1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), eta))))).alias("v")))
 
 
-@operator("TRANSITION_POTENTIAL", "lcm", "transitions drivers", method=("Logistic Regression", "Kernel similarity"))
-def transition_potential(transitions: list[Grid], drivers: list[Grid], method):
-    """The largest potential over transitions, each by logistic regression or by similarity to up to 200 changed cells."""
+@operator("TRANSITION_POTENTIAL", "lcm", "transitions drivers", method=("Logistic Regression", "Kernel similarity"), kernel_cells=200)
+def transition_potential(transitions: list[Grid], drivers: list[Grid], method, kernel_cells):
+    """The largest potential over transitions, each by logistic regression or by similarity to up to kernel_cells changed cells, those of the least hashes."""
     if method == "Logistic Regression":
         parts = [logistic_potential(t, drivers, 20) for t in transitions]
     else:
         px, parts = pixels(drivers), []
         for t in transitions:
-            rows = px.join(t.valid().where("v <> 0").select(*KEY), KEY).orderBy(F.xxhash64("row", "col")).limit(200).collect()
+            rows = px.join(t.valid().where("v <> 0").select(*KEY), KEY).orderBy(F.xxhash64("row", "col"), *KEY).limit(kernel_cells).collect()
             x = np.array([r.a for r in rows], float).reshape(-1, len(drivers))
             sim = by_batch(px, lambda q, x=x: {"v": np.exp(-0.001 * ((q[:, None] - x[None]) ** 2).sum(axis=2)).mean(axis=1) if len(x) else np.zeros(len(q))}, "v double")
             parts.append(t.with_cells(sim))

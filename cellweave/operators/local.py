@@ -415,12 +415,15 @@ def random_grid(grid: Grid, distribution, min_value, max_value, mean, stddev, se
     return grid.with_cells(grid.df.select(*KEY, F.when(F.col("v").isNotNull(), v).alias("v")))
 
 
-@operator("STCHOICE", "gis", "landcover potential", matrix=(), seed=42)
-def stochastic_choice(land: Grid, potential: Grid, matrix, seed):
-    """matrix: (from, to, probability). Off-diagonal probabilities are scaled by the potential and drawn with a seeded hash of the cell."""
+@operator("STCHOICE", "gis", "landcover potential", matrix=(), num_classes=5, seed=42)
+def stochastic_choice(land: Grid, potential: Grid, matrix, num_classes, seed):
+    """matrix: (from, to, probability), of classes 0 to num_classes - 1; others are left out, and rows must sum to 1 within 0.05. Off-diagonal probabilities are scaled by the potential and drawn with a seeded hash of the cell."""
     u = (F.pmod(F.xxhash64("row", "col", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    out = F.col("v0")
+    out, matrix = F.col("v0"), [m for m in matrix if 0 <= m[0] < num_classes and 0 <= m[1] < num_classes]
     for start in sorted({m[0] for m in matrix}, reverse=True):
+        total = sum(m[2] for m in matrix if m[0] == start)
+        if total > 0 and abs(total - 1) > 0.05:
+            raise ValueError(f"probabilities of class {start} sum to {total}")
         below, pick = F.lit(0.0), F.when(F.lit(False), F.lit(0.0))
         for _, to, p in sorted(m for m in matrix if m[0] == start and m[1] != start):
             below = below + F.col("v1") * p

@@ -195,3 +195,121 @@ def nearest_points(grid: Grid, points: DataFrame, k: int, radius: float = 0.0, b
     pairs = blocks.mapInArrow(split, "r int, c int, n int, leaf int")
     found = pairs.join(own, "leaf").groupBy("r", "c", "n").applyInArrow(match, kind)
     return found.join(grid.df.select(*KEY), KEY, "left_semi")
+
+
+BEST = "array<struct<d:double,row:int,col:int,v:double>>"
+
+
+class Splits:
+    """A balanced k-d tree of halvings, from a sample of vectors: 2^depth cells of about as many vectors each."""
+
+    def __init__(self, x: np.ndarray, depth: int):
+        self.depth, self.axis, self.value = depth, np.zeros(1 << depth, np.int64), np.zeros(1 << depth)
+        parts = {1: x}
+        for node in range(1, 1 << depth):
+            own = parts.pop(node)
+            if len(own):
+                self.axis[node] = int(np.argmax(np.ptp(own, axis=0)))
+                self.value[node] = np.median(own[:, self.axis[node]])
+            up = own[:, self.axis[node]] > self.value[node]
+            parts[2 * node], parts[2 * node + 1] = own[~up], own[up]
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (x[np.arange(len(x)), self.axis[node]] > self.value[node])
+        return node - (1 << self.depth)
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def nearest_rows(queries: DataFrame, samples: DataFrame, k: int, bound: int = 2048, group: int = 50_000) -> DataFrame:
+    """row, col, best of queries (row, col, a): the k nearest of samples (row, col, a, v) by distance of their arrays a, then by cell.
+
+    Of samples with equal arrays the k first stay. The others are dealt to cells of a k-d tree (halvings of a sample by hash,
+    sixteen for each cell; cells of `bound` samples or a 16,384th of all), and only the cells' boxes are broadcast. A query meets its
+    own cell first, and then those cells alone whose box is nearer than its kth sample so far. Cells that many
+    queries meet are copied to as many groups as hold `group` queries each, so no group grows with the queries.
+    """
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(*KEY))
+    kept = written(samples.withColumn("__n", rank).where(F.col("__n") <= k).select(*KEY, "a", F.col("v").cast("double").alias("v")))
+    total = kept.count()
+    depth = min(14, max(0, (-(-total // bound) - 1).bit_length()))
+    draw = kept.orderBy(F.xxhash64(*KEY), *KEY).limit(16 << depth).select("a").toArrow()
+    spark = queries.sparkSession
+    tree = spark.sparkContext.broadcast(Splits(_vectors(draw.column("a")), depth))
+
+    def dealt(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.value.cell(_vectors(b.column("a"))), pa.int32())], [*b.schema.names, "cell"])
+
+    own = written(kept.mapInArrow(dealt, "row int, col int, a array<double>, v double, cell int"))
+    n = len(draw.column("a")[0])
+    sides = [f(F.col("a")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(n)]
+    rows = own.groupBy("cell").agg(*sides).collect()
+    model = spark.sparkContext.broadcast((np.array([r.cell for r in rows]), np.array([[r[f"low{i}"] for i in range(n)] for r in rows]), np.array([[r[f"high{i}"] for i in range(n)] for r in rows])))
+
+    def gap(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Distances of vectors to boxes."""
+        d = np.maximum(0.0, np.maximum(low - x[:, None], x[:, None] - high))
+        return np.sqrt((d * d).sum(axis=2))
+
+    def home(batches):
+        cells, low, high = model.value
+        for b in batches:
+            if b.num_rows:
+                x = _vectors(b.column("a"))
+                cell = tree.value.cell(x)
+                lost = np.flatnonzero(~np.isin(cell, cells))
+                for at in range(0, len(lost), 256):
+                    cell[lost[at : at + 256]] = cells[gap(x[lost[at : at + 256]], low, high).argmin(axis=1)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], [*b.schema.names, "cell"])
+
+    def beyond(batches):
+        """Other cells that may hold a nearer sample: those near to the box of queries of one cell first, then query by query."""
+        cells, low, high = model.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, mine, far = _vectors(b.column("a")), b.column("cell").to_numpy(), b.column("far").to_numpy(zero_copy_only=False)
+            query, cell = [], []
+            for c in np.unique(mine):
+                q = np.flatnonzero(mine == c)
+                box = np.maximum(0.0, np.maximum(low - x[q].max(axis=0), x[q].min(axis=0) - high))
+                some = np.flatnonzero((np.sqrt((box * box).sum(axis=1)) <= far[q].max()) & (cells != c))
+                for at in range(0, len(q), 256):
+                    i, j = np.nonzero(gap(x[q[at : at + 256]], low[some], high[some]) <= far[q[at : at + 256], None])
+                    query.append(q[at : at + 256][i])
+                    cell.append(cells[some[j]])
+            query, cell = np.concatenate(query), np.concatenate(cell)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(query)) for c in ("row", "col", "a")] + [pa.array(cell, pa.int32())], ["row", "col", "a", "cell"])
+
+    def match(key, q: pa.Table, s: pa.Table) -> pa.Table:
+        s = s.sort_by([("row", "ascending"), ("col", "ascending")])
+        x, y, best, far = _vectors(q.column("a")) if len(q) else np.zeros((0, n)), _vectors(s.column("a")) if len(s) else np.zeros((0, n)), [], []
+        row, col, v = (s.column(c).to_numpy() for c in ("row", "col", "v"))
+        step = max(1, (1 << 20) // max(1, len(y)))
+        for at in range(0, len(x), step):
+            d = np.sqrt(((x[at : at + step, None] - y[None]) ** 2).sum(axis=2))
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, near, axis=1)
+            best += [[{"d": e, "row": r, "col": c, "v": w} for e, r, c, w in zip(*z)] for z in zip(dist.tolist(), row[near].tolist(), col[near].tolist(), v[near].tolist())]
+            far.append(dist[:, k - 1] if dist.shape[1] >= k else np.full(len(dist), np.inf))
+        kind = pa.list_(pa.struct([("d", pa.float64()), ("row", pa.int32()), ("col", pa.int32()), ("v", pa.float64())]))
+        return pa.table([q.column("row"), q.column("col"), q.column("a"), q.column("cell"), pa.array(np.concatenate(far) if far else np.zeros(0)), pa.array(best, kind)], ["row", "col", "a", "cell", "far", "best"])
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        salts = F.broadcast(pairs.groupBy("cell").agg(F.ceil(F.count("*") / group).cast("int").alias("salts")))
+        q = pairs.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64(*KEY), F.col("salts")).cast("int")).drop("salts")
+        s = own.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return q.groupBy("cell", "salt").cogroup(s.groupBy("cell", "salt")).applyInArrow(match, f"row int, col int, a array<double>, cell int, far double, best {BEST}")
+
+    first = written(meet(queries.select(*KEY, "a").mapInArrow(home, "row int, col int, a array<double>, cell int")))
+    others = meet(first.select(*KEY, "a", "cell", "far").mapInArrow(beyond, "row int, col int, a array<double>, cell int"))
+    both = first.select(*KEY, "best").unionByName(others.select(*KEY, "best"))
+    return both.groupBy(*KEY).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))

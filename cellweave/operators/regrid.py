@@ -11,6 +11,7 @@ from ..plans.grid import KEY, Grid
 from ..plans.registry import operator
 from ..plans.scratch import written
 from .nearness import nearest_points
+from .zonal import at_ranks
 
 
 @operator("FLIP", "gis", "input", direction=("horizontal", "vertical", "both"))
@@ -30,9 +31,10 @@ def concat(grids: list[Grid]) -> DataFrame:
     return out
 
 
-@operator("SEPARATE", "gis", "cells")
-def separate(cells: DataFrame, band=0):
-    return cells.where(F.col("band") == band).select(*KEY, "v")
+@operator("SEPARATE", "gis", "cells", band=0)
+def separate(cells: DataFrame, band):
+    """row, col, v of a band; with band=None those of all, as band, row, col, v: written with partitionBy("band") they are a folder each."""
+    return cells.select("band", *KEY, "v") if band is None else cells.where(F.col("band") == band).select(*KEY, "v")
 
 
 def _layers(grid: Grid, category: Column, max_classes: int) -> DataFrame:
@@ -301,7 +303,13 @@ def species_distribution(presence: DataFrame, envelopes: list[Grid], percentile)
     parts = []
     for k, g in enumerate(envelopes):
         at = query_points(g, presence).where("status = 'ok'")
-        q = at.agg(F.percentile("value", percentile / 100).alias("lo"), F.percentile("value", 1 - percentile / 100).alias("hi"))
+        ends = {}
+        for name, share in (("lo", percentile / 100), ("hi", 1 - percentile / 100)):  # between the two values around it
+            place = (F.col("all") - 1) * share
+            ends |= {f"{name}0": F.floor(place), f"{name}1": F.ceil(place)}
+        q = at_ranks(at.where("value is not null"), F.col("value"), **ends).crossJoin(at.where("value is not null").agg(F.count("*").alias("all")))
+        part = lambda share: (F.col("all") - 1) * share - F.floor((F.col("all") - 1) * share)
+        q = q.select((F.col("lo0") + (F.col("lo1") - F.col("lo0")) * part(percentile / 100)).alias("lo"), (F.col("hi0") + (F.col("hi1") - F.col("hi0")) * part(1 - percentile / 100)).alias("hi"))
         parts.append(g.df.crossJoin(F.broadcast(q)).select(*KEY, F.col("v").between(F.col("lo"), F.col("hi")).cast("double").alias(f"s{k}")))
     t = parts[0]
     for p in parts[1:]:

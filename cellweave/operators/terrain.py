@@ -38,9 +38,10 @@ def viewshed(dem: Grid, observer_x, observer_y, observer_height, max_distance):
     return dem.with_cells(dem.df.join(hidden, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), v).alias("v")))
 
 
-@operator("PATHWAY", "gis", "cost backlink", row=0, col=0)
-def pathway(cost: Grid, backlink: Grid, row, col):
-    """1 on the cells from a destination along backlink codes to cost zero; the path doubles its reach each round."""
+@operator("PATHWAY", "gis", "cost backlink", row=0, col=0, target_x=None, target_y=None)
+def pathway(cost: Grid, backlink: Grid, row, col, target_x, target_y):
+    """1 on the cells from a destination (a cell, or map coordinates if given) along backlink codes to cost zero; the path doubles its reach each round."""
+    row, col = cost.cell_of(row, col, target_x, target_y)
     to = F.when(F.lit(False), F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")))
     for (a, b), c in FLOW_CODES.items():
         to = to.when(F.col("v1").cast("int") == c, F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")))

@@ -144,7 +144,7 @@ def transition_codes(a: Grid, b: Grid) -> Grid:
     return a.with_cells(align([a, b]).select(*KEY, (F.col("v0").cast("int") * 100 + F.col("v1").cast("int")).cast("double").alias("v")))
 
 
-@operator("MARKOV_CHAIN", "lcm", "earlier later", prediction_date=1)
+@operator("MARKOV_CHAIN", "lcm", "earlier later", prediction_date=10)
 def markov_chain(a: Grid, b: Grid, prediction_date):
     """from, to, p of the row-normalised transition matrix to a power; classes are few, so that matrix is on the driver."""
     import numpy as np
@@ -254,11 +254,33 @@ def stretch(grid: Grid, method, saturation_percent):
     return grid.with_cells(t.select(*KEY, F.when(F.col("v").isNotNull(), v).alias("v")))
 
 
-@operator("DISPLAY", "gis", "input", stretch_min_pct=2.0, stretch_max_pct=98.0)
-def display(grid: Grid, stretch_min_pct, stretch_max_pct):
-    q = grid.valid().agg(F.percentile("v", stretch_min_pct / 100).alias("lo"), F.percentile("v", stretch_max_pct / 100).alias("hi"))
-    v = F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255))).otherwise(0.0)
-    return grid.with_cells(one_row(grid.df, q).select(*KEY, F.when(F.col("v").isNotNull(), F.round(v)).alias("v")))
+def at_ranks(df: DataFrame, value: Column, **places: Column) -> DataFrame:
+    """One row: by name, the value at a place (from 0) in order of value, where a place is an expression over all (rows). Ranks run over counts of equal values."""
+    counts = running_count(df, value)
+    both = one_row(counts, counts.agg(F.sum("n").alias("all")))
+    return both.agg(*(F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("key"))).alias(name) for name, place in places.items()))
+
+
+@operator("DISPLAY", "gis", "input", mode=("Grayscale", "Pseudo-color", "RGB Composite"), red_band=1, green_band=2, blue_band=3, stretch_min_pct=2.0, stretch_max_pct=98.0)
+def display(bands, mode, red_band, green_band, blue_band, stretch_min_pct, stretch_max_pct):
+    """Whole numbers 0..255 between the values at two shares of the cells in order of value; cells without data are 0.
+
+    A grid, or a list of grids (bands, from 1). Grayscale and pseudo-colour stretch the first (colours are the screen's), RGB
+    three of them: v, green and blue. Band numbers beyond the last are the last.
+    """
+    grids = bands if isinstance(bands, (list, tuple)) else [bands]
+    numbers = [red_band, green_band, blue_band] if mode.startswith("RGB") else [1]
+    out = []
+    for number in numbers:
+        g = grids[min(max(number, 1), len(grids)) - 1]
+        place = lambda share: F.least(F.floor(F.col("all") * (share / 100)), F.col("all") - 1)
+        q = at_ranks(g.valid(), F.col("v"), lo=place(stretch_min_pct), hi=place(stretch_max_pct))
+        span = F.when(F.col("hi") - F.col("lo") < 1e-10, 1.0).otherwise(F.col("hi") - F.col("lo"))
+        v = F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("v") - F.col("lo")) / span * 255)))
+        out.append(g.with_cells(one_row(g.df, q).select(*KEY, F.coalesce(v, F.lit(0.0)).alias("v"))))
+    if len(out) == 1:
+        return out[0]
+    return grids[0].with_cells(align(out).select(*KEY, F.col("v0").alias("v"), F.col("v1").alias("green"), F.col("v2").alias("blue")))
 
 
 @operator("COMPOSITE", "imgproc", "red green blue")

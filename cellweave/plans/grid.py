@@ -40,6 +40,12 @@ class Grid:
         """The cell of a place: offsets are truncated toward zero and rotation plays no part."""
         return ((x - self.transform[0]) / self.transform[2]).cast("int"), ((y - self.transform[1]) / self.transform[3]).cast("int")
 
+    def cell_of(self, row: int, col: int, x: float | None, y: float | None) -> tuple[int, int]:
+        """The cell of map coordinates, or (row, col) where they aren't given."""
+        if x is None or y is None:
+            return row, col
+        return int((y - self.transform[1]) / self.transform[3]), int((x - self.transform[0]) / self.transform[2])
+
     def cell_id(self) -> Column:
         return F.col("row").cast("long") * self.cols + F.col("col")
 

@@ -210,8 +210,15 @@ def values_to_csv(lines: DataFrame, write_header):
     return lines.where(F.size(p) >= 2).select(p[0].alias("ID"), p[1].alias("Value"))
 
 
-@operator("CSV2AVL", "io", "table", id_column=0, value_column=1)
-def csv_to_values(table: DataFrame, id_column, value_column):
+@operator("CSV2AVL", "io", "table", id_column=0, value_column=1, has_header=True)
+def csv_to_values(table: DataFrame, id_column, value_column, has_header):
+    """A table, or text lines of a CSV file (one string column named value): with a header, the file's first line goes."""
+    if table.columns == ["value"]:
+        fields = F.split(F.regexp_replace("value", "\r$", ""), ",", -1)
+        lines = table.where(F.length("value") > 0)
+        if has_header:  # what equals the first line of the file, which comes first in its first split
+            lines = lines.where(F.col("value") != F.lit((table.head() or [""])[0]))
+        return lines.select(F.concat_ws(" ", F.trim(F.get(fields, F.lit(id_column))), F.trim(F.get(fields, F.lit(value_column)))).alias("value"))
     return table.select(F.concat_ws(" ", F.col(f"`{table.columns[id_column]}`").cast("string"), F.col(f"`{table.columns[value_column]}`").cast("string")).alias("value"))
 
 

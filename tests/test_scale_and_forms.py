@@ -127,7 +127,7 @@ def test_knn_regression_uses_all_samples(spark):
     rng = np.random.default_rng(2)
     y, x1, x2 = rng.normal(size=(3, 12, 15))
     mask = (rng.random((12, 15)) < 0.5).astype(float)
-    got = learn.knn_regression(to_grid(spark, y), [to_grid(spark, x1), to_grid(spark, x2)], to_grid(spark, mask), 3, block_rows=20)
+    got = learn.knn_regression(to_grid(spark, y), [to_grid(spark, x1), to_grid(spark, x2)], to_grid(spark, mask), 3)
     p = np.stack([x1.ravel(), x2.ravel()], axis=1)
     s = np.flatnonzero(mask.ravel())
     want = np.empty(180)
@@ -139,6 +139,22 @@ def test_knn_regression_uses_all_samples(spark):
     assert np.allclose(to_array(got, (12, 15)).ravel(), want)
 
 
+def test_nearest_rows_of_hot_cells(spark):
+    """Small cells, groups and many equal arrays against all pairs."""
+    from cellweave.operators.nearness import nearest_rows
+
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(150, 3)), np.tile([[0.5, 0.5, 0.5]], (80, 1)), rng.normal(size=(30, 3)) * 0.01 + 4])
+    q = np.vstack([rng.normal(size=(120, 3)) * 2, np.tile([[0.5, 0.5, 0.4]], (90, 1))])
+    samples = spark.createDataFrame([(k // 20, k % 20, v.tolist(), float(k)) for k, v in enumerate(x)], "row int, col int, a array<double>, v double")
+    queries = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(q)], "row int, col int, a array<double>")
+    got = {r.row: [(b.row, b.col, b.v) for b in r.best] for r in nearest_rows(queries, samples, 4, bound=16, group=25).collect()}
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    for k in range(len(q)):
+        want = np.argsort(d[k], kind="stable")[:4]
+        assert got[k] == [(int(i) // 20, int(i) % 20, float(i)) for i in want]
+
+
 def test_upper_tail():
     z = np.linspace(-9, 9, 2001)
     want = np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in z])
