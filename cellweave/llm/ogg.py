@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .common import map_arrow, slices
 
 HEAD = struct.Struct("<4sBBqIIIB")
 MAGIC = b"PCM8RAW\x00"
@@ -79,6 +83,37 @@ class Packet:
     data: bytes
     granule: int | None
     seconds: float | None
+    codec: str | None = None
+
+
+def clock_of(head: bytes) -> tuple[str, int, int] | None:
+    """(codec, granules a second, granules before the first sample that sounds) from a stream's first packet: Opus, Vorbis, FLAC, Speex, and write_ogg's own; None for others.
+
+    Opus counts at 48,000 a second whatever it was made from, with a pre-skip; the others' granules are samples. A
+    head of a known codec that is too short, or has no rate, raises ValueError.
+    """
+    try:
+        if head[:8] == MAGIC:
+            if len(head) != 13:
+                raise ValueError("broken header")
+            found = "pcm8", struct.unpack_from("<I", head, 8)[0], 0
+        elif head[:8] == b"OpusHead":
+            found = "opus", 48000, struct.unpack_from("<H", head, 10)[0]
+        elif head[:7] == b"\x01vorbis":
+            found = "vorbis", struct.unpack_from("<I", head, 12)[0], 0
+        elif head[:5] == b"\x7fFLAC":
+            if head[9:13] != b"fLaC":
+                raise ValueError("broken header")
+            found = "flac", struct.unpack_from(">I", head, 27)[0] >> 12, 0  # 20 bits after the block and frame sizes
+        elif head[:8] == b"Speex   ":
+            found = "speex", struct.unpack_from("<I", head, 36)[0], 0
+        else:
+            return None
+    except struct.error:
+        raise ValueError("broken header") from None
+    if not found[1]:
+        raise ValueError("broken header")
+    return found
 
 
 def read_ogg(media: bytes) -> list[Packet]:
@@ -89,8 +124,8 @@ def read_ogg(media: bytes) -> list[Packet]:
     page's granule position belongs to the last packet that ends on it; packets before it get none. No bytes: no
     packets.
     """
-    at, out, parts, expect, count, rates = 0, [], {}, {}, {}, {}
-    ended, times, told = set(), {}, 0
+    at, out, parts, expect, count, clocks = 0, [], {}, {}, {}, {}
+    ended, times, told, own_streams = set(), {}, 0, 0
     while at < len(media):
         if len(media) - at < HEAD.size:
             raise ValueError("short page")
@@ -128,19 +163,19 @@ def read_ogg(media: bytes) -> list[Packet]:
             parts[serial] = held
         for k, data in enumerate(done):
             no = count[serial] = count.get(serial, -1) + 1
-            if no == 0 and data[:8] == MAGIC:
-                if len(data) != 13:
-                    raise ValueError("broken header")
-                rates[serial], streams = struct.unpack_from("<IB", data, 8)
-                told = max(told, streams)
-            own = granule if k == len(done) - 1 else None
-            out.append(Packet(serial, no, data, own, own / rates[serial] if own is not None and serial in rates else None))
+            if no == 0 and (clock := clock_of(data)):
+                clocks[serial] = clock
+                if clock[0] == "pcm8":
+                    told, own_streams = max(told, data[12]), own_streams + 1
+            own = granule if k == len(done) - 1 and granule >= 0 else None
+            codec, rate, skip = clocks.get(serial, (None, 0, 0))
+            out.append(Packet(serial, no, data, own, max(0, own - skip) / rate if own is not None and rate else None, codec))
         at = end
     if parts:
         raise ValueError("open packet")
     if expect.keys() - ended:
         raise ValueError("stream without its end")
-    if len(rates) < told:
+    if own_streams < told:
         raise ValueError("missing stream")
     return out
 
@@ -156,29 +191,56 @@ def payload_of(packets: list[Packet]) -> bytes:
 
 
 def encode_ogg(df: DataFrame, payload_col: str, media_col: str = "media") -> DataFrame:
-    """df with a binary column of Ogg files; null payloads count as empty. An existing column of that name is replaced."""
-    make = F.pandas_udf(lambda s: s.map(lambda x: write_ogg(bytes(x or b""))), "binary")
-    return df.withColumn(media_col, make(F.col(payload_col)))
+    """df with a binary column of Ogg files; null payloads count as empty. An existing column of that name is replaced.
+
+    A few megabytes of payloads are held at a time, or one payload.
+    """
+    fields = [f for f in df.schema if f.name != media_col]
+    names = [f.name for f in fields]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, payload_col):
+            media = [write_ogg(x or b"") for x in batch.column(payload_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(media, pa.binary())], [*names, media_col])
 
-def decode_ogg(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """Packets (id, serial, number, granule, seconds, data, error) of every file.
+    return map_arrow(df, run, StructType([*fields, StructField(media_col, BinaryType())]))
 
-    A damaged file gives one row with an error, a null or empty one a row with the error `empty`; repeated rows and
-    null ids are read like others, an empty table gives none, and other columns of df aren't looked at.
+
+PACKETS = "serial long, number long, granule long, seconds double, codec string, data binary, error string"
+
+
+def _every_packet(packets: list[Packet] | None, media: bytes, error: str | None) -> list[tuple]:
+    if error:
+        return [(None, None, None, None, None, None, error)]
+    return [(p.serial, p.number, p.granule, p.seconds, p.codec, p.data, None) for p in packets] or [(None, None, None, None, None, None, "empty")]
+
+
+def decode_ogg(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", keep: tuple[str, ...] = (), finish: Callable = _every_packet, schema: str = PACKETS) -> DataFrame:
+    """id, the columns to keep, and the packets (serial, number, granule, seconds, codec, data, error) of every file.
+
+    finish makes other rows of (packets, the file's bytes, an error or None), by `schema`. A damaged file gives one
+    row with an error, a null or empty one a row with the error `empty`; repeated rows and null ids are read like
+    others, an empty table gives none, and other columns of df aren't looked at. A few megabytes of files are held at a time, or one file.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    names = ["id", *keep, *(x.split()[0] for x in schema.split(", "))]
+    own = df.select(F.col(id_col).alias("id"), *keep, F.col(media_col).alias("__media"))
+    out = df.sparkSession.createDataFrame([], schema).schema
+    kinds = to_arrow_schema(out).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for i, media in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist()):
+        for batch in slices(batches, "__media"):
+            at, rows = [], []
+            for k, media in enumerate(batch.column("__media").to_pylist()):
+                packets, error = None, None
                 try:
-                    rows += [(i, p.serial, p.number, p.granule, p.seconds, p.data, None) for p in read_ogg(media or b"")] or [(i, None, None, None, None, None, "empty")]
+                    packets = read_ogg(media or b"")
                 except ValueError as e:
-                    rows.append((i, None, None, None, None, None, str(e)))
-            if rows:
-                kinds = (batch.column("id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), kinds)], ["id", "serial", "number", "granule", "seconds", "data", "error"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, serial long, number long, granule long, seconds double, data binary, error string")
+                    error = str(e)
+                found = finish(packets, media or b"", error)
+                rows += found
+                at += [k] * len(found)
+            take = pa.array(at, pa.int64())
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in ("id", *keep)), *columns], names)
+
+    return map_arrow(own, run, StructType([*own.schema.fields[:-1], *out.fields]))

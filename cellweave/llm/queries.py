@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe, centroids, chat, decontaminate, jaccard, langid, linededup, ogg, oracles, packing, quality, tokencount, urlfilter, vectorcodes
-from .common import as_bytes, slices
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,27 +62,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_bpe(docs, path, finish=_bpe_digest, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _media_row(text: bytes) -> tuple:
-    media = ogg.write_ogg(text + bytes(-len(text) % 64 or (0 if text else 64)))
-    packets = ogg.read_ogg(media)
+def _media_digest(packets: list[ogg.Packet], media: bytes, error: str | None) -> list[tuple]:
+    if error:
+        raise ValueError(error)
     payload = ogg.payload_of(packets)
     samples = np.frombuffer(payload, np.uint8)
     seconds = max((p.seconds or 0.0) for p in packets)
     feature = f"{len({p.serial for p in packets})} streams, {len(packets)} packets, {seconds:.4f} s, mean {samples.mean():.3f}, peak {samples.max()}"
-    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
-
-
-def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in slices(batches, "text"):
-        rows = [_media_row(t) for t in as_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], ["doc_id", *names])
+    return [(len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)]
 
 
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(_media, schema)
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), size.cast("long").alias("n_bytes"), F.expr("rpad(cast(coalesce(text, '') as binary), greatest(64, cast(ceil(octet_length(coalesce(text, '')) / 64) * 64 as int)), X'00')").alias("payload"))
+    media = ogg.encode_ogg(docs, "payload").drop("payload")
+    digests = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return ogg.decode_ogg(media, keep=("n_bytes",), finish=_media_digest, schema=digests).withColumnRenamed("id", "doc_id")
 
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, unused
 
 # The named character references that addresses in attributes commonly bear, the ampersand last.
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
@@ -42,10 +42,10 @@ def with_nodes(df: DataFrame, url_col: str, node_col: str) -> DataFrame:
     Null where there is no address: null urls and those without :// are no nodes. Steps are projections of their own,
     so that nothing is computed or compiled twice.
     """
-    url = F.col(url_col)
-    t = df.withColumns({"_host": F.regexp_replace(host_of(url), ":(80|443)$", ""), "_path": path_of(url), "_query": F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)})
-    t = t.withColumn("_path", F.when(F.col("_path") == "", "/").when(F.col("_path").startswith("/") & F.col("_path").contains("/."), _without_dots(F.col("_path"))).otherwise(F.col("_path")))
-    return t.withColumn(node_col, F.when(url.contains("://"), F.xxhash64("_host", "_path", "_query"))).drop("_host", "_path", "_query")
+    url, (h, p, q) = F.col(url_col), unused(df, "_host", "_path", "_query")
+    t = df.withColumns({h: F.regexp_replace(host_of(url), ":(80|443)$", ""), p: path_of(url), q: F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)})
+    t = t.withColumn(p, F.when(F.col(p) == "", "/").when(F.col(p).startswith("/") & F.col(p).contains("/."), _without_dots(F.col(p))).otherwise(F.col(p)))
+    return t.withColumn(node_col, F.when(url.contains("://"), F.xxhash64(h, p, q))).drop(h, p, q)
 
 
 def resolve(df: DataFrame, base_col: str, to_col: str, out_col: str) -> DataFrame:
@@ -54,15 +54,16 @@ def resolve(df: DataFrame, base_col: str, to_col: str, out_col: str) -> DataFram
     Dot segments stay: they go where nodes are made. A reference to a place on the same page gives the page.
     """
     base, to = F.col(base_col), F.col(to_col)
-    t = df.withColumns({"_scheme": F.regexp_extract(base, r"(?s)^(.*?)://", 1), "_host": F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1), "_path": path_of(base), "_own": F.regexp_extract(to, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://)?)", 1)})
-    t = t.withColumn("_site", F.when(base.contains("://"), F.concat("_scheme", F.lit("://"), "_host")))
-    folder = F.when(F.col("_path") == "", "/").otherwise(F.regexp_extract("_path", r"(?s)^(.*/)", 1))
+    scheme, host, path, own, site = unused(df, "_scheme", "_host", "_path", "_own", "_site")
+    t = df.withColumns({scheme: F.regexp_extract(base, r"(?s)^(.*?)://", 1), host: F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1), path: path_of(base), own: F.regexp_extract(to, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://)?)", 1)})
+    t = t.withColumn(site, F.when(base.contains("://"), F.concat(scheme, F.lit("://"), host)))
+    folder = F.when(F.col(path) == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
     full = (
-        F.when(F.col("_own").endswith("//"), to).when(F.col("_own") != "", F.lit(None)).when(F.col("_site").isNull(), F.lit(None))
-        .when(to.startswith("//"), F.concat("_scheme", F.lit(":"), to)).when(to.startswith("/"), F.concat("_site", to)).when(to.startswith("?"), F.concat("_site", "_path", to))
-        .when((to == "") | to.startswith("#"), base).otherwise(F.concat("_site", folder, to))
+        F.when(F.col(own).endswith("//"), to).when(F.col(own) != "", F.lit(None)).when(F.col(site).isNull(), F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path, to))
+        .when((to == "") | to.startswith("#"), base).otherwise(F.concat(site, folder, to))
     )
-    return t.withColumn(out_col, full).drop("_scheme", "_host", "_path", "_own", "_site")
+    return t.withColumn(out_col, full).drop(scheme, host, path, own, site)
 
 
 def _attribute(tag: Column, name: str, inner: str = "") -> Column:
@@ -101,16 +102,37 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return chosen
 
 
-def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def with_rules(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, compiled: int = 64) -> DataFrame:
+    """df (host, path, ...) with own: struct(rule, verdict) of the longest rule that fits, as match_rules has it.
+
+    Up to `compiled` rules are one expression. A longer list, or a table (verdict, host, path), is joined: a host is looked
+    up under each of its suffixes, so rules are as many as they like, and the longest of those whose path begins the
+    page's is taken for each host and path once.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= compiled:
+            return df.withColumn("own", match_rules(F.col("host"), F.col("path"), rules))
+        rules = df.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
+    table = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), "verdict").where("suffix is not null and start is not null")
+    labels = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    places = df.select("host", "path").distinct()
+    met = places.withColumn("suffix", F.explode(suffixes)).join(table, "suffix").where(F.col("path").startswith(F.col("start")))
+    rank = F.struct((F.length("suffix") + F.length("start")).alias("n"), (F.col("verdict") == "allow").alias("allow"), F.concat("suffix", "start").alias("rule"), "verdict")
+    best = met.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", F.struct("best.rule", "best.verdict").alias("own"))
+    return df.join(best, ["host", "path"], "left")
+
+
+def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """page_id, host, path, rule and verdict of every row.
 
-    Without a rule of its own a page is blocked if its component holds a blocked page and no allowed one, else
+    rules: (verdict, host, path) in a list, or a table of such columns of any size. Without a rule of its own a page is blocked if its component holds a blocked page and no allowed one, else
     allowed. redirects: further edges (from_url, to_url). Null urls, and those without ://, have an empty host and
     path and belong to no component; repeated rows get equal verdicts; null html has no links; an empty table gives
     none. Other columns of df aren't looked at.
     """
     own = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    own = with_nodes(own.withColumn("own", match_rules(F.col("host"), F.col("path"), rules)), "url", "node")
+    own = with_nodes(with_rules(own, rules), "url", "node")
     parts = [page_edges(df, url_col, html_col)] if html_col else []
     parts += [redirects.select("from_url", "to_url")] if redirects is not None else []
     out = own.select("page_id", "host", "path", "node", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("ruled"))
@@ -125,7 +147,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], redirects: Dat
             label = connected_components(edges.select("src", "dst"))
             # Targets count even where no page of theirs was crawled.
             seen = own.where("node is not null").select("node", F.col("own.verdict").alias("ruled"))
-            target = edges.select(F.col("dst").alias("node"), match_rules(host_of(F.col("to_url")), path_of(F.col("to_url")), rules).getField("verdict").alias("ruled"))
+            target = with_rules(edges.select(F.col("dst").alias("node"), host_of(F.col("to_url")).alias("host"), path_of(F.col("to_url")).alias("path")), rules).select("node", F.col("own.verdict").alias("ruled"))
             voted = seen.unionByName(target).where("ruled is not null").groupBy("node").agg(F.max((F.col("ruled") == "allow").cast("int")).alias("a"), F.max((F.col("ruled") == "block").cast("int")).alias("b"))
             vote = label.join(voted, "node").groupBy("label").agg(F.max("a").alias("a"), F.max("b").alias("b"))
             blocked = materialize(vote.where("a = 0 and b = 1").select("label"))

@@ -11,6 +11,8 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from cellweave.llm import chat, ogg, queries, urlfilter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -175,10 +177,51 @@ def test_chat_ends_in_a_final_state(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]
     got = queries.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(str, got.select(*names).toPandas().itertuples(index=False, name=None))) == sorted(map(str, want.fetchdf().itertuples(index=False, name=None)))
+
+
+def test_codec_heads(spark):
+    """Times of real codecs' streams, from heads written by hand after their specifications."""
+    heads = {
+        "opus": (b"OpusHead" + struct.pack("<BBHIhB", 1, 2, 312, 44100, 0, 0), 48312, 1.0),
+        "vorbis": (b"\x01vorbis" + struct.pack("<IBIiiiBB", 0, 2, 44100, 0, 128000, 0, 0xB8, 1), 88200, 2.0),
+        "flac": (b"\x7fFLAC\x01\x00\x00\x01fLaC\x00\x00\x00\x22" + struct.pack(">HH", 4096, 4096) + bytes(6) + ((96000 << 12) | (1 << 9) | (15 << 4)).to_bytes(4, "big") + bytes(20), 48000, 0.5),
+        "speex": (b"Speex   " + b"1.2".ljust(20, b"\0") + struct.pack("<iii", 1, 80, 16000) + bytes(40), 4000, 0.25),
+    }
+    rows = []
+    for k, (codec, (head, granule, seconds)) in enumerate(heads.items()):
+        media = b"".join(page for _, page in ogg._stream(k + 1, [(head, 0), (b"tags", 0), (b"sound" * 99, granule)]))
+        last = ogg.read_ogg(media)[-1]
+        assert (last.codec, last.granule, last.seconds) == (codec, granule, seconds)
+        rows.append((k, bytearray(media)))
+    assert ogg.clock_of(b"theora?") is None
+    for broken in (b"OpusHead\x01", b"\x01vorbis", heads["speex"][0][:36] + bytes(44), b"\x7fFLAC\x01\x00\x00\x01flac" + bytes(40)):
+        with pytest.raises(ValueError):
+            ogg.clock_of(broken)
+    frame = spark.createDataFrame([(i, m, "a", 1) for i, m in rows], "doc_id long, media binary, `x.y` string, id int")
+    got = {r.id: r.seconds for r in ogg.decode_ogg(frame).where("number = 2").collect()}
+    assert got == {k: v[2] for k, v in enumerate(heads.values())}
+    again = ogg.encode_ogg(frame.withColumnRenamed("media", "payload"), "payload", "media")
+    assert again.columns == ["doc_id", "payload", "x.y", "id", "media"] and ogg.decode_ogg(again).where("error is not null").count() == 0
+
+
+def test_rules_as_a_table(spark):
+    """A long list, a table and the compiled form give the same."""
+    rules = queries.RULES + [("block", "a.b.com", "/"), ("allow", "a.b.com", "/"), ("block", "b.com", "/x"), ("block", "", "/"), ("allow", "b.com:80", "/")]
+    urls = ["http://a.b.com/", "http://z.a.b.com/x/y", "https://b.com/xyz", "http://b.com:80/x", "http://example.com/en/1", "http://www.example.com/en/1", "http://.com/", "nothing", None, "http://Q.NET/es/", "http:///", "http://xb.com/x"]
+    page = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls + urls[:3])], "page_id long, url string, html string")
+    many = rules + [("block", f"h{k}.org", "/") for k in range(100)]
+    read = lambda r: sorted(map(tuple, urlfilter.filter_urls(page, r).collect()))
+    plain = page.withColumns({"host": urlfilter.host_of(F.col("url")), "path": urlfilter.path_of(F.col("url"))})
+    want = sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.with_rules(plain, many, compiled=1000).select("page_id", "own.*").collect())
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.with_rules(plain, many).select("page_id", "own.*").collect()) == want
+    table = spark.createDataFrame(many, "verdict string, host string, path string")
+    assert read(many) == read(table)
+    hops = spark.createDataFrame([("http://b.com/x", "http://free.org/", 1), (None, "http://x.org/", 2)], "from_url string, to_url string, _host int")
+    assert urlfilter.with_nodes(urlfilter.resolve(hops, "from_url", "to_url", "full"), "full", "node").columns == ["from_url", "to_url", "_host", "full", "node"]
