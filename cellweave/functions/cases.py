@@ -444,6 +444,7 @@ def _iterate() -> None:
     case("rastervector_round_trip", "RASTERVECTOR", "s", f" SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(CASE WHEN v <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range({SIZE}) t(r) CROSS JOIN range({SIZE}) u(c) LEFT JOIN s ON s.row = r AND s.col = c", lambda f, own: create("VECTORRASTER")(f(own[0]).where("value <> 0"), own[0]))
     case("durbinwatson", "DURBINWATSON", "b", f", l AS (SELECT v, LAG(v) OVER (ORDER BY row, col) AS w FROM b WHERE v IS NOT NULL) SELECT {R('SUM((v - w) * (v - w)) / SUM(v * v)', 'dw')}, {R('1 - SUM((v - w) * (v - w)) / SUM(v * v) / 2', 'rho')}, COUNT(*) AS n FROM l")
     case("cochranorcutt", "COCHRANORCUTT", "ab", None)
+    case("cochranorcutt_residuals", "COCHRANORCUTT", "ab", None, output="residuals")
     add("generalize", lambda s, d: create("GENERALIZE")(_points(s, d), min_distance=40.0))
 
 

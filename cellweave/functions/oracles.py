@@ -385,3 +385,11 @@ def _nearness() -> None:
         logs = f", w AS (SELECT UNNEST({list(sizes)}) AS w), l AS (SELECT row, col, LN(w * 10.0) AS lx, LN(SUM(e)) AS ly FROM k JOIN w ON p BETWEEN -(w // 2) AND w // 2 - 1 AND q BETWEEN -(w // 2) AND w // 2 - 1 GROUP BY row, col, w HAVING SUM(e) > 0), f AS (SELECT row, col, {len(sizes)} * SUM(lx * ly) - SUM(lx) * SUM(ly) AS num, {len(sizes)} * SUM(lx * lx) - SUM(lx) * SUM(lx) AS den FROM l GROUP BY 1, 2)"
         out = "CASE WHEN x.v IS NULL THEN NULL WHEN den IS NULL OR ABS(den) < 1e-15 THEN 2 ELSE GREATEST(2, LEAST(3, 2 + ABS(num / den - 2))) END"
         put(name, with_grids(g, areas + logs + f" SELECT x.row, x.col, {R(out)} FROM {g} x LEFT JOIN f USING (row, col)"))
+
+    lag = "OVER (ORDER BY row, col)"
+    auto = f", t AS MATERIALIZED (SELECT row, col, a.v AS y, b.v AS x, LAG(a.v) {lag} AS y0, LAG(b.v) {lag} AS x0 FROM a JOIN b USING (row, col) WHERE a.v IS NOT NULL AND b.v IS NOT NULL), f0 AS MATERIALIZED (SELECT 0.0 AS rho, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, 0 AS k, FALSE AS done FROM t)"
+    for k in range(1, 11):
+        auto += f", r{k} AS MATERIALIZED (SELECT SUM((y - f.a - f.b * x) * (y0 - f.a - f.b * x0)) / SUM((y0 - f.a - f.b * x0) * (y0 - f.a - f.b * x0)) AS rho FROM t, f{k - 1} f WHERE y0 IS NOT NULL), n{k} AS MATERIALIZED (SELECT r.rho, REGR_SLOPE(y - r.rho * y0, x - r.rho * x0) AS b, REGR_INTERCEPT(y - r.rho * y0, x - r.rho * x0) / (1 - r.rho) AS a FROM t, r{k} r WHERE y0 IS NOT NULL GROUP BY r.rho)"
+        auto += f", f{k} AS MATERIALIZED (SELECT CASE WHEN f.done THEN f.rho ELSE n.rho END AS rho, CASE WHEN f.done THEN f.b ELSE n.b END AS b, CASE WHEN f.done THEN f.a ELSE n.a END AS a, CASE WHEN f.done THEN f.k ELSE {k} END AS k, f.done OR {'FALSE' if k == 1 else 'ABS(n.rho - f.rho) < 1e-6'} AS done FROM f{k - 1} f, n{k} n)"
+    put("cochranorcutt", with_grids("ab", auto + f" SELECT {R('rho', 'rho')}, {R('a', 'intercept')}, {R('b', 'slope')}, CAST(k AS INT) AS rounds FROM f10"))
+    put("cochranorcutt_residuals", with_grids("ab", auto + f" SELECT a.row, a.col, {R('t.y - f.a - f.b * t.x')} FROM a LEFT JOIN t USING (row, col), f10 f"))

@@ -480,22 +480,40 @@ def durbin_watson(grid: Grid):
     return t.select((F.col("d") / F.col("e")).alias("dw"), (1 - F.col("d") / F.col("e") / 2).alias("rho"), "n")
 
 
-@operator("COCHRANORCUTT", "gis", "dependent independent", max_iterations=10)
-def cochrane_orcutt(y: Grid, x: Grid, max_iterations):
-    """rho, intercept, slope and rounds of the regression with first-order autocorrelated errors in row order."""
+@operator("COCHRANORCUTT", "gis", "dependent independent", max_iterations=10, output=("coefficients", "residuals"))
+def cochrane_orcutt(y: Grid, x: Grid, max_iterations, output):
+    """Regression with first-order autocorrelated errors in row order, of at least four pairs.
+
+    coefficients: rho, intercept, slope and rounds. A round takes rho from the residuals so far (those of plain least squares at
+    first), fits y - rho * (y before) on x - rho * (x before), and ends when rho moves by less than a millionth.
+    residuals: a grid of y less the last fit.
+    """
     both = align([y, x]).where("v0 is not null and v1 is not null")
     pair = [_scan_lag(y.with_cells(both.select(*KEY, F.col(c).alias("v")))).select(*KEY, F.col("v").alias(n), F.col("before").alias(f"{n}0")) for c, n in (("v0", "y"), ("v1", "x"))]
-    t, rho, fit, k = written(pair[0].join(pair[1], KEY)), 0.0, None, 0
+    t = written(pair[0].join(pair[1], KEY))
+
+    def ols(yy, xx, rows: DataFrame) -> tuple[float, float]:
+        """Slope and intercept; no slope on an x that doesn't vary."""
+        m = rows.agg(F.avg(yy).alias("y"), F.avg(xx).alias("x"), F.covar_pop(yy, xx).alias("xy"), F.var_pop(xx).alias("xx"), F.count("*").alias("n")).head()
+        slope = m["xy"] / m["xx"] if m["xx"] * m.n >= 1e-15 else 0.0
+        return slope, m.y - slope * m.x
+
+    if t.count() < 4:
+        raise ValueError("COCHRANORCUTT needs four pairs")
+    after, (slope, intercept) = t.where("y0 is not null"), ols(F.col("y"), F.col("x"), t)
+    rho, old, k = 0.0, 0.0, 0
     for k in range(1, max_iterations + 1):
-        yy, xx = F.col("y") - rho * F.col("y0"), F.col("x") - rho * F.col("x0")
-        first = {"b": F.regr_slope("y", "x"), "a": F.regr_intercept("y", "x")} if k == 1 else {"b": F.regr_slope(yy, xx), "a": F.regr_intercept(yy, xx) / (1 - rho)}
-        fit = t.agg(*(c.alias(n) for n, c in first.items())).head()
-        e, e0 = F.col("y") - fit.a - fit.b * F.col("x"), F.col("y0") - fit.a - fit.b * F.col("x0")
-        new = t.where("y0 is not null").agg((F.sum(e * e0) / F.sum(e0 * e0)).alias("r")).head().r or 0.0
-        rho, old = new, rho
-        if abs(rho - old) < 1e-6:
+        e, e0 = F.col("y") - intercept - slope * F.col("x"), F.col("y0") - intercept - slope * F.col("x0")
+        m = after.agg(F.sum(e * e0).alias("num"), F.sum(e0 * e0).alias("den")).head()
+        rho = m.num / m.den if m.den > 0 else 0.0
+        slope, moved = ols(F.col("y") - rho * F.col("y0"), F.col("x") - rho * F.col("x0"), after)
+        intercept = moved / (1 - rho) if abs(1 - rho) > 1e-15 else moved
+        if k > 1 and abs(rho - old) < 1e-6:
             break
-    return t.sparkSession.createDataFrame([(float(rho), float(fit.a), float(fit.b), k)], "rho double, intercept double, slope double, rounds int")
+        old = rho
+    if output == "residuals":
+        return y.with_cells(y.df.select(*KEY).join(t.select(*KEY, (F.col("y") - intercept - slope * F.col("x")).alias("v")), KEY, "left"))
+    return t.sparkSession.createDataFrame([(float(rho), float(intercept), float(slope), k)], "rho double, intercept double, slope double, rounds int")
 
 
 @operator("GENERALIZE", "gis", "points", min_distance=1.0)

@@ -19,23 +19,67 @@ from .zonal import by_key, running_count
 
 
 @operator("VIEWSHED", "gis", "dem", observer_x=0.0, observer_y=0.0, observer_height=1.7, max_distance=0.0)
-def viewshed(dem: Grid, observer_x, observer_y, observer_height, max_distance):
-    """1 where no cell on the line from the observer stands at a steeper angle. Each target looks its line's cells up, one row per step."""
+def viewshed(dem: Grid, observer_x, observer_y, observer_height, max_distance, wedge_cells=1 << 20):
+    """1 where no cell on the line from the observer stands at a steeper angle, else 0.
+
+    Cells are dealt to wedges around the observer, of wedge_cells at most, and go to those wedges as well whose lines may touch
+    them (half a cell to either side), which are few but beside the observer. So rows are shuffled about once, and a
+    wedge walks all of its lines in arrays, step by step.
+    """
     ox, oy, pw, ph, *_ = dem.transform
     oc, orow = int((observer_x - ox) / pw), int((observer_y - oy) / ph)
     eye = dem.df.where((F.col("row") == orow) & (F.col("col") == oc)).head()
     if eye is None or eye.v is None:
         raise ValueError("the observer stands outside the data")
-    dr, dc = F.col("row") - orow, F.col("col") - oc
-    far = F.sqrt((dr * dr + dc * dc).cast("double"))
-    angle = written(dem.valid().where(far > 0).select(*KEY, ((F.col("v") - (eye.v + observer_height)) / far).alias("angle")))
-    steps = F.greatest(F.abs(dr), F.abs(dc))
-    seen = far * dem.cell[0] <= max_distance if max_distance > 0 else F.lit(True)
-    lines = angle.where(seen & (steps > 1)).select(*KEY, "angle", F.explode(F.sequence(F.lit(1), steps - 1)).alias("s"), dr.alias("dr"), dc.alias("dc"), steps.alias("n"))
-    on = lines.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("angle").alias("own"), *((F.round(F.col(d) / F.col("n") * F.col("s")) + o).cast("int").alias(k) for k, d, o in (("row", "dr", orow), ("col", "dc", oc))))
-    hidden = on.join(angle.withColumnRenamed("angle", "mid"), KEY).groupBy("tr", "tc").agg((F.max("mid") > F.first("own")).alias("hidden")).where("hidden").select(F.col("tr").alias("row"), F.col("tc").alias("col"), "hidden")
-    v = F.when((F.col("row") == orow) & (F.col("col") == oc), 1.0).when(seen & F.col("hidden").isNull(), 1.0).otherwise(0.0)
-    return dem.with_cells(dem.df.join(hidden, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), v).alias("v")))
+    (dx, dy), height = dem.cell, eye.v + observer_height
+    reach = max((r - orow) ** 2 + (c - oc) ** 2 for r in (0, dem.rows) for c in (0, dem.cols))
+    wedges = max(1, math.ceil(math.pi * reach / wedge_cells))
+    dr, dc = (F.col("row") - orow).cast("double"), (F.col("col") - oc).cast("double")
+    place = (F.atan2(dr, dc) + math.pi) / (2 * math.pi / wedges)
+    slack = 0.75 / F.sqrt(dr * dr + dc * dc) / (2 * math.pi / wedges)
+    first = F.floor(place - slack)
+    last = F.least(F.floor(place + slack), first + (wedges - 1))
+    cells = dem.valid().where((F.col("row") != orow) | (F.col("col") != oc))
+    dealt = cells.select(*KEY, "v", F.pmod(F.floor(place), F.lit(wedges)).alias("home"), F.explode(F.sequence(first, last)).alias("w")).select(*KEY, "v", "home", F.pmod("w", F.lit(wedges)).alias("wedge"))
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col, v = (table.column(c).to_numpy() for c in ("row", "col", "v"))
+        own = table.column("home").to_numpy() == table.column("wedge").to_numpy()
+        angle = (v - height) / np.hypot(row - orow, col - oc)
+        # A wedge's cells of one row lie between two columns: rows one after the other are an image without the rest.
+        top, rows = row.min(), row.max() - row.min() + 1
+        low, high = np.full(rows, np.iinfo(np.int64).max), np.full(rows, -1)
+        np.minimum.at(low, row - top, col)
+        np.maximum.at(high, row - top, col)
+        start = np.concatenate(([0], np.cumsum(np.maximum(0, high - low + 1))))
+        image = np.full(start[-1], -np.inf)
+        image[start[row - top] + col - low[row - top]] = angle
+        r, c, own_angle = row[own], col[own], angle[own]
+        steps = np.maximum(np.abs(r - orow), np.abs(c - oc))
+        order = np.argsort(-steps, kind="stable")
+        r, c, own_angle, steps = r[order], c[order], own_angle[order], steps[order]
+        step_r, step_c, most = (r - orow) / steps, (c - oc) / steps, np.full(len(r), -np.inf)
+
+        def near(x: np.ndarray) -> np.ndarray:
+            """Rounded, halves away from zero."""
+            whole = np.floor(np.abs(x))
+            return (np.sign(x) * (whole + (np.abs(x) - whole >= 0.5))).astype(np.int64)
+
+        for s in range(1, int(steps[0]) if len(steps) else 0):
+            m = int(np.searchsorted(-steps, -s))  # lines that go on beyond s
+            i, j = near(step_r[:m] * s) + orow - top, near(step_c[:m] * s) + oc
+            there = (i >= 0) & (i < rows)
+            i = np.where(there, i, 0)
+            there &= (j >= low[i]) & (j <= high[i])
+            most[:m][there] = np.maximum(most[:m][there], image[start[i[there]] + j[there] - low[i[there]]])
+        seen = own_angle >= most
+        if max_distance > 0:
+            seen &= np.hypot((r - orow) * dy, (c - oc) * dx) <= max_distance
+        return pa.table({"row": pa.array(r, pa.int32()), "col": pa.array(c, pa.int32()), "seen": seen.astype(float)})
+
+    found = dealt.groupBy("wedge").applyInArrow(run, "row int, col int, seen double")
+    here = F.when((F.col("row") == orow) & (F.col("col") == oc), 1.0).otherwise(F.col("seen"))
+    return dem.with_cells(dem.df.join(found, KEY, "left").select(*KEY, F.when(F.col("v").isNotNull(), here).alias("v")))
 
 
 @operator("PATHWAY", "gis", "cost backlink", row=0, col=0, target_x=None, target_y=None)

@@ -9,7 +9,7 @@ import pytest
 
 from cellweave.functions import catalogue
 from cellweave.functions.database import Database
-from cellweave.operators import iterate, learn, regrid, zonal
+from cellweave.operators import iterate, learn, regrid, terrain, zonal
 from cellweave.operators.nearness import lowest, nearest_points, squared_distances
 from cellweave.plans import registry
 from cellweave.plans.grid import Grid
@@ -337,6 +337,10 @@ def test_viewshed(spark, rng):
                         want[r, c] = 0
     got = to_array(create("VIEWSHED")(to_grid(spark, dem), observer_x=5.5, observer_y=-6.5), dem.shape)
     assert (got == want).all()
+    many = terrain.viewshed(to_grid(spark, dem), 5.5, -6.5, 1.7, 0.0, wedge_cells=7)
+    assert (to_array(many, dem.shape) == want).all()
+    far = np.array([[math.hypot(r - orow, c - oc) <= 4 for c in range(14)] for r in range(13)])
+    assert (to_array(terrain.viewshed(to_grid(spark, dem), 5.5, -6.5, 1.7, 4.0, wedge_cells=40), dem.shape) == want * far).all()
 
 
 def test_pollination(spark, rng):
