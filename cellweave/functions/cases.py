@@ -487,6 +487,7 @@ def _learn() -> None:
     add("sigcomp", lambda s, d: s.createDataFrame(create("SIGCOMP")(sig(s, d), sig(s, d)), "a int, b int, euclid double, divergence double, transformed double"))
     add("endsig", lambda s, d: s.createDataFrame(create("ENDSIG")(ends), "a int, b int, angle double, sid double"))
     case("knnregress", "KNNREGRESS", "apqs", None, lambda f, own: f(own[0], own[1:3], own[3]))
+    add("purify_floor", lambda s, d: create("PURIFY")(px(s, d), labels(s, d), std_threshold=1.2, max_iterations=2, min_retain=0.85))
     case("logistic_reg", "LOGISTIC_REG", "spq", None, lambda f, own: f(own[0], own[1:]))
     case("transition_potential", "TRANSITION_POTENTIAL", "spq", None, lambda f, own: f([own[0]], own[1:]))
     case("transition_kernel", "TRANSITION_POTENTIAL", "spq", None, lambda f, own: f([own[0]], own[1:]), method="Kernel similarity")

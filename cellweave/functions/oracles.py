@@ -393,3 +393,35 @@ def _nearness() -> None:
         auto += f", f{k} AS MATERIALIZED (SELECT CASE WHEN f.done THEN f.rho ELSE n.rho END AS rho, CASE WHEN f.done THEN f.b ELSE n.b END AS b, CASE WHEN f.done THEN f.a ELSE n.a END AS a, CASE WHEN f.done THEN f.k ELSE {k} END AS k, f.done OR {'FALSE' if k == 1 else 'ABS(n.rho - f.rho) < 1e-6'} AS done FROM f{k - 1} f, n{k} n)"
     put("cochranorcutt", with_grids("ab", auto + f" SELECT {R('rho', 'rho')}, {R('a', 'intercept')}, {R('b', 'slope')}, CAST(k AS INT) AS rounds FROM f10"))
     put("cochranorcutt_residuals", with_grids("ab", auto + f" SELECT a.row, a.col, {R('t.y - f.a - f.b * t.x')} FROM a LEFT JOIN t USING (row, col), f10 f"))
+    _models()
+
+
+def _models() -> None:
+    """Rounds of models, written out one after the other."""
+    moves = ((1, 1, 1.0), (2, 2, 0.9), (2, 1, 0.1), (3, 3, 0.8), (3, 1, 0.2), (4, 2, 0.3), (4, 4, 0.7), (5, 5, 1.0))
+    rounds = ", m AS (SELECT * FROM (VALUES " + ", ".join(map(str, moves)) + ") t(f, t, p)), i0 AS (SELECT CAST(v AS INT) AS k, COUNT(*) AS n FROM c WHERE v IS NOT NULL GROUP BY 1), w AS (SELECT k, COALESCE(i0.n, 0) AS n, FLOOR(COALESCE(SUM(j.n * m.p), 0) + 0.5) AS want FROM (SELECT DISTINCT t AS k FROM m UNION SELECT f FROM m) a LEFT JOIN i0 USING (k) LEFT JOIN m ON m.t = a.k LEFT JOIN i0 j ON j.k = m.f GROUP BY k, i0.n), c0 AS (SELECT row, col, v FROM c)"
+    for k in (1, 2):
+        was = f"c{k - 1}"
+        rounds += f", d{k} AS MATERIALIZED (SELECT w.k, FLOOR(w.n + (want - w.n) * {k} / 2.0 + 0.5) - COALESCE(x.n, 0) AS short FROM w LEFT JOIN (SELECT CAST(v AS INT) AS k, COUNT(*) AS n FROM {was} GROUP BY 1) x USING (k))"
+        rounds += f", s{k} AS MATERIALIZED (SELECT x.row, x.col, m.t AS k, m.p * CASE m.t WHEN 1 THEN p.v WHEN 2 THEN q.v ELSE 1 END AS s FROM {was} x JOIN m ON m.f = CAST(x.v AS INT) AND m.f <> m.t JOIN p USING (row, col) JOIN q USING (row, col)), h{k} AS MATERIALIZED (SELECT row, col, MAX(k) AS k FROM (SELECT s.*, ROW_NUMBER() OVER (PARTITION BY k ORDER BY s DESC, row * {SIZE} + col) AS r FROM s{k} s WHERE s > 0) JOIN d{k} USING (k) WHERE r <= short GROUP BY 1, 2)"
+        rounds += f", n{k} AS MATERIALIZED (SELECT x.row, x.col, x.v, COALESCE(h.k, x.v) AS new FROM {was} x LEFT JOIN h{k} h USING (row, col)), t{k} AS MATERIALIZED (SELECT a.row, a.col, COUNT(*) - 1 AS same FROM n{k} a JOIN n{k} b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 AND CAST(b.new AS INT) = CAST(a.new AS INT) GROUP BY 1, 2), c{k} AS MATERIALIZED (SELECT n.row, n.col, CASE WHEN new <> v AND same < 2 THEN v ELSE new END AS v FROM n{k} n JOIN t{k} USING (row, col))"
+    put("cellular_automata", with_grids("cpq", rounds + " SELECT row, col, CAST(v AS DOUBLE) AS v FROM c2"))
+
+    def purified(threshold: float, most: int, retain: float) -> str:
+        out = ", t0 AS MATERIALIZED (SELECT px.row, px.col, px.a, px.p, px.q, CAST(c.v AS INT) AS k FROM px JOIN c USING (row, col) WHERE (row + col) % 3 = 0 AND CAST(c.v AS INT) <> 0), z AS (SELECT k, COUNT(*) AS start FROM t0 GROUP BY 1)"
+        for r in range(1, most + 1):
+            far = " OR ".join(f"(s{b} >= 1e-10 AND ABS({b} - m{b}) > {threshold} * s{b})" for b in "apq")
+            stats = ", ".join(f"AVG({b}) OVER w AS m{b}, STDDEV_SAMP({b}) OVER w AS s{b}" for b in "apq")
+            out += f", f{r} AS (SELECT row, col, a, p, q, k, n, n >= 3 AND ({far}) AS far FROM (SELECT *, COUNT(*) OVER w AS n, {stats} FROM t{r - 1} WINDOW w AS (PARTITION BY k))), t{r} AS MATERIALIZED (SELECT row, col, a, p, q, f.k FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, far ORDER BY row, col) - 1 AS j FROM f{r}) f JOIN z ON z.k = f.k WHERE NOT (far AND (n - j - 1) / CAST(start AS DOUBLE) >= {retain}))"
+        return PX + out + f" SELECT row, col, CAST(k AS DOUBLE) AS v FROM t{most}"
+
+    put("purify", with_grids("apqc", purified(2.0, 5, 0.5)))
+    put("purify_floor", with_grids("apqc", purified(1.2, 2, 0.85)))
+    inv = _inverse("h00", "h01", "h02", "h11", "h12", "h22")
+    fit = ", x AS MATERIALIZED (SELECT row, col, p.v AS p, q.v AS q, CASE WHEN s.v <> 0 THEN 1.0 ELSE 0.0 END AS y FROM p JOIN q USING (row, col) JOIN s USING (row, col)), b0 AS (SELECT 0.0 AS b0, 0.0 AS b1, 0.0 AS b2)"
+    for k in range(1, 13):
+        h = {"00": "w", "01": "w * p", "02": "w * q", "11": "w * p * p", "12": "w * p * q", "22": "w * q * q"}
+        fit += f", g{k} AS MATERIALIZED (SELECT b0, b1, b2, {', '.join(f'SUM({e}) AS h{i}' for i, e in h.items())}, SUM(y - e) AS g0, SUM((y - e) * p) AS g1, SUM((y - e) * q) AS g2 FROM (SELECT *, e * (1 - e) AS w FROM (SELECT x.*, b.*, 1 / (1 + EXP(-GREATEST(-20, LEAST(20, b0 + b1 * p + b2 * q)))) AS e FROM x, b{k - 1} b)) GROUP BY b0, b1, b2)"
+        steps = [" + ".join(f"{inv[''.join(sorted(f'{i}{j}'))]} * g{j}" for j in range(3)) for i in range(3)]
+        fit += f", b{k} AS MATERIALIZED (SELECT {', '.join(f'b{i} + {e} AS b{i}' for i, e in enumerate(steps))} FROM g{k})"
+    put("logistic_reg", with_grids("spq", fit + f" SELECT row, col, {R('1 / (1 + EXP(-(b0 + b1 * p + b2 * q)))')} FROM x, b12"))

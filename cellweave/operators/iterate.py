@@ -326,22 +326,37 @@ def automaton(state: Grid, rules: Grid, iterations):
 
 @operator("CELLULAR_AUTOMATA", "lcm", "base suitability", matrix=(), iterations=10)
 def cellular_automata(base: Grid, suitability: dict[int, Grid], matrix, iterations):
-    """matrix: (from, to, p). In each round every class gains its share of the Markov demand where suitability, weighted by the 5 x 5 share of the class, is largest."""
-    count = {int(r["v"]): r["count"] for r in base.valid().groupBy(F.col("v").cast("int").alias("v")).count().collect()}
-    want = {b: sum(count.get(a, 0) * p for a, t, p in matrix if t == b) for b in {m[1] for m in matrix}}
-    cells = written(base.df)
+    """matrix: (from, to, p) over the classes that it names. Each round moves classes' areas a step towards those that the matrix gives.
+
+    A class that is short takes the cells of other classes with the largest suitability times p, above 0 (ties by cell number);
+    where several classes take a cell, the last of them has it. Then changed cells with fewer than two others of their new
+    class in 5 x 5 go back. Classes without a map are suited alike everywhere.
+    """
+    classes = sorted({c for a, b, _ in matrix for c in (a, b)})
+    initial = {int(r["v"]): r["count"] for r in base.valid().groupBy(F.col("v").cast("int").alias("v")).count().collect()}
+    half_up = lambda x: math.floor(x + 0.5)
+    want = {c: half_up(sum(initial.get(a, 0) * p for a, b, p in matrix if b == c)) for c in classes}
+    start = cells = written(base.df.select(*KEY, "v"))
     for k in range(1, iterations + 1):
-        for cls in sorted(want):
-            if cls not in suitability:
-                continue
-            now = cells.where(F.col("v").cast("int") == cls).count()
-            short = round(count.get(cls, 0) + (want[cls] - count.get(cls, 0)) * k / iterations) - now
+        now = {int(r["v"]): r["count"] for r in cells.where("v is not null").groupBy(F.col("v").cast("int").alias("v")).count().collect()}
+        new, used = cells.withColumn("new", F.col("v")), []
+        for c in classes:
+            short = half_up(initial.get(c, 0) + (want[c] - initial.get(c, 0)) * k / iterations) - now.get(c, 0)
             if short <= 0:
                 continue
-            near = moving(base.with_cells(cells.where(F.col("v").cast("int") == cls)), square(5)).groupBy(*KEY).agg((F.count("*") / 25).alias("share"))
-            score = suitability[cls].df.select(*KEY, F.col("v").alias("s")).join(near, KEY).join(cells.where(F.col("v").cast("int") != cls), KEY).select(*KEY, (F.col("s") * F.col("share")).alias("v"))
-            hit = top_rank(base.with_cells(score), "Number of cells", short, 5.0).df.where("v = 1").select(*KEY, F.lit(float(cls)).alias("new"))
-            cells = written(cells.join(hit, KEY, "left").select(*KEY, F.coalesce("new", "v").alias("v")))
+            chance = F.lit(None).cast("double")
+            for a, b, p in matrix:
+                if b == c and a != c and p > 0:
+                    chance = F.when(F.col("v").cast("int") == a, float(p)).otherwise(chance)
+            t = cells if c not in suitability else cells.join(suitability[c].df.select(*KEY, F.col("v").alias("s")), KEY)
+            score = t.select(*KEY, ((F.col("s") if c in suitability else F.lit(1.0)) * chance).alias("v")).where("v > 0")
+            hit = top_rank(base.with_cells(score), "Number of cells", short, 5.0).df.where("v = 1").select(*KEY, F.lit(float(c)).alias("take"))
+            new = new.join(hit, KEY, "left").select(*KEY, "v", F.coalesce("take", "new").alias("new"))
+        new = written(new)
+        same = focal(new.select(*KEY, F.col("new").alias("v")), 5, lambda w, n, centre: {"same": (np.trunc(w) == np.trunc(centre)[:, None]).sum(axis=1) - 1.0}, ["same"]).select(*KEY, "same")
+        after = written(new.join(same, KEY).select(*KEY, F.when((F.col("new") != F.col("v")) & (F.col("same") < 2), F.col("v")).otherwise(F.col("new")).alias("v")))
+        discard(new, *([cells] if cells is not start else []))
+        cells = after
     return base.with_cells(cells)
 
 

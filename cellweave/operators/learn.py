@@ -19,6 +19,7 @@ from ..plans.grid import KEY, Grid, align
 from ..plans.registry import operator
 from ..plans.scratch import discard, written
 from .nearness import nearest_rows
+from .zonal import running_count
 
 #: Default of training_rows, the most labelled pixels that go into a classifier which is fitted in one place (SOM, RBFNN, both ARTMAPs); part of their results.
 TRAINING_ROWS = 20000
@@ -787,21 +788,44 @@ def transition_potential(transitions: list[Grid], drivers: list[Grid], method, k
 
 @operator("PURIFY", "imgproc", "pixels labels", std_threshold=2.0, max_iterations=5, min_retain=0.5)
 def purify(px: DataFrame, labels: DataFrame, std_threshold, max_iterations, min_retain):
-    """Training cells left after rounds that drop those beyond std_threshold sample deviations in any band; a class stops before falling under min_retain."""
+    """row, col, v of training cells left after rounds that drop those beyond std_threshold sample deviations of their class in any band.
+
+    In a round a class loses its outliers in row order, as long as min_retain of the cells that it began with stay; a
+    class of fewer than three cells loses none, and a band without spread has no outliers.
+    """
     n, t = width(px), written(training(px, labels))
-    start = t.groupBy("label").agg(F.count("*").alias("start"))
+    start = dict(t.groupBy("label").count().collect())
     for _ in range(max_iterations):
         s = t.groupBy("label").agg(F.count("*").alias("n"), F.array(*(F.avg(F.col("a")[k]) for k in range(n))).alias("m"), F.array(*(F.stddev_samp(F.col("a")[k]) for k in range(n))).alias("s"))
-        far = F.exists(F.arrays_zip("a", "m", "s"), lambda x: F.abs(x["a"] - x["m"]) > x["s"] * std_threshold)
-        marked = t.join(s, "label").withColumn("far", far & (F.col("n") >= 3))
-        may = marked.groupBy("label").agg(F.count_if("far").alias("f"), F.first("n").alias("c")).join(start, "label").where((F.col("f") > 0) & ((F.col("c") - F.col("f")) / F.col("start") >= min_retain)).select("label", F.lit(True).alias("go"))
-        new = written(marked.join(may, "label", "left").where(~(F.col("far") & F.coalesce("go", F.lit(False)))).select(*t.columns))
-        if new.count() == t.count():
+        far = F.exists(F.arrays_zip("a", "m", "s"), lambda x: (x["s"] >= 1e-10) & (F.abs(x["a"] - x["m"]) > x["s"] * std_threshold))
+        marked = written(t.join(F.broadcast(s), "label").withColumn("far", far & (F.col("n") >= 3)).drop("m", "s"))
+        counts = marked.groupBy("label").agg(F.count_if("far").alias("f"), F.count("*").alias("n")).where("f > 0").collect()
+        # The j-th to go (from 0) leaves n - j - 1 of the class.
+        may = {r["label"]: sum((r["n"] - j - 1) / start[r["label"]] >= min_retain for j in range(r["f"])) for r in counts}
+        gone = None
+        for r in counts:
+            own = marked.where("far").where(F.col("label") == r["label"]).select(*KEY)
+            if may[r["label"]] < r["f"]:
+                own = _first_cells(own, may[r["label"]])
+            gone = own if gone is None else gone.unionByName(own)
+        if gone is None or not any(may.values()):
             break
+        new = written(t.join(gone, KEY, "left_anti"))
+        discard(t, marked)
         t = new
     return t.select(*KEY, F.col("label").cast("double").alias("v"))
 
 
+def _first_cells(cells: DataFrame, n: int) -> DataFrame:
+    """The first n cells in row order: whole rows by running counts, and the last one's by column."""
+    rows = running_count(cells, F.col("row")).select(F.col("key").alias("row"), "before", F.col("n").alias("own")).where(F.col("before") < n)
+    t = cells.join(F.broadcast(rows.where(F.col("before") + F.col("own") <= n).select("row")), "row", "left_semi")
+    cut = rows.where(F.col("before") + F.col("own") > n).head()
+    if cut is None:
+        return t
+    return t.unionByName(cells.where(F.col("row") == cut["row"]).orderBy("col").limit(n - cut["before"]))
+
+
 @operator("SCREEN", "imgproc", "pixels", snr_threshold=10.0, correlation_threshold=0.5)
 def screen(px: DataFrame, snr_threshold, correlation_threshold):
     """band, snr, correlation with its neighbours (the least) and ok."""
