@@ -493,7 +493,7 @@ def _learn() -> None:
     case("transition_kernel", "TRANSITION_POTENTIAL", "spq", None, lambda f, own: f([own[0]], own[1:]), method="Kernel similarity")
     # A phase of minus pi is that of pi.
     case("fourier", "FOURIER", "a", None, lambda f, own: f(own[0]).withColumn("phase", F.when(F.col("phase") < -3.14159, math.pi).otherwise(F.col("phase"))))
-    case("fourier_inverse", "FOURIER", "a", f" SELECT row, col, ROUND(v, 5) + 0.0 AS v FROM a", lambda f, own: f(f(own[0], direction="forward")).where(f"row < {SIZE} and col < {SIZE}").select(*KEY, (F.round("v", 5) + F.lit(0.0)).alias("v")), direction="inverse")
+    case("fourier_inverse", "FOURIER", "a", f" SELECT row, col, ROUND(v, 5) + 0.0 AS v FROM a", lambda f, own: f(f(own[0], direction="forward")).join(own[0].df.select(*KEY), KEY, "left_semi").select(*KEY, (F.round("v", 5) + F.lit(0.0)).alias("v")), direction="inverse")
     case("fourier_long_lines", "FOURIER", "a", None, lambda f, own: f(own[0]).withColumn("phase", F.when(F.col("phase") < -3.14159, math.pi).otherwise(F.col("phase"))), line_bound=16)
     case("filtfq", "FILTFQ", "b", None)
     case("filtfq_high", "FILTFQ", "b", None, filter_type="High-pass", cutoff_frequency=10.0, order=1)

@@ -378,7 +378,7 @@ def _nearness() -> None:
     for name, g, sizes in (("fractal", "a", (3, 5, 7, 9)), ("fractal_gaps", "b", (3, 5, 7))):
         edge = lambda e: f"GREATEST(0, LEAST({SIZE - 1}, {e}))"
         corner = {f"z{i}{j}": (f"p + {i}" if i else "p", f"q + {j}" if j else "q") for i in (0, 1) for j in (0, 1)}
-        joins = " ".join(f"JOIN {g} {z} ON {z}.row = {edge('x.row + ' + r)} AND {z}.col = {edge('x.col + ' + c)}" for z, (r, c) in corner.items())
+        joins = " ".join(f"LEFT JOIN {g} {z} ON {z}.row = {edge('x.row + ' + r)} AND {z}.col = {edge('x.col + ' + c)}" for z, (r, c) in corner.items())
         z = {k: f"COALESCE({k}.v, x.v)" for k in corner}
         heron = lambda d: f"SQRT(100 + POWER({d}, 2)) / 4 * SQRT(GREATEST(0, 300 - POWER({d}, 2)))"
         areas = f", q AS (SELECT UNNEST(RANGE(-4, 4)) AS q), p AS (SELECT UNNEST(RANGE(-4, 4)) AS p), k AS (SELECT x.row, x.col, p, q, {heron(z['z10'] + ' - ' + z['z00'])} + {heron(z['z11'] + ' - ' + z['z01'])} AS e FROM {g} x CROSS JOIN p CROSS JOIN q {joins} WHERE x.v IS NOT NULL)"

@@ -578,7 +578,7 @@ def knn(px: DataFrame, labels: DataFrame, k):
     if not t.head(1):
         return px.select(*KEY, F.lit(None).cast("double").alias("v"))
     votes = F.transform("best", lambda b, i: F.struct(F.size(F.filter("best", lambda c: c["v"] == b["v"])).alias("n"), (-i).alias("first"), b["v"].alias("label")))
-    return nearest_rows(px, t, k).select(*KEY, F.array_max(votes)["label"].alias("v"))
+    return nearest_rows(px, t, k, squares=True).select(*KEY, F.array_max(votes)["label"].alias("v"))
 
 
 @operator("KNNREGRESS", "gis", "dependent independent samples", k=5)

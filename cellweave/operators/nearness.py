@@ -226,8 +226,8 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def nearest_rows(queries: DataFrame, samples: DataFrame, k: int, bound: int = 2048, group: int = 50_000) -> DataFrame:
-    """row, col, best of queries (row, col, a): the k nearest of samples (row, col, a, v) by distance of their arrays a, then by cell.
+def nearest_rows(queries: DataFrame, samples: DataFrame, k: int, bound: int = 2048, group: int = 50_000, squares: bool = False) -> DataFrame:
+    """row, col, best of queries (row, col, a): the k nearest of samples (row, col, a, v) by distance of their arrays a (or its square), then by cell.
 
     Of samples with equal arrays the k first stay. The others are dealt to cells of a k-d tree (halvings of a sample by hash,
     sixteen for each cell; cells of `bound` samples or a 16,384th of all), and only the cells' boxes are broadcast. A query meets its
@@ -294,11 +294,12 @@ def nearest_rows(queries: DataFrame, samples: DataFrame, k: int, bound: int = 20
         row, col, v = (s.column(c).to_numpy() for c in ("row", "col", "v"))
         step = max(1, (1 << 20) // max(1, len(y)))
         for at in range(0, len(x), step):
-            d = np.sqrt(((x[at : at + step, None] - y[None]) ** 2).sum(axis=2))
+            d = ((x[at : at + step, None] - y[None]) ** 2).sum(axis=2)
+            d = d if squares else np.sqrt(d)
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             dist = np.take_along_axis(d, near, axis=1)
             best += [[{"d": e, "row": r, "col": c, "v": w} for e, r, c, w in zip(*z)] for z in zip(dist.tolist(), row[near].tolist(), col[near].tolist(), v[near].tolist())]
-            far.append(dist[:, k - 1] if dist.shape[1] >= k else np.full(len(dist), np.inf))
+            far.append((np.sqrt(dist[:, k - 1]) if squares else dist[:, k - 1]) * (1 + 1e-12) if dist.shape[1] >= k else np.full(len(dist), np.inf))
         kind = pa.list_(pa.struct([("d", pa.float64()), ("row", pa.int32()), ("col", pa.int32()), ("v", pa.float64())]))
         return pa.table([q.column("row"), q.column("col"), q.column("a"), q.column("cell"), pa.array(np.concatenate(far) if far else np.zeros(0)), pa.array(best, kind)], ["row", "col", "a", "cell", "far", "best"])
 
